@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import divergence, token_store
+from tessera.llm import divergence, near_dedup, secret_automata, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_store.token_digests(spark, path)
@@ -23,6 +27,10 @@ def op9_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_automata.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
