@@ -16,12 +16,15 @@ ones named like the output's.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -29,17 +32,22 @@ from tessera.session import shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
-    """tokenizers' ids of whole texts, each distinct space-separated piece encoded once.
+    """tokenizers' ids of whole texts, each distinct piece encoded once a worker.
 
     The normaliser (NFC, white space, lower case) and the pre-tokeniser of the
-    word-end BPE file never look across a space, so a text's ids are those of
-    its pieces in order; `tests/llm` compares them with encoding whole texts.
+    word-end BPE file never look across white space, so a text's ids are those
+    of its pieces between blanks and line ends, in order. A piece of plain
+    Latin letters and then plain punctuation is two pre-tokens, so its letters
+    are looked up in lower case. `tests/llm` compares all this with encoding
+    whole texts.
     """
 
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -48,42 +56,62 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int32)
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            n, size = len(self.index), np.fromiter(map(len, ids), np.int32, len(ids))
-            new = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-            while n + len(part) > len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(new)] = new
-            self.start[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.size[n : n + len(part)] = size
+        #: pieces by place in head and tail, which hold places of parts; parts by place in start and size, which say where in flat their ids are
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.head, self.tail = (np.zeros(1 << 16, np.int32) for _ in range(2))
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self._encode_parts([""])
+
+    def _grow(self, name: str, n: int) -> np.ndarray:
+        x = getattr(self, name)
+        if n > len(x):
+            x = np.resize(x, max(n, 2 * len(x)))
+            setattr(self, name, x)
+        return x
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            ids = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            n, size = len(self.parts), np.fromiter(map(len, ids), np.int64, len(ids))
+            new = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            self._grow("flat", self.used + len(new))[self.used : self.used + len(new)] = new
+            self._grow("start", n + len(ids))[n : n + len(ids)] = self.used + np.cumsum(size) - size
+            self._grow("size", n + len(ids))[n : n + len(ids)] = size
             self.used += len(new)
-            self.index.update(zip(part, range(n, n + len(part))))
+            self.parts.update(zip(some, range(n, n + len(ids))))
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: list[str]) -> None:
+        found = list(map(self.PLAIN.fullmatch, words))
+        heads = [m[1].lower() if m else w for m, w in zip(found, words)]
+        tails = [m[2] if m else "" for m in found]
+        self._encode_parts(sorted({*heads, *tails}.difference(self.parts)))
+        n, k = len(self.words), len(words)
+        self._grow("head", n + k)[n : n + k] = np.fromiter(map(self.parts.__getitem__, heads), np.int32, k)
+        self._grow("tail", n + k)[n : n + k] = np.fromiter(map(self.parts.__getitem__, tails), np.int32, k)
+        self.words.update(zip(words, range(n, n + k)))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by end_id, and how many each has."""
-        pieces = [t.split(" ") for t in texts]
-        if len(self.index) > CACHE_WORDS:
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        pieces = pc.split_pattern(texts, " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.words) > CACHE_WORDS:
             self.reset()
-        unseen = set().union(*pieces).difference(self.index) if pieces else set()
-        self._learn(sorted(unseen))
-        words = np.fromiter((i for p in pieces for i in map(self.index.__getitem__, p)), np.int64, sum(map(len, pieces)))
-        size = self.size[words].astype(np.int64)
+        self._learn([w for w in names if w not in self.words])
+        words = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()[bounds[0] : bounds[-1]]]
+        parts = np.empty(2 * len(words), np.int32)
+        parts[::2], parts[1::2] = self.head[words], self.tail[words]
+        size = self.size[parts]
         before = np.concatenate([[0], np.cumsum(size)])
-        bounds = before[np.cumsum([0, *map(len, pieces)])]
-        per = np.diff(bounds)
+        per = np.diff(before[2 * (bounds - bounds[0])])
         #: each document's ids move up by the end ids before it
         doc = np.repeat(np.arange(len(texts)), per)
-        flat = self.flat[np.arange(before[-1]) + np.repeat(self.start[words] - before[:-1], size)]
+        flat = self.flat[np.arange(before[-1]) + np.repeat(self.start[parts] - before[:-1], size)]
         out = np.full(len(flat) + len(texts), end_id, np.int32)
         out[np.arange(len(flat)) + doc] = flat
         return out, per + 1
@@ -99,8 +127,7 @@ def _encode_part(path: str, end_id: int, rows: int):
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                ids, n = enc.encode(texts, end_id)
+                ids, n = enc.encode(b.column("text"), end_id)
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
@@ -119,7 +146,7 @@ def write_tokens(
     encoding: str = "delta",
     row_group_bytes: int = 32 << 20,
     page_rows: int = 2_000,
-    batch_rows: int = 512,
+    batch_rows: int = 1_000,
 ) -> str:
     """Encode documents (doc_id, text) in ascending doc_id order into Parquet files; returns their folder.
 
