@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
 A text is a bag of hashed byte trigrams (ASCII lower case is kept apart from
-upper case: shouting is a sign), weighted log(1 + count) * idf. Document
+upper case: shouting is a sign) and of words said twice in a row, weighted log(1 + count) * idf. Document
 frequencies are counted over all texts. A bounded sample of labelled texts,
 balanced over the labels, gives a term matrix whose leading right singular
 vectors are the latent space. The sample's latent vectors are broadcast (rows
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tessera.llm._text import Slice, slices
 
 DIMS = 4096
+#: Dimensions that count repeated words.
+REPEATS = 48
 #: Rows of texts whose dense term vectors are held at once.
 BLOCK = 256
 
@@ -47,7 +49,14 @@ def term_counts(piece: Slice) -> np.ndarray:
     h = (h >> np.uint32(32 - 12)).astype(np.int64)
     row = np.repeat(np.arange(piece.n), np.diff(piece.bounds))[: len(h)]
     inside = np.arange(len(h)) + 3 <= piece.bounds[row + 1]
-    return np.bincount((row * DIMS + h)[inside], minlength=piece.n * DIMS).reshape(piece.n, DIMS).astype(np.float32)
+    counts = np.bincount((row * DIMS + h)[inside], minlength=piece.n * DIMS).reshape(piece.n, DIMS).astype(np.float32)
+    # one more kind of term: a word that repeats the one or two words before it, spread over several dimensions to weigh more
+    word = piece.word_hashes(lower=True)
+    again = np.zeros(len(word), bool)
+    for back in (1, 2):
+        again[back:] |= (word[back:] == word[:-back]) & (piece.row[back:] == piece.row[:-back])
+    counts[:, :REPEATS] = np.bincount(piece.row[again], minlength=piece.n)[:, None]
+    return counts
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
