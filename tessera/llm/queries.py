@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, divergence, kd_shards, near_dedup, quality_knn, secret_automata, sp_dropout, substring_dedup, token_store
+from tessera.llm import chat_repair, decontam, divergence, kd_shards, near_dedup, quality_knn, secret_automata, sp_dropout, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_roles(_table(spark, sf_dir, "conversations"))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(_table(spark, sf_dir, "documents"), shards=24)
 

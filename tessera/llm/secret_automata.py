@@ -201,7 +201,8 @@ def learn_formats(found: DataFrame, sample: int) -> dict[str, Automaton]:
     return out
 
 
-def _score(models: dict[str, Automaton], margin: float):
+def _judge(models: dict[str, Automaton], margin: float):
+    """The format that a run follows, or None."""
     formats = [m for m in models if m != "ordinary"]
     plain = models.get("ordinary")
 
@@ -212,6 +213,12 @@ def _score(models: dict[str, Automaton], margin: float):
         best, label = max(((models[m].log_likelihood(value) - rest) / len(value), m) for m in formats)
         return label if best > margin else None
 
+    return judge
+
+
+def _score(models: dict[str, Automaton], margin: float):
+    judge = _judge(models, margin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, sha, spans = [[], [], []], [], []
@@ -227,14 +234,18 @@ def _score(models: dict[str, Automaton], margin: float):
     return run
 
 
+def _found(docs: DataFrame, sample: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(rows.mapInArrow(_scan(sample // 4), FOUND), "secrets")
+
+
 def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs (doc_id, text).
 
     sample bounds the strings a label that automata are learned from (and so
     what reaches the driver); margin is the log-likelihood ratio a character, in nats.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialise(rows.mapInArrow(_scan(sample // 4), FOUND), "secrets")
+    found = _found(docs, sample)
     models = learn_formats(found, sample)
     return found.select("doc_id", "base", "runs").mapInArrow(_score(models, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -248,3 +259,25 @@ def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
         out += [text[at:s], mark] if s >= at else []
         at = e
     return "".join([*out, text[at:]])
+
+
+def _redact_rows(at: int, names: list[str], models: dict[str, Automaton], margin: float):
+    scan, score = _scan(1), _score(models, margin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                text = b.column(at)
+                rows = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), text], names=["doc_id", "text"])
+                spans = [s for r in score(scan(iter([rows]))) for s in r.column("spans").to_pylist()]
+                clean = [redact(t, s) if s else t for t, s in zip(text.to_pylist(), spans)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(clean, pa.string()), *b.columns[at + 1 :]], names=names)
+
+    return run
+
+
+def redact_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
+    """docs with all secret spans of the text replaced, other columns as they are; a null text stays null."""
+    models = learn_formats(_found(docs, sample), sample)
+    return docs.mapInArrow(_redact_rows(docs.columns.index("text"), docs.columns, models, margin), docs.schema)

@@ -219,16 +219,21 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = b.column("tokens")
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-        crc = [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
-        same = [(t or "") == d for t, d in zip(b.column("text").to_pylist(), b.column("decoded").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
+def _digest(tokens: bool):
+    names = ["doc_id", "n_tokens", "ids_crc32", "lossless"] + ["tokens"] * tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+            crc = [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
+            same = [(t or "") == d for t, d in zip(b.column("text").to_pylist(), b.column("decoded").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same), *[lists] * tokens], names=names)
+
+    return run
 
 
-def round_trip(docs: DataFrame, model_path: str, **more) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs."""
+def round_trip(docs: DataFrame, model_path: str, tokens: bool = False, **more) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs, and the tokens if wanted."""
     coded = decode(encode(docs.select("doc_id", "text"), model_path, **more), model_path)
-    return coded.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
+    return coded.mapInArrow(_digest(tokens), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", tokens array<int>" * tokens)
