@@ -35,3 +35,10 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _load() -> None:
+    from tessera.plans import metric_plans  # noqa: F401
+
+
+_load()
