@@ -21,7 +21,9 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its zoneless timestamps become instants of the session's zone (UTC)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
 def queries() -> dict:
@@ -38,7 +40,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tessera.plans import metric_plans  # noqa: F401
+    from tessera.plans import metric_plans, series_plans  # noqa: F401
 
 
 _load()
