@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.session import shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
-#: Words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 800_000
+#: Pieces a worker keeps, and half the parts of pieces; when full it starts anew.
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -48,22 +48,30 @@ class WordEncoder:
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
 
+    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        #: pieces by place in head and tail, which hold places of parts; parts by place in start and size, which say where in flat their ids are
-        self.words: dict[str, int] = {}
+        #: parts by place in start and size, which say where in flat their ids are
         self.parts: dict[str, int] = {}
-        self.head, self.tail = (np.zeros(1 << 16, np.int32) for _ in range(2))
+        self.reset_words()
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
         self._encode_parts([""])
 
+    def reset_words(self) -> None:
+        #: pieces by place in head and tail, which hold places of parts
+        self.words: dict[str, int] = {}
+        self.head, self.tail = (np.zeros(1 << 16, np.int32) for _ in range(2))
+
     def _grow(self, name: str, n: int) -> np.ndarray:
         x = getattr(self, name)
         if n > len(x):
@@ -72,16 +80,32 @@ class WordEncoder:
         return x
 
     def _encode_parts(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            n, size = len(self.parts), np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-            self._grow("flat", self.used + len(new))[self.used : self.used + len(new)] = new
-            self._grow("start", n + len(ids))[n : n + len(ids)] = self.used + np.cumsum(size) - size
-            self._grow("size", n + len(ids))[n : n + len(ids)] = size
-            self.used += len(new)
-            self.parts.update(zip(some, range(n, n + len(ids))))
+        plain = [p for p in parts if self.LETTERS.fullmatch(p)]
+        # words of letters are single pre-tokens, whose last token ends with the word-end mark: many go in one text
+        for k in range(0, len(plain), 50_000):
+            some = plain[k : k + 50_000]
+            ids = self._ids([" ".join(some[i : i + 500]) for i in range(0, len(some), 500)])[0]
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a word of letters is not one pre-token of this tokenizer")
+            self._add(some, ids, np.diff(ends, prepend=0))
+        rest = [p for p in parts if not self.LETTERS.fullmatch(p)]
+        for k in range(0, len(rest), 20_000):
+            self._add(rest[k : k + 20_000], *self._ids(rest[k : k + 20_000]))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, and how many each has."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
+
+    def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.parts)
+        self._grow("flat", self.used + len(ids))[self.used : self.used + len(ids)] = ids
+        self._grow("start", n + len(parts))[n : n + len(parts)] = self.used + np.cumsum(size) - size
+        self._grow("size", n + len(parts))[n : n + len(parts)] = size
+        self.used += len(ids)
+        self.parts.update(zip(parts, range(n, n + len(parts))))
 
     def _learn(self, words: list[str]) -> None:
         found = list(map(self.PLAIN.fullmatch, words))
@@ -99,8 +123,10 @@ class WordEncoder:
         pieces = pc.split_pattern(texts, " ")
         bounds = pieces.offsets.to_numpy()
         coded = pieces.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHE_WORDS:
+            self.reset_words()
+        if len(self.parts) > 2 * CACHE_WORDS:
             self.reset()
         self._learn([w for w in names if w not in self.words])
         words = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()[bounds[0] : bounds[-1]]]
