@@ -35,12 +35,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    return ev.groupBy("event_type").agg(F.count("*").alias("n"))
+    from tessera.plans import evidence_plans
+
+    return evidence_plans.chronology(spark, sf_dir)
 
 
 def _load() -> None:
-    from tessera.plans import metric_plans, series_plans  # noqa: F401
+    from tessera.plans import evidence_plans, metric_plans, series_plans  # noqa: F401
 
 
 _load()
