@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 4 << 20
@@ -141,3 +142,25 @@ def shingle_sets(piece: Slice, k: int, lower: bool = True, seed: int = 0) -> lis
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Bits of a fixed bitmap are 64 times this: 4 million bits, half a megabyte, whatever the input.
+BITMAP_WORDS = 1 << 16
+
+
+def fixed_bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys (one column of 64-bit hashes), or-ed on the executors; the driver gets BITMAP_WORDS rows at most.
+
+    It may say yes to a key that was never added, the more so the fuller it is;
+    it never says no to one that was.
+    """
+    key = keys.columns[0]
+    word = F.pmod(F.shiftrightunsigned(key, 6), F.lit(BITMAP_WORDS)).cast("int").alias("word")
+    rows = keys.select(word, F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return ((bitmap[((keys >> np.uint64(6)) % np.uint64(BITMAP_WORDS)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -9,10 +9,14 @@ similarity J, so classes that share a band of `rows` registers are candidates;
 the joint likelihood of the register comparison and the known set sizes prunes
 those far below the threshold; the rest are verified by intersecting full sets.
 
-Groups of many near copies are never paired out. In every bucket members first
-meet only its smallest member; verified links join components; later rounds
-look only at buckets that still hold different components, with another pivot a
-round, and the last compares what remains across components.
+Groups of many near copies are never paired out. Buckets of a few members are
+compared directly. In a larger bucket members first meet only a pivot, the one
+that lies in the most and largest buckets and so near the group's centre;
+verified links join components. What then still lies in different components of
+one bucket is compared on full sets in blocks: blocks of members outside the
+bucket's largest component against all its blocks, so that only verified links
+leave a task. Full sets are made anew from the texts; a bitmap of fixed size
+tells which, so no text is shuffled.
 
 Probability to miss a pair of J = 0.8 in one comparison of bands: with the
 default 40 bands of 5 rows (1 - 0.8**5)**40 = 1.2e-7.
@@ -29,13 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm._text import GOLD, mix, shingle_sets, signed, slices
+from tessera.llm._text import GOLD, fixed_bitmap, has_bit, mix, shingle_sets, signed, slices
 from tessera.operators.components import connected_components
 from tessera.session import materialise
 
 BANDS, ROWS = 40, 5
+#: Buckets of so many members are compared directly; members of a block in larger ones.
+SMALL, BLOCK = 8, 128
+#: Of the lowest bits of 128 registers, those that differ are expected to be (1 - J) / 2. At J = 0.8 more than 32 differ with probability 2e-7.
+BITS, MOST_BITS = 128, 32
 #: Base of the register scale, and rate that keeps registers of one-element sets above zero.
 SCALE, RATE = 1.001, 20.0
 
@@ -127,50 +135,90 @@ def _bands(bands: int, rows: int):
                 continue
             regs = np.stack([np.frombuffer(x, np.uint16) for x in b.column("sketch").to_pylist()])
             keys = band_keys(regs, bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.repeat(b.column("node").to_numpy(), bands)), pa.array(np.repeat(b.column("n").to_numpy(), bands))], names=["band", "node", "n"])
+            bits = np.packbits((regs[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
+            of = lambda x: pa.array(np.repeat(x, bands))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), of(b.column("node").to_numpy()), of(b.column("n").to_numpy()), of(bits[:, 0].copy()), of(bits[:, 1].copy())], names=["band", "node", "n", "z1", "z2"])
 
     return run
 
 
-def _sets(k: int):
+def _block_links(percent: int):
+    """Verified links between the members of two blocks, by products of their incidence matrices over shared shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(piece.first, piece.n), pa.array([s.tobytes() for s in shingle_sets(piece, k)], pa.binary())], names=["node", "shingles"])
+            for x, y in zip(b.column("xs").to_pylist(), b.column("ys").to_pylist()):
+                sides = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (x, y)]
+                size = [np.array([len(v) for v in side]) for side in sides]
+                token = [np.concatenate(side) for side in sides]
+                owner = [np.repeat(np.arange(len(n)), n) for n in size]
+                both = np.intersect1d(*token)
+                inter = np.zeros((len(x), len(y)), np.int64)
+                for k in range(0, len(both), 4096):
+                    part, one = both[k : k + 4096], []
+                    for t, o, side in zip(token, owner, sides):
+                        at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+                        hit = part[at] == t
+                        m = np.zeros((len(side), len(part)), np.float32)
+                        m[o[hit], at[hit]] = 1
+                        one.append(m)
+                    inter += np.rint(one[0] @ one[1].T).astype(np.int64)
+                comp = [np.array([m["comp"] for m in side]) for side in (x, y)]
+                node = [np.array([m["node"] for m in side], np.int64) for side in (x, y)]
+                ok = (100 * inter >= percent * (size[0][:, None] + size[1][None, :] - inter)) & (comp[0][:, None] != comp[1][None, :])
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[0][i], node[1][j])), pa.array(np.maximum(node[0][i], node[1][j]))], names=["a", "b"])
 
     return run
 
 
-def _likely(threshold: float):
+def _sets(k: int, m: int, bitmap: np.ndarray):
+    """Sets and registers of the texts whose node's bit is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            side = lambda c: np.stack([np.frombuffer(x, np.uint16) for x in b.column(c).to_pylist()])
-            ok = keeps_candidate(side("sa"), side("sb"), b.column("na").to_numpy().astype(float), b.column("nb").to_numpy().astype(float), threshold)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            node = b.column("node").to_numpy().view(np.uint64)
+            on = np.flatnonzero(has_bit(bitmap, mix(node)))
+            some = b.take(pa.array(on))
+            for piece in slices(some.column("text"), 1 << 21):
+                sets = shingle_sets(piece, k)
+                yield pa.RecordBatch.from_arrays([some.column("node").slice(piece.first, piece.n), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in setsketch(sets, m)], pa.binary())], names=["node", "shingles", "sketch"])
 
     return run
 
 
 def _verified(percent: int):
+    """Pairs that the joint likelihood of their registers allows and whose full sets are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("xs"), b.column("ys")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                b = whole.slice(k, 2000)
+                side = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in b.column(c)]  # noqa: E731, B023
+                xs, ys = side("xs", np.uint64), side("ys", np.uint64)
+                ok = keeps_candidate(np.stack(side("xk", np.uint16)), np.stack(side("yk", np.uint16)), np.array([len(x) for x in xs], float), np.array([len(y) for y in ys], float), percent / 100)
+                for i in np.flatnonzero(ok):
+                    both = np.sort(np.concatenate([xs[i], ys[i]]))
+                    inter = int((both[1:] == both[:-1]).sum())
+                    ok[i] = 100 * inter >= percent * (len(both) - inter)
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(b.column("node").to_numpy().view(np.uint64))))], names=["key"])
+
+
+def mixed_bitmap(nodes: DataFrame) -> np.ndarray:
+    return fixed_bitmap(nodes.mapInArrow(_mixed, "key long"))
+
+
 class NearDuplicates:
     """The tables of one run: `docs` (doc_id, n_shingles, node) and `links` (a, b) between class representatives."""
 
-    def __init__(self, docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2):
+    def __init__(self, docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS):
         self.k, self.percent, self.bands, self.rows = shingle_words, percent, bands, rows
         self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         sketched = self.source.mapInArrow(_sketches(shingle_words, bands * rows), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
@@ -179,48 +227,72 @@ class NearDuplicates:
         # one row a class of equal sets; of repeated doc_ids every class is a node of its own smallest doc_id
         classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes.groupBy("node", "set_a", "set_b").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        self.links = self._links(star_rounds)
+        self.links = self._links()
 
     def _buckets(self) -> DataFrame:
-        """(band, node, n) of buckets with two members or more."""
-        rows = self.classes.select("node", "n", "sketch").mapInArrow(_bands(self.bands, self.rows), "band long, node long, n long")
-        full = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+        """(band, node, n, z1, z2, members) of buckets with two members or more."""
+        rows = self.classes.select("node", "n", "sketch").mapInArrow(_bands(self.bands, self.rows), "band long, node long, n long, z1 long, z2 long")
+        full = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
         return materialise(rows.join(full, "band"), "buckets")
 
+    def _pairs(self, joined: DataFrame) -> DataFrame:
+        """Of rows with node, n, z1, z2 and another member in node_, n_, z1_, z2_: the pairs (a, b, na, nb) that sizes and bits allow."""
+        fits = f"100 * least(n, n_) >= {self.percent} * greatest(n, n_) and bit_count(z1 ^ z1_) + bit_count(z2 ^ z2_) <= {MOST_BITS}"
+        first = F.col("node") < F.col("node_")
+        return joined.where(fits).select(
+            F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("n_")).alias("na"), F.when(first, F.col("n_")).otherwise(F.col("n")).alias("nb"),
+        )
+
     def _check(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) whose full sets are similar enough."""
-        fits = pairs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-        of = self.classes.select("node", "sketch")
-        likely = fits.join(of.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(of.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        likely = materialise(likely.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(self.percent / 100), "a long, b long"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = self.source.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
-        sets = materialise(texts.mapInArrow(_sets(self.k), "node long, shingles binary").where("length(shingles) > 0"), "sets")
-        tried = likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xs"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "ys"}), "b")
-        return materialise(tried.select("a", "b", "xs", "ys").mapInArrow(_verified(self.percent), "a long, b long").distinct(), "links")
-
-    def _links(self, star_rounds: int) -> DataFrame:
-        left = self._buckets()
-        links = None
-        for turn in range(star_rounds + 1):
-            if links is None:
-                named = left.withColumn("comp", F.col("node"))
-            else:
-                comp = connected_components(links, "a", "b")
-                named = left.join(comp, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("comp"))
-                open_ = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-                named = materialise(named.join(open_, "band"), "open")
-                left = named.select("band", "node", "n")
-            if turn < star_rounds:
-                order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-                pivot = named.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("p"))
-                pairs = named.join(pivot, "band").where("comp <> p.comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.when(F.col("node") < F.col("p.node"), F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(F.col("node") < F.col("p.node"), F.col("p.n")).otherwise(F.col("n")).alias("nb"))
-            else:
-                x, y = named, named.withColumnsRenamed({"node": "node2", "n": "n2", "comp": "comp2"})
-                pairs = x.join(y, "band").where("node < node2 and comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
-            found = self._check(pairs)
-            links = found if links is None else links.unionByName(found)
-        return links
+        """The pairs (a, b) whose full sets are similar enough."""
+        pairs = materialise(pairs.distinct(), "pairs")
+        sets = self._full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        x, y = sets.toDF("a", "xs", "xk"), sets.toDF("b", "ys", "yk")
+        tried = pairs.join(x, "a").join(y, "b").where("length(xs) > 0 and length(ys) > 0")
+        return materialise(tried.select("a", "b", "xs", "xk", "ys", "yk").mapInArrow(_verified(self.percent), "a long, b long"), "links")
+
+    def _full_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles, sketch) of the nodes and of some others."""
+        texts = self.source.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+        return materialise(texts.mapInArrow(_sets(self.k, self.bands * self.rows, mixed_bitmap(nodes)), "node long, shingles binary, sketch binary"), "sets")
+
+    def _open(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component, with comp."""
+        named = rows.join(connected_components(links, "a", "b"), "node", "left")
+        named = named.withColumn("comp", F.coalesce("component", "node")).drop("component")
+        more = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+        return materialise(named.join(more, "band"), "open")
+
+    def _star(self, rows: DataFrame) -> DataFrame:
+        """Pairs of every bucket's most central member with its other members."""
+        central = rows.groupBy("node").agg(F.sum("members").alias("weight"))
+        named = rows.join(central, "node")
+        pivot = named.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "node", "n", "z1", "z2")).alias("p"))
+        other = pivot.select("band", *[F.col(f"p.{c}").alias(f"{c}_") for c in ("node", "n", "z1", "z2")])
+        return self._pairs(rows.join(other, "band").where("node <> node_"))
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Verified links between different components of the buckets, compared block by block."""
+        size = rows.groupBy("band", "comp").agg(F.count("*").alias("c"))
+        core = size.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("m")).select("band", F.col("m.comp").alias("core"))
+        sets = self._full_sets(rows.select("node")).drop("sketch").where("length(shingles) > 0")
+        full = rows.join(core, "band").join(sets, "node").withColumn("rest", (F.col("comp") != F.col("core")).cast("int"))
+        count = rows.groupBy("band").agg(F.count("*").alias("all"))
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)).alias("block")
+        blocks = full.join(count, "band").select("band", "rest", block, F.struct("node", "comp", "shingles").alias("m")).groupBy("band", "rest", "block").agg(F.collect_list("m").alias("ms"))
+        x = blocks.where("rest = 1").select("band", F.col("block").alias("bx"), F.col("ms").alias("xs"))
+        y = blocks.select("band", "rest", F.col("block").alias("by"), F.col("ms").alias("ys"))
+        met = x.join(y, "band").where("rest = 0 or bx <= by")
+        return materialise(met.select("xs", "ys").mapInArrow(_block_links(self.percent), "a long, b long").distinct(), "links")
+
+    def _links(self) -> DataFrame:
+        rows = self._buckets()
+        small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
+        other = small.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "z1", "z2")])
+        direct = self._pairs(small.join(other, "band").where("node < node_"))
+        links = self._check(direct.unionByName(self._star(large)))
+        return links.unionByName(self._blocks(self._open(large, links)))
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept, one row a row of the input."""

@@ -32,13 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm._text import GOLD, Slice, mix, run_hash, signed, slices, window_starts
+from tessera.llm._text import GOLD, Slice, fixed_bitmap, has_bit, mix, run_hash, signed, slices, window_starts
 from tessera.session import materialise
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bits of the bitmap are 64 times this.
-BITMAP_WORDS = 1 << 16
 
 
 def covers(period: int, cover: tuple[int, ...]) -> bool:
@@ -86,20 +84,6 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
     return run
 
 
-def _bit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x >> np.uint64(6)) % np.uint64(BITMAP_WORDS), x & np.uint64(63)
-
-
-def fixed_bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of all keys (one long column), or-ed on the executors; the driver gets BITMAP_WORDS rows at most, whatever the input."""
-    col = F.col(keys.columns[0])
-    word = F.pmod(F.shiftrightunsigned(col, 6), F.lit(BITMAP_WORDS)).cast("int").alias("word")
-    rows = keys.select(word, F.expr(f"shiftleft(1L, cast({keys.columns[0]} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(BITMAP_WORDS, np.uint64)
-    out[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
-    return out
-
-
 def _possible(window: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -107,8 +91,7 @@ def _possible(window: int, bitmap: np.ndarray):
             for piece in slices(b.column("text")):
                 one, two = _two(piece)
                 s1, s2 = _whole(piece, one), _whole(piece, two)
-                word, bit = _bit(s1)
-                use = (piece.counts() >= window) & ((bitmap[word.astype(np.int64)] >> bit) & np.uint64(1)).astype(bool)
+                use = (piece.counts() >= window) & has_bit(bitmap, s1)
                 rows = [r for r in np.flatnonzero(use) if (key := (int(s1[r]), int(s2[r]))) not in seen and not seen.add(key)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(s1[rows])), pa.array(signed(s2[rows])), b.column("text").take(pa.array(np.array(rows) + piece.first))], names=["s1", "s2", "text"])
