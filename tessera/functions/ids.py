@@ -25,7 +25,7 @@ def path_identity(path: Column) -> Column:
 
 def linked_ids(value: Column) -> Column:
     """A ;-separated list: trimmed, empties dropped, null as empty."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def group_key(identity: Column, original_id: Column, sample: Column) -> Column:
