@@ -32,8 +32,10 @@ def test_one_merge_at_a_time():
     words = [" hello", " therefore", "internationalisation", " a", "aaaaaaa"]
     import numpy as np
 
-    symbols, variant = [m._symbols(w) for w in words], np.array([0, 1, 2, 3, 1])
-    for s, v, got in zip(symbols, variant, m.merge(symbols, variant)):
+    variant = np.array([0, 1, 2, 3, 1])
+    ids, count = m.merge(words, variant)
+    for w, v, got in zip(words, variant, np.split(ids, np.cumsum(count)[:-1])):
+        s = m._symbols([w])[0].tolist()
         pieces = [(p, i) for i, p in enumerate(s)]
         while len(pieces) > 1:
             a, b = (np.array([p for p, _ in x]) for x in (pieces[:-1], pieces[1:]))
