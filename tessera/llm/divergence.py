@@ -6,9 +6,8 @@ Jensen-Shannon distance (base 2, 0 to 1). References are counted over all rows
 of a table. Texts below the minimum lengths are not judged by divergence: a
 short text's histogram says little.
 
-Cases: a null text counts as having no words and fails the base rule; a null
-or unknown lang is judged by the language "und", whose reference is that of
-all rows together where no such rows are given; an empty table gives no rows;
+Cases: a null text counts as having no words and fails the base rule; rows
+with a null lang are a language of their own, "und"; an empty table gives no rows;
 rows are never joined by doc_id, so repeated or null doc_ids do no harm;
 extra columns stay out.
 """
@@ -17,11 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-#: Character classes; what is in none of them is "other".
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "punct": r"[.,;:!?'\"()\-]", "space": r"[\x20\x09-\x0D]"}
+SYMBOLS = "[#*$%&|<>]"
+#: Character classes by pattern; symbols and white space are counted with the base columns, what is left (mostly small letters) is the last class.
+CLASSES = {"upper": r"[A-Z\u00C0-\u00D6\u00D8-\u00DE]", "digit": r"[0-9]", "punct": r"[.,;:!?'\"()\-]"}
 
 
 def let(value: Column, body) -> Column:
@@ -31,8 +32,8 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text, by one split; white space at the ends makes no word."""
-    trimmed = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " +"))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
 def repeated_words(words: Column, n_words: Column, k: int = 5) -> Column:
@@ -68,61 +69,76 @@ def base_columns(docs: DataFrame) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed beside doc_id, lang and text."""
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, SPACES, " " * len(SPACES))) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     df = df.select(
         "doc_id", "lang", "text", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     df = df.withColumn("n_repeat_words", repeated_words(F.col("words"), F.col("n_words")))
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _class_counts(text: Column) -> list[Column]:
-    inside = [F.regexp_count(text, F.lit(p)).cast("double") for p in CLASSES.values()]
-    return [*inside, F.length(text).cast("double")]
+def _lang(lang: Column) -> Column:
+    return F.coalesce(lang.cast("string"), F.lit("und"))
 
 
-def language_references(docs: DataFrame, top_words: int = 24) -> DataFrame:
-    """Per language: shares of the character classes (the last is other), its top words and their shares (the last is all other words).
+def few_rows(df: DataFrame, most: int = 256) -> DataFrame:
+    """df marked for broadcast if it has `most` rows or fewer, else as it is, for a shuffled join."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
-    One row a language; counts cover all rows. Words are lower-cased and
-    counted before the shuffle; ranking sees one row a word and language, and
-    keeps each partition's best before one window ranks them.
-    """
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(lang.alias("lang"), text.alias("text"))
-    n = len(CLASSES)
-    chars = base.select("lang", *[c.alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("text")))]).groupBy("lang").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n + 1)])
-    total = F.greatest(F.col(f"c{n}"), F.lit(1.0))
-    other = F.col(f"c{n}") - sum((F.col(f"c{i}") for i in range(n)), F.lit(0.0))
-    chars = chars.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)], other / total).alias("class_ref"))
 
+def common_words(docs: DataFrame, top_words: int = 16) -> DataFrame:
+    """Per language its top words and their shares; the last share is that of all other words.
+
+    Words are lower-cased and counted over all rows before the shuffle; ranking
+    sees one row a word and language, in 64 slots first, so no task ranks all
+    words of a large language.
+    """
+    base = docs.select(_lang(F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = base.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # Words seen once or twice in a whole language are never among its top words if there are others; ranking is by
-    # partial top lists (max_by over structs needs none of them in one task).
-    ranked = counts.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(64)))
+    slot = F.pmod(F.xxhash64("word"), F.lit(64)).alias("slot")
     first = Window.partitionBy("lang", "slot").orderBy(F.desc("n"), "word")
-    best = ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top_words).drop("r", "slot")
+    in_slot = Window.partitionBy("lang", "slot")
+    best = counts.select("lang", "word", "n", slot).select("lang", "word", "n", F.sum("n").over(in_slot).alias("slot_words"), F.row_number().over(first).alias("r")).where(F.col("r") <= top_words)
+    best = materialise(best, "words")
+    sums = best.where("r = 1").groupBy("lang").agg(F.sum("slot_words").alias("all_words"))
     last = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = best.withColumn("r", F.row_number().over(last)).where(F.col("r") <= top_words)
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("all_words"))
-    words = (
-        best.join(sums, "lang").groupBy("lang")
+    top = best.withColumn("r", F.row_number().over(last)).where(F.col("r") <= top_words)
+    return (
+        top.join(sums, "lang").groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("r", "word", (F.col("n") / F.col("all_words")).alias("share")))).alias("top"))
-        .select("lang", F.col("top.word").alias("top_words"), F.col("top.share").alias("top_shares"))
-        .withColumn("word_ref", with_rest(F.col("top_shares")))
+        .select("lang", F.col("top.word").alias("top_words"), with_rest(F.col("top.share")).alias("word_ref"))
     )
-    return chars.join(words, "lang", "left").select(
-        "lang", "class_ref",
-        F.coalesce("top_words", F.array().cast("array<string>")).alias("top_words"),
-        F.coalesce("word_ref", F.array(F.lit(1.0))).alias("word_ref"),
+
+
+def text_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Per row: the base columns, n_chars, class_counts and the shares of its language's top words (word_hist) beside word_ref."""
+    df = base_columns(docs).withColumn("lang", _lang(F.col("lang"))).join(few_rows(words), "lang", "left")
+    patterns = [F.regexp_count("text", F.lit(p)) for p in CLASSES.values()]
+    n_chars = F.length("text").cast("long")
+    # one scan finds all top words of the language between white space
+    inside = F.array_join(F.transform("top_words", lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("")), F.lit("\\E"))), "|")
+    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), inside, F.lit(r")(?![^\x20\x09-\x0D])"))
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    found = let(F.regexp_extract_all(F.lower("text"), pattern, F.lit(0)), lambda m: F.transform("top_words", lambda w: F.size(m) - F.size(F.array_remove(m, w))))
+    return df.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_chars.alias("n_chars"),
+        F.array(*[p.cast("double") for p in patterns], F.col("n_symbols").cast("double"), (n_chars - F.col("word_chars")).cast("double")).alias("class_counts"),
+        with_rest(F.transform(found, lambda x: x / n)).alias("word_hist"), "word_ref",
     )
 
 
+def class_references(counts: DataFrame) -> DataFrame:
+    """(lang, class_ref): shares of the character classes over all rows of a language; the last is that of all other characters."""
+    k = len(CLASSES) + 2
+    sums = counts.groupBy("lang").agg(*[F.sum(F.get("class_counts", F.lit(i))).alias(f"c{i}") for i in range(k)], F.sum("n_chars").alias("all"))
+    return sums.select("lang", with_rest(F.array(*[F.col(f"c{i}") / F.greatest(F.col("all"), F.lit(1)) for i in range(k)])).alias("class_ref"))
+
+
 def with_rest(shares: Column) -> Column:
     """The shares and what they leave of 1."""
     return let(shares, lambda x: F.concat(x, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(x, F.lit(0.0), lambda s, y: s + y)))))
@@ -139,37 +155,21 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def distribution_rules(
-    docs: DataFrame,
-    references: DataFrame | None = None,
-    top_words: int = 24,
-    max_class_distance: float = 0.27,
-    max_word_distance: float = 0.42,
-    min_chars: int = 200,
-    min_words: int = 50,
+    docs: DataFrame, top_words: int = 16, max_class_distance: float = 0.32, max_word_distance: float = 0.42, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_distance, word_distance, kept.
+    """doc_id, the base counts, base_failed, class_distance, word_distance, kept of every row of docs (doc_id, text, lang).
 
     kept is false where base_failed, or where a text of at least min_chars
     characters is further than max_class_distance from its language's character
     classes, or one of at least min_words words further than max_word_distance
-    from its common words. Distances are null below those lengths. The
-    references are one row a language and are broadcast only through the
-    optimiser's own size check.
+    from its common words. Distances are null below those lengths. Texts are
+    read twice, for the common words and for all counts, and never shuffled.
     """
-    refs = language_references(docs, top_words) if references is None else references
-    refs = refs.withColumnRenamed("lang", "ref_lang")
-    df = base_columns(docs).withColumn("ref_lang", F.coalesce("lang", F.lit("und"))).join(refs, "ref_lang", "left")
-    counts = _class_counts(F.col("text"))
-    total = F.greatest(counts[-1], F.lit(1.0))
-    shares = with_rest(F.array(*[c / total for c in counts[:-1]]))
-    spaced = F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" "))
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    found = let(spaced, lambda s: F.transform("top_words", lambda w: (F.length(s) - F.length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)))
-    hist = with_rest(F.transform(found, lambda x: x / n))
-    judged_c = (F.length("text") >= min_chars) & F.col("class_ref").isNotNull()
-    judged_w = (F.col("n_words") >= min_words) & F.col("word_ref").isNotNull()
-    df = df.withColumn("class_distance", F.when(judged_c, js_distance(shares, F.col("class_ref"))))
-    df = df.withColumn("word_distance", F.when(judged_w, js_distance(hist, F.col("word_ref"))))
+    counts = materialise(text_counts(docs, common_words(docs, top_words)), "counts")
+    df = counts.join(few_rows(class_references(counts)), "lang", "left")
+    shares = with_rest(F.transform("class_counts", lambda c: c / F.greatest(F.col("n_chars"), F.lit(1))))
+    df = df.withColumn("class_distance", F.when((F.col("n_chars") >= min_chars) & F.col("class_ref").isNotNull(), js_distance(shares, F.col("class_ref"))))
+    df = df.withColumn("word_distance", F.when((F.col("n_words") >= min_words) & F.col("word_ref").isNotNull(), js_distance(F.col("word_hist"), F.col("word_ref"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
