@@ -41,7 +41,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tessera.plans import evidence_plans, function_plans, metric_plans, series_plans, stream_plans  # noqa: F401
+    from tessera.plans import evidence_plans, function_plans, metric_plans, profile_plans, series_plans, stream_plans  # noqa: F401
 
 
 _load()

@@ -181,3 +181,30 @@ def test_sources_and_sinks(spark, tmp_path):
     al = tables.aliased(spark.createDataFrame([("", "p", None)], "file_path string, path string, x string"), {"file": ["file_path", "path"], "none": ["q"]})
     assert tuple(one(al)) == ("p", None)
     assert tables.fixture_rows(spark, 3, "x").where("is_synthetic").count() == 3
+
+
+def test_kernels(spark):
+    import numpy as np
+
+    from tessera.functions import kernels as k
+
+    rng = np.random.default_rng(0)
+    plane = rng.normal(size=(24, 32))
+    assert abs(k.residual_plane(plane).std() - 1) < 1e-9 and not k.residual_plane(np.ones((8, 8))).any()
+    blocks = np.kron(rng.normal(size=(4, 4)), np.ones((8, 8))) + 0.01 * rng.normal(size=(32, 32))
+    assert k.blockiness_of(blocks) > 5 > k.blockiness_of(plane) > 0.5
+    direct = np.array([[np.pad(plane, 2, mode="edge")[i : i + 5, j : j + 5].mean() for j in range(32)] for i in range(24)])
+    assert np.allclose(k.box_blur(plane), direct)
+    assert k.audio_descriptor_of(np.sin(np.arange(4000) / 5)).shape == (82,)
+    df = spark.createDataFrame([(plane.ravel().tolist(), 24), (None, 24)], "v array<double>, h int")
+    got = df.select(k.residual("v", "h").alias("r"), k.blockiness("v", "h").alias("b"), k.audio_descriptor("v").alias("a")).collect()
+    assert np.allclose(got[0].r, k.residual_plane(plane).ravel()) and got[1].b is None and len(got[0].a) == 82
+
+
+def test_queries_from_text(spark):
+    from tessera.operators import profiles
+
+    df = spark.createDataFrame([("Flood near Old Bridge in Delhi today", ["flood", "bridge", "river", "rain"]), (None, [])], "t string, k array<string>")
+    got = [r[0] for r in df.select(profiles.search_queries(F.col("t"), F.col("k"), ["x", "reddit"])).collect()]
+    assert got[0]["x"] == ["Flood Old Bridge flood bridge river", "Flood Old Bridge x", "flood bridge river"]
+    assert got[1]["reddit"] == ["reddit"]
