@@ -68,7 +68,7 @@ def authoritative(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", u.authoritative(u.host(F.col("url")), ["reuters.com", "example.org"]).alias("wire"))
 
 
-POSTS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'https://www.reddit.com/user/u' || user_id || '/c' WHEN 1 THEN 'https://x.com/acc' || user_id || '/status/' || event_id WHEN 2 THEN 'https://youtu.be/watch?v=' || event_id WHEN 3 THEN 'https://m.facebook.com/page' || user_id ELSE 'https://site' || user_id || '.org/2024/01/15/story-of_' || event_id END AS url FROM events"
+POSTS = "SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'https://www.reddit.com/user/u' || user_id || '/c' WHEN 1 THEN 'https://x.com/acc' || user_id || '/status/' || event_id WHEN 2 THEN 'https://youtu.be/watch?v=' || event_id WHEN 3 THEN 'https://m.facebook.com/page' || user_id ELSE 'https://site' || user_id || '.org/2024/01/15/story-of_' || event_id END AS url FROM events"
 
 
 def _posts(spark, sf_dir):
@@ -87,10 +87,10 @@ def platform_account(spark, sf_dir):
     return _posts(spark, sf_dir).select("event_id", u.platform(url).alias("platform"), u.account(url).alias("account"))
 
 
-@register("function_url_dates", f"WITH p AS ({POSTS}) SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '2024-01-15' END AS day, CASE event_id % 5 WHEN 4 THEN '2024 01 15 story of ' || event_id WHEN 2 THEN 'watch' END AS slug FROM p WHERE event_id % 5 IN (2, 4)")
+@register("function_url_dates", f"WITH p AS ({POSTS}) SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '2024-01-15' END AS day, CASE event_id % 5 WHEN 0 THEN 'user u' || user_id || ' c' WHEN 1 THEN 'acc' || user_id || ' status ' || event_id WHEN 2 THEN 'watch' WHEN 3 THEN 'page' || user_id ELSE '2024 01 15 story of ' || event_id END AS slug FROM p")
 def url_dates(spark, sf_dir):
     url = F.col("url")
-    return _posts(spark, sf_dir).where("event_id % 5 in (2, 4)").select("event_id", u.url_date(url).cast("string").alias("day"), u.slug_words(url).alias("slug"))
+    return _posts(spark, sf_dir).select("event_id", u.url_date(url).cast("string").alias("day"), u.slug_words(url).alias("slug"))
 
 
 @register("function_snowflake", "SELECT event_id, epoch_ms(make_timestamp(((event_id * 9973 + 1500000000000 * 4194304) >> 22) * 1000 + 1288834974657000)) AS ms FROM events")
@@ -173,11 +173,11 @@ def evidence_vector(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", v.alias("v")).where("v is not null").select("event_id", F.get("v", F.lit(0)).alias("visual"), F.get("v", F.lit(2)).cast("int").alias("visual_mask"), F.get("v", F.lit(3)).cast("int").alias("audio_mask"))
 
 
-@register("score_leave_one_out", "WITH e AS (SELECT event_id, value FROM events WHERE event_id % 3 <> 0) SELECT event_id, 0 AS branch, 0::DOUBLE AS total FROM e WHERE event_id % 5 = 0 UNION ALL SELECT event_id, b, CASE WHEN b = 0 THEN 2 + 1 ELSE value + 1 END FROM e, (SELECT unnest([0, 1]) AS b) WHERE event_id % 5 <> 0")
+@register("score_leave_one_out", "SELECT event_id, b AS branch, CASE WHEN b = 0 THEN CASE WHEN event_id % 5 = 0 THEN 0 ELSE 3 END ELSE CASE WHEN event_id % 3 = 0 THEN 0 ELSE value + 1 END END::DOUBLE AS total FROM events, (SELECT unnest([0, 1]) AS b) WHERE (b = 0 AND event_id % 3 <> 0) OR (b = 1 AND event_id % 5 <> 0)")
 def leave_one_out(spark, sf_dir):
     e = F.col("event_id")
     v = sc.evidence_vector([(F.col("value"), e % 3 != 0), (F.lit(2.0), e % 5 != 0)])
-    d = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select("event_id", F.explode(sc.leave_one_out(v, 2)).alias("x"))
+    d = table(spark, sf_dir, "events").select("event_id", F.explode(sc.leave_one_out(v, 2)).alias("x"))
     return d.select("event_id", "x.branch", F.aggregate("x.vector", F.lit(0.0), lambda s, y: s + y).alias("total"))
 
 
