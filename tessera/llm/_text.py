@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,6 +33,14 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df; sees to it that Arrow batches hold `rows` whole texts at most, which bounds what a worker has at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 class _Powers:
     """base**i and base**-i for i below n, grown on demand."""
 

@@ -24,17 +24,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.llm._text import GOLD, mix
+from tessera.llm._text import GOLD, bounded_batches, mix
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
-#: Distinct (chunk, variant) pairs a worker keeps.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks a worker keeps.
+CACHE_CHUNKS = 200_000
 
 
 class DropoutModel:
@@ -51,7 +52,9 @@ class DropoutModel:
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
         ids = {self.pieces[i]: i for i in normal}
-        self.char = {p: i for p, i in ids.items() if len(p) == 1}
+        self.char = {p: i for p, i in ids.items() if len(p) == 1 and p != SPACE} | {" ": ids[SPACE]}
+        self.point = np.full(0x110000, -1, np.int32)
+        self.point[[ord(c) for c in self.char]] = list(self.char.values())
         pairs = {}
         for p, i in ids.items():
             for k in range(1, len(p)):
@@ -68,16 +71,26 @@ class DropoutModel:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.names: list[str] = []
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
-
-    def _symbols(self, chunk: str) -> list[int]:
-        out = []
-        for c in chunk:
-            i = self.char.get(SPACE if c == " " else c) if c != SPACE else None
-            out += [i] if i is not None else self.byte[list(c.encode())].tolist()
-        return out
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _symbols(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First symbols of all chunks in a row, and how many each has."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        text = "".join(chunks)
+        flat = self.point[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            as_bytes = [self.byte[list(text[i].encode())] for i in odd.tolist()]
+            more = np.ones(len(flat), np.int64)
+            more[odd] = [len(x) for x in as_bytes]
+            owner = np.repeat(np.arange(len(chunks)), size)
+            out = np.repeat(flat, more)
+            out[out < 0] = np.concatenate(as_bytes)
+            return out, np.bincount(owner, more, len(chunks)).astype(np.int64)
+        return flat, size
 
     def _rank(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, variant: np.ndarray) -> np.ndarray:
         """Ranks of the pairs' merges; of those that are none or dropped, more than any rank."""
@@ -90,25 +103,34 @@ class DropoutModel:
             ok &= (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= self.rate
         return np.where(ok, self.pair_rank[at], none)
 
-    def merge(self, symbols: list[list[int]], variant: np.ndarray) -> list[np.ndarray]:
-        """The agenda of every chunk, all chunks side by side; chunks of like length share a block."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(symbols)
-        size = np.array([len(s) for s in symbols])
+    def merge(self, chunks: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda of every chunk, all chunks side by side: ids in a row, and how many each has. Chunks of like length share a block."""
+        flat, size = self._symbols(chunks)
+        start = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
+        parts: list[np.ndarray] = []
+        count = np.zeros(len(chunks), np.int64)
         k = 0
         while k < len(order):
-            end = k + max(1, min(20_000, int(2_000_000 // max(1, size[order[min(k + 20_000, len(order) - 1)]]))))
+            end = k + max(1, min(20_000, int(1_000_000 // max(1, size[order[min(k + 20_000, len(order) - 1)]]))))
             rows = order[k:end]
-            for r, ids in zip(rows, self._merge_block([symbols[r] for r in rows], variant[rows])):
-                out[r] = ids
+            ids = self._merge_block(flat, start[rows], size[rows], variant[rows])
+            count[rows] = (ids >= 0).sum(1)
+            parts.append(ids[ids >= 0])
             k = end
-        return out
-
-    def _merge_block(self, symbols: list[list[int]], variant: np.ndarray) -> list[np.ndarray]:
-        n, width = len(symbols), max(map(len, symbols))
+        merged = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        # from the order of lengths back to that of the chunks
+        at = np.empty(len(chunks), np.int64)
+        at[order] = np.cumsum(count[order]) - count[order]
+        out = merged[np.repeat(at - (np.cumsum(count) - count), count) + np.arange(len(merged))]
+        return out, count
+
+    def _merge_block(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        n, width = len(size), max(1, int(size.max()))
         ids = np.full((n, width + 1), -1, np.int32)
-        for r, s in enumerate(symbols):
-            ids[r, : len(s)] = s
+        column = np.arange(width + 1)
+        filled = column[None, :] < size[:, None]
+        ids[filled] = flat[(start[:, None] + column[None, :])[filled]]
         live = np.arange(n)
         # a piece's place is that of its first symbol; links go to the next live piece, the last column is the end
         nxt = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
@@ -136,11 +158,12 @@ class DropoutModel:
             has = before >= 0
             rows, at = live[has], before[has]
             rank[rows, at] = self._rank(ids[rows, at], new[has], at, variant[rows])
-        return [r[r >= 0] for r in ids]
+        return ids
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         n = len(self.index)
         self.index.update(zip(chunks, range(n, n + len(chunks))))
+        self.names += chunks
         if (need := len(self.index) * self.variants) > len(self.start):
             grown = max(need, 2 * len(self.start))
             start, size = np.full(grown, -1, np.int64), np.zeros(grown, np.int32)
@@ -152,21 +175,22 @@ class DropoutModel:
         chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
         if len(self.index) > CACHE_CHUNKS:
             self.reset()
-        self._learn([c for c in dict.fromkeys(c for cs in chunks for c in cs) if c not in self.index])
-        count = np.array([len(c) for c in chunks], np.int64)
-        code = np.fromiter((i for cs in chunks for i in map(self.index.__getitem__, cs)), np.int64, int(count.sum()))
+        self._learn(set(chain.from_iterable(chunks)).difference(self.index))
+        count = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        code = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, int(count.sum()))
         doc = np.repeat(np.arange(len(texts)), count)
         within = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
         variant = (mix(mix(doc_ids.view(np.uint64)[doc] + self.key) + within.astype(np.uint64)) >> np.uint64(8)) % np.uint64(self.variants)
         slot = code * self.variants + variant.astype(np.int64)
         new = np.unique(slot[self.start[slot] < 0])
         if len(new):
-            names = list(self.index)
-            done = self.merge([self._symbols(names[s // self.variants]) for s in new.tolist()], (new % self.variants).astype(np.int64))
-            size = np.array([len(d) for d in done])
-            self.start[new] = len(self.flat) + np.cumsum(size) - size
+            ids, size = self.merge(list(map(self.names.__getitem__, (new // self.variants).tolist())), new % self.variants)
+            self.start[new] = self.used + np.cumsum(size) - size
             self.size[new] = size
-            self.flat = np.concatenate([self.flat, *done])
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
         size = self.size[slot].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.arange(before[-1]) + np.repeat(self.start[slot] - before[:-1], size)]
@@ -197,9 +221,9 @@ def _encode(names: list[str], path: str, rate: float, seed: int, variants: int,
     return run
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 16, batch_rows: int = 1000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, batch_rows: int = 1000) -> DataFrame:
     """docs with tokens array<int>; a clashing column is replaced. No shuffle."""
-    kept = docs.drop("tokens")
+    kept = bounded_batches(docs).drop("tokens")
     schema = T.StructType([*kept.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     return kept.mapInArrow(_encode(kept.columns, model_path, rate, seed, variants, batch_rows), schema)
 
@@ -219,21 +243,30 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def _digest(tokens: bool):
+def _round_trip(path: str, rate: float, seed: int, variants: int, rows: int, tokens: bool):
     names = ["doc_id", "n_tokens", "ids_crc32", "lossless"] + ["tokens"] * tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("tokens")
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
-            same = [(t or "") == d for t, d in zip(b.column("text").to_pylist(), b.column("decoded").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same), *[lists] * tokens], names=names)
+        model = _model(path, rate, seed, variants)
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                b = whole.slice(k, rows)
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                ids, n = model.encode(texts, np.array([-1 if i is None else i for i in b.column("doc_id").to_pylist()], np.int64))
+                at = np.concatenate([[0], np.cumsum(n)])
+                flat = ids.astype("<u4")
+                crc = [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
+                same = [model.decode(ids[s:e]) == t for t, s, e in zip(texts, at[:-1], at[1:])]
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))] * tokens
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), *lists], names=names)
 
     return run
 
 
-def round_trip(docs: DataFrame, model_path: str, tokens: bool = False, **more) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs, and the tokens if wanted."""
-    coded = decode(encode(docs.select("doc_id", "text"), model_path, **more), model_path)
-    return coded.mapInArrow(_digest(tokens), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", tokens array<int>" * tokens)
+def round_trip(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, batch_rows: int = 500, tokens: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs, and the tokens if wanted.
+
+    Encoding and decoding share one pass and one Python worker.
+    """
+    schema = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", tokens array<int>" * tokens
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_round_trip(model_path, rate, seed, variants, batch_rows, tokens), schema)
