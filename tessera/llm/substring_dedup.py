@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm._text import GOLD, Slice, fixed_bitmap, has_bit, mix, run_hash, signed, slices, window_starts
+from tessera.llm._text import GOLD, Slice, bounded_batches, fixed_bitmap, has_bit, mix, run_hash, signed, slices, window_starts
 from tessera.session import materialise
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
@@ -150,7 +150,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
     """
     if not covers(period, cover) or period > window:
         raise ValueError("cover must be a difference cover of a period not above the window")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heads = materialise(source.mapInArrow(_heads, "doc_id long, n_words long, s1 long, s2 long, whole_sha string"), "heads")
     long_ = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
     reps = heads.where(long_).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -164,8 +164,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
     possible = ordered.mapInArrow(_possible(window, fixed_bitmap(places.select("s1"))), "s1 long, s2 long, text string")
     texts = materialise(possible.join(places, "s1").join(reps, ["s1", "s2"]).dropDuplicates(["s1", "s2"]), "texts")
     windows = texts.select("s1", "s2", "rep", "at", "text").mapInArrow(_windows(window, period), "a long, b long, s1 long, s2 long, rep long, at int")
-    first = F.min("rep").over(Window.partitionBy("a", "b"))
-    starts = windows.withColumn("first", first).where("rep > first").groupBy("s1", "s2").agg(F.collect_list("at").alias("starts"))
+    # a window that many texts share, or one text many times, is combined before the shuffle; the join back is split by adaptive execution
+    windows = materialise(windows, "windows")
+    first = windows.groupBy("a", "b").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("a", "b", "first")
+    starts = windows.join(first, ["a", "b"]).where("rep > first").groupBy("s1", "s2").agg(F.collect_list("at").alias("starts"))
     cut = texts.select("s1", "s2", "text").join(starts, ["s1", "s2"]).mapInArrow(_removed(window), "s1 long, s2 long, n_removed long, kept_text string")
     cut = materialise(cut, "cut")
 
