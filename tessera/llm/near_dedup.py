@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm._text import GOLD, fixed_bitmap, has_bit, mix, shingle_sets, signed, slices
+from tessera.llm._text import GOLD, bounded_batches, fixed_bitmap, has_bit, mix, shingle_sets, signed, slices
 from tessera.operators.components import connected_components
 from tessera.session import materialise
 
@@ -115,7 +115,7 @@ def _sketches(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
-            for piece in slices(b.column("text"), 1 << 21):
+            for piece in slices(b.column("text")):
                 sets = shingle_sets(piece, k)
                 regs = setsketch(sets, m)
                 total = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in map(mix, sets)], np.uint64)
@@ -180,7 +180,7 @@ def _sets(k: int, m: int, bitmap: np.ndarray):
             node = b.column("node").to_numpy().view(np.uint64)
             on = np.flatnonzero(has_bit(bitmap, mix(node)))
             some = b.take(pa.array(on))
-            for piece in slices(some.column("text"), 1 << 21):
+            for piece in slices(some.column("text")):
                 sets = shingle_sets(piece, k)
                 yield pa.RecordBatch.from_arrays([some.column("node").slice(piece.first, piece.n), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in setsketch(sets, m)], pa.binary())], names=["node", "shingles", "sketch"])
 
@@ -220,7 +220,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS):
         self.k, self.percent, self.bands, self.rows = shingle_words, percent, bands, rows
-        self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         sketched = self.source.mapInArrow(_sketches(shingle_words, bands * rows), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
         self.sketched = materialise(sketched, "sketches")
         usable = self.sketched.where("n_shingles > 0 and doc_id is not null")

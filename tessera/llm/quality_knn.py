@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm._text import Slice, slices
+from tessera.llm._text import Slice, bounded_batches, slices
 
 DIMS = 4096
 #: Dimensions that count repeated words.
@@ -61,7 +61,7 @@ def term_counts(piece: Slice) -> np.ndarray:
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     for k in range(0, len(texts), BLOCK):
-        for piece in slices(texts.slice(k, BLOCK), 2 << 20):
+        for piece in slices(texts.slice(k, BLOCK)):
             yield k + piece.first, piece.n, term_counts(piece)
 
 
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
     Only rows that are not held out are learned from; doc_id only chooses rows
     and joins labels to texts.
     """
+    bounded_batches(docs)
     n, df = 0, np.zeros(DIMS)
     for r in docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a double column, from the text alone; a clashing column is replaced."""
-    kept = docs.drop(column)
+    kept = bounded_batches(docs).drop(column)
     names = kept.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

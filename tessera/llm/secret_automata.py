@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm._text import bounded_batches
 from tessera.session import materialise
 
 KINDS = ("assign", "access", "hex")
@@ -235,7 +236,7 @@ def _score(models: dict[str, Automaton], margin: float):
 
 
 def _found(docs: DataFrame, sample: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialise(rows.mapInArrow(_scan(sample // 4), FOUND), "secrets")
 
 
