@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tessera.llm._text import bounded_batches
 from tessera.session import shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
@@ -35,6 +36,32 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<i
 CACHE_WORDS = 600_000
 
 
+class _Runs:
+    """Runs of ids by number, in arrays that grow."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self.start, self.size, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
+
+    def append(self, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while self.n + len(size) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[self.n : self.n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[self.n : self.n + len(size)] = size
+        self.used, self.n = self.used + len(ids), self.n + len(size)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs in a row, and how many each has."""
+        size = self.size[which]
+        end = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.start[which] - (end - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], size
+
+
 class WordEncoder:
     """tokenizers' ids of whole texts, each distinct piece encoded once a worker.
 
@@ -60,24 +87,14 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        #: parts by place in start and size, which say where in flat their ids are
         self.parts: dict[str, int] = {}
+        self.part_ids = _Runs()
         self.reset_words()
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
         self._encode_parts([""])
 
     def reset_words(self) -> None:
-        #: pieces by place in head and tail, which hold places of parts
         self.words: dict[str, int] = {}
-        self.head, self.tail = (np.zeros(1 << 16, np.int32) for _ in range(2))
-
-    def _grow(self, name: str, n: int) -> np.ndarray:
-        x = getattr(self, name)
-        if n > len(x):
-            x = np.resize(x, max(n, 2 * len(x)))
-            setattr(self, name, x)
-        return x
+        self.word_ids = _Runs()
 
     def _encode_parts(self, parts: list[str]) -> None:
         plain = [p for p in parts if self.LETTERS.fullmatch(p)]
@@ -101,10 +118,7 @@ class WordEncoder:
 
     def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         n = len(self.parts)
-        self._grow("flat", self.used + len(ids))[self.used : self.used + len(ids)] = ids
-        self._grow("start", n + len(parts))[n : n + len(parts)] = self.used + np.cumsum(size) - size
-        self._grow("size", n + len(parts))[n : n + len(parts)] = size
-        self.used += len(ids)
+        self.part_ids.append(ids, size)
         self.parts.update(zip(parts, range(n, n + len(parts))))
 
     def _learn(self, words: list[str]) -> None:
@@ -113,8 +127,11 @@ class WordEncoder:
         tails = [m[2] if m else "" for m in found]
         self._encode_parts(sorted({*heads, *tails}.difference(self.parts)))
         n, k = len(self.words), len(words)
-        self._grow("head", n + k)[n : n + k] = np.fromiter(map(self.parts.__getitem__, heads), np.int32, k)
-        self._grow("tail", n + k)[n : n + k] = np.fromiter(map(self.parts.__getitem__, tails), np.int32, k)
+        both = np.empty(2 * k, np.int32)
+        both[::2] = np.fromiter(map(self.parts.__getitem__, heads), np.int32, k)
+        both[1::2] = np.fromiter(map(self.parts.__getitem__, tails), np.int32, k)
+        ids, size = self.part_ids.take(both)
+        self.word_ids.append(ids, size[::2] + size[1::2])
         self.words.update(zip(words, range(n, n + k)))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +145,21 @@ class WordEncoder:
             self.reset_words()
         if len(self.parts) > 2 * CACHE_WORDS:
             self.reset()
-        self._learn([w for w in names if w not in self.words])
-        words = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()[bounds[0] : bounds[-1]]]
-        parts = np.empty(2 * len(words), np.int32)
-        parts[::2], parts[1::2] = self.head[words], self.tail[words]
-        size = self.size[parts]
-        before = np.concatenate([[0], np.cumsum(size)])
-        per = np.diff(before[2 * (bounds - bounds[0])])
+        place = list(map(self.words.get, names))
+        new = [w for w, at in zip(names, place) if at is None]
+        n = len(self.words)
+        self._learn(new)
+        # unseen pieces were numbered in the order in which they are met here
+        order = iter(range(n, n + len(new)))
+        place = np.array([next(order) if at is None else at for at in place], np.int32)
+        words = place[coded.indices.to_numpy()[bounds[0] : bounds[-1]]]
+        flat, size = self.word_ids.take(words)
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        per = np.diff(before[bounds - bounds[0]])
         #: each document's ids move up by the end ids before it
-        doc = np.repeat(np.arange(len(texts)), per)
-        flat = self.flat[np.arange(before[-1]) + np.repeat(self.start[parts] - before[:-1], size)]
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), per)
         out = np.full(len(flat) + len(texts), end_id, np.int32)
-        out[np.arange(len(flat)) + doc] = flat
+        out[np.arange(len(flat), dtype=np.int32) + doc] = flat
         return out, per + 1
 
 
@@ -182,7 +202,7 @@ def write_tokens(
     if encoding not in ("delta", "dictionary"):
         raise ValueError("encoding is delta or dictionary")
     out = out or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode_part(tokenizer_path, end_id, batch_rows), SCHEMA)
         .write.option("parquet.writer.version", "PARQUET_2_0")
