@@ -6,6 +6,12 @@ Jensen-Shannon distance (base 2, 0 to 1). References are counted over all rows
 of a table. Texts below the minimum lengths are not judged by divergence: a
 short text's histogram says little.
 
+Common words cover only a part of a language's words, so a text without any of
+them is at a bounded distance, word_none, which can be far below
+max_word_distance. Therefore a text is also too far at a stated part of word_none
+and what chance adds at its length. Rows without a lang are spared this: a mixture
+of languages has no words that each text should hold.
+
 Cases: a null text counts as having no words and fails the base rule; rows
 with a null lang are a language of their own, "und"; an empty table gives no rows;
 rows are never joined by doc_id, so repeated or null doc_ids do no harm;
@@ -14,6 +20,8 @@ extra columns stay out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.session import materialise
@@ -92,7 +100,7 @@ def few_rows(df: DataFrame, most: int = 256) -> DataFrame:
 
 
 def common_words(docs: DataFrame, top_words: int = 16) -> DataFrame:
-    """Per language its top words and their shares; the last share is that of all other words.
+    """Per language its top words, their shares (the last is that of all other words) and word_none, the distance of a text without any of them.
 
     Words are lower-cased and counted over all rows before the shuffle; ranking
     sees one row a word and language, in 64 slots first, so no task ranks all
@@ -112,6 +120,7 @@ def common_words(docs: DataFrame, top_words: int = 16) -> DataFrame:
         top.join(sums, "lang").groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("r", "word", (F.col("n") / F.col("all_words")).alias("share")))).alias("top"))
         .select("lang", F.col("top.word").alias("top_words"), with_rest(F.col("top.share")).alias("word_ref"))
+        .withColumn("word_none", js_distance(with_rest(F.transform("top_words", lambda w: F.lit(0.0))), F.col("word_ref")))
     )
 
 
@@ -128,7 +137,7 @@ def text_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     return df.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_chars.alias("n_chars"),
         F.array(*[p.cast("double") for p in patterns], F.col("n_symbols").cast("double"), (n_chars - F.col("word_chars")).cast("double")).alias("class_counts"),
-        with_rest(F.transform(found, lambda x: x / n)).alias("word_hist"), "word_ref",
+        with_rest(F.transform(found, lambda x: x / n)).alias("word_hist"), "word_ref", "word_none",
     )
 
 
@@ -155,14 +164,18 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def distribution_rules(
-    docs: DataFrame, top_words: int = 16, max_class_distance: float = 0.32, max_word_distance: float = 0.42, min_chars: int = 200, min_words: int = 50
+    docs: DataFrame, top_words: int = 16, max_class_distance: float = 0.32, max_word_distance: float = 0.42, min_chars: int = 200, min_words: int = 50, max_missing: float = 0.6
 ) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance, kept of every row of docs (doc_id, text, lang).
 
     kept is false where base_failed, or where a text of at least min_chars
     characters is further than max_class_distance from its language's character
     classes, or one of at least min_words words further than max_word_distance
-    from its common words. Distances are null below those lengths. Texts are
+    from its common words, or further than max_missing of word_none, with chance
+    added in squares (a histogram of k + 1 shares over n words drawn from the
+    reference is at a mean squared distance of about k / (8 n ln 2)). So a text
+    that misses the common words goes if its length lets about 8 of them be
+    expected, whatever they cover. Distances are null below those lengths. Texts are
     read twice, for the common words and for all counts, and never shuffled.
     """
     counts = materialise(text_counts(docs, common_words(docs, top_words)), "counts")
@@ -170,7 +183,9 @@ def distribution_rules(
     shares = with_rest(F.transform("class_counts", lambda c: c / F.greatest(F.col("n_chars"), F.lit(1))))
     df = df.withColumn("class_distance", F.when((F.col("n_chars") >= min_chars) & F.col("class_ref").isNotNull(), js_distance(shares, F.col("class_ref"))))
     df = df.withColumn("word_distance", F.when((F.col("n_words") >= min_words) & F.col("word_ref").isNotNull(), js_distance(F.col("word_hist"), F.col("word_ref"))))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+    chance = (F.size("word_ref") - 1) / (8 * math.log(2) * F.col("n_words"))
+    missing = (F.col("lang") != "und") & (F.col("word_distance") > F.sqrt((max_missing * F.col("word_none")) ** 2 + chance))
+    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance) | F.coalesce(missing, F.lit(False))
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"),

@@ -84,6 +84,21 @@ def test_divergence_tells_junk(spark):
     assert not got[100] and not got[101] and sum(got[i] for i in range(60)) >= 50
 
 
+def test_divergence_tells_texts_without_common_words(spark):
+    """At a common-word cover of about a fifth, prose of another language under the lang tag and plain-letter gibberish go, own prose stays."""
+    rng = random.Random(10)
+    common = {"en": ["the", "of", "and", "to", "in", "is", "that", "it"], "fr": ["le", "et", "les", "des", "du", "une", "est", "pour"]}
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7))
+    prose = lambda lang, n: " ".join(rng.choice(common[lang]) if rng.random() < 0.21 else rare() for _ in range(n))
+    sizes = [60, 100, 400, 1500]
+    own = [(i, prose(lang, sizes[i % 4]), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    odd = [(1000 + i, prose("fr", n), "en") for i, n in enumerate(sizes)] + [(2000 + i, " ".join(rare() for _ in range(n)), "fr") for i, n in enumerate(sizes)]
+    mixed = [(3000 + i, prose(lang, 400), None) for i, lang in enumerate(["en", "en", "en", "fr"])]
+    got = {r.doc_id: r for r in divergence.distribution_rules(spark.createDataFrame(own + odd + mixed, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[r[0]].kept or got[r[0]].base_failed for r in odd)
+    assert sum(got[r[0]].kept for r in own) >= 115 and all(got[r[0]].kept for r in mixed)
+
+
 def test_containment(spark, docs):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y"), (3, None), (1, "a b c d e f g h i j k l"), (4, "Q W E R T Y U")], "item_id long, text string")
     rows = [(1, "zz a b c d e f g h i j k l zz"), (1, "A B C D E F G H I J K L"), (2, "a b c d e f g h i j q"), (3, "x y"), (4, None), (None, "0 a b c d e f g h i j k l"), (5, "q w e r t y u"), (6, "x y z")]
