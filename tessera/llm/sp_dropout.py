@@ -4,10 +4,11 @@ Text is cut into chunks across which no vocabulary piece can reach: a word with
 the blanks before it, or a run of line ends. Each chunk is merged by the model's
 agenda: of all adjacent pairs that form a piece, the best one (highest score, then
 leftmost) is taken first. With dropout a candidate merge is skipped for good if
-a keyed hash of seed, variant, place and both pieces falls below the rate. The
-variant, one of `variants`, comes from a keyed hash of document and chunk, so a
-word is segmented differently from place to place but always the same for the
-same seed. Chunks of a batch are merged together, one merge of each a round.
+a keyed hash of seed, document, number of the chunk, place and both pieces falls
+below the rate. So each occurrence of a word draws for itself, but always the same
+for the same seed. A worker keeps the agenda of each distinct chunk without
+dropout and the candidates it meets: an occurrence that skips none of these is
+merged just so. All others are merged together, one merge of each a round.
 
 Unknown characters become byte pieces. A U+2581 of the text also becomes bytes,
 as that character stands for a blank among the pieces; so decoding gives back
@@ -36,10 +37,35 @@ SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
 #: Distinct chunks a worker keeps.
 CACHE_CHUNKS = 200_000
+#: Of the table that finds pairs.
+SLOT_BITS = 21
+#: Occurrences whose candidates are drawn at once.
+DRAWN = 200_000
+
+
+class _Slices:
+    """Slices of a flat array that grows."""
+
+    def __init__(self, dtype):
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+
+    def append(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(flat), 2 * len(self.flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def take(self, code: np.ndarray) -> np.ndarray:
+        """The slices of all codes in a row."""
+        size = self.size[code]
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[code] - (np.cumsum(size) - size), size)]
 
 
 class DropoutModel:
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
+    def __init__(self, path: str, rate: float, seed: int, cache_chunks: int = CACHE_CHUNKS):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,19 +88,23 @@ class DropoutModel:
                     pairs[ids[p[:k]] * len(self.pieces) + ids[p[k:]]] = i
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_id = np.array([pairs[k] for k in self.pair_key.tolist()], np.int32)
+        # one slot a hashed pair; the few that share one are searched for
+        slot = self._slot(self.pair_key)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.shared = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
         # equal scores share a rank, so that the leftmost of their pairs comes first
         _, rank = np.unique([-sp.get_score(i) for i in self.pair_id.tolist()], return_inverse=True)
         self.pair_rank = rank.astype(np.int32)
-        self.rate, self.variants = rate, variants if rate > 0 else 1
+        self.rate, self.cache_chunks = rate, cache_chunks
         self.key = mix(np.array([seed], np.int64).view(np.uint64) + GOLD)[0]
         self.reset()
 
     def reset(self) -> None:
+        """Empties the cache: a chunk's ids and candidates are slices of two flat arrays."""
         self.index: dict[str, int] = {}
         self.names: list[str] = []
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.ids, self.candidates = _Slices(np.int32), _Slices(np.uint64)
 
     def _symbols(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First symbols of all chunks in a row, and how many each has."""
@@ -92,19 +122,41 @@ class DropoutModel:
             return out, np.bincount(owner, more, len(chunks)).astype(np.int64)
         return flat, size
 
-    def _rank(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs' merges; of those that are none or dropped, more than any rank."""
+    def _candidate(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What stands for a pair at a place in the hash of a skip."""
+        return key.astype(np.int64).view(np.uint64) * GOLD + place.astype(np.uint64) + self.key
+
+    def _dropped(self, candidate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        return (mix(candidate + draw) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.rate
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * GOLD) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Where each key is among the pairs; any place for those that are none."""
+        slot = self._slot(key)
+        at = self.slots[slot]
+        again = self.shared[slot]
+        if again.any():
+            at[again] = np.minimum(np.searchsorted(self.pair_key, key[again]), len(self.pair_key) - 1)
+        return at
+
+    def _rank(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, draw: np.ndarray | None) -> np.ndarray:
+        """Ranks of the pairs' merges; of those that are none or dropped, more than any rank. Without draw nothing is dropped."""
         none = np.int32(2**31 - 1)
         key = a.astype(np.int64) * len(self.pieces) + b
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        at = self._find(key)
         ok = (self.pair_key[at] == key) & (a >= 0) & (b >= 0)
-        if self.rate > 0:
-            h = mix(key.view(np.uint64) * GOLD + (variant.astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) + self.key)
-            ok &= (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= self.rate
+        if self.rate > 0 and draw is not None:
+            ok &= ~self._dropped(self._candidate(key, place), draw.astype(np.uint64))
         return np.where(ok, self.pair_rank[at], none)
 
-    def merge(self, chunks: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda of every chunk, all chunks side by side: ids in a row, and how many each has. Chunks of like length share a block."""
+    def merge(self, chunks: list[str], draw: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda of every chunk, all chunks side by side: ids in a row, and how many each has. Chunks of like length share a block.
+
+        draw is the part of the hash that tells occurrences apart. The candidates met are added to met as arrays of (chunk, candidate).
+        """
         flat, size = self._symbols(chunks)
         start = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
@@ -114,7 +166,10 @@ class DropoutModel:
         while k < len(order):
             end = k + max(1, min(20_000, int(1_000_000 // max(1, size[order[min(k + 20_000, len(order) - 1)]]))))
             rows = order[k:end]
-            ids = self._merge_block(flat, start[rows], size[rows], variant[rows])
+            seen = None if met is None else []
+            ids = self._merge_block(flat, start[rows], size[rows], None if draw is None else draw[rows], seen)
+            if met is not None:
+                met += [(rows[owner], candidate) for owner, candidate in seen]
             count[rows] = (ids >= 0).sum(1)
             parts.append(ids[ids >= 0])
             k = end
@@ -125,7 +180,7 @@ class DropoutModel:
         out = merged[np.repeat(at - (np.cumsum(count) - count), count) + np.arange(len(merged))]
         return out, count
 
-    def _merge_block(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    def _merge_block(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, draw: np.ndarray | None, seen: list | None) -> np.ndarray:
         n, width = len(size), max(1, int(size.max()))
         ids = np.full((n, width + 1), -1, np.int32)
         column = np.arange(width + 1)
@@ -136,8 +191,16 @@ class DropoutModel:
         nxt = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
         prev = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
         place = np.broadcast_to(np.arange(width), (n, width))
-        rank = self._rank(ids[:, :-1], ids[:, 1:], place, np.broadcast_to(variant[:, None], (n, width)))
         none = np.int32(2**31 - 1)
+
+        def ranked(a: np.ndarray, b: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            got = self._rank(a, b, place, None if draw is None else draw[rows])
+            if seen is not None:
+                ok = got != none
+                seen.append((np.broadcast_to(rows, got.shape)[ok], self._candidate(a[ok].astype(np.int64) * len(self.pieces) + b[ok], place[ok])))
+            return got
+
+        rank = ranked(ids[:, :-1], ids[:, 1:], place, live[:, None])
         while len(live):
             best = rank[live].argmin(1)
             go = rank[live, best] != none
@@ -145,7 +208,7 @@ class DropoutModel:
             if not len(live):
                 break
             gone = nxt[live, best]
-            new = self.pair_id[np.searchsorted(self.pair_key, ids[live, best].astype(np.int64) * len(self.pieces) + ids[live, gone])]
+            new = self.pair_id[self._find(ids[live, best].astype(np.int64) * len(self.pieces) + ids[live, gone])]
             after = nxt[live, np.minimum(gone, width)]
             ids[live, best], ids[live, gone] = new, -1
             rank[live[gone < width], gone[gone < width]] = none
@@ -153,47 +216,51 @@ class DropoutModel:
             ok = after <= width
             prev[live[ok], after[ok]] = best[ok]
             right = np.where(after < width, ids[live, np.minimum(after, width)], -1)
-            rank[live, best] = self._rank(new, right, best, variant[live])
+            rank[live, best] = ranked(new, right, best, live)
             before = prev[live, best]
             has = before >= 0
             rows, at = live[has], before[has]
-            rank[rows, at] = self._rank(ids[rows, at], new[has], at, variant[rows])
+            rank[rows, at] = ranked(ids[rows, at], new[has], at, rows)
         return ids
 
     def _learn(self, chunks: set[str]) -> None:
-        n = len(self.index)
-        self.index.update(zip(chunks, range(n, n + len(chunks))))
-        self.names += chunks
-        if (need := len(self.index) * self.variants) > len(self.start):
-            grown = max(need, 2 * len(self.start))
-            start, size = np.full(grown, -1, np.int64), np.zeros(grown, np.int32)
-            start[: len(self.start)], size[: len(self.size)] = self.start, self.size
-            self.start, self.size = start, size
+        new = list(chunks)
+        self.index.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self.names += new
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ids.append(*self.merge(new, None, met if self.rate > 0 else None))
+        owner = np.concatenate([o for o, _ in met]) if met else np.zeros(0, np.int64)
+        candidate = np.concatenate([c for _, c in met]) if met else np.zeros(0, np.uint64)
+        self.candidates.append(candidate[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(new)))
+
+    def _skipping(self, code: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """Which occurrences skip a candidate of the agenda without dropout."""
+        out = np.zeros(len(code), bool)
+        for k in range(0, len(code) if self.rate > 0 else 0, DRAWN):
+            part = code[k : k + DRAWN]
+            owner = np.repeat(np.arange(k, k + len(part)), self.candidates.size[part])
+            out[owner[self._dropped(self.candidates.take(part), draw[owner])]] = True
+        return out
 
     def encode(self, texts: list[str], doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if len(self.index) > CACHE_CHUNKS:
+        if len(self.index) > self.cache_chunks:
             self.reset()
-        self._learn(set(chain.from_iterable(chunks)).difference(self.index))
+        if new := set(chain.from_iterable(chunks)).difference(self.index):
+            self._learn(new)
         count = np.fromiter(map(len, chunks), np.int64, len(chunks))
         code = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, int(count.sum()))
         doc = np.repeat(np.arange(len(texts)), count)
         within = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
-        variant = (mix(mix(doc_ids.view(np.uint64)[doc] + self.key) + within.astype(np.uint64)) >> np.uint64(8)) % np.uint64(self.variants)
-        slot = code * self.variants + variant.astype(np.int64)
-        new = np.unique(slot[self.start[slot] < 0])
-        if len(new):
-            ids, size = self.merge(list(map(self.names.__getitem__, (new // self.variants).tolist())), new % self.variants)
-            self.start[new] = self.used + np.cumsum(size) - size
-            self.size[new] = size
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        size = self.size[slot].astype(np.int64)
+        draw = mix(mix(doc_ids.view(np.uint64)[doc] + self.key) + within.astype(np.uint64))
+        odd = self._skipping(code, draw)
+        size = self.ids.size[code]
+        ids, size[odd] = self.merge(list(map(self.names.__getitem__, code[odd].tolist())), draw[odd])
+        own = np.repeat(odd, size)
+        flat = np.empty(len(own), np.int32)
+        flat[own], flat[~own] = ids, self.ids.take(code[~odd])
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.arange(before[-1]) + np.repeat(self.start[slot] - before[:-1], size)]
         return flat, np.diff(before[np.concatenate([[0], np.cumsum(count)])])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -208,9 +275,9 @@ def _model(*key) -> DropoutModel:
     return _MODELS.get(key) or _MODELS.setdefault(key, DropoutModel(*key))
 
 
-def _encode(names: list[str], path: str, rate: float, seed: int, variants: int, rows: int):
+def _encode(names: list[str], path: str, rate: float, seed: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path, rate, seed, variants)
+        model = _model(path, rate, seed)
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
@@ -221,11 +288,11 @@ def _encode(names: list[str], path: str, rate: float, seed: int, variants: int,
     return run
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, batch_rows: int = 1000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, batch_rows: int = 1000) -> DataFrame:
     """docs with tokens array<int>; a clashing column is replaced. No shuffle."""
     kept = bounded_batches(docs).drop("tokens")
     schema = T.StructType([*kept.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(_encode(kept.columns, model_path, rate, seed, variants, batch_rows), schema)
+    return kept.mapInArrow(_encode(kept.columns, model_path, rate, seed, batch_rows), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -234,7 +301,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path, 0.0, 0, 1)
+        model = _model(model_path, 0.0, 0)
         for b in batches:
             lists = b.column("tokens")
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -243,11 +310,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def _round_trip(path: str, rate: float, seed: int, variants: int, rows: int, tokens: bool):
+def _round_trip(path: str, rate: float, seed: int, rows: int, tokens: bool):
     names = ["doc_id", "n_tokens", "ids_crc32", "lossless"] + ["tokens"] * tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path, rate, seed, variants)
+        model = _model(path, rate, seed)
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
@@ -263,10 +330,10 @@ def _round_trip(path: str, rate: float, seed: int, variants: int, rows: int, tok
     return run
 
 
-def round_trip(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, variants: int = 4, batch_rows: int = 500, tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, batch_rows: int = 500, tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs, and the tokens if wanted.
 
     Encoding and decoding share one pass and one Python worker.
     """
     schema = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", tokens array<int>" * tokens
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_round_trip(model_path, rate, seed, variants, batch_rows, tokens), schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_round_trip(model_path, rate, seed, batch_rows, tokens), schema)

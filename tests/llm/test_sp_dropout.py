@@ -48,5 +48,43 @@ def test_one_merge_at_a_time():
         assert [p for p, _ in pieces] == got.tolist()
 
 
+def test_each_occurrence_draws_for_itself():
+    """Drop rates hold for every word, and cached agendas equal those merged place by place."""
+    import numpy as np
+
+    m = sd.DropoutModel(PATH, 0.1, 17)
+    short, long = " an", " internationalisation"
+    assert len(m.merge([short], None)[0]) == 1
+    n = 4000
+    words = [" of", " the", short, " is", " to", " in", " be"]
+    ids, count = m.encode(["".join([w] * n)[1:] for w in words], np.arange(len(words)))
+    for w, got in zip(words, np.split(ids, np.cumsum(count)[:-1])):
+        met = []
+        m.merge([w], None, met)
+        candidates = sum(len(c) for _, c in met)
+        whole = m.merge([w], None)[0]
+        assert len(whole) == 1 and candidates >= 1
+        rate = 1 - (got == whole[0]).sum() / n
+        assert 0.07 < rate < 1 - 0.9**candidates + 0.03
+    ids, _ = m.encode([(long * n)[1:]], np.array([3]))
+    text = b"".join(m.bytes_of[i] for i in ids.tolist()).decode()
+    assert text == long * n
+    seen, at = set(), []
+    for i in ids.tolist():
+        at.append(i)
+        if sum(len(m.bytes_of[x]) for x in at) == len(long):
+            seen.add(tuple(at))
+            at = []
+    assert len(seen) > 20
+    # against merging every occurrence
+    texts = ["the old man and the sea of the north", "", (long * 50)[1:]]
+    got, count = m.encode(texts, np.array([5, 6, -1]))
+    for t, i, x in zip(texts, (5, 6, -1), np.split(got, np.cumsum(count)[:-1])):
+        chunks = sd.CHUNK.findall(" " + t) if t else []
+        doc = np.full(len(chunks), i, np.int64).view(np.uint64)
+        draw = sd.mix(sd.mix(doc + m.key) + np.arange(len(chunks), dtype=np.uint64))
+        assert m.merge(chunks, draw)[0].tolist() == x.tolist()
+
+
 def test_empty(spark):
     assert sd.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
