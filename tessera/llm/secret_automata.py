@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and formats learned as probabilistic automata.
 
-One pass over the texts finds the base spans (key assignments, access key ids,
-long hex strings) and all candidate runs. The values of base spans are labelled
-credentials; from a bounded sample of them, a prefix tree a kind is built and
-its statistically compatible states are merged (ALERGIA, Hoeffding bounds in
-the red-blue order), as is one automaton of ordinary runs. Every candidate is
-then scored by the log-likelihood ratio a character of its best format against
-ordinary text; those above a threshold become spans of kind auto_<label>.
+A first pass over the texts finds the base spans (key assignments, access key ids,
+long hex strings) and ordinary runs. The values of base spans are labelled
+credentials; from a bounded sample of them, a prefix tree a kind is built of whole
+strings and its statistically compatible states are merged (ALERGIA, Hoeffding
+bounds in the red-blue order), as is one automaton of ordinary runs. A second pass
+scores every maximal run outside base spans that is as long as the shortest value a
+base pattern takes (6), whatever its characters, by the log-likelihood ratio a
+character of its best format against ordinary text; those above a threshold become
+spans of kind auto_<label>. Merged states forget where a string ends, so the
+likelihood is that of the length among the learned strings times that of the
+characters given that the string goes on.
 
 Cases: a null text is an empty one and has no spans; an empty table gives no
 rows and trains nothing; repeated rows and doc_ids stay as they are, as rows are
@@ -20,6 +24,7 @@ import hashlib
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +41,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Rows that can hold a base span, by Arrow's linear-time matcher.
 MAY_HOLD = {"assign": r"(?i)(passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Candidates: maximal runs, from the shortest value of a base pattern on.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Ordinary runs are of many kinds, some rare (numbers are two in a thousand distinct ones), so their automaton learns from as many times the sample.
+ORDINARY = 16
+#: Verdicts on runs that a worker keeps, of runs up to this length.
+KEPT_RUNS, KEPT_LENGTH = 200_000, 64
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as HEX with short matches dropped
-FOUND = "doc_id long, base array<struct<kind:int,start:int,stop:int,value:string>>, runs array<struct<start:int,stop:int,value:string>>, ordinary array<string>"
+FOUND = "kind int, value string"
 
 
 def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[int, int, int, str]]:
@@ -57,30 +67,31 @@ def _order(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big")
 
 
+def _spans(text: pa.Array) -> Iterator[tuple[str, list[tuple[int, int, int, str]]]]:
+    """Every text with its base spans."""
+    may = [pc.match_substring_regex(text, p).to_pylist() for p in MAY_HOLD.values()]
+    for t, *kinds in zip(text.to_pylist(), *may):
+        yield t, base_spans(t, tuple(kinds)) if any(kinds) else []
+
+
+def _outside(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[re.Match]:
+    """The runs that overlap no base span."""
+    return (m for m in RUN.finditer(text) if not any(m.start() < y and x < m.end() for _, x, y, _ in spans))
+
+
 def _scan(sample: int):
+    """kind and value of what automata learn from: the values of base spans, and of each 1,000 rows the ORDINARY * `sample` ordinary runs that come first by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                text = b.column("text").fill_null("")
-                may = [pc.match_substring_regex(text, p).to_pylist() for p in MAY_HOLD.values()]
-                base, runs, least = [], [], []
-                for i, t in enumerate(text.to_pylist()):
-                    kinds = (may[0][i], may[1][i], may[2][i])
-                    spans = base_spans(t, kinds) if any(kinds) else []
-                    found = []
-                    for m in RUN.finditer(t):
-                        s, e, v = m.start(), m.end(), m[0]
-                        if any(s < y and x < e for _, x, y, _ in spans):
-                            continue
-                        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-                            found.append({"start": s, "stop": e, "value": v})
-                        least.append(v)
-                    base.append([{"kind": k_, "start": s, "stop": e, "value": v} for k_, s, e, v in spans])
-                    runs.append(found)
-                ordinary = [[]] * (len(base) - 1) + [heapq.nsmallest(sample, set(least), key=_order)] if base else []
-                schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))), ("ordinary", pa.list_(pa.string()))])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, schema.field(1).type), pa.array(runs, schema.field(2).type), pa.array(ordinary, schema.field(3).type)], schema=schema)
+                labelled: set[tuple[int, str]] = set()
+                ordinary: set[str] = set()
+                for t, spans in _spans(whole.slice(k, 1000).column("text").fill_null("")):
+                    labelled.update((x[0], x[3]) for x in spans)
+                    ordinary.update((m[0] for m in _outside(t, spans)) if spans else RUN.findall(t))
+                rows = [*labelled, *((len(KINDS), v) for v in heapq.nsmallest(ORDINARY * sample, ordinary, key=_order))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.string())], names=["kind", "value"])
 
     return run
 
@@ -97,19 +108,20 @@ def symbol(c: str) -> str:
 
 
 CLASS_SIZE = {"d": 10, "h": 6, "l": 20, "H": 6, "L": 20}
-#: All symbols of candidate runs; smoothing shares its mass over them and the end.
+#: All symbols of candidate runs; smoothing shares its mass over them.
 ALPHABET = ["d", "h", "l", "H", "L", *"+/_.=-"]
 
 
 class Automaton:
     """A probabilistic deterministic automaton inferred from strings by state merging."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, longest: int = 64):
+    def __init__(self, strings: list[str], alpha: float = 0.05):
+        self.lengths = Counter(map(len, strings))
         self.total, self.final, self.move, self.count = [0], [0], [{}], [{}]
         for s in strings:
             at = 0
             self.total[0] += 1
-            for c in s[:longest]:
+            for c in s:
                 y = symbol(c)
                 if y not in self.move[at]:
                     self.move[at][y] = self._new()
@@ -179,24 +191,23 @@ class Automaton:
         self.total = [self.total[s] for s in red]
 
     def log_likelihood(self, text: str, smooth: float = 0.5) -> float:
-        """Of the characters of text; unseen symbols get a share of the smoothing mass and stay in the state."""
-        at, out, parts = 0, 0.0, len(ALPHABET) + 1
+        """Of the length and the characters of text; an unseen length L gets 1/L(L+1) of the smoothing mass, unseen symbols get a share of the smoothing mass and stay in the state."""
+        n, at, parts = len(text), 0, len(ALPHABET)
+        out = math.log((self.lengths[n] + smooth / (n * (n + 1) or 1)) / (self.lengths.total() + smooth))
         for c in text:
             y = symbol(c)
-            n = self.total[at]
+            n = self.total[at] - self.final[at]
             out += math.log((self.count[at].get(y, 0) + smooth / parts) / (n + smooth)) - math.log(CLASS_SIZE.get(y, 1))
             at = self.move[at].get(y, at)
         return out
 
 
 def learn_formats(found: DataFrame, sample: int) -> dict[str, Automaton]:
-    """An automaton a label, from the `sample` distinct values of each that come first by hash; "ordinary" is the background."""
-    labelled = found.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
-    plain = found.select(F.lit(len(KINDS)).alias("kind"), F.explode("ordinary").alias("value"))
-    values = labelled.unionByName(plain).distinct()
+    """An automaton a label of found (kind, value), from the `sample` distinct values of each that come first by hash; "ordinary" is the background, from ORDINARY times as many."""
+    values = found.distinct()
     out = {}
     for k, label in enumerate((*KINDS, "ordinary")):
-        rows = values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+        rows = values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample if k < len(KINDS) else ORDINARY * sample).collect()
         if strings := sorted(r["value"] for r in rows):
             out[label] = Automaton(strings)
     return out
@@ -206,10 +217,20 @@ def _judge(models: dict[str, Automaton], margin: float):
     """The format that a run follows, or None."""
     formats = [m for m in models if m != "ordinary"]
     plain = models.get("ordinary")
+    kept: dict[str, str | None] = {}
 
     def judge(value: str) -> str | None:
         if not plain or not formats:
             return None
+        if value not in kept:
+            if len(value) > KEPT_LENGTH:
+                return verdict(value)
+            if len(kept) >= KEPT_RUNS:
+                kept.clear()
+            kept[value] = verdict(value)
+        return kept[value]
+
+    def verdict(value: str) -> str | None:
         rest = plain.log_likelihood(value)
         best, label = max(((models[m].log_likelihood(value) - rest) / len(value), m) for m in formats)
         return label if best > margin else None
@@ -221,34 +242,41 @@ def _score(models: dict[str, Automaton], margin: float):
     judge = _judge(models, margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, sha, spans = [[], [], []], [], []
-            for base, runs in zip(b.column("base").to_pylist(), b.column("runs").to_pylist()):
-                for k in range(3):
-                    counts[k].append(sum(x["kind"] == k for x in base))
-                named = [f"{KINDS[x['kind']]}:{x['start']}:{x['stop']}" for x in base]
-                sha.append(hashlib.sha256(",".join(named).encode()).hexdigest())
-                more = [(x["start"], len(KINDS), f"auto_{label}:{x['start']}:{x['stop']}") for x in runs if (label := judge(x["value"]))]
-                spans.append(",".join(x[2] for x in sorted([(x["start"], x["kind"], n) for x, n in zip(base, named)] + more)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                counts, sha, spans = [[], [], []], [], []
+                for t, base in _spans(b.column("text").fill_null("")):
+                    for k in range(3):
+                        counts[k].append(sum(x[0] == k for x in base))
+                    named = [(s, k, f"{KINDS[k]}:{s}:{e}") for k, s, e, _ in base]
+                    sha.append(hashlib.sha256(",".join(x[2] for x in named).encode()).hexdigest())
+                    # places are wanted only where some run of the text follows a format
+                    if any(map(judge, RUN.findall(t))):
+                        named += [(m.start(), len(KINDS), f"auto_{label}:{m.start()}:{m.end()}") for m in _outside(t, base) if (label := judge(m[0]))]
+                    spans.append(",".join(x[2] for x in sorted(named)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return run
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def _found(docs: DataFrame, sample: int) -> DataFrame:
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(_scan(sample // 4), FOUND), "secrets")
+    return materialise(_rows(docs).mapInArrow(_scan(sample // 4), FOUND), "secrets")
 
 
 def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs (doc_id, text).
 
-    sample bounds the strings a label that automata are learned from (and so
+    sample bounds the strings a label (of ordinary runs, ORDINARY times as many) that automata are learned from (and so
     what reaches the driver); margin is the log-likelihood ratio a character, in nats.
+    Texts are read twice.
     """
-    found = _found(docs, sample)
-    models = learn_formats(found, sample)
-    return found.select("doc_id", "base", "runs").mapInArrow(_score(models, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    models = learn_formats(_found(docs, sample), sample)
+    return _rows(docs).mapInArrow(_score(models, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
@@ -263,7 +291,7 @@ def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
 
 
 def _redact_rows(at: int, names: list[str], models: dict[str, Automaton], margin: float):
-    scan, score = _scan(1), _score(models, margin)
+    score = _score(models, margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -271,7 +299,7 @@ def _redact_rows(at: int, names: list[str], models: dict[str, Automaton], margin
                 b = whole.slice(k, 1000)
                 text = b.column(at)
                 rows = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), text], names=["doc_id", "text"])
-                spans = [s for r in score(scan(iter([rows]))) for s in r.column("spans").to_pylist()]
+                spans = [s for r in score(iter([rows])) for s in r.column("spans").to_pylist()]
                 clean = [redact(t, s) if s else t for t, s in zip(text.to_pylist(), spans)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(clean, pa.string()), *b.columns[at + 1 :]], names=names)
 

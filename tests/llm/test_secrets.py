@@ -44,6 +44,29 @@ def test_formats_without_a_keyword_are_found(spark):
     assert clean[1000] == "plain [SECRET] here" and clean[1001] == rows[-1][1] and "token=" not in clean[5]
 
 
+def test_short_and_one_class_values_are_found(spark):
+    """Values that base patterns take, but of fewer than 16 characters or without a digit or a letter, are found without their keyword too."""
+    rng = random.Random(3)
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    word = lambda: some("aeioubcdlmnrst", rng.randint(3, 12))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for of, n in [(upper + digits, 10), (upper, 20), (digits, 12)]:
+        rows = [(k, " ".join(word() for _ in range(40)) + f" token={some(of, n)} " + word()) for k in range(300)]
+        rows += [(1000, f"plain {some(of, n)} here"), (1001, "plain international relations here")]
+        got = {r.doc_id: r.spans for r in sa.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1000] == f"auto_assign:6:{6 + n}" and got[1001] == ""
+        assert all(got[k].startswith("assign:") for k in range(300))
+
+
+def test_whole_strings_are_learned():
+    """What comes after 64 characters counts as what comes before."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    a = sa.Automaton([f"{'_' * 70}-{some(20)}" for _ in range(100)])
+    good, bad = f"{'_' * 70}-{some(20)}", f"{'_' * 70}-{'Z' * 20}"
+    assert a.log_likelihood(good) > -100 and a.log_likelihood(bad) < a.log_likelihood(good) - 50
+
+
 def test_automaton_merges():
     a = sa.Automaton(["".join(random.Random(i).choice("0123456789abcdef") for _ in range(20)) for i in range(200)])
     assert len(a.total) < 60  # the prefix tree has thousands
