@@ -175,6 +175,25 @@ def leakage(spark, sf_dir):
     return p.leakage_kinds(*_sides(spark, sf_dir), ["o_custkey", "o_orderkey", "o_orderpriority"])
 
 
+#: Two sides that hold every order once.
+HALVES = "l AS (SELECT * FROM orders WHERE coalesce(o_orderkey % 2 = 0, false)), r AS (SELECT * FROM orders WHERE NOT coalesce(o_orderkey % 2 = 0, false))"
+
+
+def _halves(spark, sf_dir):
+    o, even = table(spark, sf_dir, "orders"), F.coalesce(F.col("o_orderkey") % 2 == 0, F.lit(False))
+    return o.where(even), o.where(~even)
+
+
+@register("audit_overlap_examples_all", f"WITH {HALVES}, a AS (SELECT o_custkey, min(o_orderkey) AS left_sample FROM l GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS right_sample FROM r GROUP BY 1) SELECT * FROM a JOIN b USING (o_custkey) ORDER BY o_custkey LIMIT 100")
+def overlap_all(spark, sf_dir):
+    return p.overlap_examples(*_halves(spark, sf_dir), "o_custkey", "o_orderkey", "o_orderkey")
+
+
+@register("audit_leakage_kinds_all", f"WITH {HALVES} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS shared FROM (SELECT DISTINCT {k} FROM l INTERSECT SELECT DISTINCT {k} FROM r)" for k in ("o_custkey", "o_orderkey", "o_orderpriority")))
+def leakage_all(spark, sf_dir):
+    return p.leakage_kinds(*_halves(spark, sf_dir), ["o_custkey", "o_orderkey", "o_orderpriority"])
+
+
 @register("protocol_assign_components", """
 WITH s AS (SELECT event_type AS c, count(*) AS n, count(*) FILTER (value > 50) AS m FROM events GROUP BY 1 UNION ALL SELECT 'u' || (user_id % 5), count(*), count(*) FILTER (value > 50) FROM events GROUP BY 1),
 t AS (SELECT sum(n)::DOUBLE AS tn, sum(m)::DOUBLE AS tm FROM s), x AS (SELECT a.c AS dev, b.c AS test, d.c AS holdout,

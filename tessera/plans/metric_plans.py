@@ -103,6 +103,16 @@ def deltas(spark, sf_dir):
     return r6(m.metric_deltas(of(ev.where("event_type <> 'error'")), of(ev.where("user_id % 2 = 0 or event_type = 'view'"))))
 
 
+@register("metric_deltas_all", """
+WITH o AS (SELECT event_type AS metric, avg(value) AS old FROM events GROUP BY 1), n AS (SELECT metric, avg(v) AS new FROM (SELECT event_type AS metric, user_id, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT metric, round(old, 6) AS old, round(new, 6) AS new, round(new - old, 6) AS delta, coalesce(abs(new - old) <= 1e-6, false) AS reproduced FROM o FULL JOIN n USING (metric)""")
+def deltas_all(spark, sf_dir):
+    """Means over all events against those that count users equally."""
+    ev = table(spark, sf_dir, "events")
+    old = ev.groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return r6(m.metric_deltas(old, m.two_level_mean(ev, "event_type", "user_id", "value").select(F.col("event_type").alias("metric"), F.col("mean").alias("value"))))
+
+
 @register("metric_two_level_mean", "SELECT user_id, round(avg(m), 6) AS mean FROM (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) GROUP BY user_id")
 def two_level(spark, sf_dir):
     return r6(m.two_level_mean(table(spark, sf_dir, "events"), "user_id", "event_type", "value"))

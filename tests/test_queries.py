@@ -40,6 +40,16 @@ def test_rows_equal_sql(spark, db, name):
     assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
 
 
+def test_whole_tables_are_audited(spark, tmp_path):
+    """Orders 2 and 5 leave the remainder 2 by 3; the events are of an odd user, errors too."""
+    spark.createDataFrame([(2, 7, "LOW"), (5, 7, "LOW")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "error", 2.0), (1, "click", 4.0)], "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert [(r.o_custkey, r.left_sample, r.right_sample) for r in run("audit_overlap_examples_all")] == [(7, 2, 5)]
+    assert {r.kind: r.shared for r in run("audit_leakage_kinds_all")} == {"o_custkey": 1, "o_orderkey": 0, "o_orderpriority": 1}
+    assert {(r.metric, r.old, r.new) for r in run("metric_deltas_all")} == {("error", 2.0, 2.0), ("click", 4.0, 4.0)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
