@@ -44,12 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor without
-    recomputing df, and reads only the columns it needs.
+    recomputing df, and reads only the columns it needs. The table goes when
+    the driver ends, or earlier by `release`.
     """
-    path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` returned. Only for those that no DataFrame still to be run reads."""
+    for t in tables:
+        fs, at = _file_system(t.sparkSession, t.materialised_at)
+        fs.delete(at, True)
