@@ -33,11 +33,18 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df; sees to it that Arrow batches hold `rows` whole texts at most, which bounds what a worker has at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+def bounded_batches(df: DataFrame, rows: int = 2000, size: int = 32 << 20) -> DataFrame:
+    """df; sees to it that Arrow batches hold `rows` whole texts and about `size` bytes at most, which bounds what a worker has at once.
+
+    Spark reads both limits when a plan runs, so they are lowered in the caller's
+    session and stay so; limits that are lower already are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -19,8 +19,10 @@ pieces of a conversation in order are the rendered conversation.
 
 Cases: a null role or one unknown costs UNKNOWN to label; null texts are empty;
 a null conv_id is a conversation of its own; turns are ordered by turn (nulls
-first), then role and text, so ties and repeated rows have a fixed order; an
-empty table gives no rows; extra columns are ignored.
+first), then a hash of role and text, then role and text, so ties have an order
+that no partitioning changes, and repeated rows are alike; a text of any length
+passes whole, one row at a time; an empty table gives no rows; extra columns are
+ignored, also ones named like the output's.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm._text import bounded_batches
 from tessera.session import materialise
 
 ROLES = ("system", "user", "assistant")
@@ -277,8 +280,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repair_roles(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, turn, role, new_role, action, cost, out_turn, piece of every row of turns (conv_id, turn, role, text)."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    ordered = rows.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = bounded_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    # ranges and the order inside them share one key; its hash keeps whole texts out of the sample that bounds ranges
+    tie = F.xxhash64("role", "text")
+    ordered = rows.repartitionByRange("conv_id", "turn", tie).sortWithinPartitions("conv_id", "turn", tie, "role", "text")
     blocks = materialise(ordered.mapInArrow(_pack(block), PACKED), "turns")
     done = blocks.where("whole").select("conv_id", "turns").mapInArrow(_whole, OUT)
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat_repair as cr
 
@@ -56,12 +57,12 @@ def test_least_cost_and_legal(spark, block):
     by = {}
     for r in got:
         by.setdefault(r.conv_id, []).append(r)
-    order = lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
+    tied = df.withColumn("tie", F.xxhash64("role", "text")).collect()
     for conv, out in by.items():
-        source = sorted((r for r in rows if r[0] == conv), key=order)
+        source = sorted((r for r in tied if r.conv_id == conv), key=lambda r: (r.turn is not None, r.turn or 0, r.tie))
         roles = [cr._role(r[2]) for r in source]
         assert sum(r.cost for r in out) == brute(roles)
-        out.sort(key=lambda r: (r.turn is not None, r.turn or 0, r.role is not None, r.role or "", r.out_turn))
+        out.sort(key=lambda r: (r.turn is not None, r.turn or 0, r.out_turn))
         text = rendered(out)
         assert legal(text)
         assert all((r[3] or "") in text for r in source)
@@ -75,6 +76,23 @@ def test_blocks_do_not_change_the_result(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("turn", [0, None])
+def test_ties_have_one_order_under_any_partitioning(spark, turn):
+    rng = random.Random(8)
+    rows = [(1, turn, rng.choice(["user", "assistant", "system", None]), rng.choice(["", None, "a", "b" * 50_000, str(rng.random())])) for _ in range(400)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, cost int")
+    tied = df.withColumn("tie", F.xxhash64("role", "text")).collect()
+    tied.sort(key=lambda r: (r.tie, r.role is not None, r.role or "", r.text is not None, r.text or ""))
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 4, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = cr.repair_roles(df.repartition(n), 16).collect()
+        assert sum(r.cost for r in got) == brute([cr._role(r.role) for r in tied])
+        seen.append(sorted(map(str, got)))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_clean_conversation_is_kept_and_empty_table(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
