@@ -12,27 +12,32 @@ spans of kind auto_<label>. Merged states forget where a string ends, so the
 likelihood is that of the length among the learned strings times that of the
 characters given that the string goes on.
 
+Samples are those values that come first by a hash of the value, over all rows, so
+they and the automata depend neither on the order of rows nor on partitions.
+
 Cases: a null text is an empty one and has no spans; an empty table gives no
 rows and trains nothing; repeated rows and doc_ids stay as they are, as rows are
 never joined; null doc_ids pass through; extra columns are ignored; of texts
-without labelled credentials anywhere, only base spans (none) come back.
+without labelled credentials anywhere, only base spans (none) come back; a very
+long text is scanned whole, in time that grows with its length alone, and one of
+its runs is scored whole, however long.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm._text import bounded_batches
-from tessera.session import materialise
+from tessera.llm._text import bounded_batches, byte_table, run_hash
+from tessera.session import materialise, release
 
 KINDS = ("assign", "access", "hex")
 #: Base patterns; ASCII rules, so that either case means A-Z and a-z only.
@@ -48,7 +53,7 @@ ORDINARY = 16
 #: Verdicts on runs that a worker keeps, of runs up to this length.
 KEPT_RUNS, KEPT_LENGTH = 200_000, 64
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as HEX with short matches dropped
-FOUND = "kind int, value string"
+FOUND = "kind int, place long, value string"
 
 
 def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[int, int, int, str]]:
@@ -63,8 +68,34 @@ def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def _order(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big")
+def _places(values: list[str]) -> np.ndarray:
+    """A hash of each value, 0 to 2**63 - 1, that orders samples."""
+    size = np.fromiter((len(v.encode()) for v in values), np.int64, len(values))
+    ends = np.cumsum(size)
+    data = np.frombuffer("".join(values).encode(), np.uint8)
+    return (run_hash(byte_table(7)[data], ends - size, ends) >> np.uint64(1)).view(np.int64)
+
+
+class _Sample:
+    """Of all distinct values added, the `most` with the smallest places."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.limit = most, {}, 1 << 63
+
+    def add(self, values: set[str]) -> None:
+        fresh = [v for v in values if v not in self.kept]
+        self.kept.update((v, p) for v, p in zip(fresh, _places(fresh).tolist()) if p < self.limit)
+        if len(self.kept) > 2 * self.most:
+            self._cut()
+
+    def _cut(self) -> None:
+        self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.most])
+        if len(self.kept) == self.most:
+            self.limit = max(self.kept.values()) + 1
+
+    def rows(self) -> list[tuple[int, str]]:
+        self._cut()
+        return [(p, v) for v, p in self.kept.items()]
 
 
 def _spans(text: pa.Array) -> Iterator[tuple[str, list[tuple[int, int, int, str]]]]:
@@ -75,23 +106,33 @@ def _spans(text: pa.Array) -> Iterator[tuple[str, list[tuple[int, int, int, str]
 
 
 def _outside(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[re.Match]:
-    """The runs that overlap no base span."""
-    return (m for m in RUN.finditer(text) if not any(m.start() < y and x < m.end() for _, x, y, _ in spans))
+    """The runs that overlap no base span. Both come by their starts, so one walk over the spans is enough."""
+    at, reached = 0, 0
+    for m in RUN.finditer(text):
+        while at < len(spans) and spans[at][1] < m.end():
+            reached = max(reached, spans[at][2])
+            at += 1
+        if reached <= m.start():
+            yield m
 
 
 def _scan(sample: int):
-    """kind and value of what automata learn from: the values of base spans, and of each 1,000 rows the ORDINARY * `sample` ordinary runs that come first by hash."""
+    """kind, place and value of what automata learn from: a partition's `sample` values a kind, and ORDINARY times as many ordinary runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = [*(_Sample(sample) for _ in KINDS), _Sample(ORDINARY * sample)]
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
-                labelled: set[tuple[int, str]] = set()
-                ordinary: set[str] = set()
+                found: list[set[str]] = [set() for _ in samples]
                 for t, spans in _spans(whole.slice(k, 1000).column("text").fill_null("")):
-                    labelled.update((x[0], x[3]) for x in spans)
-                    ordinary.update((m[0] for m in _outside(t, spans)) if spans else RUN.findall(t))
-                rows = [*labelled, *((len(KINDS), v) for v in heapq.nsmallest(ORDINARY * sample, ordinary, key=_order))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.string())], names=["kind", "value"])
+                    for x in spans:
+                        found[x[0]].add(x[3])
+                    found[-1].update((m[0] for m in _outside(t, spans)) if spans else RUN.findall(t))
+                for one, values in zip(samples, found):
+                    one.add(values)
+        for kind, one in enumerate(samples):
+            rows = one.rows()
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())], names=["kind", "place", "value"])
 
     return run
 
@@ -203,57 +244,63 @@ class Automaton:
 
 
 def learn_formats(found: DataFrame, sample: int) -> dict[str, Automaton]:
-    """An automaton a label of found (kind, value), from the `sample` distinct values of each that come first by hash; "ordinary" is the background, from ORDINARY times as many."""
-    values = found.distinct()
-    out = {}
-    for k, label in enumerate((*KINDS, "ordinary")):
-        rows = values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample if k < len(KINDS) else ORDINARY * sample).collect()
-        if strings := sorted(r["value"] for r in rows):
-            out[label] = Automaton(strings)
-    return out
-
-
-def _judge(models: dict[str, Automaton], margin: float):
-    """The format that a run follows, or None."""
-    formats = [m for m in models if m != "ordinary"]
-    plain = models.get("ordinary")
-    kept: dict[str, str | None] = {}
-
-    def judge(value: str) -> str | None:
-        if not plain or not formats:
-            return None
-        if value not in kept:
-            if len(value) > KEPT_LENGTH:
-                return verdict(value)
-            if len(kept) >= KEPT_RUNS:
-                kept.clear()
-            kept[value] = verdict(value)
-        return kept[value]
-
-    def verdict(value: str) -> str | None:
-        rest = plain.log_likelihood(value)
-        best, label = max(((models[m].log_likelihood(value) - rest) / len(value), m) for m in formats)
-        return label if best > margin else None
-
-    return judge
+    """An automaton a label of found (kind, place, value), from the `sample` distinct values of each with the smallest places; "ordinary" is the background, from ORDINARY times as many."""
+    most = F.when(F.col("kind") < len(KINDS), sample).otherwise(ORDINARY * sample)
+    # ranks inside slots first, so that no task ranks what all partitions found
+    slot = Window.partitionBy("kind", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy("place", "value")
+    near = found.distinct().withColumn("r", F.row_number().over(slot)).where(F.col("r") <= most)
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("place", "value"))).where(F.col("r") <= most)
+    by: dict[int, list[str]] = {}
+    for r in first.select("kind", "value").collect():
+        by.setdefault(r["kind"], []).append(r["value"])
+    return {(*KINDS, "ordinary")[k]: Automaton(sorted(by[k])) for k in sorted(by)}
+
+
+class _Judge:
+    """The format that a run follows, or None; verdicts on runs met before are kept."""
+
+    def __init__(self, models: dict[str, Automaton], margin: float):
+        self.formats = {k: m for k, m in models.items() if k != "ordinary"}
+        self.plain, self.margin = models.get("ordinary"), margin
+        self.kept: dict[str, str | None] = {}
+
+    def verdict(self, value: str) -> str | None:
+        rest = self.plain.log_likelihood(value)
+        best, label = max(((m.log_likelihood(value) - rest) / len(value), k) for k, m in self.formats.items())
+        return label if best > self.margin else None
+
+    def following(self, runs: list[list[str]]) -> dict[str, str]:
+        """Of all runs, those that follow a format, with its label."""
+        if not self.plain or not self.formats:
+            return {}
+        met = set().union(*runs)
+        fresh = {v: self.verdict(v) for v in met.difference(self.kept)}
+        labels = {v: fresh[v] if v in fresh else self.kept[v] for v in met}
+        if len(self.kept) + len(fresh) > KEPT_RUNS:
+            self.kept.clear()
+        self.kept.update((v, label) for v, label in fresh.items() if len(v) <= KEPT_LENGTH)
+        return {v: label for v, label in labels.items() if label}
 
 
 def _score(models: dict[str, Automaton], margin: float):
-    judge = _judge(models, margin)
+    judge = _Judge(models, margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 counts, sha, spans = [[], [], []], [], []
-                for t, base in _spans(b.column("text").fill_null("")):
+                texts = list(_spans(b.column("text").fill_null("")))
+                runs = [RUN.findall(t) for t, _ in texts]
+                follow = judge.following(runs)
+                for (t, base), own in zip(texts, runs):
                     for k in range(3):
                         counts[k].append(sum(x[0] == k for x in base))
                     named = [(s, k, f"{KINDS[k]}:{s}:{e}") for k, s, e, _ in base]
                     sha.append(hashlib.sha256(",".join(x[2] for x in named).encode()).hexdigest())
                     # places are wanted only where some run of the text follows a format
-                    if any(map(judge, RUN.findall(t))):
-                        named += [(m.start(), len(KINDS), f"auto_{label}:{m.start()}:{m.end()}") for m in _outside(t, base) if (label := judge(m[0]))]
+                    if not follow.keys().isdisjoint(own):
+                        named += [(m.start(), len(KINDS), f"auto_{follow[m[0]]}:{m.start()}:{m.end()}") for m in _outside(t, base) if m[0] in follow]
                     spans.append(",".join(x[2] for x in sorted(named)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
@@ -264,8 +311,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _found(docs: DataFrame, sample: int) -> DataFrame:
-    return materialise(_rows(docs).mapInArrow(_scan(sample // 4), FOUND), "secrets")
+def _learn(docs: DataFrame, sample: int) -> dict[str, Automaton]:
+    """Formats of docs. What is written holds samples of credentials in clear, so it goes as soon as they are learned."""
+    found = materialise(_rows(docs).mapInArrow(_scan(sample), FOUND), "secrets")
+    models = learn_formats(found, sample)
+    release(found)
+    return models
 
 
 def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
@@ -275,7 +326,7 @@ def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> Da
     what reaches the driver); margin is the log-likelihood ratio a character, in nats.
     Texts are read twice.
     """
-    models = learn_formats(_found(docs, sample), sample)
+    models = _learn(docs, sample)
     return _rows(docs).mapInArrow(_score(models, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -308,5 +359,5 @@ def _redact_rows(at: int, names: list[str], models: dict[str, Automaton], margin
 
 def redact_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
     """docs with all secret spans of the text replaced, other columns as they are; a null text stays null."""
-    models = learn_formats(_found(docs, sample), sample)
+    models = _learn(docs, sample)
     return docs.mapInArrow(_redact_rows(docs.columns.index("text"), docs.columns, models, margin), docs.schema)
