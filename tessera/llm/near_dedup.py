@@ -15,16 +15,19 @@ that lies in the most and largest buckets and so near the group's centre;
 verified links join components. What then still lies in different components of
 one bucket is compared on full sets in blocks: blocks of members outside the
 bucket's largest component against all its blocks, so that only verified links
-leave a task. Full sets are made anew from the texts; a bitmap of fixed size
-tells which, so no text is shuffled.
+leave a task. Blocks are bounded in members and in shingles, and joined by bucket
+and block, so a hot bucket is dealt over many tasks. Full sets are made anew from
+the texts; a bitmap of fixed size tells which, so no text is shuffled.
 
 Probability to miss a pair of J = 0.8 in one comparison of bands: with the
 default 40 bands of 5 rows (1 - 0.8**5)**40 = 1.2e-7.
 
 Cases: null and wordless texts have no shingles, are linked with nothing and
-stay; a null doc_id has a null component and stays; repeated doc_ids are linked
-as one node; an empty table gives no rows; extra columns are ignored here and
-come back untouched from `keep_first`.
+stay, whatever their doc_id; a null doc_id has a null component and stays; rows
+with one doc_id and different texts are one document, so what either is linked
+with is linked with both, and all rows of a component's smallest doc_id stay; a
+very long text is one set, held whole by one task; an empty table gives no rows;
+extra columns are ignored here and come back untouched from `keep_first`.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._text import GOLD, bounded_batches, fixed_bitmap, has_bit, mix, shingle_sets, signed, slices
 from tessera.operators.components import connected_components
-from tessera.session import materialise
+from tessera.session import materialise, release
 
 BANDS, ROWS = 40, 5
-#: Buckets of so many members are compared directly; members of a block in larger ones.
-SMALL, BLOCK = 8, 128
+#: Buckets of so many members are compared directly; members of a block in larger ones, and shingles of a block of more than one member.
+SMALL, BLOCK, CELLS = 8, 128, 1 << 18
 #: Of the lowest bits of 128 registers, those that differ are expected to be (1 - J) / 2. At J = 0.8 more than 32 differ with probability 2e-7.
 BITS, MOST_BITS = 128, 32
 #: Base of the register scale, and rate that keeps registers of one-element sets above zero.
@@ -224,10 +227,18 @@ class NearDuplicates:
         sketched = self.source.mapInArrow(_sketches(shingle_words, bands * rows), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
         self.sketched = materialise(sketched, "sketches")
         usable = self.sketched.where("n_shingles > 0 and doc_id is not null")
-        # one row a class of equal sets; of repeated doc_ids every class is a node of its own smallest doc_id
+        # one row a class of equal sets, whose node is its smallest doc_id
         classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes.groupBy("node", "set_a", "set_b").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        self.links = self._links()
+        self.links = self._links().unionByName(materialise(self._repeated(usable), "repeats"))
+
+    def _repeated(self, usable: DataFrame) -> DataFrame:
+        """Links between the classes of every doc_id that stands for different sets."""
+        rows = usable.select("doc_id", F.struct("set_a", "set_b").alias("s"))
+        several = rows.groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("doc_id")
+        named = usable.select("doc_id", "set_a", "set_b").distinct().join(several, "doc_id").join(self.classes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+        first = named.groupBy("doc_id").agg(F.min("node").alias("a"))
+        return named.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
     def _buckets(self) -> DataFrame:
         """(band, node, n, z1, z2, members) of buckets with two members or more."""
@@ -274,17 +285,29 @@ class NearDuplicates:
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """Verified links between different components of the buckets, compared block by block."""
-        size = rows.groupBy("band", "comp").agg(F.count("*").alias("c"))
-        core = size.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("m")).select("band", F.col("m.comp").alias("core"))
+        size = rows.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        total = size.groupBy("band").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        cut = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / CELLS, F.lit(1)))
+        # one row a bucket; then one a bucket and slot of its members, so that no join deals a bucket to one task
+        plan = materialise(total.select("band", F.col("m.comp").alias("core"), cut(F.col("c"), F.col("s")).alias("n_all"), cut(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("n_rest")), "plan")
+        slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
+        # the bucket's members are all here, so slots need no count beside `members`
+        spread = plan.join(rows.groupBy("band").agg(F.max("members").alias("members")), "band").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1))).drop("members")
+        placed = rows.withColumn("slot", slot).join(spread, ["band", "slot"]).withColumn("rest", (F.col("comp") != F.col("core")).cast("int"))
+        block = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("rest") == 1, F.col("n_rest")).otherwise(F.col("n_all")))
+        keyed = placed.select("node", "comp", "band", "rest", block.alias("block"))
         sets = self._full_sets(rows.select("node")).drop("sketch").where("length(shingles) > 0")
-        full = rows.join(core, "band").join(sets, "node").withColumn("rest", (F.col("comp") != F.col("core")).cast("int"))
-        count = rows.groupBy("band").agg(F.count("*").alias("all"))
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)).alias("block")
-        blocks = full.join(count, "band").select("band", "rest", block, F.struct("node", "comp", "shingles").alias("m")).groupBy("band", "rest", "block").agg(F.collect_list("m").alias("ms"))
+        blocks = keyed.join(sets, "node").groupBy("band", "rest", "block").agg(F.collect_list(F.struct("node", "comp", "shingles")).alias("ms"))
+        blocks = materialise(blocks, "blocks")
         x = blocks.where("rest = 1").select("band", F.col("block").alias("bx"), F.col("ms").alias("xs"))
-        y = blocks.select("band", "rest", F.col("block").alias("by"), F.col("ms").alias("ys"))
-        met = x.join(y, "band").where("rest = 0 or bx <= by")
-        return materialise(met.select("xs", "ys").mapInArrow(_block_links(self.percent), "a long, b long").distinct(), "links")
+        y = blocks.select("band", F.col("rest").alias("ry"), F.col("block").alias("by"), F.col("ms").alias("ys"))
+        counts = plan.select("band", F.explode(F.array(F.struct(F.lit(0).alias("ry"), F.col("n_all").alias("ny")), F.struct(F.lit(1).alias("ry"), F.col("n_rest").alias("ny")))).alias("o")).select("band", "o.ry", "o.ny")
+        partners = plan.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1)).alias("bx")).join(counts, "band").withColumn("by", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)))
+        partners = partners.where("ry = 0 or bx <= by").select("band", "bx", "ry", "by")
+        met = x.join(partners, ["band", "bx"]).join(y, ["band", "ry", "by"])
+        links = materialise(met.select("xs", "ys").mapInArrow(_block_links(self.percent), "a long, b long").distinct(), "links")
+        release(blocks, plan)
+        return links
 
     def _links(self) -> DataFrame:
         rows = self._buckets()
@@ -311,5 +334,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those whose component holds a smaller doc_id."""
-    gone = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, shingle_words, percent).where("n_shingles > 0 and not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & docs["text"].rlike(r"[^\x20\x09-\x0D]"), "left_anti")
