@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
 A text is a bag of hashed byte trigrams (ASCII lower case is kept apart from
-upper case: shouting is a sign) and of words said twice in a row, weighted log(1 + count) * idf. Document
-frequencies are counted over all texts. A bounded sample of labelled texts,
+upper case: shouting is a sign) and of one more term, words said again at once,
+weighted log(1 + count) * idf. Document frequencies are counted over all texts. A bounded sample of labelled texts,
 balanced over the labels, gives a term matrix whose leading right singular
 vectors are the latent space. The sample's latent vectors are broadcast (rows
 times dimensions is the proven bound), every text's vector meets all of them in
@@ -13,7 +13,8 @@ Cases: null texts are empty; a text of fewer than three bytes has no trigram
 and scores 0; rows pass one by one, so null and repeated doc_ids come back as
 they are; null labels are no labels, of several labels of a doc_id the least
 counts; without labels of both kinds the score is the share of label 1 among
-those there are (0.5 if none); an empty table gives no rows; extra columns pass.
+those there are (0.5 if none); a very long text is counted whole; an empty table
+gives no rows; extra columns pass.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm._text import Slice, bounded_batches, slices
 
-DIMS = 4096
-#: Dimensions that count repeated words.
-REPEATS = 48
+#: Buckets of trigrams; the dimension after them counts repeated words, with the weight of so many dimensions.
+TRIGRAMS = 4096
+DIMS, REPEATS = TRIGRAMS + 1, 48
 #: Rows of texts whose dense term vectors are held at once.
 BLOCK = 256
 
@@ -41,21 +42,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def term_counts(piece: Slice) -> np.ndarray:
-    """Rows by DIMS: counts of hashed byte trigrams inside each text."""
+    """Rows by DIMS: counts of hashed byte trigrams inside each text, and of words that repeat one of the two words before them."""
     d = piece.data.astype(np.uint32)
+    counts = np.zeros((piece.n, DIMS), np.float32)
     if len(d) < 3:
-        return np.zeros((piece.n, DIMS), np.float32)
+        return counts
     h = ((d[:-2] * np.uint32(0x9E3779B1)) ^ (d[1:-1] * np.uint32(0x85EBCA6B)) ^ (d[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
     h = (h >> np.uint32(32 - 12)).astype(np.int64)
     row = np.repeat(np.arange(piece.n), np.diff(piece.bounds))[: len(h)]
     inside = np.arange(len(h)) + 3 <= piece.bounds[row + 1]
-    counts = np.bincount((row * DIMS + h)[inside], minlength=piece.n * DIMS).reshape(piece.n, DIMS).astype(np.float32)
-    # one more kind of term: a word that repeats the one or two words before it, spread over several dimensions to weigh more
+    counts[:, :TRIGRAMS] = np.bincount((row * TRIGRAMS + h)[inside], minlength=piece.n * TRIGRAMS).reshape(piece.n, TRIGRAMS)
     word = piece.word_hashes(lower=True)
     again = np.zeros(len(word), bool)
     for back in (1, 2):
         again[back:] |= (word[back:] == word[:-back]) & (piece.row[back:] == piece.row[:-back])
-    counts[:, :REPEATS] = np.bincount(piece.row[again], minlength=piece.n)[:, None]
+    counts[:, TRIGRAMS] = np.bincount(piece.row[again], minlength=piece.n)
     return counts
 
 
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
         else:
             df[r["term"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    idf[TRIGRAMS:] *= np.sqrt(REPEATS)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = None
     for q in (0, 1):
