@@ -14,10 +14,12 @@ cut. Only histograms of BINS numbers a node reach the driver.
 A group above `heavy` times a shard's target cannot stay whole if shards are to
 be near equal; it is dealt out by hash in parts of a quarter of the target.
 
-Cases: a null text has size 8 and counts as empty; null lang, source or doc_id
-take the coordinate 0; an empty table gives no rows; repeated rows are separate
-rows of one group; with fewer groups than shards some shards stay empty; extra
-columns are ignored.
+Cases: a null text has size 8 and counts as empty; null or missing lang or source
+and null doc_id take the coordinate 0; an empty table gives no rows; repeated rows
+are separate rows of one group; with fewer groups than shards some shards stay
+empty; a text larger than a shard's target is a shard beyond it; slots follow
+doc_id, then the text's checksum, size and hash, so only equal rows tie; extra
+columns are ignored, also ones named like the output's.
 """
 
 from __future__ import annotations
@@ -56,9 +58,10 @@ def _unit_hash(c: Column) -> Column:
 def sized_rows(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, the group's key (g1, g2) and the metadata that coordinates come from."""
     text = F.coalesce("text", F.lit(""))
+    meta = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), *meta,
     )
 
 
@@ -173,11 +176,14 @@ def kd_shards(docs: DataFrame, shards: int = 24, heavy: float = 1.25) -> DataFra
         points = _cut(points, nodes)
         if set(nodes) == before:  # no rows
             break
-    named = points.select("g1", "g2", "part", "parts", _choose(nodes, lambda n: F.lit(n.first)).cast("int").alias("shard"))
-    parts = named.groupBy("g1", "g2").agg(F.first("parts").alias("parts"))
-    placed = rows.join(parts, ["g1", "g2"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "g1"), F.col("parts")).cast("int")).join(named.drop("parts"), ["g1", "g2", "part"])
-    ordered = placed.select("doc_id", "size", "text_crc32", "shard").repartitionByRange("shard", "doc_id", "text_crc32").sortWithinPartitions("shard", "doc_id", "text_crc32").withColumn("task", F.spark_partition_id())
-    schema = "doc_id long, size long, text_crc32 long, shard int, task int, place long"
+    # one row a group: the shard of each of its parts (4 * shards parts and a few at most); the join with the rows is split where a group has many
+    shard = F.struct("part", _choose(nodes, lambda n: F.lit(n.first)).cast("int").alias("shard"))
+    groups = materialise(points.groupBy("g1", "g2").agg(F.array_sort(F.collect_list(shard)).alias("to")), "groups")
+    part = F.pmod(F.xxhash64("doc_id", "g1"), F.size("to")).cast("int")
+    placed = rows.join(groups, ["g1", "g2"]).withColumn("shard", F.get("to", part)["shard"])
+    order = ["shard", "doc_id", "text_crc32", "size", "g1"]
+    ordered = placed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).drop("g1").withColumn("task", F.spark_partition_id())
+    schema = "shard int, doc_id long, text_crc32 long, size long, task int, place long"
     done = materialise(ordered.mapInArrow(_numbered, schema), "placed")
     # a row a shard and task
     sizes = done.groupBy("shard", "task").agg(F.count("*").alias("n"))
