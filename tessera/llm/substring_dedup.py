@@ -10,7 +10,10 @@ cover D of P: for any two positions i, j some t < P puts both i + t and j + t
 on the cover, so two equal windows always hold an equal aligned anchor of
 window - P + 1 words. With the perfect difference set of P = 31 that is a row
 for every fifth word. Only anchors found in different texts count; around them
-matches are extended by comparing full windows (128-bit hashes).
+matches are extended by comparing full windows (128-bit hashes). Which anchors
+and windows are shared is found by partial minima and maxima, so a common one
+costs each task one row; the joins back meet one row a shared value, and adaptive
+execution splits those that a common value makes large.
 
 Texts with the same words form one class and are handled as its smallest
 doc_id: every other member of a class loses all its words (if it has a window),
@@ -20,7 +23,8 @@ scan which texts can hold a shared anchor; its false positives cost only work.
 Cases: null and empty texts have no words and lose none; texts shorter than the
 window lose none; rows with a null doc_id have no order: they keep all words and
 remove none elsewhere; rows with the same doc_id never remove from each other;
-an empty table gives no rows; extra columns are ignored.
+a very long text is hashed and cut whole by one task; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._text import GOLD, Slice, bounded_batches, fixed_bitmap, has_bit, mix, run_hash, signed, slices, window_starts
-from tessera.session import materialise
+from tessera.session import materialise, release
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -119,7 +123,7 @@ def _windows(window: int, period: int):
                 keep = total[start + reach + 1] > total[start]
                 row, start, at = row[keep], start[keep], at[keep]
                 pick = lambda c: b.column(c).slice(piece.first, piece.n).take(pa.array(row))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(signed(run_hash(one, start, start + window))), pa.array(signed(run_hash(two, start, start + window))), pick("s1"), pick("s2"), pick("rep"), pa.array(at.astype(np.int32))], names=["a", "b", "s1", "s2", "rep", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(run_hash(one, start, start + window))), pa.array(signed(run_hash(two, start, start + window))), pick("text_no"), pick("rep"), pa.array(at.astype(np.int32))], names=["a", "b", "text_no", "rep", "at"])
 
     return run
 
@@ -157,19 +161,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
 
     ordered = source.where("doc_id is not null").select("text")
     anchors = ordered.mapInArrow(_anchors(window, period, cover), "h long, s1 long, at int")
-    same = Window.partitionBy("h")
-    shared = anchors.withColumn("low", F.min("s1").over(same)).withColumn("high", F.max("s1").over(same)).where("low <> high")
-    places = materialise(shared.groupBy("s1").agg(F.collect_set("at").alias("at")), "places")
+    # a second scan finds the shared anchors' places: cheaper than to keep all anchors
+    shared = materialise(anchors.groupBy("h").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("h"), "anchors")
+    places = materialise(anchors.join(shared, "h").groupBy("s1").agg(F.collect_set("at").alias("at")), "places")
+    release(shared)
 
     possible = ordered.mapInArrow(_possible(window, fixed_bitmap(places.select("s1"))), "s1 long, s2 long, text string")
-    texts = materialise(possible.join(places, "s1").join(reps, ["s1", "s2"]).dropDuplicates(["s1", "s2"]), "texts")
-    windows = texts.select("s1", "s2", "rep", "at", "text").mapInArrow(_windows(window, period), "a long, b long, s1 long, s2 long, rep long, at int")
-    # a window that many texts share, or one text many times, is combined before the shuffle; the join back is split by adaptive execution
-    windows = materialise(windows, "windows")
-    first = windows.groupBy("a", "b").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("a", "b", "first")
-    starts = windows.join(first, ["a", "b"]).where("rep > first").groupBy("s1", "s2").agg(F.collect_list("at").alias("starts"))
-    cut = texts.select("s1", "s2", "text").join(starts, ["s1", "s2"]).mapInArrow(_removed(window), "s1 long, s2 long, n_removed long, kept_text string")
+    texts = possible.join(places, "s1").join(reps, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
+    texts = materialise(texts.withColumn("text_no", F.monotonically_increasing_id()), "texts")
+    windows = materialise(texts.select("text_no", "rep", "at", "text").mapInArrow(_windows(window, period), "a long, b long, text_no long, rep long, at int"), "windows")
+    first = materialise(windows.groupBy("a", "b").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("a", "b", "first"), "first")
+    starts = windows.join(first, ["a", "b"]).where("rep > first").groupBy("text_no").agg(F.collect_list("at").alias("starts"))
+    cut = texts.select("text_no", "s1", "s2", "text").join(starts, "text_no").mapInArrow(_removed(window), "s1 long, s2 long, n_removed long, kept_text string")
     cut = materialise(cut, "cut")
+    release(places, texts, windows, first)
 
     whole = heads.where(~F.coalesce(long_, F.lit(False))).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     copy = F.col("doc_id") > F.col("rep")
