@@ -8,7 +8,8 @@ a keyed hash of seed, document, number of the chunk, place and both pieces falls
 below the rate. So each occurrence of a word draws for itself, but always the same
 for the same seed. A worker keeps the agenda of each distinct chunk without
 dropout and the candidates it meets: an occurrence that skips none of these is
-merged just so. All others are merged together, one merge of each a round.
+merged just so. All others are merged together, one merge of each a round, but for
+long chunks (text without blanks), which are merged one by one from a heap.
 
 Unknown characters become byte pieces. A U+2581 of the text also becomes bytes,
 as that character stands for a blank among the pieces; so decoding gives back
@@ -16,12 +17,15 @@ every text. Without dropout the ids are the sentencepiece library's own, but
 for texts that contain U+2581.
 
 Cases: null and empty texts have no ids and decode to the empty text; null
-doc_ids are hashed as -1; rows stay as they are, repeated ones too; an empty
-table gives no rows; extra columns pass untouched in `round_trip`.
+doc_ids are hashed as -1; rows stay as they are, repeated ones too; a very long
+text, or a long one without blanks, takes time in proportion to n log n; an empty
+table gives no rows; extra columns pass untouched in `encode` and `decode` (a
+clashing tokens or decoded column is replaced).
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,12 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.llm._text import GOLD, bounded_batches, mix
+from tessera.llm._text import GOLD, M1, M2, bounded_batches, mix
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
 #: Distinct chunks a worker keeps.
 CACHE_CHUNKS = 200_000
+#: Chunks of more characters are merged from a heap and not kept.
+LONG = 256
 #: Of the table that finds pairs.
 SLOT_BITS = 21
 #: Occurrences whose candidates are drawn at once.
@@ -96,6 +102,7 @@ class DropoutModel:
         # equal scores share a rank, so that the leftmost of their pairs comes first
         _, rank = np.unique([-sp.get_score(i) for i in self.pair_id.tolist()], return_inverse=True)
         self.pair_rank = rank.astype(np.int32)
+        self.pair_of = dict(zip(self.pair_key.tolist(), range(len(self.pair_key))))
         self.rate, self.cache_chunks = rate, cache_chunks
         self.key = mix(np.array([seed], np.int64).view(np.uint64) + GOLD)[0]
         self.reset()
@@ -223,8 +230,50 @@ class DropoutModel:
             rank[rows, at] = ranked(ids[rows, at], new[has], at, rows)
         return ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks)
+    def _merge_long(self, chunk: str, draw: np.uint64) -> list[int]:
+        """The agenda of one chunk of any length, by a heap of (rank, place)."""
+        none, pieces, limit = 2**31 - 1, len(self.pieces), (1 << 64) - 1
+        flat, _ = self._symbols([chunk])
+        n = len(flat)
+        ranks = self._rank(flat[:-1], flat[1:], np.arange(n - 1), np.full(n - 1, draw))
+        some = np.flatnonzero(ranks != none)
+        heap = (ranks[some].astype(np.int64) << 32 | some).tolist()
+        heapq.heapify(heap)
+        ids, now, nxt, prev = flat.tolist(), [*ranks.tolist(), none], list(range(1, n + 1)), list(range(-1, n - 1))
+        base, rank_of, id_of = int(self.key) + int(draw), self.pair_rank, self.pair_id
+        gold, m1, m2 = int(GOLD), int(M1), int(M2)
+        below = self.rate * 2.0**53
+
+        def meet(at: int, right: int) -> None:
+            key = ids[at] * pieces + ids[right]
+            i = self.pair_of.get(key)
+            if i is not None and below > 0:
+                x = (key * gold + at + base) & limit
+                x = ((x ^ (x >> 30)) * m1) & limit
+                x = ((x ^ (x >> 27)) * m2) & limit
+                if ((x ^ (x >> 31)) >> 11) < below:
+                    i = None
+            now[at] = none if i is None else int(rank_of[i])
+            if i is not None:
+                heapq.heappush(heap, now[at] << 32 | at)
+
+        while heap:
+            rank, at = divmod(heapq.heappop(heap), 1 << 32)
+            if now[at] != rank:  # merged away, or another pair since
+                continue
+            right = nxt[at]
+            ids[at] = int(id_of[self.pair_of[ids[at] * pieces + ids[right]]])
+            ids[right], now[right], now[at] = -1, none, none
+            after = nxt[at] = nxt[right]
+            if after < n:
+                prev[after] = at
+                meet(at, after)
+            if prev[at] >= 0:
+                meet(prev[at], at)
+        return [i for i in ids if i >= 0]
+
+    def _learn(self, chunks: list[str]) -> None:
+        new = chunks
         self.index.update(zip(new, range(len(self.names), len(self.names) + len(new))))
         self.names += new
         met: list[tuple[np.ndarray, np.ndarray]] = []
@@ -247,19 +296,34 @@ class DropoutModel:
         chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
         if len(self.index) > self.cache_chunks:
             self.reset()
-        if new := set(chain.from_iterable(chunks)).difference(self.index):
-            self._learn(new)
+        new = list(set(chain.from_iterable(chunks)).difference(self.index))
+        if new:
+            self._learn([c for c in new if len(c) <= LONG])
+        long_ = [c for c in new if len(c) > LONG]
+        self.index.update((c, -1) for c in long_)
         count = np.fromiter(map(len, chunks), np.int64, len(chunks))
         code = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, int(count.sum()))
+        for c in long_:
+            del self.index[c]
         doc = np.repeat(np.arange(len(texts)), count)
         within = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
         draw = mix(mix(doc_ids.view(np.uint64)[doc] + self.key) + within.astype(np.uint64))
-        odd = self._skipping(code, draw)
-        size = self.ids.size[code]
+        heaped = code < 0
+        known = np.where(heaped, 0, code)
+        odd = self._skipping(known, draw) & ~heaped if len(self.names) else np.zeros(len(code), bool)
+        plain = ~odd & ~heaped
+        size = np.zeros(len(code), np.int64)
+        size[plain] = self.ids.size[code[plain]]
         ids, size[odd] = self.merge(list(map(self.names.__getitem__, code[odd].tolist())), draw[odd])
-        own = np.repeat(odd, size)
-        flat = np.empty(len(own), np.int32)
-        flat[own], flat[~own] = ids, self.ids.take(code[~odd])
+        big: list[list[int]] = []
+        if heaped.any():
+            every = list(chain.from_iterable(chunks))
+            big = [self._merge_long(every[i], draw[i]) for i in np.flatnonzero(heaped)]
+            size[heaped] = list(map(len, big))
+        flat = np.empty(size.sum(), np.int32)
+        flat[np.repeat(odd, size)] = ids
+        flat[np.repeat(plain, size)] = self.ids.take(code[plain])
+        flat[np.repeat(heaped, size)] = list(chain.from_iterable(big))
         before = np.concatenate([[0], np.cumsum(size)])
         return flat, np.diff(before[np.concatenate([[0], np.cumsum(count)])])
 
