@@ -28,13 +28,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._text import bounded_batches, byte_table, run_hash
 from tessera.session import materialise, release
@@ -157,7 +158,7 @@ class Automaton:
     """A probabilistic deterministic automaton inferred from strings by state merging."""
 
     def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.lengths = Counter(map(len, strings))
+        self.lengths, self.n_strings = Counter(map(len, strings)), len(strings)
         self.total, self.final, self.move, self.count = [0], [0], [{}], [{}]
         for s in strings:
             at = 0
@@ -172,6 +173,7 @@ class Automaton:
             self.final[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
+        self.steps: list[dict[tuple[str, float], tuple[float, int]]] = [{} for _ in self.total]
 
     def _new(self) -> int:
         for x, v in ((self.total, 0), (self.final, 0), (self.move, {}), (self.count, {})):
@@ -233,27 +235,37 @@ class Automaton:
 
     def log_likelihood(self, text: str, smooth: float = 0.5) -> float:
         """Of the length and the characters of text; an unseen length L gets 1/L(L+1) of the smoothing mass, unseen symbols get a share of the smoothing mass and stay in the state."""
-        n, at, parts = len(text), 0, len(ALPHABET)
-        out = math.log((self.lengths[n] + smooth / (n * (n + 1) or 1)) / (self.lengths.total() + smooth))
+        n, at = len(text), 0
+        out = math.log((self.lengths[n] + smooth / (n * (n + 1) or 1)) / (self.n_strings + smooth))
         for c in text:
-            y = symbol(c)
-            n = self.total[at] - self.final[at]
-            out += math.log((self.count[at].get(y, 0) + smooth / parts) / (n + smooth)) - math.log(CLASS_SIZE.get(y, 1))
-            at = self.move[at].get(y, at)
+            got = self.steps[at].get((c, smooth))
+            if got is None:
+                got = self.steps[at][c, smooth] = self._step(at, symbol(c), smooth)
+            out, at = out + got[0], got[1]
         return out
 
+    def _step(self, at: int, y: str, smooth: float) -> tuple[float, int]:
+        """The log-likelihood of a character of class y in a state, and the state after it."""
+        n = self.total[at] - self.final[at]
+        share = (self.count[at].get(y, 0) + smooth / len(ALPHABET)) / (n + smooth)
+        return math.log(share) - math.log(CLASS_SIZE.get(y, 1)), self.move[at].get(y, at)
+
 
 def learn_formats(found: DataFrame, sample: int) -> dict[str, Automaton]:
     """An automaton a label of found (kind, place, value), from the `sample` distinct values of each with the smallest places; "ordinary" is the background, from ORDINARY times as many."""
-    most = F.when(F.col("kind") < len(KINDS), sample).otherwise(ORDINARY * sample)
-    # ranks inside slots first, so that no task ranks what all partitions found
-    slot = Window.partitionBy("kind", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy("place", "value")
-    near = found.distinct().withColumn("r", F.row_number().over(slot)).where(F.col("r") <= most)
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("place", "value"))).where(F.col("r") <= most)
-    by: dict[int, list[str]] = {}
-    for r in first.select("kind", "value").collect():
-        by.setdefault(r["kind"], []).append(r["value"])
-    return {(*KINDS, "ordinary")[k]: Automaton(sorted(by[k])) for k in sorted(by)}
+    values = found.distinct()
+    out = {}
+    for r in sorted(values.groupBy("kind").agg(F.count("*").alias("n")).collect()):
+        k, n = r["kind"], r["n"]
+        most = min(n, sample if k < len(KINDS) else ORDINARY * sample)
+        # places are even over 0 .. 2**63, so a share of them holds the first `most` and a few more; if ever not, they are sorted out of all
+        own = values.where(F.col("kind") == k).select("place", "value")
+        end = min((1 << 63) - 1, (most + 8 * math.isqrt(most) + 64 << 63) // n)
+        near = own.where(F.col("place") <= end).collect()
+        if len(near) < most:
+            near = own.orderBy("place", "value").limit(most).collect()
+        out[(*KINDS, "ordinary")[k]] = Automaton(sorted(x["value"] for x in sorted(near)[:most]))
+    return out
 
 
 class _Judge:
@@ -282,10 +294,18 @@ class _Judge:
         return {v: label for v, label in labels.items() if label}
 
 
+#: Of the last formats that a worker scored by, so that its tasks share verdicts.
+_JUDGE: dict[str, _Judge] = {}
+
+
 def _score(models: dict[str, Automaton], margin: float):
-    judge = _Judge(models, margin)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _JUDGE:
+            _JUDGE.clear()
+            _JUDGE[name] = _Judge(models, margin)
+        judge = _JUDGE[name]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
