@@ -90,3 +90,65 @@ def fingerprint_decision(correlation: Column, margin: Column, least: float = 0.1
         .when(F.coalesce(margin, F.lit(1.0)) < 0.02, F.struct(F.lit("ambiguous").alias("decision"), F.least(F.lit(0.6), correlation).alias("confidence")))
         .otherwise(F.struct(F.lit("match").alias("decision"), F.least(F.lit(0.99), 0.5 + correlation).alias("confidence")))
     )
+
+
+def erf(x: Column) -> Column:
+    """The error function to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
+    #: Fixed values of that formula.
+    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    t = 1 / (1 + p * F.abs(x))
+    poly = F.lit(0.0)
+    for c in reversed(a):
+        poly = (poly + c) * t
+    return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+
+def gelu(x: Column) -> Column:
+    return x * 0.5 * (1 + erf(x / 2**0.5))
+
+
+def layer_norm(x: Column, gain: Sequence[float], shift: Sequence[float], eps: float = 1e-5) -> Column:
+    """An array of fixed size brought to mean 0 and population deviation 1, then scaled."""
+    n = len(gain)
+    at = [F.get(x, F.lit(i)) for i in range(n)]
+    mean = sum(at[1:], at[0]) / n
+    var = sum([(a - mean) * (a - mean) for a in at[1:]], (at[0] - mean) * (at[0] - mean)) / n
+    return F.array(*[(a - mean) / F.sqrt(var + eps) * g + s for a, g, s in zip(at, gain, shift)])
+
+
+def linear(x: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
+    """One output a row of weights: its product with x, plus bias."""
+    products = lambda row: F.aggregate(F.zip_with(x, F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*[products(row) + b for row, b in zip(weights, bias)])
+
+
+def fusion_forward(x: Column, gain, shift, hidden, hidden_bias, out, out_bias) -> Column:
+    """Logits of a small network: layer norm, linear, GELU, linear. Weights are literals of a trained model's size."""
+    h = F.transform(linear(layer_norm(x, gain, shift), hidden, hidden_bias), gelu)
+    return linear(h, out, out_bias)
+
+
+def compression_vector(names: Sequence[str], logged: Sequence[str] = ()) -> Column:
+    """An array of feature columns, those in logged as log(1 + x); null where one is missing or not finite."""
+    cols = [F.log1p(F.col(n)) if n in logged else F.col(n).cast("double") for n in names]
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return F.when(~bad, F.array(*cols))
+
+
+def pixel_points(points: Column, places: Sequence[int], width: Column, height: Column) -> Column:
+    """Chosen landmarks {x, y} in 0 to 1 as whole pixels inside the frame."""
+    clamp = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, (v * n).cast("int")))
+    return F.transform(F.array(*map(F.lit, places)), lambda i: F.struct(clamp(F.get(points, i)["x"], width).alias("x"), clamp(F.get(points, i)["y"], height).alias("y")))
+
+
+def point_distance(a: Column, b: Column) -> Column:
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+
+
+def blink_vector(left: Column, right: Column, mean_before: Column, seconds: Column) -> Column:
+    """Seven numbers of two eyes: both openings, their mean, difference and relative difference, and the mean's change a second with its size; no change without a row before."""
+    mean, apart = (left + right) / 2, F.abs(left - right)
+    speed = F.coalesce(F.try_divide(mean - mean_before, F.when(seconds > 0, seconds)), F.lit(0.0))
+    return F.array(left, right, mean, apart, apart / F.greatest(mean, F.lit(1e-6)), speed, F.abs(speed))

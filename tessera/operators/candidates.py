@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.urls import public_url
+from tessera.operators.running import numbered
 
 #: Media verification results and timestamp types that count.
 VERIFIED = ("exact", "near_duplicate")
-USABLE_TIMES = ("published", "archive_observed")
+USABLE_TIMES = ("published", "platform_decoded", "archive_observed")
 
 
 def is_verified(reserved: Sequence[str] = ()) -> Column:
@@ -53,9 +55,10 @@ def chronology(cands: DataFrame, min_similarity: float = 0.3, floor_date: Column
     rows = rows.where((sim >= min_similarity) | F.col("media_verification").isin(*VERIFIED))
     if floor_date is not None:
         rows = rows.where(F.col("published_at") >= floor_date)
-    whole = Window.orderBy("published_at", "_ord")
-    first = F.min("published_at").over(Window.partitionBy())
-    rows = rows.withColumn("rank", F.row_number().over(whole)).withColumn("elapsed_sec", F.col("published_at").cast("double") - first.cast("double"))
+    # places come from a range partition and its running total, the first time from an aggregate of one row
+    rows = numbered(rows, ["published_at", "_ord"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    first = rows.agg(F.min("published_at").alias("_first"))
+    rows = rows.crossJoin(F.broadcast(first)).withColumn("elapsed_sec", F.col("published_at").cast("double") - F.col("_first").cast("double"))
     hours = F.col("elapsed_sec") / 3600
     role = F.when(F.col("rank") == 1, "primary_origin").when(hours <= 2, "early_reporting").when(hours <= 24, "viral_spread").otherwise("current_circulation")
     sure = F.when((F.col("media_verification") == "exact") & F.col("timestamp_type").isin(*USABLE_TIMES), "high").otherwise("moderate")
@@ -75,8 +78,9 @@ def account_graph(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, Dat
     """Vertices (account, last attributes win) and edges from each account to the next one in the order, distinct, without loops."""
     last = Window.partitionBy("account").orderBy(*[F.desc(c) for c in order])
     vertices = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("account", "platform", "ts")
-    nxt = F.lead("account").over(Window.orderBy(*order))
-    edges = rows.select(F.col("account").alias("src"), nxt.alias("dst")).where("dst is not null and src <> dst").distinct()
+    placed = numbered(rows.select("account", *order), order, "_n")
+    after = placed.select((F.col("_n") - 1).alias("_n"), F.col("account").alias("dst"))
+    edges = placed.select("_n", F.col("account").alias("src")).join(after, "_n").where("src <> dst").select("src", "dst").distinct()
     return vertices, edges
 
 
@@ -173,3 +177,52 @@ def best_per_key(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """The row of the highest score of every key; the first by tie among equals."""
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie))
     return df.withColumn("_r", r).where("_r = 1").drop("_r")
+
+
+#: Parts of links and labels that tell an agency or a large outlet.
+WIRE_PARTS = ("bloomberg", "bwbx", "reuters", "apnews", "ap.org", "getty", "afp", "pti", "nyt", "nytimes", "washingtonpost", "wsj", "bbc", "politico", "abcnews", "cnn", "businessinsider", "epa.eu", "upi")
+
+
+def lens_hits(items: DataFrame, query: str, order: str, most: int = 35, matches: int = 20, articles: int = 15) -> DataFrame:
+    """Hits of a reverse image search, in the order in which they count, with place.
+
+    items: query, order, bucket (exact-match, visual-match or any other, which
+    counts as "all"), link, label, thumbnail. First agencies of all buckets come,
+    all of them; then up to `matches` exact and visual matches, then up to `articles`
+    others, until there are `most`. A hit goes if its link or its thumbnail was
+    taken before. That rule needs the hits taken so far, so one search is folded
+    at a time: the rows of one response.
+    """
+    link, label = F.coalesce("link", F.lit("")), F.coalesce("label", F.lit(""))
+    bucket = F.when(F.col("bucket").isin("exact-match", "visual-match"), F.col("bucket")).otherwise("all")
+    d = items.where(link != "").withColumn("_wire", _any_in(F.lower(F.concat_ws(" ", link, label)), WIRE_PARTS)).withColumn("_bucket", bucket)
+    schema = T.StructType([*items.schema.fields, T.StructField("place", T.IntegerType())])
+    names = items.columns
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: set[str] = set()
+        taken: list[int] = []
+        rows = pdf.sort_values(order).reset_index(drop=True)
+        of = lambda kinds: [i for k in kinds for i in rows.index[rows["_bucket"] == k]]
+
+        def take(i: int) -> None:
+            url, thumb = rows["link"][i], rows["thumbnail"][i]
+            keys = {url, thumb} if isinstance(thumb, str) and thumb else {url}
+            if not keys & seen:
+                seen.update(keys)
+                taken.append(i)
+
+        for i in of(("all", "exact-match", "visual-match")):
+            if rows["_wire"][i]:
+                take(i)
+        for kinds, cap in ((("exact-match", "visual-match"), matches), (("all",), articles)):
+            tried = 0
+            for i in of(kinds):
+                if tried >= cap or len(taken) >= most:
+                    break
+                if rows["link"][i] not in seen:
+                    take(i)
+                    tried += 1
+        return rows.loc[taken, names].assign(place=range(1, len(taken) + 1))
+
+    return d.groupBy(query).applyInPandas(fold, schema)

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from tessera.session import materialise, release
 
 
 def best_first(nodes: DataFrame, edges: DataFrame, root, iterations: int = 12, max_depth: int = 3, goal: str | None = None) -> DataFrame:
     """(node, parent, depth, f, step): nodes in the order they are popped, least f first, ties by when they were found.
 
-    nodes: node, f; edges: src, dst. A node is expanded once; a bounded number
-    of iterations keeps at most one popped row each on the driver, while the
-    frontier stays a DataFrame: every step is an edge join, an anti-join with
-    what was reached before, and a limit 1. goal is a predicate on nodes that
-    ends the search.
+    nodes: node, f; edges: src, dst. A node is expanded once. Only the popped
+    row of each iteration reaches the driver; the frontier is a table an
+    expanded node, so a hub's neighbours stay on the executors: every step is an
+    edge join, an anti-join with what was reached before, and a limit 1. goal is
+    a predicate on nodes that ends the search.
     """
     spark = nodes.sparkSession
     schema = "node string, parent string, depth int, f double, found int"
     n = nodes.select(F.col("node").cast("string").alias("node"), F.col("f").cast("double").alias("f"), *([F.expr(goal).alias("_goal")] if goal else [F.lit(False).alias("_goal")]))
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    reached = spark.createDataFrame([(str(root), None, 0, 0.0, 0)], schema)
+    reached, tables = spark.createDataFrame([(str(root), None, 0, 0.0, 0)], schema), []
     popped: list[tuple] = []
     for step in range(iterations):
         done = [p[0] for p in popped]
@@ -36,19 +40,20 @@ def best_first(nodes: DataFrame, edges: DataFrame, root, iterations: int = 12, m
             continue
         new = e.where(F.col("src") == cur["node"]).select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").join(n, "node")
         found = new.select("node", F.lit(cur["node"]).alias("parent"), F.lit(cur["depth"] + 1).alias("depth"), "f", F.lit(step + 1).alias("found"))
-        # a node has a bounded number of neighbours; their five columns are the whole frontier
-        reached = spark.createDataFrame(reached.unionByName(found).collect(), schema)
+        tables.append(materialise(found, "frontier"))
+        reached = reached.unionByName(tables[-1])
+    release(*tables)
     return spark.createDataFrame(popped, "node string, parent string, depth int, f double, step int")
 
 
 def path_to_root(tree: DataFrame, node: str, depth: int = 3) -> DataFrame:
-    """(position, node) from a node up to the root of a (node, parent) table."""
-    tree.createOrReplaceTempView("_tessera_tree")
+    """(position, node) from a node up to the root of a (node, parent) table, at most depth + 1 steps."""
     return tree.sparkSession.sql(
-        f"""WITH RECURSIVE up(position, node, parent) AS (
-        SELECT 0, node, parent FROM _tessera_tree WHERE node = '{node}'
-        UNION ALL SELECT position + 1, t.node, t.parent FROM up JOIN _tessera_tree t ON t.node = up.parent WHERE position < {depth + 1})
-        SELECT position, node FROM up"""
+        """WITH RECURSIVE up(position, node, parent) AS (
+        SELECT 0, node, parent FROM {tree} WHERE node = :node
+        UNION ALL SELECT position + 1, t.node, t.parent FROM up JOIN {tree} t ON t.node = up.parent WHERE position < :last)
+        SELECT position, node FROM up""",
+        args={"node": node, "last": depth + 1}, tree=tree,
     )
 
 
@@ -58,25 +63,28 @@ GENESIS = "0" * 64
 def chain(entries: DataFrame, by: str, order: Sequence[str], body: Sequence[str], genesis: str | None = None) -> DataFrame:
     """entries with sequence, previous_hash and entry_hash = sha256 of the JSON body with the previous hash, chained within by.
 
-    Chains are per case and short; each is a fold over its ordered entries.
+    Rows are partitioned by `by` and sorted in their partition; one walk over
+    Arrow batches carries only the last hash, so a chain of any length needs the
+    memory of a batch. A chain is one task's work, as each hash needs the one before.
     """
     payload = F.to_json(F.struct(*sorted(body)), {"ignoreNullFields": "false"})
     rows = entries.withColumn("_body", payload).withColumn("sequence", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    cols = [c for c in rows.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", previous_hash string, entry_hash string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.sort_values("sequence")
-        prev, before, own = genesis, [], []
-        for b in pdf["_body"]:
-            before.append(prev)
-            prev = hashlib.sha256(f"{b}|{prev or ''}".encode()).hexdigest()
-            own.append(prev)
-        return pdf[cols].assign(previous_hash=before, entry_hash=own)
-
-    return rows.groupBy(by).applyInPandas(fold, schema).drop("_body")
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = genesis
+        for b in batches:
+            before, own = [], []
+            for body, place in zip(b.column("_body").to_pylist(), b.column("sequence").to_pylist()):
+                prev = genesis if place == 1 else prev
+                before.append(prev)
+                prev = hashlib.sha256(f"{body}|{prev or ''}".encode()).hexdigest()
+                own.append(prev)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*names, "previous_hash", "entry_hash"])
+
+    ordered = rows.repartition(by).sortWithinPartitions(by, "sequence")
+    return ordered.mapInArrow(fold, schema).drop("_body")
 
 
 def verify_chain(ledger: DataFrame, by: str) -> DataFrame:

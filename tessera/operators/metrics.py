@@ -106,14 +106,25 @@ def multiclass_report(df: DataFrame, label: str, predicted: str, classes: Sequen
 
 
 def distribution_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, population deviation, extremes and linearly interpolated quantiles; null and non-finite values are left out."""
+    """Mean, population deviation, extremes and linearly interpolated quantiles; null and non-finite values are left out.
+
+    Quantiles are exact: values are counted, counts run up over a range
+    partition, and the two values around each place are minima over all rows.
+    """
     v = F.col(value)
     ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     q = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return ok.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.percentile(v, p).alias(n) for n, p in q.items()],
-    )
+    whole = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    upto = running_totals(ok.groupBy(*by, v.cast("double").alias("_v")).agg(F.count("*").alias("_c")), ["_v"], {"_upto": "_c"}, by)
+    sizes = whole.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("n").alias("_n"))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    place = lambda p: (F.col("_n") - 1) * p
+    between = {n: (at(F.floor(place(p))), at(F.ceil(place(p))), F.max(place(p) - F.floor(place(p)))) for n, p in q.items()}
+    found = upto.join(sizes, same).groupBy(*[f"_b{i}" for i in range(len(by))]).agg(*[(lo + (hi - lo) * part).alias(n) for n, (lo, hi, part) in between.items()])
+    return whole.join(found, same).select(*by, "n", "mean", "std", "min", "max", *q)
 
 
 def separation(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -176,3 +187,28 @@ def best_threshold_window(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def rank_window(by: Sequence[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
+def evaluation(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """One row: n, positives, auc, and the mean probability of positives (aligned) and of negatives (shifted)."""
+    means = df.agg(F.avg(F.when(F.col(label) == 1, F.col(probability))).alias("mean_positive"), F.avg(F.when(F.col(label) == 0, F.col(probability))).alias("mean_negative"))
+    return ranking_metrics(df, label, probability).select("n", "positives", "auc").crossJoin(means)
+
+
+def coverage(df: DataFrame, dataset: str, available: str, label: str, score: str, threshold: float) -> DataFrame:
+    """(dataset, rows, available, accuracy): accuracy over the rows whose features are there; null without any."""
+    ok = F.coalesce(F.col(available), F.lit(False))
+    right = ((F.col(score) >= threshold) == (F.col(label) == 1)).cast("double")
+    return df.groupBy(dataset).agg(F.count("*").alias("rows"), F.count_if(ok).alias("available"), F.avg(F.when(ok, right)).alias("accuracy"))
+
+
+def with_level(df: DataFrame, dataset: str, level: str, split: str) -> DataFrame:
+    """df once a dataset (level null), and once more a level for the dataset `split`: the groups that an evaluation reports."""
+    both = F.when(F.col(dataset) == split, F.array(F.lit(None).cast("string"), F.col(level))).otherwise(F.array(F.lit(None).cast("string")))
+    return df.withColumn(level, F.explode(both))
+
+
+def branch_record(df: DataFrame, sample: str, first: str, second: str, limit: float = 80.0) -> DataFrame:
+    """(sample, probability, windows): the logistic of the mean log-odds of a sample's windows."""
+    odds = F.avg(F.col(first) - F.col(second))
+    return df.groupBy(sample).agg((1 / (1 + F.exp(-F.least(F.lit(limit), F.greatest(F.lit(-limit), odds))))).alias("probability"), F.count("*").alias("windows"))

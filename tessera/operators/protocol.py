@@ -44,10 +44,11 @@ def systematic_sample(df: DataFrame, order: Sequence[str], step: int, most: int)
     return numbered(df, order, "_no").where((F.col("_no") - 1) % step == 0).where(F.col("_no") <= step * most).drop("_no")
 
 
-def overlap_examples(left: DataFrame, right: DataFrame, key: str, sample: str, order: str, limit: int = 100) -> DataFrame:
-    """(key, left_sample, right_sample): one row a shared key, with the first example of each side."""
+def overlap_examples(left: DataFrame, right: DataFrame, key: str, sample: str, order: str, limit: int | None = None) -> DataFrame:
+    """(key, left_sample, right_sample): one row a shared key, with the first example of each side; all of them, or the first `limit` by key."""
     of = lambda d, n: d.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(sample, order).alias(n))
-    return of(left, "left_sample").join(of(right, "right_sample"), key).orderBy(key).limit(limit)
+    both = of(left, "left_sample").join(of(right, "right_sample"), key)
+    return both if limit is None else both.orderBy(key).limit(limit)
 
 
 def leakage_kinds(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,13 +60,17 @@ def leakage_kinds(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
     return out
 
 
-def assign_components(stats: DataFrame, component: str, measures: Sequence[str], held: int = 3, goals: Sequence[float] = (0.7, 0.1, 0.1, 0.1)) -> DataFrame:
+def assign_components(stats: DataFrame, component: str, measures: Sequence[str], held: int = 3, goals: Sequence[float] = (0.7, 0.1, 0.1, 0.1), most: int = 64) -> DataFrame:
     """The choice of `held` = 3 components for the small splits that comes nearest the goal shares in all measures.
 
-    stats: a row a component with its measures; a few rows, as all ordered
-    choices are compared. Returns (dev, test, holdout, score); the first in
-    component order wins ties.
+    stats: a row a component with its measures; at most `most` rows, which is
+    checked, as all ordered choices are compared. Returns (dev, test, holdout,
+    score); the first in component order wins ties.
     """
+    if (n := stats.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} components: all ordered choices of {held} of them would be compared")
+    if n < held:
+        raise ValueError(f"{n} components do not fill {held} splits")
     total = stats.agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     one = stats.select(component, *measures)
     pick = lambda n: one.select(F.col(component).alias(n), *[F.col(m).alias(f"{n}_{m}") for m in measures])
@@ -118,3 +123,25 @@ def require(df: DataFrame, columns: Sequence[str], unique: str | None = None) ->
 
 def first_problem(checks: Sequence[tuple[Column, str]]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(n)) for c, n in checks])
+
+
+def uniform_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """k rows drawn evenly: those that come first by sha256(seed:key)."""
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return df.withColumn("_h", h).orderBy("_h", key).limit(k).drop("_h")
+
+
+def with_reason(samples: DataFrame, results: DataFrame, key: str, reason: str) -> DataFrame:
+    """Every sample with its results, and the reason where it has none."""
+    found = results.withColumn("_found", F.lit(True))
+    return samples.join(found, key, "left").withColumn("reason", F.when(F.col("_found").isNull(), reason)).drop("_found")
+
+
+def array_problem(widths: dict[str, int]) -> Column:
+    """What is wrong with array columns: a missing one, another width, or a number that is not finite; null if nothing is."""
+    checks = []
+    for name, width in widths.items():
+        c = F.col(name)
+        odd = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        checks += [(c.isNull(), f"missing_key:{name}"), (F.size(c) != width, f"shape_mismatch:{name}"), (odd, f"non_finite:{name}")]
+    return first_problem(checks)

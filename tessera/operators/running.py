@@ -23,7 +23,11 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], totals: dict[st
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = part.select(*by, "_part", *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in totals])
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(starts, [*by, "_part"])
+    starts = starts.select(F.col("_part").alias("_at"), *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], *[f"_s_{n}" for n in totals])
+    same = F.col("_part") == F.col("_at")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    out = ranged.join(starts, same)
     return out.select(*df.columns, *[(F.col(f"_s_{n}") + F.sum(c).over(inside)).alias(n) for n, c in totals.items()])
 
 

@@ -99,3 +99,66 @@ def intervals_cv(df: DataFrame, by: Sequence[str], ts: str, tie: str) -> DataFra
     w = Window.partitionBy(*by).orderBy(ts, tie)
     steps = df.select(*by, (F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)).alias("d")).where("d is not null")
     return steps.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("d"), F.avg("d")).alias("cv"), F.try_divide(F.percentile("d", 0.9), F.avg("d")).alias("ratio90"))
+
+
+def vector_deltas(runs: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
+    """runs with delta: the change of a vector since the row before, zeros where a run starts."""
+    before = F.lag(vector).over(Window.partitionBy(*by, "run").orderBy("run_pos"))
+    zeros = F.transform(vector, lambda x: F.lit(0.0))
+    return runs.withColumn("_b", before).withColumn("delta", F.when(F.col("_b").isNull(), zeros).otherwise(F.zip_with(vector, "_b", lambda x, y: (x - y).cast("double")))).drop("_b")
+
+
+def anchors(runs: DataFrame, by: Sequence[str], ts: str, segment: int, stride: int, step: float, tolerance: float, offsets: Sequence[int] = (-4, -2, 0, 2, 4), observed: str | None = None) -> DataFrame:
+    """(by, run, run_pos) of rows from which a segment and all its shifted copies lie in the run at even steps.
+
+    Each step and each displacement must be within tolerance of its nominal
+    length. With observed, a boolean column, also the row before the earliest
+    copy must exist and all rows of all copies be observed.
+    """
+    run = Window.partitionBy(*by, "run").orderBy("run_pos")
+    low, high = min(offsets), max(offsets)
+    t = F.col(ts).cast("double")
+    even = F.abs(t - F.lag(t).over(run) - step) <= tolerance
+    moved = F.lit(True)
+    for o in offsets:
+        moved = moved & F.coalesce(F.abs(F.lead(t, o).over(run) - t - o * step) <= tolerance, F.lit(False)) if o else moved
+    d = runs.withColumn("_even", F.coalesce(even, F.lit(True)).cast("int")).withColumn("_moved", moved.cast("int")).withColumn("_seen", F.col(observed).cast("int") if observed else F.lit(1))
+    whole, own = run.rowsBetween(low + 1, high + segment - 1), run.rowsBetween(0, segment - 1)
+    spread = run.rowsBetween(low, high + segment - 1)
+    d = d.withColumn("_ok", (F.min("_even").over(whole) == 1) & (F.min("_moved").over(own) == 1) & (F.count("*").over(own) == segment) & (F.min("_seen").over(spread) == 1))
+    first = F.col("run_pos") + low > 0 if observed else F.col("run_pos") + low >= 0
+    return d.where(F.col("_ok") & first & (F.col("run_pos") % stride == 0)).select(*by, "run", "run_pos")
+
+
+def probe_statistics(frames: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Statistics of frames (ts, packet, key, kind) in order, per sample.
+
+    Shares of key frames and kinds, distances between key frames in frames (one
+    distance of the whole length if there are fewer than two), variation of packet
+    sizes and positive steps, and the 90th percentile of packets over their mean.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    d = frames.withColumn("_no", F.row_number().over(w)).withColumn("_dt", F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w))
+    d = d.withColumn("_k", F.when(F.col("key"), F.col("_no"))).withColumn("_gop", F.when(F.col("key"), F.col("_no") - F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    packet, dt, kind = F.when(F.col("packet") > 0, F.col("packet")), F.when(F.col("_dt") > 0, F.col("_dt")), F.upper("kind")
+    cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
+    n = F.count("*")
+    return d.groupBy(*by).agg(
+        n.alias("frames"), (F.count_if("key") / n).alias("key_share"), F.coalesce(F.avg("_gop"), n.cast("double")).alias("gop_mean"), F.coalesce(F.stddev_pop("_gop"), F.lit(0.0)).alias("gop_std"),
+        F.coalesce(F.max("_gop"), n).cast("double").alias("gop_max"), cv(packet).alias("packet_cv"), F.coalesce(F.try_divide(F.percentile(packet, 0.9), F.avg(packet)), F.lit(1.0)).alias("packet_p90"),
+        cv(dt).alias("step_cv"), *[(F.count_if(kind == k) / n).alias(f"{k.lower()}_share") for k in ("I", "P", "B")],
+    )
+
+
+def frame_statistics(frames: DataFrame, by: Sequence[str], order: str, measures: Sequence[str], change: str, duplicate: float = 0.0025) -> DataFrame:
+    """Per sample the mean, deviation and variation of each measure, and of the change from frame to frame its mean, variation and the share of near duplicates."""
+    diff = F.abs(F.col(change) - F.lag(change).over(Window.partitionBy(*by).orderBy(order)))
+    d = frames.withColumn("_d", diff)
+    cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
+    out = [f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("cv", cv))]
+    return d.groupBy(*by).agg(F.count("*").alias("frames"), *out, F.coalesce(F.avg((F.col("_d") <= duplicate).cast("double")), F.lit(0.0)).alias("near_duplicates"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("change_mean"), cv("_d").alias("change_cv"))
+
+
+def inside_waveform(df: DataFrame, ts: str, n_samples: str, rate: float) -> DataFrame:
+    """Rows whose time lies inside a signal of n_samples."""
+    return df.where((F.col(ts) >= 0) & (F.col(ts) < F.col(n_samples) / rate + 1e-6))

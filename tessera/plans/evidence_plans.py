@@ -105,10 +105,22 @@ def search_confidence(spark, sf_dir):
     return nodes(spark, sf_dir).select("p_partkey", F.round(100 * conf + 0.001).cast("long").alias("percent"))
 
 
-@register("search_best_first")
+#: The search in one row a step: the frontier is a sorted list whose first entry is popped.
+BEST_FIRST = """adj AS (SELECT CAST(p_partkey // 5 AS VARCHAR) AS src, list({'f': f, 'node': CAST(p_partkey AS VARCHAR)}) AS nb FROM z WHERE p_partkey // 5 <> p_partkey GROUP BY 1),
+st(step, open, reached, cur) AS (SELECT 0, [{'f': 0::DOUBLE, 'found': 0, 'node': '0', 'parent': NULL::VARCHAR, 'depth': 0}], ['0'], {'f': 0::DOUBLE, 'found': 0, 'node': '', 'parent': NULL::VARCHAR, 'depth': 0}
+UNION ALL SELECT step + 1, list_sort(list_concat(open[2:], CASE WHEN open[1].depth < 3 THEN list_transform(list_filter(coalesce(nb, []), lambda x: NOT list_contains(reached, x.node)), lambda x: {'f': x.f, 'found': step + 1, 'node': x.node, 'parent': open[1].node, 'depth': open[1].depth + 1}) ELSE [] END)),
+CASE WHEN open[1].depth < 3 THEN list_distinct(list_concat(reached, list_transform(coalesce(nb, []), lambda x: x.node))) ELSE reached END, open[1] FROM st LEFT JOIN adj ON adj.src = open[1].node WHERE step < 12 AND len(open) > 0)
+SELECT cur.node AS node, cur.parent AS parent, cur.depth AS depth, cur.f AS f, step - 1 AS step FROM st WHERE step > 0"""
+
+
+@register("search_best_first", f"""WITH RECURSIVE {NODES}, x AS (SELECT *, (epoch(TIMESTAMP '2021-06-01') - epoch(ts)) / 86400 AS days, (1767225600 - epoch(ts)) / 86400 AS age, CAST(w * h AS DOUBLE) AS a, 60000.0 AS ta FROM n),
+z AS (SELECT p_partkey, round(CASE WHEN ct = 'exact' OR d <= 30 THEN d / 10 + depth * 0.5 WHEN ct LIKE 'target%' THEN 5 + (1 - least(1, ir)) * 5 + depth * 0.5 WHEN ct LIKE 'cand%' THEN 45 + depth * 2 WHEN m THEN 12 + d / 20 + depth ELSE 150 + least(50, d) END +
+greatest(0, 45 + CASE WHEN ts IS NULL THEN 0 WHEN days > 0 THEN -least(12, 3 + log2(greatest(1, days))) WHEN days < 0 THEN least(15, 3 + abs(days) / 60 * 1.5) ELSE 0 END
+- CASE WHEN ts IS NULL THEN 0 ELSE least(8, age / 365 * 1.5) END + CASE WHEN a > ta THEN -least(12, 4 * log2(greatest(1, a / ta))) WHEN a < ta AND a > 0 THEN least(10, 3 * log2(greatest(1, ta / a))) ELSE 0 END
++ CASE WHEN wire OR dom = 'apnews.com' THEN -18 WHEN dom LIKE 'bbc%' THEN -8 ELSE 0 END), 6) AS f FROM x), {BEST_FIRST}""")
 def best_first(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    f = c.path_cost(F.col("depth")) + c.origin_distance(F.lit(1622505600).cast("timestamp"), F.lit(60000.0))
+    f = F.round(c.path_cost(F.col("depth")) + c.origin_distance(F.lit(1622505600).cast("timestamp"), F.lit(60000.0)), 6)
     k = F.col("p_partkey")
     edges = n.select(F.floor(k / 5).cast("long").alias("src"), k.alias("dst")).where("src <> dst")
     return lineage.best_first(n.select(k.alias("node"), f.alias("f")), edges, 0)
@@ -120,12 +132,13 @@ def best_per_domain(spark, sf_dir):
 
 
 @register("search_capped_union", """
-WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events WHERE event_type IN ('error', 'click', 'view')),
-k AS (SELECT *, CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS p FROM r WHERE event_type = 'error' OR (event_type = 'click' AND r <= 4) OR (event_type = 'view' AND r <= 3)),
-o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY p, event_id) AS place FROM k) SELECT user_id, event_id, CAST(place AS INT) AS place FROM o WHERE place <= 12""")
+WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r, list_position(['error', 'click', 'view', 'purchase', 'signup'], event_type) AS p FROM events),
+k AS (SELECT * FROM r WHERE r <= CASE event_type WHEN 'error' THEN 1000000000 WHEN 'click' THEN 4 WHEN 'view' THEN 3 ELSE 2 END),
+o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY p, event_id) AS place FROM k) SELECT user_id, event_id, CAST(place AS INT) AS place FROM o WHERE place <= 15""")
 def capped(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "click", "view"))
-    return c.capped_union(ev, "user_id", "event_type", ["event_id"], ["error", "click", "view"], {"click": 4, "view": 3}, 12).select("user_id", "event_id", "place")
+    order = ["error", "click", "view", "purchase", "signup"]
+    caps = {"click": 4, "view": 3, "purchase": 2, "signup": 2}
+    return c.capped_union(table(spark, sf_dir, "events"), "user_id", "event_type", ["event_id"], order, caps, 15).select("user_id", "event_id", "place")
 
 
 @register("evidence_temporal_weights", "SELECT event_id, CASE WHEN epoch(TIMESTAMP '2024-01-20') - epoch(ts) >= 172800 THEN 'older' ELSE 'new' END AS kind, CASE WHEN epoch(TIMESTAMP '2024-01-20') - epoch(ts) >= 172800 THEN 0.3::DOUBLE ELSE 0.7 END AS internal, CASE WHEN epoch(TIMESTAMP '2024-01-20') - epoch(ts) >= 172800 THEN 0.7::DOUBLE ELSE 0.3 END AS external FROM events")
@@ -157,15 +170,16 @@ def systematic(spark, sf_dir):
     return p.systematic_sample(table(spark, sf_dir, "events"), ["event_id"], 37, 100).select("event_id")
 
 
-SIDES = "l AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT * FROM orders WHERE o_orderkey % 3 = 1)"
+#: Two sides that hold every order once: a third against the rest.
+SIDES = "l AS (SELECT * FROM orders WHERE coalesce(o_orderkey % 3 = 0, false)), r AS (SELECT * FROM orders WHERE NOT coalesce(o_orderkey % 3 = 0, false))"
 
 
 def _sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1")
+    o, third = table(spark, sf_dir, "orders"), F.coalesce(F.col("o_orderkey") % 3 == 0, F.lit(False))
+    return o.where(third), o.where(~third)
 
 
-@register("audit_overlap_examples", f"WITH {SIDES}, a AS (SELECT o_custkey, min(o_orderkey) AS left_sample FROM l GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS right_sample FROM r GROUP BY 1) SELECT * FROM a JOIN b USING (o_custkey) ORDER BY o_custkey LIMIT 100")
+@register("audit_overlap_examples", f"WITH {SIDES}, a AS (SELECT o_custkey, min(o_orderkey) AS left_sample FROM l GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS right_sample FROM r GROUP BY 1) SELECT * FROM a JOIN b USING (o_custkey)")
 def overlap(spark, sf_dir):
     return p.overlap_examples(*_sides(spark, sf_dir), "o_custkey", "o_orderkey", "o_orderkey")
 
@@ -186,7 +200,7 @@ def _halves(spark, sf_dir):
 
 @register("audit_overlap_examples_all", f"WITH {HALVES}, a AS (SELECT o_custkey, min(o_orderkey) AS left_sample FROM l GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS right_sample FROM r GROUP BY 1) SELECT * FROM a JOIN b USING (o_custkey) ORDER BY o_custkey LIMIT 100")
 def overlap_all(spark, sf_dir):
-    return p.overlap_examples(*_halves(spark, sf_dir), "o_custkey", "o_orderkey", "o_orderkey")
+    return p.overlap_examples(*_halves(spark, sf_dir), "o_custkey", "o_orderkey", "o_orderkey", limit=100)
 
 
 @register("audit_leakage_kinds_all", f"WITH {HALVES} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS shared FROM (SELECT DISTINCT {k} FROM l INTERSECT SELECT DISTINCT {k} FROM r)" for k in ("o_custkey", "o_orderkey", "o_orderpriority")))

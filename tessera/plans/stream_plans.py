@@ -11,14 +11,27 @@ from tessera.session import materialise, shared_dir
 from tessera.streaming import events as st
 
 
-def _stream(spark, sf_dir) -> DataFrame:
-    # a later closing row moves the watermark past all sessions and windows
+#: Stretches of time in which the events arrive, one after the other; inside one, rows come in any order.
+ARRIVALS = 4
+
+
+def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The events as a stream, and the delay that covers rows out of order: the length of a stretch.
+
+    A stretch is written by all tasks as many files, and its files are read a few a trigger.
+    """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    last = ev.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    first, last = ev.agg(F.min("ts").cast("long"), F.max("ts").cast("long")).first()
+    first, last = first or 0, last or 0
+    width = (last - first) // ARRIVALS + 1
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ev.repartition(1).sortWithinPartitions("ts").write.parquet(folder)
-    last.write.mode("append").parquet(folder)
-    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    second = F.col("ts").cast("long")
+    for k in range(ARRIVALS):
+        ev.where((second >= first + k * width) & (second < first + (k + 1) * width)).write.mode("append").parquet(folder)
+    # a later closing row moves the watermark past all sessions and windows
+    end = spark.createDataFrame([(-1, -1, last + 60 * 86400 + 2 * width, "end", 0.0)], "event_id long, user_id long, ts long, event_type string, value double")
+    end.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(folder)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(folder), f"{width} seconds"
 
 
 def _run(df: DataFrame) -> DataFrame:
@@ -32,20 +45,22 @@ def _run(df: DataFrame) -> DataFrame:
 WITH e AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 43200000000 THEN 1 ELSE 0 END AS b FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
 SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us FROM r GROUP BY user_id, run""")
 def sessions(spark, sf_dir):
-    d = _run(st.sessions(_stream(spark, sf_dir), "user_id", "ts", "12 hours", "1 hour"))
+    stream, delay = _stream(spark, sf_dir)
+    d = _run(st.sessions(stream, "user_id", "ts", "12 hours", delay))
     return d.where("user_id >= 0").select("user_id", "n", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
 
 
 @register("stream_windows", """
 SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, count(*) AS n, round(sum(value), 6) AS total, arg_min(value, ts) AS first_value FROM events GROUP BY 1, 2""")
 def windows(spark, sf_dir):
-    d = _run(st.windows(_stream(spark, sf_dir), "event_type", "ts", "value", "6 hours", None, "1 hour"))
+    stream, delay = _stream(spark, sf_dir)
+    d = _run(st.windows(stream, "event_type", "ts", "value", "6 hours", None, delay))
     return d.where("event_type <> 'end'").select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("total", 6).alias("total"), "first_value")
 
 
 @register("stream_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def first_seen(spark, sf_dir):
-    d = _run(st.first_seen(_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "90 days"))
+    d = _run(st.first_seen(_stream(spark, sf_dir)[0], ["user_id", "event_type"], "ts", "90 days"))
     return d.where("user_id >= 0").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -53,5 +68,5 @@ def first_seen(spark, sf_dir):
 def chained(spark, sf_dir):
     from tessera.operators.lineage import verify_chain
 
-    d = _run(st.chained(_stream(spark, sf_dir), "user_id", "event_id", F.col("event_type")))
+    d = _run(st.chained(_stream(spark, sf_dir)[0], "user_id", "event_id", F.col("event_type")))
     return verify_chain(materialise(d.where("key <> '-1'"), "chain"), "key")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tessera.functions.ids import media_type, path_identity, sample_id
+from tessera.functions.ids import finite, fraction, media_type, path_identity, sample_id
+from tessera.functions.urls import meaningful_filename
 from tessera.operators.protocol import require
 
 
@@ -81,3 +82,41 @@ def usable(manifest: DataFrame, artifacts: DataFrame, key: str = "sample_id", re
     """manifest with exclusion_reason: null where an artifact is there."""
     have = artifacts.select(key).distinct().withColumn("_have", F.lit(True))
     return manifest.join(have, key, "left").withColumn("exclusion_reason", F.when(F.col("_have").isNull(), reason)).drop("_have")
+
+
+def frame_times(frames: DataFrame, by: Sequence[str], order: str, per_second: float) -> DataFrame:
+    """frames with frame, the 0-based place in order, and ts_sec = frame / per_second."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    return frames.withColumn("frame", n).withColumn("ts_sec", F.col("frame") / per_second)
+
+
+def keyframes(frames: DataFrame, per_second: float, every: float = 1.0, most: int = 30) -> DataFrame:
+    """Frames (with frame, from frame_times) one each `every` seconds, the first `most`."""
+    step = max(1, int(per_second * every))
+    return frames.where((F.col("frame") % step == 0) & (F.col("frame") < step * most))
+
+
+PROBE = "streams array<struct<codec_name: string, width: int, height: int, avg_frame_rate: string>>, frames array<struct<pkt_size: string, key_frame: int, best_effort_timestamp_time: string, pict_type: string>>"
+
+
+def probe_frames(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, place, ts, packet, key, kind, codec, width, height, fps): one row a frame of a media probe's JSON; payloads without a stream give none."""
+    p = df.select(F.col(key), F.from_json(payload, PROBE).alias("p")).where(F.size("p.streams") > 0)
+    rows = p.select(F.col(key), F.get("p.streams", F.lit(0)).alias("s"), F.posexplode("p.frames").alias("place", "f"))
+    return rows.select(
+        F.col(key), "place", finite(F.col("f.best_effort_timestamp_time"), None).alias("ts"), finite(F.col("f.pkt_size")).alias("packet"), (F.col("f.key_frame") == 1).alias("key"), F.upper("f.pict_type").alias("kind"),
+        F.col("s.codec_name").alias("codec"), F.col("s.width").alias("width"), F.col("s.height").alias("height"), fraction(F.col("s.avg_frame_rate")).alias("fps"),
+    )
+
+
+def real_sources(df: DataFrame, sample: str, roots: dict[str, str], most: int | None = None) -> DataFrame:
+    """Rows of class REAL in order of their id, the first `most`, with a path a root."""
+    d = df.where(F.col("semantic_class") == "REAL").withColumns({n: F.concat(F.lit(root + "/"), F.col(sample).cast("string"), F.lit(".npz")) for n, root in roots.items()})
+    return d if most is None else d.orderBy(sample).limit(most)
+
+
+def local_facts(name: str, tags: Sequence[str]) -> Column:
+    """Array of what a file itself tells: its name if it means something, and its filled metadata fields."""
+    named = F.when(meaningful_filename(F.col(name)), F.concat(F.lit("filename: "), F.col(name)))
+    fields = [F.when(F.trim(F.col(t)) != "", F.concat(F.lit(t + ": "), F.trim(F.col(t)))) for t in tags]
+    return F.array_compact(F.array(named, *fields))

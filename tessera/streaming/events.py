@@ -27,7 +27,11 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataF
 
 
 def chained(stream: DataFrame, key: str, order: str, body: Column) -> DataFrame:
-    """(key, sequence, previous_hash, entry_hash): a hash chain a key whose last hash is kept as state between batches."""
+    """(key, sequence, previous_hash, entry_hash): a hash chain a key whose last hash is kept as state between batches.
+
+    Entries of one key in one batch are chained by order, so a task holds that
+    much: what a trigger admits bounds it.
+    """
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), body.alias("body"))
 
     def link(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
