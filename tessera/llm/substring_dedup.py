@@ -157,7 +157,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
     source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heads = materialise(source.mapInArrow(_heads, "doc_id long, n_words long, s1 long, s2 long, whole_sha string"), "heads")
     long_ = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
-    reps = heads.where(long_).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    reps = materialise(heads.where(long_).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
 
     ordered = source.where("doc_id is not null").select("text")
     anchors = ordered.mapInArrow(_anchors(window, period, cover), "h long, s1 long, at int")
@@ -173,13 +173,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
     first = materialise(windows.groupBy("a", "b").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("a", "b", "first"), "first")
     starts = windows.join(first, ["a", "b"]).where("rep > first").groupBy("text_no").agg(F.collect_list("at").alias("starts"))
     cut = texts.select("text_no", "s1", "s2", "text").join(starts, "text_no").mapInArrow(_removed(window), "s1 long, s2 long, n_removed long, kept_text string")
-    cut = materialise(cut, "cut")
-    release(places, texts, windows, first)
+    # one row a text; the join with all its copies is the only one by (s1, s2) in its stage, so that it can be split
+    verdicts = materialise(reps.join(cut, ["s1", "s2"], "left"), "verdicts")
+    release(places, texts, windows, first, reps)
 
     whole = heads.where(~F.coalesce(long_, F.lit(False))).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     copy = F.col("doc_id") > F.col("rep")
-    judged = heads.where(long_).join(reps, ["s1", "s2"]).join(cut, ["s1", "s2"], "left")
-    judged = judged.select(
+    judged = heads.where(long_).join(verdicts, ["s1", "s2"]).select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce(F.sha2(F.col("kept_text").cast("binary"), 256), F.col("whole_sha"))).alias("kept_sha256"),
