@@ -9,8 +9,8 @@ skip to a range of doc_id. `read_index` reads only metadata columns;
 
 Cases: a null text is an empty one (only the end id); an empty table gives
 empty files' schema and no rows; rows with a null doc_id come first; repeated
-doc_ids stay separate rows, ordered by text; extra columns are ignored, also
-ones named like the output's.
+doc_ids stay separate rows, ordered by text; a very long text is one list, held
+whole by one task; extra columns are ignored, also ones named like the output's.
 """
 
 from __future__ import annotations
