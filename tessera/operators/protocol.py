@@ -33,8 +33,10 @@ def validate_assignment(df: DataFrame, sample: str, group: Sequence[str], role:
     return seen.crossJoin(dup).crossJoin(cross).select((F.lit(len(roles)) - F.col("s")).alias("missing_roles"), "duplicate_samples", "crossing_groups")
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """Up to n rows of every stratum, in the order of sha256(seed:key)."""
+def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int, strict: bool = False) -> DataFrame:
+    """Up to n rows of every stratum, in the order of sha256(seed:key); with strict, a stratum of fewer rows is an error."""
+    if strict and (short := df.groupBy(stratum).count().where(F.col("count") < n).limit(3).collect()):
+        raise ValueError(f"fewer than {n} rows of {[r[0] for r in short]}")
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key))).where(F.col("_r") <= n).drop("_r")
 
