@@ -40,13 +40,22 @@ def known_similarity(by_key: Column, by_url: Column, own: Column) -> Column:
     return F.coalesce(F.nullif(by_key, F.lit(0.0)), by_url, own, F.lit(0.5))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, also where a lambda uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
     """An array with mean 0 and, unless it is flat, population deviation 1."""
     d = v.cast("array<double>")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    centred = F.transform(d, lambda x: x - mean(d))
-    std = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / F.size(d))
-    return F.transform(centred, lambda x: x / F.when(std > 1e-8, std).otherwise(1.0))
+    mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)
+    centred = once(mean, lambda m: F.transform(d, lambda x: x - m))
+
+    def scaled(c: Column) -> Column:
+        std = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / F.size(c))
+        return once(F.when(std > 1e-8, std).otherwise(1.0), lambda k: F.transform(c, lambda x: x / k))
+
+    return once(centred, scaled)
 
 
 def mean_fingerprints(df: DataFrame, by: Sequence[str], vector: str, least: int = 1) -> DataFrame:
@@ -167,7 +176,7 @@ def file_vector(size: Column, width: Column, height: Column, exif: Column, tags:
     some = F.filter(flat, lambda v: v > 0)
     high = F.when(F.size(some) > 32, F.slice(some, 33, 1 << 20)).otherwise(some)
     mean = lambda a: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a)), F.lit(0.0))
-    std = F.sqrt(mean(F.transform(some, lambda v: (v - mean(some)) * (v - mean(some)))))
+    std = F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(some, lambda v: v * v)) - mean(some) * mean(some)))
     megapixels = F.greatest(F.lit(1.0), w * h) / 1e6
     numbers = F.array(
         F.log1p(zero(size)) / 16, w / 8000, h / 8000, F.coalesce(F.try_divide(w, h), F.lit(0.0)), F.log1p(zero(size) / megapixels) / 16, F.coalesce(exif, F.lit(False)).cast("double"), zero(tags) / 80,

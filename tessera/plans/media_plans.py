@@ -114,11 +114,12 @@ def fusion(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", logits.alias("l")).select("event_id", *[F.round(F.get("l", F.lit(k)), 5).alias(f"l{k}") for k in range(4)])
 
 
-@register("score_segment_inconsistency", f"WITH {EVEN}, g AS (SELECT user_id, run_pos, avg(value) OVER w AS mean, count(*) OVER w AS c FROM e2 WINDOW w AS (PARTITION BY user_id, run ORDER BY run_pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), k AS (SELECT * FROM g WHERE c = 4 AND run_pos % 4 = 0) SELECT u.user_id, count(k.mean) AS segments, round(-avg(k.mean), 6) AS inconsistency, CASE WHEN count(k.mean) = 0 THEN 'NO_DENSE_AV_SEGMENTS' END AS reason FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k USING (user_id) GROUP BY 1")
+@register("score_segment_inconsistency", f"WITH {EVEN}, g AS (SELECT user_id, run_pos, avg(value) OVER w AS mean, count(*) OVER w AS c FROM e2 WINDOW w AS (PARTITION BY user_id, run ORDER BY run_pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), k AS (SELECT * FROM g WHERE c = 4 AND run_pos % 4 = 0) SELECT u.user_id, count(k.mean) AS segments, round(-avg(k.mean), 10) AS inconsistency, CASE WHEN count(k.mean) = 0 THEN 'NO_DENSE_AV_SEGMENTS' END AS reason FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k USING (user_id) GROUP BY 1")
 def inconsistency(spark, sf_dir):
     runs = _even(spark, sf_dir)
     seg = s.segments(runs, ["user_id"], "t", "value", 4, 4).groupBy("user_id").agg(F.count("*").alias("segments"), (-F.avg("mean")).alias("inconsistency"))
-    return r6(p.with_reason(runs.select("user_id").distinct(), seg, "user_id", "NO_DENSE_AV_SEGMENTS").withColumn("segments", F.coalesce("segments", F.lit(0)).cast("long")))
+    d = p.with_reason(runs.select("user_id").distinct(), seg, "user_id", "NO_DENSE_AV_SEGMENTS").withColumn("segments", F.coalesce("segments", F.lit(0)).cast("long"))
+    return d.withColumn("inconsistency", F.round("inconsistency", 10))
 
 
 @register("series_pair_sources", f"WITH {EVEN}, q AS (SELECT a.user_id, count(*) AS pairs FROM e2 a JOIN e2 b ON a.user_id = b.user_id AND a.run = b.run AND b.run_pos = a.run_pos + 20 GROUP BY 1) SELECT u.user_id, coalesce(pairs, 0) AS pairs, CASE WHEN pairs IS NULL THEN 'NO_PAIRS' END AS reason FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN q USING (user_id)")
