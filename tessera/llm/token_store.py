@@ -33,7 +33,7 @@ from tessera.session import shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Pieces a worker keeps, and half the parts of pieces; when full it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 
 class _Runs:
@@ -73,7 +73,7 @@ class WordEncoder:
     whole texts.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
+    PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:*$%&#|]*)$"
 
     LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
@@ -97,7 +97,9 @@ class WordEncoder:
         self.word_ids = _Runs()
 
     def _encode_parts(self, parts: list[str]) -> None:
-        plain = [p for p in parts if self.LETTERS.fullmatch(p)]
+        plain, rest = [], []
+        for p in parts:
+            (plain if self.LETTERS.fullmatch(p) else rest).append(p)
         # words of letters are single pre-tokens, whose last token ends with the word-end mark: many go in one text
         for k in range(0, len(plain), 50_000):
             some = plain[k : k + 50_000]
@@ -106,7 +108,6 @@ class WordEncoder:
             if len(ends) != len(some):
                 raise ValueError("a word of letters is not one pre-token of this tokenizer")
             self._add(some, ids, np.diff(ends, prepend=0))
-        rest = [p for p in parts if not self.LETTERS.fullmatch(p)]
         for k in range(0, len(rest), 20_000):
             self._add(rest[k : k + 20_000], *self._ids(rest[k : k + 20_000]))
 
@@ -122,14 +123,16 @@ class WordEncoder:
         self.parts.update(zip(parts, range(n, n + len(parts))))
 
     def _learn(self, words: list[str]) -> None:
-        found = list(map(self.PLAIN.fullmatch, words))
-        heads = [m[1].lower() if m else w for m, w in zip(found, words)]
-        tails = [m[2] if m else "" for m in found]
-        self._encode_parts(sorted({*heads, *tails}.difference(self.parts)))
+        whole = pa.array(words, pa.large_string())
+        found = pc.extract_regex(whole, pattern=self.PLAIN)
+        heads = pc.if_else(found.is_valid(), pc.utf8_lower(found.field("head")), whole).dictionary_encode()
+        tails = pc.if_else(found.is_valid(), found.field("tail"), "").dictionary_encode()
+        names = [x.dictionary.to_pylist() for x in (heads, tails)]
+        self._encode_parts(sorted(set().union(*names).difference(self.parts)))
         n, k = len(self.words), len(words)
         both = np.empty(2 * k, np.int32)
-        both[::2] = np.fromiter(map(self.parts.__getitem__, heads), np.int32, k)
-        both[1::2] = np.fromiter(map(self.parts.__getitem__, tails), np.int32, k)
+        for i, (x, own) in enumerate(zip((heads, tails), names)):
+            both[i::2] = np.fromiter(map(self.parts.__getitem__, own), np.int32, len(own))[x.indices.to_numpy()]
         ids, size = self.part_ids.take(both)
         self.word_ids.append(ids, size[::2] + size[1::2])
         self.words.update(zip(words, range(n, n + k)))
