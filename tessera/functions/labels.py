@@ -43,6 +43,7 @@ def same_text(a: Column, b: str) -> Column:
 
 #: Handles of platforms, which are no suspects.
 PLATFORM_HANDLES = ("@youtube", "@twitter", "@x", "@instagram", "@facebook", "@reddit", "@gmail")
+#: Fixed value: how a text names the account that posted.
 MENTION = r"(?i)(?:(?:post|tweet|screengrab|shared|uploaded|circulated|posted|claimed|by|handle|user)\s+(?:on\s+[\w\.]+\s+)?(?:by\s+)?|via\s+|from\s+)(@[a-zA-Z0-9_]{3,25})"
 
 
@@ -52,9 +53,13 @@ def suspect_account(text: Column) -> Column:
     return F.when((found != "") & ~F.lower(found).isin(*PLATFORM_HANDLES), found)
 
 
+#: Fixed value: where a video's eleven-character id stands in its URL.
+VIDEO_ID = r"(?:v=|/v/|youtu\.be/|/embed/|/shorts/)([a-zA-Z0-9_-]{11})"
+
+
 def media_url(url: Column, thumbnail: Column, image: Column) -> Column:
     """A medium's URL without a request: the thumbnail, the image, a video's still, or the URL itself if it is one of a medium."""
-    video = F.regexp_extract(url, r"(?:v=|/v/|youtu\.be/|/embed/|/shorts/)([a-zA-Z0-9_-]{11})", 1)
+    video = F.regexp_extract(url, VIDEO_ID, 1)
     tube = (url.contains("youtube.com") | url.contains("youtu.be")) & (video != "")
     direct = F.lower(url).rlike(r"\.(jpg|jpeg|png|webp|mp4)$") | url.contains("i.redd.it") | url.contains("v.redd.it") | url.contains("i.imgur.com")
     return F.coalesce(F.nullif(thumbnail, F.lit("")), F.nullif(image, F.lit("")), F.when(tube, F.concat(F.lit("https://img.youtube.com/vi/"), video, F.lit("/hqdefault.jpg"))).when(direct, url))
@@ -128,12 +133,16 @@ def dimension_hints(width: Column, height: Column) -> Column:
     ))
 
 
+#: Dates and times in file names, dashed or after the name of a source.
+DASHED_TIME = r"(\d{4}-\d{2}-\d{2})[^\d]+(\d{1,2})[.\-_](\d{2})[.\-_](\d{2})"
+SOURCE_DAY = r"(?:img|screenshot|photo|pxl|dsc|fb_img|mmexport|signal)[_-]?(\d{4})(\d{2})(\d{2})"
+
+
 def date_hint(taken: Column, name: Column) -> Column:
     """A date and time as text: the camera's, else that in a file name, missing times as 00."""
     exif = F.nullif(F.trim(taken), F.lit(""))
     stem = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)^[a-f0-9]{32}[_-]", "")
-    dashed = r"(\d{4}-\d{2}-\d{2})[^\d]+(\d{1,2})[.\-_](\d{2})[.\-_](\d{2})"
-    source = r"(?:img|screenshot|photo|pxl|dsc|fb_img|mmexport|signal)[_-]?(\d{4})(\d{2})(\d{2})"
+    dashed, source = DASHED_TIME, SOURCE_DAY
     part = lambda p, k: F.regexp_extract(stem, p, k)
     whole, day = source + r"[_-]?(\d{2})(\d{2})(\d{2})", F.concat_ws("-", *[part(source, k) for k in (1, 2, 3)])
     at = lambda d, h, m, s: F.concat(d, F.lit(" "), F.lpad(h, 2, "0"), F.lit(":"), m, F.lit(":"), s)
@@ -174,10 +183,14 @@ def scene_tokens(name: Column) -> Column:
     return F.struct(F.slice(tokens, 1, 5).alias("tokens"), F.coalesce(F.nullif(F.array_join(event, " "), F.lit("")), F.lit("Protest rally procession")).alias("event"), F.coalesce(year, F.lit("2021")).alias("year"))
 
 
+#: Parts of a URL that tell a master copy, and a large one.
+MASTER_PARTS, LARGE_PARTS = "-1x-1|master|original|highres|hires", "2200|2048|1920|1800|1600|1400|1200"
+
+
 def image_rank(url: Column) -> Column:
     """0 for a master copy, 1 for a large one, 2 otherwise."""
     u = F.lower(url)
-    return F.when(u.rlike("-1x-1|master|original|highres|hires"), 0).when(u.rlike("2200|2048|1920|1800|1600|1400|1200"), 1).otherwise(2)
+    return F.when(u.rlike(MASTER_PARTS), 0).when(u.rlike(LARGE_PARTS), 1).otherwise(2)
 
 
 def page_priority(domain: Column, hop: Column, wires: Sequence[str]) -> Column:
