@@ -95,7 +95,8 @@ def _lang(lang: Column) -> Column:
 
 
 def few_rows(df: DataFrame, most: int = 256) -> DataFrame:
-    """df marked for broadcast if it has `most` rows or fewer, else as it is, for a shuffled join."""
+    """df marked for broadcast if it has `most` rows or fewer, else written, for a shuffled join in which adaptive execution splits large languages."""
+    df = materialise(df, "few")
     rows = df.limit(most + 1).collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
