@@ -120,3 +120,21 @@ def meaningful_filename(name: Column) -> Column:
         stem.rlike(r"^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$") | stem.rlike(r"^[0-9a-f]{16,}$") | stem.rlike(r"^(img|image|dsc|dscn|pxl|vid|video|screenshot|whatsapp|photo|upload|file|download|untitled|tmp|temp)[ _-]*[0-9_ -]*(at.*)?$") | stem.rlike(r"^[0-9_ -]*$")
     )
     return F.coalesce(~odd & (F.length(F.regexp_replace(stem, "[^a-z]", "")) >= 3), F.lit(False))
+
+
+#: Days in URLs, as folders, in names, as bare digits, and months as folders; in the order in which they count.
+DAY = r"(20\d{2})%s(0[1-9]|1[0-2])%s(0[1-9]|[12]\d|3[01])"
+URL_DAYS = ("/" + DAY % ("[-/_]", "[-/_]"), DAY % ("[-_]", "[-_]"), DAY % ("", ""))
+URL_MONTH = r"/(20\d{2})/(0[1-9]|1[0-2])/"
+
+
+def http_time(text: Column) -> Column:
+    """The instant of an HTTP date header; null if it is none."""
+    return F.try_to_timestamp(F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+
+
+def media_time(url: Column, last_modified: Column, date: Column) -> Column:
+    """When a medium was published, by the day in its URL, the Last-Modified header, the month in its URL, or the Date header."""
+    days = [F.try_to_timestamp(F.concat_ws("-", *[F.nullif(F.regexp_extract(url, p, k), F.lit("")) for k in (1, 2, 3)]), F.lit("yyyy-MM-dd")) for p in URL_DAYS]
+    month = F.try_to_timestamp(F.concat_ws("-", *[F.nullif(F.regexp_extract(url, URL_MONTH, k), F.lit("")) for k in (1, 2)], F.lit("01")), F.lit("yyyy-MM-dd"))
+    return F.coalesce(*days, http_time(last_modified), month, http_time(date))

@@ -310,3 +310,27 @@ def earliest(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("ts", F.when(C("event_id") % 20 == 0, F.lit("1999-01-01").cast("timestamp")).otherwise(C("ts")))
     ok = (C("event_type") != "error") | (C("value") <= 30)
     return au.earliest_valid(ev, ["user_id"], "ts", ok).select("user_id", F.unix_micros("earliest").alias("earliest_us"))
+
+
+TIMED = {
+    "event_id": "event_id", "url": "CASE event_id % 6 WHEN 0 THEN 'https://a/2021/03/04/x.jpg' WHEN 1 THEN 'https://a/x-2022-05_06.jpg' WHEN 2 THEN 'https://a/x20230708.jpg' WHEN 3 THEN 'https://a/2020/09/x.jpg' ELSE 'https://a/x.jpg' END",
+    "modified": "CASE WHEN event_id % 12 = 3 THEN 'Wed, 21 Oct 2015 07:28:00 GMT' WHEN event_id % 12 = 4 THEN 'soon' END", "dated": "CASE WHEN event_id % 6 = 4 THEN 'Tue, 3 Feb 2015 00:00:01 GMT' END",
+}
+
+
+@register("function_media_time", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN '2021-03-04 00:00:00' WHEN 1 THEN '2022-05-06 00:00:00' WHEN 2 THEN '2023-07-08 00:00:00' WHEN 3 THEN CASE WHEN event_id % 12 = 3 THEN '2015-10-21 07:28:00' ELSE '2020-09-01 00:00:00' END WHEN 4 THEN '2015-02-03 00:00:01' END AS at FROM events")
+def media_time(spark, sf_dir):
+    from tessera.functions.urls import media_time as when
+
+    return made(spark, sf_dir, "events", TIMED).select("event_id", F.date_format(when(C("url"), C("modified"), C("dated")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+PAYLOAD = {"p_partkey": "p_partkey", "payload": """'{"a":{"media_path":"/tmp/x' || CAST(p_partkey AS STRING) || '.mp4","log_directory":"data/l","n":1},"l":[{"u":"file:///tmp/y"},{"plot":"/out/p.png"}],"note":"/kept/as/text","cache_path":"relative"}'"""}
+
+
+@register("function_public_payload", """SELECT p_partkey, '{"a":{"media_path":"evidence://sha256/s' || p_partkey || '","log_directory":"REDACTED_INTERNAL_PATH","n":1},"l":[{"u":"REDACTED_INTERNAL_PATH"},{"plot":"/api/p"}],"note":"/kept/as/text","cache_path":"relative"}' AS payload FROM part""")
+def public_payload(spark, sf_dir):
+    from tessera.functions.ids import public_payload as public
+
+    sha = F.concat(F.lit("s"), C("p_partkey").cast("string"))
+    return made(spark, sf_dir, "part", PAYLOAD).select("p_partkey", public(C("payload"), sha, {"/out/p.png": "/api/p"}).alias("payload"))
