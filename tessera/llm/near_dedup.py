@@ -243,8 +243,11 @@ class NearDuplicates:
     def _buckets(self) -> DataFrame:
         """(band, node, n, z1, z2, members) of buckets with two members or more."""
         rows = self.classes.select("node", "n", "sketch").mapInArrow(_bands(self.bands, self.rows), "band long, node long, n long, z1 long, z2 long")
-        full = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-        return materialise(rows.join(full, "band"), "buckets")
+        # written: no aggregate shares the join's stage, so that the rows of a hot band can be split; so in _open and _star
+        full = materialise(rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "bands")
+        buckets = materialise(rows.join(full, "band"), "buckets")
+        release(full)
+        return buckets
 
     def _pairs(self, joined: DataFrame) -> DataFrame:
         """Of rows with node, n, z1, z2 and another member in node_, n_, z1_, z2_: the pairs (a, b, na, nb) that sizes and bits allow."""
@@ -261,7 +264,9 @@ class NearDuplicates:
         sets = self._full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         x, y = sets.toDF("a", "xs", "xk"), sets.toDF("b", "ys", "yk")
         tried = pairs.join(x, "a").join(y, "b").where("length(xs) > 0 and length(ys) > 0")
-        return materialise(tried.select("a", "b", "xs", "xk", "ys", "yk").mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        links = materialise(tried.select("a", "b", "xs", "xk", "ys", "yk").mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        release(pairs, sets)
+        return links
 
     def _full_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles, sketch) of the nodes and of some others."""
@@ -272,15 +277,18 @@ class NearDuplicates:
         """The rows of buckets that hold more than one component, with comp."""
         named = rows.join(connected_components(links, "a", "b"), "node", "left")
         named = named.withColumn("comp", F.coalesce("component", "node")).drop("component")
-        more = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        return materialise(named.join(more, "band"), "open")
+        named = materialise(named, "named")
+        more = materialise(named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band"), "more")
+        still = materialise(named.join(more, "band"), "open")
+        release(named, more)
+        return still
 
     def _star(self, rows: DataFrame) -> DataFrame:
         """Pairs of every bucket's most central member with its other members."""
         central = rows.groupBy("node").agg(F.sum("members").alias("weight"))
         named = rows.join(central, "node")
         pivot = named.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("o"), "node", "n", "z1", "z2")).alias("p"))
-        other = pivot.select("band", *[F.col(f"p.{c}").alias(f"{c}_") for c in ("node", "n", "z1", "z2")])
+        other = materialise(pivot.select("band", *[F.col(f"p.{c}").alias(f"{c}_") for c in ("node", "n", "z1", "z2")]), "pivots")
         return self._pairs(rows.join(other, "band").where("node <> node_"))
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
@@ -296,9 +304,11 @@ class NearDuplicates:
         placed = rows.withColumn("slot", slot).join(spread, ["band", "slot"]).withColumn("rest", (F.col("comp") != F.col("core")).cast("int"))
         block = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("rest") == 1, F.col("n_rest")).otherwise(F.col("n_all")))
         keyed = placed.select("node", "comp", "band", "rest", block.alias("block"))
-        sets = self._full_sets(rows.select("node")).drop("sketch").where("length(shingles) > 0")
+        whole = self._full_sets(rows.select("node"))
+        sets = whole.drop("sketch").where("length(shingles) > 0")
         blocks = keyed.join(sets, "node").groupBy("band", "rest", "block").agg(F.collect_list(F.struct("node", "comp", "shingles")).alias("ms"))
         blocks = materialise(blocks, "blocks")
+        release(whole)
         x = blocks.where("rest = 1").select("band", F.col("block").alias("bx"), F.col("ms").alias("xs"))
         y = blocks.select("band", F.col("rest").alias("ry"), F.col("block").alias("by"), F.col("ms").alias("ys"))
         counts = plan.select("band", F.explode(F.array(F.struct(F.lit(0).alias("ry"), F.col("n_all").alias("ny")), F.struct(F.lit(1).alias("ry"), F.col("n_rest").alias("ny")))).alias("o")).select("band", "o.ry", "o.ny")
@@ -315,7 +325,10 @@ class NearDuplicates:
         other = small.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "z1", "z2")])
         direct = self._pairs(small.join(other, "band").where("node < node_"))
         links = self._check(direct.unionByName(self._star(large)))
-        return links.unionByName(self._blocks(self._open(large, links)))
+        still = self._open(large, links)
+        more = self._blocks(still)
+        release(rows, still)
+        return links.unionByName(more)
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept, one row a row of the input."""
