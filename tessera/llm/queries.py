@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_repair, decontam, divergence, kd_shards, near_dedup, quality_knn, secret_automata, sp_dropout, substring_dedup, token_store
+from tessera.llm import chat_repair, decontam, divergence, filter_audit, kd_shards, near_dedup, quality_knn, secret_automata, slack_packing, sp_dropout, substring_dedup, token_store, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,20 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automata.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {"op2_decontam": decontam.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontam": decontam.SQL, "op12_vector_codes": vector_codes.SQL, "op13_filter_audit": filter_audit.SQL}
