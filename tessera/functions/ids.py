@@ -89,20 +89,3 @@ def redact(text: Column, secrets: list[str], mark: str = "[REDACTED]") -> Column
 def redact_paths(text: Column, mark: str = "[path]") -> Column:
     """text with absolute POSIX and drive paths replaced."""
     return F.regexp_replace(text, r"(?<![\w:/])(?:[A-Za-z]:\\|/)(?:[\w.-]+[/\\])+[\w.-]+", mark)
-
-
-#: Keys of a payload that hold paths, those whose path stands for the evidence itself, and what a path begins with.
-PATH_KEYS, EVIDENCE_KEYS = r"[A-Za-z0-9_]*(?:path|directory|folder)[A-Za-z0-9_]*", r"(?:path|media_path|file_path|[A-Za-z0-9_]*image[A-Za-z0-9_]*(?:path|directory|folder)[A-Za-z0-9_]*|[A-Za-z0-9_]*(?:path|directory|folder)[A-Za-z0-9_]*image[A-Za-z0-9_]*)"
-PATH_STARTS = r"(?:/|data/|runs/|outputs/)"
-
-
-def public_payload(payload: Column, sha256: Column, artifacts: dict[str, str], hidden: str = "REDACTED_INTERNAL_PATH") -> Column:
-    """A JSON text of any nesting without local paths: registered artifacts become their URL, the evidence's own path its digest, other paths and file URLs are hidden."""
-    out = payload
-    for path, url in artifacts.items():
-        for known in (path, f"file://{path}"):
-            out = F.replace(out, F.lit(f'"{known}"'), F.lit(f'"{url}"'))
-    out = F.regexp_replace(out, '"file://[^"]*"', f'"{hidden}"')
-    own = F.concat(F.lit('$1"evidence://sha256/'), sha256, F.lit('"'))
-    out = F.regexp_replace(out, F.lit(rf'(?i)("{EVIDENCE_KEYS}"\s*:\s*)"{PATH_STARTS}[^"]*"'), own)
-    return F.regexp_replace(out, rf'(?i)("{PATH_KEYS}"\s*:\s*)"{PATH_STARTS}[^"]*"', f'$1"{hidden}"')

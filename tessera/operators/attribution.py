@@ -7,32 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.audits import first_of
+from tessera.operators.scans import dealt, scan
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, order: str, value: str) -> DataFrame:
     """left with `value`: that of the last right row of the same key at or before its time; null if there is none.
 
-    Both sides are put in one sequence a key, right rows first at equal times, so
-    it is one shuffle and a window instead of a join on a range.
+    Both sides are put in one sequence a key, right rows first at equal times, and scanned for the last
+    value (`scans`), so there is no join on a range and a key's rows spread over tasks.
     """
     a = left.select(*by, ts, order, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(*by, ts, order, F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*by).orderBy(ts, "_side", order).rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*by, ts, order, value)
+    along = [ts, "_side", order]
+    return scan(dealt(a.unionByName(b), by, along), by, along, {value: ("last", "_v")}).where("_side = 1").select(*by, ts, order, value)
 
 
 def tick_sampler(frames: DataFrame, by: Sequence[str], ts: str, per_second: float, order: str) -> DataFrame:
     """Frames that a sampler takes whose next tick moves on by one period a frame taken, never more (so it catches up after a gap).
 
     Of the ticks due by frame j (c_j), one a frame can be taken, so up to frame i
-    min over j <= i of (c_j - j) + i are; a frame is taken where that number grows.
+    min(0, min over j <= i of (c_j - j)) + i are; frame i is taken where that number grows, which
+    is where c_i - i is not below the minimum so far.
     """
-    w = Window.partitionBy(*by).orderBy(ts, order)
-    i = F.row_number().over(w)
-    d = frames.withColumn("_i", i).withColumn("_c", F.floor((F.col(ts).cast("double") + 1e-9) * per_second) + 1)
-    d = d.withColumn("_n", F.least(F.min(F.col("_c") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.col("_i"))
-    d = d.withColumn("_b", F.coalesce(F.lag("_n").over(w), F.lit(0)))
-    return d.where(F.col("_n") > F.col("_b")).drop("_i", "_c", "_n", "_b")
+    along = [ts, order]
+    d = scan(dealt(frames, by, along), by, along, {"_i": ("sum", F.lit(1).cast("long"))})
+    d = d.withColumn("_d", F.floor((F.col(ts).cast("double") + 1e-9) * per_second) + 1 - F.col("_i"))
+    d = scan(d, by, along, {"_m": ("min_before", "_d")})
+    return d.where(F.col("_d") >= F.least(F.coalesce("_m", F.lit(0).cast("long")), F.lit(0).cast("long"))).select(*frames.columns)
 
 
 def known_similarity(by_key: Column, by_url: Column, own: Column) -> Column:

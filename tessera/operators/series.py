@@ -6,13 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.intervals import interval_join
+from tessera.operators.scans import dealt, scan
+
 
 def gap_runs(df: DataFrame, by: Sequence[str], ts: str, gap: float, tie: str) -> DataFrame:
-    """df with run (0-based, within by), pos (0-based, within by) and run_pos; a step of more than gap starts a run."""
-    w = Window.partitionBy(*by).orderBy(ts, tie)
-    step = (F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)) > gap
-    df = df.withColumn("run", F.sum(F.when(step, 1).otherwise(0)).over(w)).withColumn("pos", F.row_number().over(w) - 1)
-    return df.withColumn("run_pos", F.row_number().over(Window.partitionBy(*by, "run").orderBy(ts, tie)) - 1)
+    """df with run (0-based, within by), pos (0-based, within by) and run_pos; a step of more than gap starts a run.
+
+    A key's rows are spread over tasks (`scans`), however many it has.
+    """
+    order = [ts, tie]
+    d = scan(dealt(df, by, order), by, order, {"_b": ("lag", F.col(ts).cast("double"))})
+    d = d.withColumn("_new", F.coalesce((F.col(ts).cast("double") - F.col("_b") > gap).cast("long"), F.lit(0).cast("long")))
+    d = scan(d, by, order, {"run": ("sum", "_new"), "_n": ("sum", F.lit(1).cast("long"))}).withColumn("pos", F.col("_n") - 1)
+    d = scan(d, by, order, {"_first": ("last", F.when((F.col("_new") == 1) | (F.col("pos") == 0), F.col("pos")))})
+    return d.select(*df.columns, "run", "pos", (F.col("pos") - F.col("_first")).alias("run_pos"))
 
 
 def run_table(runs: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
@@ -31,15 +39,16 @@ def segments(runs: DataFrame, by: Sequence[str], ts: str, value: str, length: in
 
 def velocity(df: DataFrame, by: Sequence[str], ts: str, value: str, tie: str) -> DataFrame:
     """df with the change of value per second since the previous row that has a value; 0 for the first."""
-    w = Window.partitionBy(*by).orderBy(ts, tie)
-    dt = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
-    return df.where(F.col(value).isNotNull()).withColumn("velocity", F.coalesce(F.try_divide(F.col(value) - F.lag(value).over(w), F.when(dt > 0, dt)), F.lit(0.0)))
+    order = [ts, tie]
+    d = scan(dealt(df.where(F.col(value).isNotNull()), by, order), by, order, {"_t": ("lag", F.col(ts).cast("double")), "_v": ("lag", value)})
+    dt = F.col(ts).cast("double") - F.col("_t")
+    return d.select(*df.columns, F.coalesce(F.try_divide(F.col(value) - F.col("_v"), F.when(dt > 0, dt)), F.lit(0.0)).alias("velocity"))
 
 
 def collapse_repeats(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str) -> DataFrame:
     """Rows whose label differs from the one before."""
-    before = F.lag(label).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(label))).drop("_b")
+    d = scan(dealt(df, by, order), by, order, {"_b": ("lag", label)})
+    return d.where(F.col("_b").isNull() | (F.col("_b") != F.col(label))).select(*df.columns)
 
 
 def first_per_tick(df: DataFrame, by: Sequence[str], ts: str, per_second: float, tie: str) -> DataFrame:
@@ -48,19 +57,19 @@ def first_per_tick(df: DataFrame, by: Sequence[str], ts: str, per_second: float,
     return df.groupBy(*by, tick).agg(F.min_by(tie, F.struct(ts, tie)).alias(tie), F.min(ts).alias(ts))
 
 
-def interval_align(windows: DataFrame, frames: DataFrame, by: str, width: float, least: int = 2) -> DataFrame:
-    """(by, start_sec, n, mean, motion) of half-open windows [start, start + width) with `least` frames or more.
+def interval_align(windows: DataFrame, frames: DataFrame, by: str, cell: float, least: int = 2) -> DataFrame:
+    """(by, start_sec, end_sec, n, mean, motion) of the distinct half-open windows [start_sec, end_sec) with `least` frames or more.
 
-    windows: by, start_sec, end_sec; frames: by, ts, value. The join is on by and
-    a bucket of the windows' width, so it stays an equi-join; a frame meets only
-    the two buckets a window can begin in. motion is the mean absolute change
-    from frame to frame inside the window.
+    windows: by, start_sec, end_sec, of any lengths, overlapping or not; frames: by, ts, value; cell: about
+    the shortest window (see `interval_join`). motion is the mean absolute change from frame to frame
+    inside the window. As a window's frames follow each other, the frame before one is in the window
+    if its time is, so each frame takes that time and value along and windows are plain sums.
     """
-    f = frames.select(F.col(by).alias("_by"), F.col("ts"), "value", F.explode(F.array(F.floor(F.col("ts") / width), F.floor(F.col("ts") / width) - 1)).alias("_k"))
-    w = windows.select(by, "start_sec", "end_sec", F.floor(F.col("start_sec") / width).alias("_k2"))
-    hit = w.join(f, (F.col(by) == F.col("_by")) & (F.col("_k") == F.col("_k2")) & (F.col("ts") >= F.col("start_sec")) & (F.col("ts") < F.col("end_sec")))
-    change = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy(by, "start_sec").orderBy("ts")))
-    return hit.withColumn("_d", change).groupBy(by, "start_sec").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg("_d").alias("motion")).where(F.col("n") >= least)
+    order = ["ts", "value"]
+    f = scan(dealt(frames.select(by, "ts", "value").where("ts is not null"), [by], order), [by], order, {"_t": ("lag", "ts"), "_v": ("lag", "value")})
+    hit = interval_join(windows.select(by, "start_sec", "end_sec").distinct(), f.select(by, "ts", "value", "_t", "_v"), by, cell=cell)
+    change = F.when(F.col("_t") >= F.col("start_sec"), F.abs(F.col("value") - F.col("_v")))
+    return hit.groupBy(by, "start_sec", "end_sec").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(change).alias("motion")).where(F.col("n") >= least)
 
 
 def shifted_pairs(runs: DataFrame, by: Sequence[str], left: str, right: str, offsets: Sequence[int]) -> DataFrame:

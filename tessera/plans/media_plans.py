@@ -28,7 +28,8 @@ def _even(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     ev = table(spark, sf_dir, "events").withColumn("n", n)
     t = C("n") * 0.25 + F.when(C("n") >= 25, 5).otherwise(0) + F.when(C("event_id") % 41 == 0, 0.1).otherwise(0)
-    return s.gap_runs(ev.withColumn("t", t), ["user_id"], "t", 4.0, "event_id")
+    runs = s.gap_runs(ev.withColumn("t", t), ["user_id"], "t", 4.0, "event_id")
+    return runs.withColumns({c: C(c).cast("int") for c in ("pos", "run_pos")})
 
 
 @register("series_vector_deltas", f"WITH {EVEN} SELECT event_id, round(coalesce(value - lag(value) OVER w, 0), 6) AS d0, round(coalesce(2 * (value - lag(value) OVER w), 0), 6) AS d1 FROM e2 WINDOW w AS (PARTITION BY user_id, run ORDER BY run_pos)")

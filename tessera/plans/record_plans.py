@@ -330,7 +330,31 @@ PAYLOAD = {"p_partkey": "p_partkey", "payload": """'{"a":{"media_path":"/tmp/x'
 
 @register("function_public_payload", """SELECT p_partkey, '{"a":{"media_path":"evidence://sha256/s' || p_partkey || '","log_directory":"REDACTED_INTERNAL_PATH","n":1},"l":[{"u":"REDACTED_INTERNAL_PATH"},{"plot":"/api/p"}],"note":"/kept/as/text","cache_path":"relative"}' AS payload FROM part""")
 def public_payload(spark, sf_dir):
-    from tessera.functions.ids import public_payload as public
+    from tessera.functions.payloads import public_payload as public
 
     sha = F.concat(F.lit("s"), C("p_partkey").cast("string"))
     return made(spark, sf_dir, "part", PAYLOAD).select("p_partkey", public(C("payload"), sha, {"/out/p.png": "/api/p"}).alias("payload"))
+
+
+@register("function_public_texts", r"""
+SELECT doc_id, md5('see "REDACTED_INTERNAL_PATH" \ ' || text) AS note_md5, 'evidence://sha256/' || sha256(text) AS own, 'REDACTED_INTERNAL_PATH' AS first_log, 'kept "as" it is' AS second_log, '/api/' || doc_id AS plot, '/x\"y/' || doc_id AS label FROM documents""")
+def public_texts(spark, sf_dir):
+    """Payloads around whole texts, with quotes and backslashes in paths, nested lists and file URLs inside a text."""
+    from tessera.functions.payloads import public_payload as public
+
+    key = C("doc_id").cast("string")
+    inner = F.struct(F.concat(F.lit('/srv/a"b\\'), key, F.lit(".mp4")).alias("Image_Path"), F.array(F.array(F.concat(F.lit('outputs/"x"/'), key)), F.array(F.lit('kept "as" it is'))).alias("log_folders"))
+    whole = F.struct(F.concat(F.lit('see "file:///tmp/'), key, F.lit('" \\ '), C("text")).alias("note"), F.array(inner).alias("items"), F.lit("file:///out/p.png").alias("plot"), F.concat(F.lit('/x\\"y/'), key).alias("label"))
+    kind = "note string, items array<struct<Image_Path: string, log_folders: array<array<string>>>>, plot string, label string"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.from_json(public(F.to_json(whole), F.sha2("text", 256), {"/out/p.png": "/api/"}), kind).alias("p"))
+    logs = F.flatten(C("p.items")[0]["log_folders"])
+    return d.select("doc_id", F.md5(C("p.note").cast("binary")).alias("note_md5"), C("p.items")[0]["Image_Path"].alias("own"), logs[0].alias("first_log"), logs[1].alias("second_log"), F.concat("p.plot", C("doc_id").cast("string")).alias("plot"), C("p.label").alias("label"))
+
+
+@register("function_redacted_payload", "SELECT doc_id, md5(replace(replace(text, 'tion', '[REDACTED]'), 'the', '[REDACTED]')) AS nested_md5, 'o[REDACTED]r' AS key, md5(replace(replace(text || '\"', 'tion', '[REDACTED]'), 'the', '[REDACTED]')) AS value_md5 FROM documents")
+def redacted_payload(spark, sf_dir):
+    from tessera.functions.payloads import redacted_payload as redacted
+
+    whole = F.struct(F.array(F.array("text")).alias("a"), F.create_map(F.lit("other"), F.concat("text", F.lit('"'))).alias("m"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.from_json(redacted(F.to_json(whole), ["the", "", "tion"]), "a array<array<string>>, m map<string, string>").alias("p"))
+    return d.select("doc_id", F.md5(F.flatten("p.a")[0].cast("binary")).alias("nested_md5"), F.map_keys("p.m")[0].alias("key"), F.md5(F.map_values("p.m")[0].cast("binary")).alias("value_md5"))

@@ -17,7 +17,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY t, event_i
 
 def _runs(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("double").alias("t"))
-    return s.gap_runs(ev, ["user_id"], "t", 36000.0, "event_id")
+    runs = s.gap_runs(ev, ["user_id"], "t", 36000.0, "event_id")
+    return runs.withColumns({c: F.col(c).cast("int") for c in ("pos", "run_pos")})
 
 
 @register("series_gap_runs", f"WITH {RUNS} SELECT user_id, CAST(run AS BIGINT) AS run, CAST(min(pos) AS INT) AS first, CAST(max(pos) + 1 AS INT) AS last, count(*) AS n, round(min(t), 3) AS start, round(max(t), 3) AS \"end\" FROM r GROUP BY user_id, run")
@@ -59,7 +60,19 @@ def interval_align(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.col("ts").cast("double").alias("ts"))
     start = (F.floor(F.col("ts") / 21600) * 21600 + 3600).cast("double").alias("start_sec")
     w = ev.where("event_type = 'signup'").select("user_id", start).distinct().withColumn("end_sec", F.col("start_sec") + 43200)
-    return r6(s.interval_align(w, ev.drop("event_type"), "user_id", 43200.0))
+    return r6(s.interval_align(w, ev.drop("event_type"), "user_id", 43200.0).drop("end_sec"))
+
+
+@register("series_mixed_windows", """
+WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, value FROM events), w AS (SELECT DISTINCT user_id, floor(t / 60) * 60 AS s, floor(t / 60) * 60 + 60 * pow(10, event_id % 5) AS z FROM e WHERE event_id % 3 = 0),
+h AS (SELECT w.user_id, s, z, value, abs(value - lag(value) OVER (PARTITION BY w.user_id, s, z ORDER BY t, value)) AS d FROM w JOIN e ON w.user_id = e.user_id AND t >= s AND t < z)
+SELECT user_id, s AS start_sec, z AS end_sec, count(*) AS n, round(avg(value), 6) AS mean, round(avg(d), 6) AS motion FROM h GROUP BY user_id, s, z HAVING count(*) >= 2""")
+def mixed_windows(spark, sf_dir):
+    """Windows of a minute to a week, overlapping, of one table."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.col("ts").cast("double").alias("ts"))
+    start = (F.floor(F.col("ts") / 60) * 60).cast("double").alias("start_sec")
+    w = ev.where("event_id % 3 = 0").select("user_id", start, (60 * F.pow(F.lit(10.0), F.col("event_id") % 5)).alias("_l")).select("user_id", "start_sec", (F.col("start_sec") + F.col("_l")).alias("end_sec"))
+    return r6(s.interval_align(w, ev.drop("event_id"), "user_id", 60.0))
 
 
 @register("series_shifted_pairs", f"""
