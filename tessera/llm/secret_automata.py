@@ -13,7 +13,11 @@ likelihood is that of the length among the learned strings times that of the
 characters given that the string goes on.
 
 Samples are those values that come first by a hash of the value, over all rows, so
-they and the automata depend neither on the order of rows nor on partitions.
+they and the automata depend neither on the order of rows nor on partitions. They are bounded
+in strings and in characters: of a string, tasks keep the first `longest` characters and its
+length; of a label's strings, so many of the first characters are learned from that all together have
+`chars` at most (all of them, where the strings are as short as credentials usually are). A string cut off
+goes on: its last state neither counts an end nor a next character. Lengths are whole ones.
 
 Cases: a null text is an empty one and has no spans; an empty table gives no
 rows and trains nothing; repeated rows and doc_ids stay as they are, as rows are
@@ -54,7 +58,7 @@ ORDINARY = 16
 #: Verdicts on runs that a worker keeps, of runs up to this length.
 KEPT_RUNS, KEPT_LENGTH = 200_000, 64
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as HEX with short matches dropped
-FOUND = "kind int, place long, value string"
+FOUND = "kind int, place long, value string, length long"
 
 
 def base_spans(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[int, int, int, str]]:
@@ -78,25 +82,29 @@ def _places(values: list[str]) -> np.ndarray:
 
 
 class _Sample:
-    """Of all distinct values added, the `most` with the smallest places."""
+    """Of all distinct values added, the `most` with the smallest places; of each, the first `longest` characters and its length."""
 
-    def __init__(self, most: int):
-        self.most, self.kept, self.limit = most, {}, 1 << 63
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest, self.limit = most, longest, 1 << 63
+        #: places by value, of longer ones by what is kept of them
+        self.kept: dict[str | tuple[str, int, int], int] = {}
 
     def add(self, values: set[str]) -> None:
-        fresh = [v for v in values if v not in self.kept]
-        self.kept.update((v, p) for v, p in zip(fresh, _places(fresh).tolist()) if p < self.limit)
+        fresh = [v for v in values if len(v) > self.longest or v not in self.kept]
+        for v, p in zip(fresh, _places(fresh).tolist()):
+            if p < self.limit:
+                self.kept[v if len(v) <= self.longest else (v[: self.longest], len(v), p)] = p
         if len(self.kept) > 2 * self.most:
             self._cut()
 
     def _cut(self) -> None:
-        self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.most])
+        self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1], x[0] if isinstance(x[0], str) else x[0][0]))[: self.most])
         if len(self.kept) == self.most:
             self.limit = max(self.kept.values()) + 1
 
-    def rows(self) -> list[tuple[int, str]]:
+    def rows(self) -> list[tuple[int, str, int]]:
         self._cut()
-        return [(p, v) for v, p in self.kept.items()]
+        return [(p, v, len(v)) if isinstance(v, str) else (p, v[0], v[1]) for v, p in self.kept.items()]
 
 
 def _spans(text: pa.Array) -> Iterator[tuple[str, list[tuple[int, int, int, str]]]]:
@@ -117,11 +125,11 @@ def _outside(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[re.M
             yield m
 
 
-def _scan(sample: int):
+def _scan(sample: int, longest: int):
     """kind, place and value of what automata learn from: a partition's `sample` values a kind, and ORDINARY times as many ordinary runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [*(_Sample(sample) for _ in KINDS), _Sample(ORDINARY * sample)]
+        samples = [*(_Sample(sample, longest) for _ in KINDS), _Sample(ORDINARY * sample, longest)]
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 found: list[set[str]] = [set() for _ in samples]
@@ -133,7 +141,8 @@ def _scan(sample: int):
                     one.add(values)
         for kind, one in enumerate(samples):
             rows = one.rows()
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())], names=["kind", "place", "value"])
+            columns = [pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *columns], names=["kind", "place", "value", "length"])
 
     return run
 
@@ -155,22 +164,24 @@ ALPHABET = ["d", "h", "l", "H", "L", *"+/_.=-"]
 
 
 class Automaton:
-    """A probabilistic deterministic automaton inferred from strings by state merging."""
+    """A probabilistic deterministic automaton inferred from strings by state merging. sizes: their whole lengths, where strings are only the beginnings."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.lengths, self.n_strings = Counter(map(len, strings)), len(strings)
+    def __init__(self, strings: list[str], sizes: list[int] | None = None, alpha: float = 0.05):
+        sizes = sizes or list(map(len, strings))
+        self.lengths, self.n_strings = Counter(sizes), len(strings)
         self.total, self.final, self.move, self.count = [0], [0], [{}], [{}]
-        for s in strings:
+        for s, size in zip(strings, sizes):
             at = 0
-            self.total[0] += 1
             for c in s:
                 y = symbol(c)
                 if y not in self.move[at]:
                     self.move[at][y] = self._new()
+                self.total[at] += 1
                 self.count[at][y] = self.count[at].get(y, 0) + 1
                 at = self.move[at][y]
+            if len(s) == size:
                 self.total[at] += 1
-            self.final[at] += 1
+                self.final[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.steps: list[dict[tuple[str, float], tuple[float, int]]] = [{} for _ in self.total]
@@ -251,20 +262,32 @@ class Automaton:
         return math.log(share) - math.log(CLASS_SIZE.get(y, 1)), self.move[at].get(y, at)
 
 
-def learn_formats(found: DataFrame, sample: int) -> dict[str, Automaton]:
-    """An automaton a label of found (kind, place, value), from the `sample` distinct values of each with the smallest places; "ordinary" is the background, from ORDINARY times as many."""
+def _level(sizes: list[int], chars: int) -> int:
+    """The greatest length at which strings of these sizes, cut to it, have `chars` characters together at most."""
+    left = chars
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return max(sizes, default=0)
+
+
+def learn_formats(found: DataFrame, sample: int, chars: int) -> dict[str, Automaton]:
+    """An automaton a label of found (kind, place, value, length), from the `sample` distinct values of each with the smallest places; "ordinary" is the background, from ORDINARY times as many. Each holds `chars` states at most before states merge."""
     values = found.distinct()
     out = {}
     for r in sorted(values.groupBy("kind").agg(F.count("*").alias("n")).collect()):
         k, n = r["kind"], r["n"]
         most = min(n, sample if k < len(KINDS) else ORDINARY * sample)
         # places are even over 0 .. 2**63, so a share of them holds the first `most` and a few more; if ever not, they are sorted out of all
-        own = values.where(F.col("kind") == k).select("place", "value")
+        own = values.where(F.col("kind") == k).select("place", "value", "length")
         end = min((1 << 63) - 1, (most + 8 * math.isqrt(most) + 64 << 63) // n)
         near = own.where(F.col("place") <= end).collect()
         if len(near) < most:
-            near = own.orderBy("place", "value").limit(most).collect()
-        out[(*KINDS, "ordinary")[k]] = Automaton(sorted(x["value"] for x in sorted(near)[:most]))
+            near = own.orderBy("place", "value", "length").limit(most).collect()
+        chosen = sorted((x["value"], x["length"]) for x in sorted(near)[:most])
+        level = _level([len(v) for v, _ in chosen], chars)
+        out[(*KINDS, "ordinary")[k]] = Automaton([v[:level] for v, _ in chosen], [size for _, size in chosen])
     return out
 
 
@@ -331,22 +354,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _learn(docs: DataFrame, sample: int) -> dict[str, Automaton]:
+#: Fit parameters: characters kept of a string, and learned from a label in all.
+LONGEST, CHARS = 512, 600_000
+
+
+def _learn(docs: DataFrame, sample: int, longest: int, chars: int) -> dict[str, Automaton]:
     """Formats of docs. What is written holds samples of credentials in clear, so it goes as soon as they are learned."""
-    found = materialise(_rows(docs).mapInArrow(_scan(sample), FOUND), "secrets")
-    models = learn_formats(found, sample)
+    found = materialise(_rows(docs).mapInArrow(_scan(sample, longest), FOUND), "secrets")
+    models = learn_formats(found, sample, chars)
     release(found)
     return models
 
 
-def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5, longest: int = LONGEST, chars: int = CHARS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs (doc_id, text).
 
-    sample bounds the strings a label (of ordinary runs, ORDINARY times as many) that automata are learned from (and so
-    what reaches the driver); margin is the log-likelihood ratio a character, in nats.
-    Texts are read twice.
+    sample bounds the strings a label (of ordinary runs, ORDINARY times as many) that automata are learned from, longest and
+    chars their characters (and so what the driver holds: about half a kilobyte for each of chars); margin is the
+    log-likelihood ratio a character, in nats. Texts are read twice.
     """
-    models = _learn(docs, sample)
+    models = _learn(docs, sample, longest, chars)
     return _rows(docs).mapInArrow(_score(models, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -377,7 +404,7 @@ def _redact_rows(at: int, names: list[str], models: dict[str, Automaton], margin
     return run
 
 
-def redact_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5) -> DataFrame:
+def redact_secrets(docs: DataFrame, sample: int = 1000, margin: float = 0.5, longest: int = LONGEST, chars: int = CHARS) -> DataFrame:
     """docs with all secret spans of the text replaced, other columns as they are; a null text stays null."""
-    models = _learn(docs, sample)
+    models = _learn(docs, sample, longest, chars)
     return docs.mapInArrow(_redact_rows(docs.columns.index("text"), docs.columns, models, margin), docs.schema)

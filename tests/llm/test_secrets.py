@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
+
+from pyspark.sql import functions as F
 
 from tessera.llm import secret_automata as sa
 
@@ -76,3 +79,30 @@ def test_automaton_merges():
 def test_empty(spark):
     assert sa.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert sa.redact("abcdef", "a:1:3,b:2:4") == "a[SECRET]ef"
+
+
+def test_learning_is_bounded_in_characters(spark):
+    """Thousands of long runs (inline images), and few credentials: the driver holds a bounded number of states."""
+    # 2,000 runs of 10,240 characters, made by Spark
+    run = F.concat_ws("", *[F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws(":", "id", F.lit(k)), 512))), r"[=\r\n]", "") for k in range(4)])
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("src data, "), F.repeat(run, 32)).alias("text"))
+    rng = random.Random(5)
+    some = [(10_000 + i, "token=" + "".join(rng.choice("0123456789abcdef") for _ in range(16))) for i in range(60)] + [(20_000, "see 0123456789abcdef here, and words-only there")]
+    docs = docs.unionByName(spark.createDataFrame(some, "doc_id long, text string"))
+    tracemalloc.start()
+    found = sa._rows(docs).mapInArrow(sa._scan(1000, 512), sa.FOUND).agg(F.max(F.length("value")).alias("v"), F.max("length").alias("n")).first()
+    models = sa._learn(docs, 1000, sa.LONGEST, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.v == 512 and found.n > 10_000 and peak < 200 << 20
+    assert models["ordinary"].lengths[found.n] > 0
+    assert all(sum(a.total) <= 100_000 + a.n_strings for a in models.values())
+    rows = {r.doc_id: r for r in sa.scan_secrets(docs, chars=100_000).collect()}
+    assert len(rows) == 2061 and rows[20_000].spans == "auto_assign:4:20"
+
+
+def test_strings_cut_off_go_on():
+    whole = sa.Automaton(["abcd9", "abcd8"])
+    cut = sa.Automaton(["abcd", "abcd"], [5, 5])
+    assert cut.lengths == whole.lengths and sum(cut.final) == 0 and sum(whole.final) == 2
+    assert sa._level([3, 5, 100, 1000], 50) == 21 and sa._level([3, 5], 50) == 5 and sa._level([], 50) == 0
