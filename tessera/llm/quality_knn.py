@@ -113,7 +113,7 @@ class Model:
 def _rows_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, n, counts in _blocks(b.column("text")):
-            yield pa.RecordBatch.from_arrays([b.column("quality").slice(first, n), pa.array([zlib.compress(c.astype(np.uint16).tobytes(), 1) for c in np.minimum(counts, 65535)], pa.binary())], names=["quality", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("quality").slice(first, n), pa.array([zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts], pa.binary())], names=["quality", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent: int = 64, neighbours: int = 25, power: int = 4) -> Model:
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
     got = texts.select("quality", "text").mapInArrow(_rows_terms, "quality int, terms binary").collect()
     if not got:
         return Model(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
-    x = _unit(_weighted(np.stack([np.frombuffer(zlib.decompress(r["terms"]), np.uint16) for r in got]).astype(np.float32), idf))
+    x = _unit(_weighted(np.stack([np.frombuffer(zlib.decompress(r["terms"]), np.uint32) for r in got]).astype(np.float32), idf))
     # right singular vectors by way of the (rows x rows) Gram matrix
     value, left = np.linalg.eigh((x @ x.T).astype(np.float64))
     top = np.argsort(-value)[: min(latent, len(got))]
