@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.plans.registry import register, table
 from tessera.session import materialise, shared_dir
-from tessera.streaming import events as st
+from tessera.streaming import events as st, ordered as od
 
 
 #: Stretches of time in which the events arrive, one after the other; inside one, rows come in any order.
@@ -70,3 +70,37 @@ def chained(spark, sf_dir):
 
     d = _run(st.chained(_stream(spark, sf_dir)[0], "user_id", "event_id", F.col("event_type")))
     return verify_chain(materialise(d.where("key <> '-1'"), "chain"), "key")
+
+
+@register("stream_sliding_windows", """
+WITH h AS (SELECT event_type, ts, value, unnest(generate_series(0, 2)) AS k FROM events), w AS (SELECT event_type, value, ts, epoch_us(time_bucket(INTERVAL 2 HOURS, ts)) - k * 7200000000 AS start_us FROM h)
+SELECT event_type, start_us, count(*) AS n, round(sum(value), 6) AS total, arg_min(value, ts) AS first_value FROM w GROUP BY 1, 2""")
+def sliding_windows(spark, sf_dir):
+    """Windows of six hours every two, so that each event is in three."""
+    stream, delay = _stream(spark, sf_dir)
+    d = _run(st.windows(stream, "event_type", "ts", "value", "6 hours", "2 hours", delay))
+    return d.where("event_type <> 'end'").select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("total", 6).alias("total"), "first_value")
+
+
+@register("stream_tick_sampler", """WITH RECURSIVE f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST(floor((epoch_us(ts) - 1704067200000000) / 43200000000) AS BIGINT) + 1 AS c FROM events),
+r AS (SELECT user_id, event_id, i, CASE WHEN c > 0 THEN 1 ELSE 0 END AS n, c > 0 AS taken FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.event_id, f.i, r.n + CASE WHEN f.c > r.n THEN 1 ELSE 0 END, f.c > r.n FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1)
+SELECT event_id FROM r WHERE taken""")
+def tick_sampler(spark, sf_dir):
+    """The rows of series_tick_sampler, from a stream."""
+    stream, delay = _stream(spark, sf_dir)
+    d = _run(od.tick_sampler(stream, "user_id", "ts", "event_id", 1704067200_000_000, 43200_000_000, delay))
+    return d.where("order >= 0").select(F.col("order").alias("event_id"))
+
+
+@register("stream_closed_set", """
+WITH RECURSIVE k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type || (event_id % 8) AS u, CASE WHEN event_id % 4 > 0 THEN event_type || ':' || (event_id % 11) END AS p FROM events),
+r AS (SELECT user_id, event_id, i, [u] AS us, CASE WHEN p IS NULL THEN []::VARCHAR[] ELSE [p] END AS ps, true AS kept FROM k WHERE i = 1
+UNION ALL SELECT k.user_id, k.event_id, k.i, CASE WHEN list_contains(us, u) OR coalesce(list_contains(ps, p), false) THEN us ELSE list_append(us, u) END, CASE WHEN p IS NULL OR list_contains(us, u) OR list_contains(ps, p) THEN ps ELSE list_append(ps, p) END,
+NOT (list_contains(us, u) OR coalesce(list_contains(ps, p), false)) FROM r JOIN k ON k.user_id = r.user_id AND k.i = r.i + 1)
+SELECT event_id FROM r WHERE kept""")
+def closed_set(spark, sf_dir):
+    """Per user, events whose url and whose (domain, hash) are both new; every fourth has no hash."""
+    stream, delay = _stream(spark, sf_dir)
+    kind, no = F.col("event_type"), F.col("event_id")
+    url, pair = F.concat(kind, (no % 8).cast("string")), F.when(no % 4 > 0, F.concat(kind, F.lit(":"), (no % 11).cast("string")))
+    return _run(od.closed_set(stream, "user_id", "ts", "event_id", url, pair, delay)).where("order >= 0").select(F.col("order").alias("event_id"))
