@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm._text import bounded_batches
 from tessera.session import materialise
 
-#: Entries in a leaf, and vectors searched at once.
-LEAF, BLOCK = 8, 4096
+#: Entries in a leaf, compared by one matrix product, and vectors searched at once.
+LEAF, BLOCK = 32, 8192
 MOST = (1 << 63) - 1
 
 
@@ -64,35 +64,43 @@ def build_tree(book: np.ndarray, own: np.ndarray | None = None, leaf: int = LEAF
 
 def _least(q: np.ndarray, node: Node) -> np.ndarray:
     """Squared distances from vectors to the node's box."""
-    gap = q - np.clip(q, node.low, node.high)
+    gap = q - np.minimum(np.maximum(q, node.low), node.high)
     return np.einsum("ij,ij->i", gap, gap)
 
 
 def nearest(tree: Node, book: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest entry, the lowest of equally near ones, and its squared distance, for each row of q."""
-    best, index = np.full(len(q), MOST, np.int64), np.full(len(q), len(book), np.int64)
+    """Index of the nearest entry, the lowest of equally near ones, and its squared distance, for each row of q.
+
+    Doubles count integers exactly up to 2**53; where components are too large for that, the arithmetic is that of 64-bit integers.
+    """
+    most = max(int(np.abs(q).max(initial=0)), int(np.abs(book).max(initial=0)))
+    kind = np.float64 if 4 * book.shape[1] * most * most < 1 << 53 else np.int64
+    q, entries = q.astype(kind), book.astype(kind)
+    own, theirs = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", entries, entries)
+    best, index = np.full(len(q), MOST, kind), np.full(len(q), len(book), np.int64)
 
     def visit(node: Node, rows: np.ndarray, bound: np.ndarray) -> None:
         rows = rows[bound <= best[rows]]
         if not len(rows):
             return
+        some = q[rows]
         if node.entries is not None:
-            for e in node.entries.tolist():
-                gap = q[rows] - book[e]
-                d = np.einsum("ij,ij->i", gap, gap)
-                better = (d < best[rows]) | ((d == best[rows]) & (e < index[rows]))
-                won = rows[better]
-                best[won], index[won] = d[better], e
+            d = theirs[node.entries] - 2 * (some @ entries[node.entries].T) + own[rows][:, None]
+            at = d.argmin(1)
+            least, entry = d[np.arange(len(rows)), at], node.entries[at]
+            better = (least < best[rows]) | ((least == best[rows]) & (entry < index[rows]))
+            won = rows[better]
+            best[won], index[won] = least[better], entry[better]
             return
-        to_left, to_right = _least(q[rows], node.left), _least(q[rows], node.right)
+        to_left, to_right = _least(some, node.left), _least(some, node.right)
         first = to_left <= to_right
         visit(node.left, rows[first], to_left[first])
         visit(node.right, rows[~first], to_right[~first])
         visit(node.right, rows[first], to_right[first])
         visit(node.left, rows[~first], to_left[~first])
 
-    visit(tree, np.arange(len(q)), np.zeros(len(q), np.int64))
-    return index, best
+    visit(tree, np.arange(len(q)), np.zeros(len(q), kind))
+    return index, best.astype(np.int64)
 
 
 def _blocks(column: pa.Array, parts: int, width: int) -> Iterator[np.ndarray]:

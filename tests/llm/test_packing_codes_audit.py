@@ -173,11 +173,11 @@ def plain_codes(rows, parts, entries, rounds):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.integers(1, 70), st.integers(1, 4), st.integers(1, 6), st.integers(0, 10**6))
-def test_tree_finds_the_lowest_of_the_nearest(entries, width, spread, seed):
+@given(st.integers(1, 70), st.integers(1, 4), st.sampled_from([1, 2, 6, 2**26]), st.sampled_from([2, 8, 32]), st.integers(0, 10**6))
+def test_tree_finds_the_lowest_of_the_nearest(entries, width, spread, leaf, seed):
     rng = np.random.default_rng(seed)
     book, q = rng.integers(-spread, spread + 1, (entries, width)), rng.integers(-2 * spread, 2 * spread + 1, (50, width))
-    index, d = vc.nearest(vc.build_tree(book), book, q)
+    index, d = vc.nearest(vc.build_tree(book, leaf=leaf), book, q)
     every = ((q[:, None] - book) ** 2).sum(2)
     assert (index == every.argmin(1)).all() and (d == every.min(1)).all()
 
@@ -187,7 +187,7 @@ def test_search_prunes(monkeypatch):
     book, q = rng.integers(-1000, 1000, (256, 2)), rng.integers(-1000, 1000, (100, 2))
     seen, own = [], vc._least
     monkeypatch.setattr(vc, "_least", lambda q, node: seen.append(len(q)) or own(q, node))
-    vc.nearest(vc.build_tree(book), book, q)
+    vc.nearest(vc.build_tree(book, leaf=8), book, q)
     assert sum(seen) < 100 * 62 / 3  # of the 62 nodes below the root
 
 
