@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators import pairs
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -82,10 +84,8 @@ def centroid_ranking(queries: DataFrame, key: str, vector: str, cents: DataFrame
 
 
 def nearest(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """(query, key, similarity, rank): top k by cosine rounded to 3 places, ties by key; a stated query set against all rows."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    s = store.select(key, vector).crossJoin(q).select("query", key, F.round(cosine(F.col(vector), F.col("_q")), 3).alias("similarity"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
+    """(query, key, similarity, rank): top k by cosine rounded to 3 places, ties by key; a query set of any size against all rows, in blocks."""
+    return pairs.best(pairs.top_cosine(queries, store, key, vector, k), "query", key, "similarity", k)
 
 
 def diverse_top(df: DataFrame, query: str, group: str, score: str, tie: str, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, series as s, vectors as v
+from tessera.operators import metrics, pairs, series as s, vectors as v
 from tessera.plans.metric_plans import r6
 from tessera.plans.registry import register, table
 
@@ -161,8 +161,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY f, similarity DES
 SELECT query, vec_id, label, similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INT) AS place FROM c WHERE c <= 15""")
 def diverse_top(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    s_ = e.crossJoin(q).select("query", "vec_id", "label", F.round(v.cosine(F.col("embedding"), F.col("_q")), 3).alias("similarity"))
+    s_ = pairs.top_cosine(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15, group="label")
     return v.diverse_top(s_, "query", "label", "similarity", "vec_id", 15)
 
 
@@ -175,8 +174,24 @@ def hamming(spark, sf_dir):
 @register("vector_correlation", f"WITH v AS ({V}), q AS (SELECT vec_id AS query, e AS q FROM v WHERE vec_id % 50 = 0), p AS (SELECT query, vec_id, unnest(e) AS x, unnest(q) AS y FROM v CROSS JOIN q) SELECT query, vec_id, round(corr(x, y), 6) AS r FROM p GROUP BY query, vec_id")
 def correlation(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    some = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    return e.crossJoin(some).select("query", "vec_id", F.round(v.correlation(F.col("embedding"), F.col("_q")), 6).alias("r"))
+    return r6(pairs.correlations(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding"))
+
+
+HASHES = "h AS (SELECT p_partkey, substr(sha256(CAST(p_partkey // 20 AS VARCHAR)), 1, 52) || substr(sha256(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 20 * 1000 ELSE p_partkey END AS VARCHAR)), 1, 12) AS h FROM part)"
+WORDS = ", ".join(f"CAST('0x' || substr(h, {1 + 16 * k}, 16) AS UBIGINT) AS w{k}" for k in range(4))
+APART = " + ".join(f"CAST(bit_count(xor(a.w{k}, b.w{k})) AS INT)" for k in range(4))
+
+
+@register("vector_hamming_pairs", f"""WITH {HASHES}, c AS (SELECT h, min(p_partkey) AS class, count(*) AS n, {WORDS} FROM h GROUP BY h)
+SELECT a.class AS "left", b.class AS "right", CAST({APART} AS INT) AS distance, a.n AS n_left, b.n AS n_right FROM c a JOIN c b ON a.class < b.class WHERE {APART} <= 22""")
+def hamming_pairs(spark, sf_dir):
+    """Parts of twenty share most of their hash's bits; every third part of them has the same hash."""
+    key = F.col("p_partkey")
+    group = F.floor(key / 20)
+    own = F.when(key % 3 == 0, group * 1000).otherwise(key)
+    h = F.concat(F.substring(F.sha2(group.cast("string"), 256), 1, 52), F.substring(F.sha2(own.cast("string"), 256), 1, 12))
+    classes, _ = pairs.hash_classes(table(spark, sf_dir, "part").select("p_partkey", h.alias("h")), "p_partkey", "h")
+    return pairs.hamming_pairs(classes, 22)
 
 
 @register("vector_token_overlap", """
