@@ -12,7 +12,7 @@ from tessera.plans.metric_plans import r6
 from tessera.plans.record_plans import made, sql
 from tessera.plans.registry import register, table
 from tessera.session import shared_dir
-from tessera.sources import sinks, tables as tb
+from tessera.sources import sinks, tables as tb, versioned
 
 C = F.col
 
@@ -301,6 +301,44 @@ def upsert(spark, sf_dir):
     return sinks.upsert(cu.select("c_custkey", C("c_mktsegment").alias("segment")), new.select("c_custkey", C("x.s").alias("segment"), C("x.o").alias("_ord")).unionByName(added), "c_custkey")
 
 
+@register("sink_versions", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, 'csv' AS kind FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2), 'json' FROM orders WHERE o_orderkey % 2 = 0")
+def written_versions(spark, sf_dir):
+    """A second write fails at its last rows, by a number that is not finite, and the first version stays."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+    out = None
+    for kind, rows in (("csv", d), ("json", d.where("o_orderkey % 2 = 0"))):
+        root = _folder(spark, f"versions-{kind}")
+        versioned.write(rows, root, kind, ["o_orderkey", "o_orderstatus", "o_totalprice"], **({"header": "true"} if kind == "csv" else {}))
+        last = rows.agg(F.max("o_orderkey")).first()[0]
+        try:
+            versioned.write(rows.withColumn("o_totalprice", F.when(C("o_orderkey") == last, F.lit(float("nan"))).otherwise(C("o_totalprice"))), root, kind)
+        except Exception as e:  # noqa: BLE001
+            if "a number is not finite" not in str(e):
+                raise
+        found = versioned.read(spark, root).select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(kind).alias("kind"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@register("sink_bucketed_upsert", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'third' WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT -1 - c_custkey, 'added' FROM customer WHERE c_custkey % 10 = 0")
+def bucketed_upsert(spark, sf_dir):
+    """Three versions of a table in buckets; the last touches one of them."""
+    root, cu = _folder(spark, "upserts"), table(spark, sf_dir, "customer").select("c_custkey", C("c_mktsegment").alias("segment"))
+    row = lambda d, segment, order: d.select("c_custkey", F.lit(segment).alias("segment"), F.lit(order).cast("long").alias("o"))
+    some, added = cu.where("c_custkey % 3 = 0"), cu.where("c_custkey % 10 = 0").select((-1 - C("c_custkey")).alias("c_custkey"))
+    versioned.upsert(cu.withColumn("o", F.lit(0).cast("long")), root, "c_custkey", "o", buckets=16)
+    versioned.upsert(row(some, "new", 2).unionByName(row(some, "old", 1)).unionByName(row(added, "added", 1)), root, "c_custkey", "o", buckets=16)
+    versioned.upsert(row(cu.where("c_custkey = 1"), "third", 1), root, "c_custkey", "o", buckets=16)
+    return versioned.read(spark, root)
+
+
+@register("audit_ordered_digest", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS no, event_id || '|' || event_type AS t FROM events),
+l AS (SELECT no, sha256(t) AS h, count(*) OVER () AS w FROM r UNION ALL SELECT no // 1024, sha256(string_agg(h, '' ORDER BY no)), any_value((w + 1023) // 1024) FROM l WHERE w > 1 GROUP BY no // 1024)
+SELECT sha256(h || ':' || (SELECT count(*) FROM events)) AS digest, (SELECT count(*) FROM events) AS n FROM l WHERE w = 1""")
+def ordered_digest(spark, sf_dir):
+    return versioned.ordered_digest(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], F.concat_ws("|", C("event_id").cast("string"), "event_type"))
+
+
 @register("sink_valid_only", "SELECT event_id, CASE WHEN value > 100 THEN 'too large' ELSE 'too small' END AS reason FROM events WHERE value > 100 OR value < 2")
 def valid_only(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", p.first_problem([(C("value") > 100, "too large"), (C("value") < 2, "too small")]).alias("reason"))
