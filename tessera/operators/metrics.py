@@ -6,11 +6,16 @@ score. Metrics that need both classes are null where one is missing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.running import numbered, running_totals
+from tessera.session import materialise
 
 
 def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -155,7 +160,8 @@ def clustered_bootstrap(means: DataFrame, cluster: str, value: str, reps: int =
 
     Draw i of repetition r takes the cluster numbered
     hash(seed, r, i) mod k, so the interval repeats exactly. Draws are generated
-    on the executors and meet the clusters by an equi-join on their number.
+    on the executors and meet the clusters by an equi-join on their number; with many clusters
+    `weighted_bootstrap` has the same purpose without a row a draw.
     """
     k = means.count()
     if not k:
@@ -172,6 +178,52 @@ def hash_choice(key: Column, n: int | Column) -> Column:
     return (big % (n if isinstance(n, Column) else F.lit(n))).cast("long")
 
 
+#: The constants of SplitMix64, and the cumulated chances of a Poisson number of mean 1.
+GOLD, MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)]
+#: Clusters weighed at once.
+CLUSTERS = 64
+
+
+def poisson_weights(keys: np.ndarray, reps: int) -> np.ndarray:
+    """(keys, reps): a Poisson number of mean 1 for every 64-bit key and repetition, by SplitMix64."""
+    with np.errstate(over="ignore"):
+        z = keys[:, None] + np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(GOLD)
+        for shift, factor in MIX:
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return np.searchsorted(POISSON, (z >> np.uint64(12)) / float(1 << 52), "right")
+
+
+def weighted_bootstrap(means: DataFrame, cluster: str, value: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(n_clusters, low, mid, high): percentile interval of the mean over clusters, each counted a Poisson number of times a repetition.
+
+    The weight of a cluster in a repetition is a keyed hash of both, so the interval repeats exactly, wherever
+    rows lie. Every task adds weights and weighted values into two arrays of `reps` numbers and
+    sends one row, so the shuffle does not grow with the clusters. A repetition in which no cluster counts has no
+    mean; rows without cluster or value do not count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, weights, totals = 0, np.zeros(reps, np.int64), np.zeros(reps)
+        for b in batches:
+            keys = np.array([int.from_bytes(hashlib.sha256(f"{seed}:{c}".encode()).digest()[:8], "big") for c in b.column(0).to_pylist()], np.uint64)
+            v = b.column(1).to_numpy()
+            for k in range(0, len(keys), CLUSTERS):
+                w = poisson_weights(keys[k : k + CLUSTERS], reps)
+                weights += w.sum(0)
+                totals += v[k : k + CLUSTERS] @ w
+            n += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([weights.tolist()], pa.list_(pa.int64())), pa.array([totals.tolist()], pa.list_(pa.float64()))], names=["n", "w", "t"])
+
+    own = means.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).select(F.col(cluster).cast("string").alias("c"), F.col(value).cast("double").alias("v"))
+    parts = materialise(own.mapInArrow(run, "n long, w array<long>, t array<double>"), "sums")
+    # one row a task, then one a repetition
+    rep = parts.select(F.posexplode(F.arrays_zip("w", "t")).alias("rep", "x")).groupBy("rep").agg(F.try_divide(F.sum("x.t"), F.sum("x.w")).alias("m"))
+    ends = rep.agg(*[F.percentile("m", q).alias(c) for c, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_clusters")).crossJoin(ends)
+
+
 def crossover_interaction(df: DataFrame, block: str, role: str, value: str) -> DataFrame:
     """(block, interaction): (aa + bb - ab - ba) / 2 of blocks that hold all four roles."""
     p = df.groupBy(block).pivot(role, ["aa", "bb", "ab", "ba"]).agg(F.avg(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import candidates as c, lineage, protocol as p
 from tessera.operators.components import connected_components
 from tessera.plans.metric_plans import r6
-from tessera.plans.registry import register, table
+from tessera.plans.registry import SQL, register, table
 
 CANDS = """
 c AS (SELECT event_id AS _ord, event_type AS platform, 'acc' || (user_id % 17) AS account,
@@ -126,6 +126,25 @@ def best_first(spark, sf_dir):
     return lineage.best_first(n.select(k.alias("node"), f.alias("f")), edges, 0)
 
 
+#: The same with a sorted list a case.
+BEST_FIRST_MANY = """adj AS (SELECT CAST(p_partkey // 5 AS VARCHAR) AS src, list({'f': f, 'node': CAST(p_partkey AS VARCHAR)}) AS nb FROM z WHERE p_partkey // 5 <> p_partkey GROUP BY 1),
+st("case", step, open, reached, cur) AS (SELECT p_partkey, 0, [{'f': 0::DOUBLE, 'found': 0, 'node': CAST(p_partkey // 50 AS VARCHAR), 'parent': NULL::VARCHAR, 'depth': 0}], [CAST(p_partkey // 50 AS VARCHAR)], {'f': 0::DOUBLE, 'found': 0, 'node': '', 'parent': NULL::VARCHAR, 'depth': 0} FROM part WHERE p_partkey % 50 = 0
+UNION ALL SELECT "case", step + 1, list_sort(list_concat(open[2:], CASE WHEN open[1].depth < 3 THEN list_transform(list_filter(coalesce(nb, []), lambda x: NOT list_contains(reached, x.node)), lambda x: {'f': x.f, 'found': step + 1, 'node': x.node, 'parent': open[1].node, 'depth': open[1].depth + 1}) ELSE [] END)),
+CASE WHEN open[1].depth < 3 THEN list_distinct(list_concat(reached, list_transform(coalesce(nb, []), lambda x: x.node))) ELSE reached END, open[1] FROM st LEFT JOIN adj ON adj.src = open[1].node WHERE step < 12 AND len(open) > 0)
+SELECT "case", cur.node AS node, cur.parent AS parent, cur.depth AS depth, cur.f AS f, step - 1 AS step FROM st WHERE step > 0"""
+
+
+@register("search_best_first_many", SQL["search_best_first"].replace(BEST_FIRST, BEST_FIRST_MANY))
+def best_first_many(spark, sf_dir):
+    """The search from a node for every part whose key is divisible by 50, all at once."""
+    n = nodes(spark, sf_dir)
+    f = F.round(c.path_cost(F.col("depth")) + c.origin_distance(F.lit(1622505600).cast("timestamp"), F.lit(60000.0)), 6)
+    k = F.col("p_partkey")
+    edges = n.select(F.floor(k / 5).cast("long").alias("src"), k.alias("dst")).where("src <> dst")
+    roots = n.where(k % 50 == 0).select(k.alias("case"), F.floor(k / 50).cast("long").alias("node"))
+    return lineage.best_first_many(n.select(k.alias("node"), f.alias("f")), edges, roots)
+
+
 @register("search_best_per_domain", f"WITH {NODES}, r AS (SELECT p_partkey, dom AS domain, ir, row_number() OVER (PARTITION BY dom ORDER BY ir DESC, p_partkey) AS r FROM n) SELECT domain, p_partkey, ir AS inlier_ratio FROM r WHERE r = 1")
 def best_per_domain(spark, sf_dir):
     return c.best_per_key(nodes(spark, sf_dir), "domain", "inlier_ratio", "p_partkey").select("domain", "p_partkey", "inlier_ratio")

@@ -131,6 +131,21 @@ def bootstrap(spark, sf_dir):
     return r6(m.clustered_bootstrap(means, "user_id", "mean", reps=200))
 
 
+MIXED = "base"
+for _shift, _factor in m.MIX:
+    MIXED = f"CAST(CAST(xor({MIXED}, ({MIXED}) >> {_shift}) AS UHUGEINT) * {_factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+@register("metric_weighted_bootstrap", f"""
+WITH u AS (SELECT user_id, avg(m) AS v FROM (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) GROUP BY user_id),
+k AS (SELECT v, r, CAST((CAST('0x' || substr(sha256('42:' || user_id), 1, 16) AS UBIGINT)::UHUGEINT + (r + 1)::UHUGEINT * {m.GOLD}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS base FROM u, (SELECT unnest(range(2000)) AS r)),
+z AS (SELECT v, r, {MIXED} AS z FROM k), d AS (SELECT v, r, CAST(xor(z, z >> 31) >> 12 AS DOUBLE) / 4503599627370496 AS d FROM z),
+w AS (SELECT r, v, {" + ".join(f"CAST(d >= {x!r}::DOUBLE AS INT)" for x in m.POISSON)} AS w FROM d), s AS (SELECT r, sum(v * w) / sum(w) AS m FROM w GROUP BY r)
+SELECT (SELECT count(*) FROM u) AS n_clusters, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM s""")
+def weighted_bootstrap(spark, sf_dir):
+    return r6(m.weighted_bootstrap(m.two_level_mean(table(spark, sf_dir, "events"), "user_id", "event_type", "value"), "user_id", "mean"))
+
+
 @register("metric_crossover", """
 WITH r AS (SELECT user_id AS block, CASE event_type WHEN 'click' THEN 'aa' WHEN 'view' THEN 'bb' WHEN 'purchase' THEN 'ab' WHEN 'signup' THEN 'ba' END AS role, value FROM events),
 p AS (SELECT block, avg(value) FILTER (role = 'aa') AS aa, avg(value) FILTER (role = 'bb') AS bb, avg(value) FILTER (role = 'ab') AS ab, avg(value) FILTER (role = 'ba') AS ba FROM r GROUP BY block)
