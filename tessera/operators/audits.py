@@ -153,7 +153,7 @@ def match_decision() -> Column:
     return F.struct(crop.alias("crop_type"), (crop != "none").alias("is_match"))
 
 
-def fingerprint_ranking(matches: DataFrame, query: str, preferred: str | None) -> DataFrame:
+def fingerprint_ranking(matches: DataFrame, query: str, preferred: str | Column | None) -> DataFrame:
     """(query, device, score, correlation, template, confidence, rank, trusted): the best template of each device.
 
     matches: query, device, template ("reference", "original" or a platform),

@@ -156,6 +156,28 @@ def correlations(queries: DataFrame, rows: DataFrame, key: str, vector: str, blo
     return against_all(there(queries), there(rows), key, kernel, f"query {qkind}, {key} {kinds[key]}, r double", block)
 
 
+def distances(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(query, key, distance): the Euclidean distance of every query to every row, the shorter vector as if zeros followed; with k, of each two blocks a query's k nearest, ties by key."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    qkind = queries.schema[key].dataType.simpleString()
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query": a.column(key).slice(0, 0), key: b.column(key).slice(0, 0), "distance": pa.array([], pa.float64())})
+        b = b.sort_by(key)
+        (q, _), (r, _) = matrix(a.column(vector)), matrix(b.column(vector))
+        wide = max(q.shape[1], r.shape[1])
+        q, r = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (q, r))
+        d = np.stack([np.sqrt(((r - one) ** 2).sum(1)) for one in q])
+        near = np.argsort(d, axis=1, kind="stable")[:, :k] if k else np.broadcast_to(np.arange(len(r)), d.shape)
+        i = np.repeat(np.arange(len(q)), near.shape[1])
+        j = near.ravel()
+        return pa.table({"query": a.column(key).take(pa.array(i)), key: b.column(key).take(pa.array(j)), "distance": pa.array(d[i, j])})
+
+    there = lambda d: d.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    return against_all(there(queries), there(rows), key, kernel, f"query {qkind}, {key} {kinds[key]}, distance double", block)
+
+
 def best(found: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
     """found with rank, the first k of a query by score, ties by key."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key))).where(F.col("rank") <= k)

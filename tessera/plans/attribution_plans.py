@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators import attribution as at, lineage, metrics as m, protocol as p
+from tessera.operators import attribution as at, devices, lineage, metrics as m, protocol as p
 from tessera.plans.metric_plans import r6
 from tessera.plans.record_plans import made, sql
 from tessera.plans.registry import register, table
@@ -68,6 +68,48 @@ def templates(spark, sf_dir):
     return at.mean_fingerprints(d, ["label", "platform"], "embedding", 3).select("label", "platform", "n")
 
 
+#: Images made of embeddings: every fiftieth is a query, the others train.
+DEVICES = """i AS (SELECT vec_id, 'd' || label AS device, ['original', 'original', 'whatsapp', 'original', 'reddit'][vec_id % 5 + 1] AS platform, CASE WHEN vec_id % 3 = 0 THEN 'reference' ELSE 'rest' END AS split, embedding::DOUBLE[] AS e,
+CASE WHEN vec_id % 100 = 0 OR vec_id % 4 = 1 THEN 'Maker ' || (label % 3) END AS make, CASE WHEN vec_id % 4 > 0 OR vec_id % 200 = 0 THEN CASE WHEN vec_id % 3 = 0 THEN 'Maker 1 ' ELSE '' END || 'M' || label END AS model FROM embeddings), t AS (SELECT * FROM i WHERE vec_id % 50 > 0), q AS (SELECT * FROM i WHERE vec_id % 50 = 0)"""
+
+
+@register("device_prediction", f"""WITH {DEVICES},
+tp AS (SELECT vec_id, device, platform, split, unnest(range(64)) AS pos, unnest(e) AS x FROM t),
+g AS (SELECT device, platform AS kind, false AS part, pos, x FROM tp UNION ALL SELECT device, 'original', true, pos, x FROM tp WHERE platform = 'original' AND split = 'reference'),
+m AS (SELECT device, kind, part, pos, avg(x) AS m, count(*) AS n FROM g GROUP BY ALL), l AS (SELECT device, kind, part, any_value(n) AS n, list(m ORDER BY pos) AS v FROM m GROUP BY ALL),
+rf AS (SELECT device, 'reference' AS template, arg_max(v, part) AS v FROM l WHERE kind = 'original' AND (NOT part OR n >= 3) GROUP BY device),
+pr AS (SELECT * FROM rf UNION ALL SELECT device, kind, v FROM l WHERE NOT part AND n >= CASE WHEN kind = 'original' THEN 3 ELSE 2 END AND device IN (SELECT device FROM rf)),
+mo AS (SELECT pos, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS std FROM tp WHERE pos < 4 GROUP BY pos),
+zt AS (SELECT device, platform, pos, (x - mean) / std AS z FROM tp JOIN mo USING (pos)), qz AS (SELECT vec_id, list((e[pos + 1] - mean) / std ORDER BY pos) AS z FROM q, mo GROUP BY vec_id),
+ce AS (SELECT 'device' AS k, label, list(z ORDER BY pos) AS c FROM (SELECT device AS label, pos, avg(z) AS z FROM zt GROUP BY ALL) GROUP BY label UNION ALL SELECT 'platform', label, list(z ORDER BY pos) FROM (SELECT platform AS label, pos, avg(z) AS z FROM zt GROUP BY ALL) GROUP BY label),
+sc AS (SELECT vec_id, k, label, 1 / (1 + list_distance(z, c)) AS s FROM qz, ce), sh AS (SELECT vec_id, k, label, s / sum(s) OVER (PARTITION BY vec_id, k) AS c FROM sc), top AS (SELECT vec_id, k, arg_max(label, c) AS label, max(c) AS c FROM sh GROUP BY ALL),
+co AS (SELECT vec_id, pr.device, template, (SELECT corr(a, b) FROM (SELECT unnest(q.e) AS a, unnest(pr.v) AS b)) AS r FROM q, pr),
+w AS (SELECT co.*, CASE WHEN template = 'reference' THEN r ELSE r * CASE WHEN template = 'original' THEN 0.96 ELSE 0.9 END + CASE WHEN template = label THEN 0.015 ELSE 0 END END AS score FROM co JOIN top ON top.vec_id = co.vec_id AND k = 'platform'),
+b AS (SELECT vec_id, device, max(score) AS score, arg_max(r, score) AS r FROM w GROUP BY ALL), b2 AS (SELECT *, score - min(score) OVER (PARTITION BY vec_id) AS lo FROM b),
+b3 AS (SELECT *, lo / sum(lo) OVER (PARTITION BY vec_id) AS c, row_number() OVER (PARTITION BY vec_id ORDER BY lo DESC, device) AS rk FROM b2),
+f AS (SELECT x.vec_id, x.device, x.score, x.r, x.c, y.score AS second, x.r >= 0.03 AND x.score - y.score >= 0.01 AS trusted FROM b3 x JOIN b3 y ON x.vec_id = y.vec_id AND x.rk = 1 AND y.rk = 2),
+mk AS (SELECT device, arg_max(make, (n, -o)) AS make FROM (SELECT device, make, count(*) AS n, min(vec_id) AS o FROM t WHERE platform = 'original' AND make IS NOT NULL GROUP BY ALL) GROUP BY device),
+ml AS (SELECT device, arg_max(model, (n, -o)) AS model FROM (SELECT device, model, count(*) AS n, min(vec_id) AS o FROM t WHERE platform = 'original' AND model IS NOT NULL GROUP BY ALL) GROUP BY device),
+pf AS (SELECT d.device, lower(coalesce(make, '')) AS make, lower(coalesce(model, '')) AS model FROM (SELECT DISTINCT device FROM t WHERE platform = 'original') d LEFT JOIN mk USING (device) LEFT JOIN ml USING (device)),
+qm AS (SELECT vec_id, lower(coalesce(make, '')) AS mk, lower(coalesce(model, '')) AS ml, CASE WHEN make IS NOT NULL AND model IS NOT NULL AND NOT contains(lower(model), lower(make)) THEN make || ' ' || model ELSE coalesce(model, make) END AS camera_model FROM q),
+ft AS (SELECT vec_id, device, least(0.85, CASE WHEN ml <> '' AND model <> '' AND (contains(ml, model) OR contains(model, ml)) THEN 0.75 ELSE 0 END + CASE WHEN mk <> '' AND make <> '' AND (contains(mk, make) OR contains(make, mk)) THEN 0.2 ELSE 0 END) AS fit FROM qm, pf),
+fb AS (SELECT vec_id, arg_min(device, (-fit, device)) AS fits, max(fit) AS fit FROM ft WHERE fit > 0 GROUP BY vec_id)
+SELECT qm.vec_id, CASE WHEN trusted THEN f.device WHEN camera_model IS NOT NULL THEN coalesce(fits, camera_model) WHEN td.c >= 0.65 THEN td.label END AS prediction,
+round(CASE WHEN trusted THEN least(0.95, 0.55 + least(greatest(r, 0), 0.35) * 0.8 + f.c * 0.12 + least(greatest(score - second, 0), 0.25) * 0.2) WHEN camera_model IS NOT NULL THEN coalesce(fit, 0.68) WHEN td.c >= 0.65 THEN least(td.c, 0.55) ELSE 0 END, 6) AS confidence,
+CASE WHEN trusted THEN 'prnu' WHEN camera_model IS NOT NULL THEN 'metadata' WHEN td.c >= 0.65 THEN 'weak_file_features' ELSE 'inconclusive' END AS method, camera_model, tp_.label AS platform, round(tp_.c, 6) AS platform_confidence
+FROM qm LEFT JOIN f USING (vec_id) LEFT JOIN fb USING (vec_id) JOIN top td ON td.vec_id = qm.vec_id AND td.k = 'device' JOIN top tp_ ON tp_.vec_id = qm.vec_id AND tp_.k = 'platform'""")
+def device_prediction(spark, sf_dir):
+    """A device model of fingerprints, templates, centroids and profiles, trained on all but the queries and asked about those."""
+    no, label = C("vec_id"), C("label").cast("string")
+    made = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("d"), label).alias("device"), F.element_at(F.array(*map(F.lit, ("original", "original", "whatsapp", "original", "reddit"))), (no % 5 + 1).cast("int")).alias("platform"),
+        F.when(no % 3 == 0, "reference").otherwise("rest").alias("split"), C("embedding").cast("array<double>").alias("residual"), F.slice("embedding", 1, 4).alias("features"),
+        F.when((no % 100 == 0) | (no % 4 == 1), F.concat(F.lit("Maker "), (C("label") % 3).cast("string"))).alias("make"),
+        F.when((no % 4 > 0) | (no % 200 == 0), F.concat(F.when(no % 3 == 0, "Maker 1 ").otherwise(""), F.lit("M"), label)).alias("model"), F.lit("s").alias("software"), F.lit(640).alias("width"), F.lit(480).alias("height"),
+    )
+    return r6(devices.predict(made.where(no % 50 == 0), "vec_id", devices.train(made.where(no % 50 > 0), "vec_id")))
+
+
 @register("audit_array_fingerprints", "SELECT count(*) AS rows, count(DISTINCT k) AS contents FROM (SELECT CASE WHEN vec_id % 10 = 0 THEN label ELSE 1000 + vec_id END AS k FROM embeddings)")
 def array_fingerprints(spark, sf_dir):
     v = F.when(C("vec_id") % 10 == 0, F.array(C("label").cast("double"), F.lit(0.5))).otherwise(F.array(C("vec_id").cast("double"), F.lit(1.5), F.lit(None).cast("double")))

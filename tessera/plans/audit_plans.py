@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import pages as pg
-from tessera.operators import audits as au, candidates as c, lineage
+from tessera.operators import audits as au, candidates as c, lineage, pairs
 from tessera.plans.evidence_plans import nodes, NODES
 from tessera.plans.metric_plans import r6
 from tessera.plans.record_plans import made, sql
@@ -62,12 +62,10 @@ def pivot(spark, sf_dir):
 @register("search_ratio_matches", """WITH d AS (SELECT q.vec_id AS query, t.vec_id AS target, round(list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings t WHERE q.vec_id % 50 = 0 AND q.vec_id <> t.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, target) AS r FROM d) SELECT a.query, a.target, a.distance FROM r a JOIN r b ON a.query = b.query AND a.r = 1 AND b.r = 2 WHERE a.distance < 0.99 * b.distance""")
 def ratio(spark, sf_dir):
-    from tessera.operators.vectors import l2
-
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query"), C("embedding").alias("a"))
-    # the stated queries against all rows; the optimiser broadcasts them below its own limit
-    d = e.join(q, C("vec_id") != C("query")).select("query", C("vec_id").alias("target"), F.round(l2(C("a"), C("embedding")), 6).alias("distance"))
+    # of every two blocks the three nearest, one of which may be the query itself
+    near = pairs.distances(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", k=3)
+    d = near.where("query <> vec_id").select("query", C("vec_id").alias("target"), F.round("distance", 6).alias("distance"))
     return au.ratio_matches(d, "query", "target", "distance", 0.99)
 
 
