@@ -145,3 +145,35 @@ def valid_result(labels: Sequence[str], severities: Sequence[str]) -> Column:
         F.when(p.isNull() | F.isnan(p) | (p < 0) | (p > 1), "confidence"),
         F.when(F.col("signals").isNull(), "signals"), F.when(F.exists("signals", signal), "signal"),
     )
+
+
+def _filled(*names: str) -> Column:
+    """The first of the columns that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names])
+
+
+def lead_view() -> Column:
+    """The typed fields of an unverified lead: its url (the post's, else the page's), names and texts without empty ones, defaults for what was not stated."""
+    url = _filled("post_url", "url")
+    return F.struct(
+        url.alias("url"), url.alias("post_url"), "platform", "account", _filled("title").alias("title"), _filled("text", "snippet").alias("text"), F.coalesce("has_media", F.lit(False)).alias("has_media"), "source_connector", "retrieved_at",
+        "published_at", F.coalesce("timestamp_type", F.lit("unknown")).alias("timestamp_type"), F.coalesce("media_verification", F.lit("unverified_text")).alias("media_verification"),
+        F.coalesce("evidence_status", F.lit("unverified")).alias("evidence_status"), F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic"), "failure_reason",
+    )
+
+
+def external_match() -> Column:
+    """A candidate as a match elsewhere: its url, where it was found (connector, else platform, else unknown), when, and its title if it has one."""
+    return F.struct(_filled("post_url", "url").alias("url"), F.coalesce(_filled("source_connector", "platform"), F.lit("unknown")).alias("source"), F.col("published_at").alias("date_found"), _filled("title").alias("page_title"))
+
+
+#: The columns that a compact cohort record keeps, in order.
+COHORT_COLUMNS = (
+    "cohort", "split", "source", "identity", "component_id", "anchor_id", "paired_anchor_id", "block_id", "role", "label", "offset_frames", "actual_offsets_sec", "logit", "score", "audio_start", "mouth_start", "run_start", "run_end",
+    "audio_frame_indices", "mouth_frame_indices", "audio_timestamps_sec", "mouth_timestamps_sec", "audio_contexts", "audio_padding_samples", "run_start_delta_marker", "start_mod_stride", "run_position", "matched_anchor_ids", "matched_signed_offsets",
+)
+
+
+def compact_records(records: DataFrame) -> DataFrame:
+    """Of the columns of a cohort's record those that are there, in their fixed order; others go."""
+    return records.select(*[c for c in COHORT_COLUMNS if c in records.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def sigmoid(x: Column, limit: float = 80.0) -> Column:
@@ -137,6 +137,26 @@ def compression_vector(names: Sequence[str], logged: Sequence[str] = ()) -> Colu
     return F.when(~bad, F.array(*cols))
 
 
+#: The twenty numbers of a video's compression, in order; the first and the one of Laplacian means as log(1 + x).
+COMPRESSION_FEATURES = (
+    "bits_per_pixel_frame", "key_share", "gop_mean_sec", "gop_std_sec", "gop_max_sec", "packet_cv", "packet_p90", "step_cv", "i_share", "p_share", "b_share",
+    "blockiness_mean", "blockiness_std", "laplacian_mean", "laplacian_cv", "residual_mean", "residual_cv", "near_duplicates", "change_mean", "change_cv",
+)
+LOGGED_FEATURES = ("bits_per_pixel_frame", "laplacian_mean")
+
+
+def compression_features(statistics: DataFrame) -> DataFrame:
+    """statistics with features: the vector of COMPRESSION_FEATURES, null where one is missing or not finite.
+
+    statistics joins `probe_statistics` (its gop_mean, gop_std and gop_max in frames) and `frame_statistics` of
+    blockiness, laplacian and residual with bitrate, width, height and fps.
+    """
+    per = F.col("width") * F.col("height") * F.col("fps")
+    d = statistics.withColumn("bits_per_pixel_frame", F.try_divide("bitrate", per))
+    d = d.withColumns({f"gop_{k}_sec": F.try_divide(f"gop_{k}", "fps") for k in ("mean", "std", "max")})
+    return d.select(*statistics.columns, compression_vector(COMPRESSION_FEATURES, LOGGED_FEATURES).alias("features"))
+
+
 def pixel_points(points: Column, places: Sequence[int], width: Column, height: Column) -> Column:
     """Chosen landmarks {x, y} in 0 to 1 as whole pixels inside the frame."""
     clamp = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, (v * n).cast("int")))

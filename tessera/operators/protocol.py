@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.running import numbered
+from tessera.session import materialise
 
 
 def assign_groups(df: DataFrame, key: Sequence[str], seed: int, roles: Sequence[str] = ("train", "dev", "holdout"), ends: Sequence[float] = (0.6, 0.8)) -> DataFrame:
@@ -25,6 +26,27 @@ def assign_groups(df: DataFrame, key: Sequence[str], seed: int, roles: Sequence[
     return numbered(groups, ["_h"], "_no").select(*key, role.alias("role"))
 
 
+def dev_fraction(df: DataFrame, key: str, label: str, seed: int, fraction: float = 0.2) -> DataFrame:
+    """df with role: dev for the first round(n * fraction) groups, one at least, by the order of sha256(seed:key), train for the others.
+
+    A null or empty key is an error, and so is a label that one of the roles lacks. Groups are numbered by
+    a distributed running total; what is checked is one row a label.
+    """
+    if not 0 < fraction < 0.5:
+        raise ValueError("fraction lies between 0 and a half")
+    groups = materialise(df.select(F.col(key).alias("_key")).distinct().withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_key").cast("string")), 256)), "groups")
+    if groups.where(F.col("_key").isNull() | (F.col("_key").cast("string") == "")).limit(1).count():
+        raise ValueError(f"rows without {key}")
+    dev = max(1, round(groups.count() * fraction))
+    roles = materialise(numbered(groups, ["_h"], "_no").select("_key", F.when(F.col("_no") <= dev, "dev").otherwise("train").alias("role")), "roles")
+    out = df.join(roles, F.col(key) == F.col("_key")).drop("_key")
+    seen = out.groupBy(label).agg(F.count_distinct("role").alias("n"))
+    lacking = [r[0] for r in seen.where("n < 2").select(label).limit(20).collect()]
+    if lacking:
+        raise ValueError(f"labels of one role alone: {lacking}")
+    return out
+
+
 def validate_assignment(df: DataFrame, sample: str, group: Sequence[str], role: str, roles: Sequence[str]) -> DataFrame:
     """One row of counts that must all be 0: missing_roles, duplicate_samples, crossing_groups."""
     seen = df.agg(F.count_distinct(F.when(F.col(role).isin(*roles), F.col(role))).alias("s"))

@@ -95,6 +95,30 @@ def fixed_windows(df: DataFrame, by: str, n_samples: str, width: int, hop: int,
     return w.select(by, "window", (F.col("_s") / rate).alias("start_sec"), (F.least(F.col("_s") + width, F.col(n_samples)) / rate).alias("end_sec"))
 
 
+def window_values(df: DataFrame, by: str, samples: str, width: int, hop: int | None = None) -> DataFrame:
+    """(by, window, start, valid, values) of windows of `width` samples of an array, every `hop` (the width by default).
+
+    valid counts the window's own samples; a shorter last window is filled by repeating them from its start.
+    """
+    hop, n = hop or width, F.size(samples)
+    w = df.where(n > 0).select(by, samples, F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(hop))).alias("window", "start"))
+    own = F.slice(samples, F.col("start") + 1, width)
+    w = w.select(by, "window", "start", F.size(own).alias("valid"), own.alias("_own"))
+    tiled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("_own", i % F.col("valid")))
+    return w.select(by, "window", "start", "valid", F.when(F.col("valid") == width, F.col("_own")).otherwise(tiled).alias("values"))
+
+
+def attach_aligned(records: DataFrame, order: str) -> DataFrame:
+    """records with aligned_score and aligned_logit: those of the row of the same cohort whose anchor the row is paired with; null without one.
+
+    records: cohort, label, anchor_id, paired_anchor_id, score, logit. Aligned rows are those of label 1 in
+    cohorts whose name begins with matched; of several of one anchor the last by order counts.
+    """
+    aligned = records.where(F.col("cohort").startswith("matched") & (F.col("label") == 1)).groupBy("cohort", F.col("anchor_id").alias("paired_anchor_id"))
+    last = aligned.agg(F.max_by(F.struct("score", "logit"), order).alias("_a"))
+    return records.join(last, ["cohort", "paired_anchor_id"], "left").select(*records.columns, F.col("_a.score").alias("aligned_score"), F.col("_a.logit").alias("aligned_logit"))
+
+
 def context_padding(centre: Column, n: Column, width: int) -> tuple[Column, Column, Column]:
     """Samples of a centred context that lie before, after and inside a signal of n samples."""
     start = centre - width // 2

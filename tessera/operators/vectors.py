@@ -101,7 +101,7 @@ def min_shift_share(score: Column, over) -> Column:
     """(s - min) over the sum of those; equal shares if all are the same."""
     low = F.min(score).over(over)
     total = F.sum(score).over(over) - low * F.count(score).over(over)
-    return F.when(total <= 0, 1 / F.count(score).over(over)).otherwise((score - low) / total)
+    return F.when(total <= 1e-9, 1 / F.count(score).over(over)).otherwise((score - low) / total)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -119,6 +119,30 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.lit(1))
 
 
+def text_fallback(candidates: DataFrame, case: str, key: str, text: str, references: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """(case, key, score): clip(0.85 s + 0.10, 0.15, 0.95) to 3 places, s the tf-idf cosine of a candidate with its case's reference text.
+
+    Document frequencies are those of a case's reference and candidates: idf = ln((1 + n) / (1 + df)) + 1. stop: words
+    left out, as a frozen list that the caller keeps. A text without a word in common scores 0.15. references: case, text,
+    one row a case; candidates of a case without one have no row.
+    """
+    own = candidates.select(F.col(case).alias("c"), F.col(key).alias("k"), F.lit(False).alias("ref"), F.col(text).alias("t"))
+    ref = references.select(F.col(case).alias("c"), F.lit(None).cast(candidates.schema[key].dataType).alias("k"), F.lit(True).alias("ref"), F.col(text).alias("t"))
+    docs = own.join(ref.select("c").distinct(), "c", "left_semi").unionByName(ref)
+    words = F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    tf = docs.select("c", "k", "ref", F.explode(words).alias("w"))
+    tf = (tf.where(~F.col("w").isin(*stop)) if stop else tf).groupBy("c", "k", "ref", "w").agg(F.count("*").alias("n"))
+    size = docs.groupBy("c").agg(F.count("*").alias("docs"))
+    idf = tf.groupBy("c", "w").agg(F.count("*").alias("df")).join(size, "c").select("c", "w", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = tf.join(idf, ["c", "w"]).select("c", "k", "ref", "w", (F.col("n") * F.col("idf")).alias("x"))
+    mine, theirs = x.where(~F.col("ref")), x.where("ref").select("c", "w", F.col("x").alias("y"))
+    norm = theirs.groupBy("c").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
+    s = mine.join(theirs, ["c", "w"], "left").groupBy("c", "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("xy"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    s = s.join(norm, "c", "left").select("c", "k", F.coalesce(F.try_divide("xy", F.col("nx") * F.col("ny")), F.lit(0.0)).alias("s"))
+    every = own.join(ref.select("c").distinct(), "c", "left_semi").select("c", "k").join(s, ["c", "k"], "left")
+    return every.select(F.col("c").alias(case), F.col("k").alias(key), F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.15), F.coalesce("s", F.lit(0.0)) * 0.85 + 0.10)), 3).alias("score"))
+
+
 def tfidf_cosine(docs: DataFrame, key: str, text: str, queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """(query, key, similarity): smoothed tf-idf with unit length, joined on terms; pairs without a common term are absent.
 

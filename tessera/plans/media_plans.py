@@ -396,9 +396,9 @@ def checked_arrays(spark, sf_dir):
 def min_shift(spark, sf_dir):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id")
-    d = table(spark, sf_dir, "events").withColumn("low", C("value") - F.min("value").over(w)).withColumn("all", F.sum("low").over(w))
-    return r6(d.select("user_id", "event_id", F.when(C("all") > 1e-9, C("low") / C("all")).otherwise(1 / F.count("*").over(w)).alias("share")))
+    from tessera.operators.vectors import min_shift_share
+
+    return r6(table(spark, sf_dir, "events").select("user_id", "event_id", min_shift_share(C("value"), Window.partitionBy("user_id")).alias("share")))
 
 
 @register("score_anchor", """WITH x AS (SELECT event_id, event_id % 4 AS k, user_id % 2 = 0 AS media, greatest(0, least(1, (value / 314.159265 - 0.45) / (0.75 - 0.45))) AS e, greatest(0, least(1, (value / 314.159265 - 0.16) / (0.32 - 0.16))) AS i, greatest(0, least(1, (value / 314.159265 - 0.55) / (0.90 - 0.55))) AS t FROM events),

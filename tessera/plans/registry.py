@@ -41,7 +41,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tessera.plans import attribution_plans, audit_plans, evidence_plans, function_plans, media_plans, metric_plans, profile_plans, record_plans, series_plans, stream_plans  # noqa: F401
+    from tessera.plans import attribution_plans, audit_plans, detail_plans, evidence_plans, function_plans, media_plans, metric_plans, profile_plans, record_plans, series_plans, stream_plans  # noqa: F401
 
 
 _load()
