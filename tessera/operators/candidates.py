@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tessera.operators import folds
+
 from tessera.functions.urls import public_url
 from tessera.operators.running import numbered
 
@@ -190,39 +191,34 @@ def lens_hits(items: DataFrame, query: str, order: str, most: int = 35, matches:
     counts as "all"), link, label, thumbnail. First agencies of all buckets come,
     all of them; then up to `matches` exact and visual matches, then up to `articles`
     others, until there are `most`. A hit goes if its link or its thumbnail was
-    taken before. That rule needs the hits taken so far, so one search is folded
-    at a time: the rows of one response.
+    taken before. That rule needs the hits taken so far: each row stands once in the turn of agencies, if
+    it is one, and once in that of its bucket, and a walk in that order holds what one search has taken.
     """
     link, label = F.coalesce("link", F.lit("")), F.coalesce("label", F.lit(""))
-    bucket = F.when(F.col("bucket").isin("exact-match", "visual-match"), F.col("bucket")).otherwise("all")
-    d = items.where(link != "").withColumn("_wire", _any_in(F.lower(F.concat_ws(" ", link, label)), WIRE_PARTS)).withColumn("_bucket", bucket)
-    schema = T.StructType([*items.schema.fields, T.StructField("place", T.IntegerType())])
-    names = items.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = F.coalesce(F.col("bucket").isin("exact-match", "visual-match"), F.lit(False))
+    wire = _any_in(F.lower(F.concat_ws(" ", link, label)), WIRE_PARTS)
+    among = F.when(own, F.when(F.col("bucket") == "exact-match", 1).otherwise(2)).otherwise(0)  # of agencies, the other buckets come first
+    places = F.array_compact(F.array(F.when(wire, F.struct(F.lit(0).alias("turn"), among.alias("within"))), F.struct(F.when(own, 1).otherwise(2).alias("turn"), among.alias("within"))))
+    d = items.where(link != "").withColumn("_p", F.explode(places)).withColumn("_turn", F.col("_p.turn")).withColumn("_within", F.col("_p.within")).drop("_p")
+    caps = {1: matches, 2: articles}
+
+    def start():
         seen: set[str] = set()
-        taken: list[int] = []
-        rows = pdf.sort_values(order).reset_index(drop=True)
-        of = lambda kinds: [i for k in kinds for i in rows.index[rows["_bucket"] == k]]
-
-        def take(i: int) -> None:
-            url, thumb = rows["link"][i], rows["thumbnail"][i]
-            keys = {url, thumb} if isinstance(thumb, str) and thumb else {url}
-            if not keys & seen:
-                seen.update(keys)
-                taken.append(i)
-
-        for i in of(("all", "exact-match", "visual-match")):
-            if rows["_wire"][i]:
-                take(i)
-        for kinds, cap in ((("exact-match", "visual-match"), matches), (("all",), articles)):
-            tried = 0
-            for i in of(kinds):
-                if tried >= cap or len(taken) >= most:
-                    break
-                if rows["link"][i] not in seen:
-                    take(i)
-                    tried += 1
-        return rows.loc[taken, names].assign(place=range(1, len(taken) + 1))
-
-    return d.groupBy(query).applyInPandas(fold, schema)
+        tried, taken = {1: 0, 2: 0}, 0
+
+        def step(turn: int, url: str, thumb: str | None) -> int | None:
+            nonlocal taken
+            if turn:
+                if tried[turn] >= caps[turn] or taken >= most or url in seen:
+                    return None
+                tried[turn] += 1
+            keys = {url, thumb} if thumb else {url}
+            if keys & seen:
+                return None
+            seen.update(keys)
+            taken += 1
+            return taken
+
+        return step
+
+    return folds.filtered(d, query, ["_turn", "_within", order], ["_turn", "link", "thumbnail"], start, drop=("_turn", "_within"), added=T.StructField("place", T.IntegerType()))

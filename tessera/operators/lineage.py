@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tessera.operators import folds
 from tessera.session import materialise, release
 
 
@@ -139,41 +140,35 @@ def overall_status(modules: DataFrame, by: str) -> DataFrame:
 def tolerant_best(candidates: DataFrame, by: str, order: str) -> DataFrame:
     """(by, key): a fold in input order; a later candidate wins by confidence, then by an hour or more of age, else by area and by f.
 
-    The comparison is not transitive, so it cannot be an ORDER BY. Groups are
-    the few candidates of one search. candidates: by, order, key, conf, ts, area, f.
+    The comparison is not transitive, so it cannot be an ORDER BY; a task holds the best of one
+    search so far. A null number loses every comparison. candidates: by, order, key, conf, ts, area, f.
     """
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for r in pdf.sort_values(order).itertuples():
-            if best is None or r.conf > best.conf:
-                best = r
-            elif r.conf == best.conf:
-                timed = pd.notna(r.ts) and pd.notna(best.ts)
-                if timed and abs((r.ts - best.ts).total_seconds()) >= 3600:
-                    best = r if r.ts < best.ts else best
-                elif r.area > best.area or (r.area == best.area and r.f < best.f):
-                    best = r
-        return pd.DataFrame({by: [key[0]], "key": [best.key]})
+    def better(r: tuple, best: tuple) -> bool:
+        (_, conf, ts, area, f), (_, conf_, ts_, area_, f_) = (tuple(math.nan if x is None and k != 2 else x for k, x in enumerate(row)) for row in (r, best))
+        if conf != conf_:
+            return conf > conf_
+        if ts is not None and ts_ is not None and abs((ts - ts_).total_seconds()) >= 3600:
+            return ts < ts_
+        return area > area_ or (area == area_ and f < f_)
 
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, key {kinds['key']}")
+    return folds.reduced(candidates, by, [order], ["key", "conf", "ts", "area", "f"], better, "key")
 
 
 def two_key_dedup(df: DataFrame, by: str, order: str, keys: tuple[str, str]) -> DataFrame:
-    """Rows whose first and second key were both not seen before in the group, in input order; empty keys never match."""
+    """Rows whose first and second key were both not seen before in the group, in input order; empty keys never match. A task holds the keys taken in one group."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, seen, keep = pdf.sort_values(order), (set(), set()), []
-        for vals in zip(*(pdf[k] for k in keys)):
-            used = [(s, v) for s, v in zip(seen, vals) if isinstance(v, str) and v]
+    def start():
+        seen = (set(), set())
+
+        def step(*values) -> bool:
+            used = [(s, v) for s, v in zip(seen, values) if isinstance(v, str) and v]
             new = not any(v in s for s, v in used)
-            keep.append(new)
             if new:
                 for s, v in used:
                     s.add(v)
-        return pdf[keep]
-
-    return df.groupBy(by).applyInPandas(fold, df.schema)
+            return new
 
+        return step
 
+    return folds.filtered(df, by, [order], keys, start)
