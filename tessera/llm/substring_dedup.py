@@ -89,16 +89,24 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 
 
 def _possible(window: int, bitmap: np.ndarray):
+    """Texts that can hold a shared anchor; of a task's copies of a text, each whose doc_id is the smallest so far."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
+            ids = b.column("doc_id").to_numpy()
             for piece in slices(b.column("text")):
                 one, two = _two(piece)
                 s1, s2 = _whole(piece, one), _whole(piece, two)
-                use = (piece.counts() >= window) & has_bit(bitmap, s1)
-                rows = [r for r in np.flatnonzero(use) if (key := (int(s1[r]), int(s2[r]))) not in seen and not seen.add(key)]
+                rows = []
+                for r in np.flatnonzero((piece.counts() >= window) & has_bit(bitmap, s1)):
+                    key, own = (int(s1[r]), int(s2[r])), int(ids[piece.first + r])
+                    if key not in seen or own < seen[key]:
+                        seen[key] = own
+                        rows.append(r)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(s1[rows])), pa.array(signed(s2[rows])), b.column("text").take(pa.array(np.array(rows) + piece.first))], names=["s1", "s2", "text"])
+                    at = pa.array(np.array(rows) + piece.first)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), pa.array(signed(s1[rows])), pa.array(signed(s2[rows])), b.column("text").take(at)], names=["doc_id", "s1", "s2", "text"])
 
     return run
 
@@ -166,8 +174,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, period: int = PERIOD, cov
     places = materialise(anchors.join(shared, "h").groupBy("s1").agg(F.collect_set("at").alias("at")), "places")
     release(shared)
 
-    possible = ordered.mapInArrow(_possible(window, fixed_bitmap(places.select("s1"))), "s1 long, s2 long, text string")
-    texts = possible.join(places, "s1").join(reps, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
+    # copies meet their class by doc_id, too, so that each but the class's own goes to a task of its own and ends there
+    possible = source.where("doc_id is not null").mapInArrow(_possible(window, fixed_bitmap(places.select("s1"))), "doc_id long, s1 long, s2 long, text string")
+    texts = possible.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "s1", "s2"]).dropDuplicates(["s1", "s2"]).join(places, "s1")
     texts = materialise(texts.withColumn("text_no", F.monotonically_increasing_id()), "texts")
     windows = materialise(texts.select("text_no", "rep", "at", "text").mapInArrow(_windows(window, period), "a long, b long, text_no long, rep long, at int"), "windows")
     first = materialise(windows.groupBy("a", "b").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("a", "b", "first"), "first")
