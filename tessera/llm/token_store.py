@@ -9,7 +9,8 @@ skip to a range of doc_id. `read_index` reads only metadata columns;
 
 Cases: a null text is an empty one (only the end id); an empty table gives
 empty files' schema and no rows; rows with a null doc_id come first; repeated
-doc_ids stay separate rows, ordered by text; a very long text is one list, held
+doc_ids stay separate rows, in the order of the input's partitions and inside one ordered by text (so
+a doc_id, or none, that many rows share is dealt over tasks); a very long text is one list, held
 whole by one task; extra columns are ignored, also ones named like the output's.
 """
 
@@ -205,7 +206,8 @@ def write_tokens(
     if encoding not in ("delta", "dictionary"):
         raise ValueError("encoding is delta or dictionary")
     out = out or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("_from"))
+    ordered = rows.repartitionByRange("doc_id", "_from").sortWithinPartitions("doc_id", "_from", "text").drop("_from")
     (
         ordered.mapInArrow(_encode_part(tokenizer_path, end_id, batch_rows), SCHEMA)
         .write.option("parquet.writer.version", "PARQUET_2_0")

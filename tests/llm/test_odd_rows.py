@@ -111,3 +111,37 @@ def test_store_layout(spark, docs, tmp_path):
         assert groups >= 2 and ("RLE_DICTIONARY" in coded) == (kind == "dictionary") and (kind == "dictionary" or "DELTA_BINARY_PACKED" in coded)
     few = token_store.read_tokens(spark, out, 10, 12)
     assert {r.doc_id for r in few.collect()} == {10, 11, 12}
+
+
+def test_rules_without_a_language(spark):
+    """One language, und, where there is no such column: as if it were null."""
+    rows = [(i, f"some words of text number {i} and more of the same words " * 3) for i in range(8)] + [(9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, null = ([tuple(r) for r in divergence.distribution_rules(d).orderBy("doc_id").collect()] for d in (df, df.selectExpr("*", "cast(null as string) as lang")))
+    assert got == null and len(got) == 9
+
+
+def test_windows_rank_before_the_shuffle(spark, long_docs):
+    words = divergence.common_words(long_docs)
+    assert "WindowGroupLimit" in words._jdf.queryExecution().executedPlan().toString()
+    assert {r.lang: len(r.top_words) for r in words.collect()} == {"en": 16}
+
+
+def test_a_doc_id_of_many_rows(spark):
+    """Tokens: rows of one doc_id and of none are dealt over tasks; passages: copies of a doc_id's text stay one class."""
+    import public_tokenizers
+
+    rows = [(None if i % 2 else 7, f"row {i}") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny ones would be put together again
+    path = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_store.token_digests(spark, path).collect()
+    assert len(got) == 400 and token_store.read_index(spark, path).select("part").distinct().count() > 2
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 200 + [7] * 200
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = [(9, text), (9, text), (4, text), (4, text), (12, "x " + text + " y"), (3, "other " * 60)]
+    assert sorted((tuple(r)[:4] for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()), key=str) == removed(docs)
