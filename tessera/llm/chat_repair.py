@@ -21,7 +21,8 @@ Cases: a null role or one unknown costs UNKNOWN to label; null texts are empty;
 a null conv_id is a conversation of its own; turns are ordered by turn (nulls
 first), then a hash of role and text, then role and text, so ties have an order
 that no partitioning changes, and repeated rows are alike; a text of any length
-passes whole, one row at a time; an empty table gives no rows; extra columns are
+passes whole, one row at a time; an empty table gives no rows; a table without conv_id, turn, role or
+text is an error of its missing column; extra columns are
 ignored, also ones named like the output's.
 """
 

@@ -13,7 +13,7 @@ and what chance adds at its length. Rows without a lang are spared this: a mixtu
 of languages has no words that each text should hold.
 
 Cases: a null text counts as having no words and fails the base rule; rows
-with a null lang are a language of their own, "und"; an empty table gives no rows;
+with a null lang (all, where there is no such column) are a language of their own, "und"; an empty table gives no rows;
 rows are never joined by doc_id, so repeated or null doc_ids do no harm; a very
 long text is one row whose words and windows are arrays of one task; extra
 columns stay out, also ones named like the output's.
@@ -77,7 +77,7 @@ def repeated_words(words: Column, n_words: Column, k: int = 5) -> Column:
 def base_columns(docs: DataFrame) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed beside doc_id, lang and text."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+    df = docs.select("doc_id", _lang_of(docs).alias("lang"), text.alias("text")).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     df = df.select(
         "doc_id", "lang", "text", "words",
@@ -90,6 +90,10 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def _lang_of(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
 def _lang(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit("und"))
 
@@ -104,20 +108,17 @@ def few_rows(df: DataFrame, most: int = 256) -> DataFrame:
 def common_words(docs: DataFrame, top_words: int = 16) -> DataFrame:
     """Per language its top words, their shares (the last is that of all other words) and word_none, the distance of a text without any of them.
 
-    Words are lower-cased and counted over all rows before the shuffle; ranking
-    sees one row a word and language, in 64 slots first, so no task ranks all
-    words of a large language.
+    Words are lower-cased and counted over all rows before the shuffle, one row a word and
+    language. Of those each task passes on its first top_words (a limit that Spark puts before
+    the shuffle of a window whose rows are cut by rank), so ranking needs no memory that grows with a
+    vocabulary.
     """
-    base = docs.select(_lang(F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(_lang(_lang_of(docs)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = base.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    slot = F.pmod(F.xxhash64("word"), F.lit(64)).alias("slot")
-    first = Window.partitionBy("lang", "slot").orderBy(F.desc("n"), "word")
-    in_slot = Window.partitionBy("lang", "slot")
-    best = counts.select("lang", "word", "n", slot).select("lang", "word", "n", F.sum("n").over(in_slot).alias("slot_words"), F.row_number().over(first).alias("r")).where(F.col("r") <= top_words)
-    best = materialise(best, "words")
-    sums = best.where("r = 1").groupBy("lang").agg(F.sum("slot_words").alias("all_words"))
+    counts = materialise(counts, "words")
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("all_words"))
     last = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = best.withColumn("r", F.row_number().over(last)).where(F.col("r") <= top_words)
+    top = counts.withColumn("r", F.row_number().over(last)).where(F.col("r") <= top_words)
     return (
         top.join(sums, "lang").groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("r", "word", (F.col("n") / F.col("all_words")).alias("share")))).alias("top"))
