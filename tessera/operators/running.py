@@ -34,3 +34,19 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], totals: dict[st
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "row", by: Sequence[str] = ()) -> DataFrame:
     """df with the 1-based place of every row in the order (within by)."""
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}, by).drop("_one")
+
+
+def group_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """(by, name): the exact quantile of a group's values, interpolated between the two nearest ranks; groups without values are absent.
+
+    Values are ranked over a range partition, so no task or buffer holds a large group's values.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    ranked = numbered(rows, ["_v"], "_no", by)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    at = q * (F.col("_n") - 1)
+    near = ranked.join(sizes, same).withColumn("_at", at).where((F.col("_no") == F.floor("_at") + 1) | (F.col("_no") == F.ceil("_at") + 1))
+    return near.groupBy(*by).agg((F.min("_v") + (F.max("_at") - F.floor(F.max("_at"))) * (F.max("_v") - F.min("_v"))).alias(name))

@@ -25,18 +25,18 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], found: dict[str
     """df (from `dealt`) with a column a name of found, each a kind and what it runs over, within by and along order.
 
     Kinds: sum, min and max of the rows up to this one (nulls aside; the sum of none is 0), min_before of
-    the rows before it, last: the last value up to this row that is not null, lag: the value of the row before,
-    null or not.
+    the rows before it, last and last_before: the last value up to or before this row that is not null, lag: the value of the
+    row before, null or not.
     """
     cols = {n: (kind, F.col(c) if isinstance(c, str) else c) for n, (kind, c) in found.items()}
     place = F.struct(*order)
     reduce_ = {
         "sum": F.sum, "min": F.min, "min_before": F.min, "max": F.max,
-        "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)), "lag": lambda c: F.max_by(F.struct(c.alias("v")), place),
+        **dict.fromkeys(("last", "last_before"), lambda c: F.max_by(c, F.when(c.isNotNull(), place))), "lag": lambda c: F.max_by(F.struct(c.alias("v")), place),
     }
     parts = df.groupBy(*by, "_part").agg(*[reduce_[kind](c).alias(f"_c_{n}") for n, (kind, c) in cols.items()])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    combine = {"sum": F.sum, "min": F.min, "min_before": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "lag": F.last}
+    combine = {"sum": F.sum, "min": F.min, "min_before": F.min, "max": F.max, **dict.fromkeys(("last", "last_before"), lambda c: F.last(c, ignorenulls=True)), "lag": F.last}
     carries = parts.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_part").alias("_at"), F.count("*").over(earlier).alias("_e"), *[combine[kind](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, (kind, _) in cols.items()]
     ).where("_e > 0").drop("_e")
@@ -54,8 +54,8 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], found: dict[str
             return F.greatest(carry, F.max(c).over(upto))
         if kind in ("min", "min_before"):
             return F.least(carry, F.min(c).over(upto if kind == "min" else before))
-        if kind == "last":
-            return F.coalesce(F.last(c, ignorenulls=True).over(upto), carry)
+        if kind in ("last", "last_before"):
+            return F.coalesce(F.last(c, ignorenulls=True).over(upto if kind == "last" else before), carry)
         return F.when(F.row_number().over(own) == 1, carry["v"]).otherwise(F.lag(c).over(own))
 
     out = df.join(carries, same, "left")

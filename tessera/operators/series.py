@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.intervals import interval_join
+from tessera.operators.running import group_quantile
 from tessera.operators.scans import dealt, scan
 
 
@@ -127,11 +128,22 @@ def context_padding(centre: Column, n: Column, width: int) -> tuple[Column, Colu
     return left, right, F.greatest(F.lit(0), width - left - right)
 
 
+def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """left with right's columns, one row a key or none; null keys meet."""
+    named = right.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    return left.join(named, same, "left").drop(*[f"_j{i}" for i in range(len(by))])
+
+
 def intervals_cv(df: DataFrame, by: Sequence[str], ts: str, tie: str) -> DataFrame:
     """(by, n, cv, ratio90): variation of the steps between rows, and their 90th percentile over the mean."""
-    w = Window.partitionBy(*by).orderBy(ts, tie)
-    steps = df.select(*by, (F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)).alias("d")).where("d is not null")
-    return steps.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("d"), F.avg("d")).alias("cv"), F.try_divide(F.percentile("d", 0.9), F.avg("d")).alias("ratio90"))
+    order = [ts, tie]
+    d = scan(dealt(df.select(*by, *order), by, order), by, order, {"_t": ("lag", F.col(ts).cast("double"))})
+    steps = d.select(*by, (F.col(ts).cast("double") - F.col("_t")).alias("d")).where("d is not null")
+    means = steps.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("d"), F.avg("d")).alias("cv"), F.avg("d").alias("_m"))
+    return _joined(means, group_quantile(steps, by, "d", 0.9, "_q"), by).select(*by, "n", "cv", F.try_divide("_q", "_m").alias("ratio90"))
 
 
 def vector_deltas(runs: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
@@ -170,23 +182,24 @@ def probe_statistics(frames: DataFrame, by: Sequence[str], order: str) -> DataFr
     distance of the whole length if there are fewer than two), variation of packet
     sizes and positive steps, and the 90th percentile of packets over their mean.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    d = frames.withColumn("_no", F.row_number().over(w)).withColumn("_dt", F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w))
-    d = d.withColumn("_k", F.when(F.col("key"), F.col("_no"))).withColumn("_gop", F.when(F.col("key"), F.col("_no") - F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    d = scan(dealt(frames, by, [order]), by, [order], {"_no": ("sum", F.lit(1).cast("long")), "_t": ("lag", F.col("ts").cast("double"))})
+    d = d.withColumn("_dt", F.col("ts").cast("double") - F.col("_t")).withColumn("_k", F.when(F.col("key"), F.col("_no")))
+    d = scan(d, by, [order], {"_before": ("last_before", "_k")}).withColumn("_gop", F.when(F.col("key"), F.col("_no") - F.col("_before")))
     packet, dt, kind = F.when(F.col("packet") > 0, F.col("packet")), F.when(F.col("_dt") > 0, F.col("_dt")), F.upper("kind")
     cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
     n = F.count("*")
-    return d.groupBy(*by).agg(
+    found = d.groupBy(*by).agg(
         n.alias("frames"), (F.count_if("key") / n).alias("key_share"), F.coalesce(F.avg("_gop"), n.cast("double")).alias("gop_mean"), F.coalesce(F.stddev_pop("_gop"), F.lit(0.0)).alias("gop_std"),
-        F.coalesce(F.max("_gop"), n).cast("double").alias("gop_max"), cv(packet).alias("packet_cv"), F.coalesce(F.try_divide(F.percentile(packet, 0.9), F.avg(packet)), F.lit(1.0)).alias("packet_p90"),
-        cv(dt).alias("step_cv"), *[(F.count_if(kind == k) / n).alias(f"{k.lower()}_share") for k in ("I", "P", "B")],
+        F.coalesce(F.max("_gop"), n).cast("double").alias("gop_max"), cv(packet).alias("packet_cv"), F.avg(packet).alias("_m"), cv(dt).alias("step_cv"), *[(F.count_if(kind == k) / n).alias(f"{k.lower()}_share") for k in ("I", "P", "B")],
     )
+    found = _joined(found, group_quantile(frames.where(F.col("packet") > 0), by, "packet", 0.9, "_q"), by)
+    ratio = F.coalesce(F.try_divide("_q", "_m"), F.lit(1.0)).alias("packet_p90")
+    return found.select(*by, "frames", "key_share", "gop_mean", "gop_std", "gop_max", "packet_cv", ratio, "step_cv", "i_share", "p_share", "b_share")
 
 
 def frame_statistics(frames: DataFrame, by: Sequence[str], order: str, measures: Sequence[str], change: str, duplicate: float = 0.0025) -> DataFrame:
     """Per sample the mean, deviation and variation of each measure, and of the change from frame to frame its mean, variation and the share of near duplicates."""
-    diff = F.abs(F.col(change) - F.lag(change).over(Window.partitionBy(*by).orderBy(order)))
-    d = frames.withColumn("_d", diff)
+    d = scan(dealt(frames, by, [order]), by, [order], {"_b": ("lag", change)}).withColumn("_d", F.abs(F.col(change) - F.col("_b")))
     cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
     out = [f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("cv", cv))]
     return d.groupBy(*by).agg(F.count("*").alias("frames"), *out, F.coalesce(F.avg((F.col("_d") <= duplicate).cast("double")), F.lit(0.0)).alias("near_duplicates"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("change_mean"), cv("_d").alias("change_cv"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import payloads
-from tessera.operators import attribution, intervals, scans, series
+from tessera.operators import attribution, intervals, running, scans, series
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def dealt_over(spark, request):
 
 def test_scan_kinds(spark, hot, dealt_over):
     rows, df = hot
-    kinds = {"s": "sum", "lo": "min", "lo_before": "min_before", "hi": "max", "seen": "last", "b": "lag"}
+    kinds = {"s": "sum", "lo": "min", "lo_before": "min_before", "hi": "max", "seen": "last", "seen_before": "last_before", "b": "lag"}
     d = scans.dealt(df, ["k"], ["t", "no"])
     if dealt_over > 1:
         assert d.where("k = 'hot'").select("_part").distinct().count() >= 4  # the hot key is in many tasks
@@ -50,7 +50,7 @@ def test_scan_kinds(spark, hot, dealt_over):
     for own in by_key(rows).values():
         for i, r in enumerate(own):
             upto, before = [x[3] for x in own[: i + 1] if x[3] is not None], [x[3] for x in own[:i] if x[3] is not None]
-            assert got[r[2]] == (sum(upto), none(min, upto), none(min, before), none(max, upto), upto[-1] if upto else None, own[i - 1][3] if i else None)
+            assert got[r[2]] == (sum(upto), none(min, upto), none(min, before), none(max, upto), upto[-1] if upto else None, before[-1] if before else None, own[i - 1][3] if i else None)
 
 
 def test_series_of_hot_keys(spark, hot, dealt_over):
@@ -73,6 +73,20 @@ def test_series_of_hot_keys(spark, hot, dealt_over):
                 last = (t, v)
 
 
+def test_quantiles_of_hot_keys(spark, hot, dealt_over):
+    import numpy as np
+
+    rows, df = hot
+    for q in (0.0, 0.35, 0.9, 1.0):
+        got = {r.k: r.x for r in running.group_quantile(df, ["k"], "t", q, "x").collect()}
+        assert got == {k: pytest.approx(np.quantile([r[1] for r in own], q)) for k, own in by_key(rows).items()}
+    cv = {r.k: r for r in series.intervals_cv(df, ["k"], "t", "no").collect()}
+    for k, own in by_key(rows).items():
+        d = np.diff([r[1] for r in own])
+        assert (cv[k].n, cv[k].cv, cv[k].ratio90) == (len(d), pytest.approx(d.std() / d.mean()), pytest.approx(np.quantile(d, 0.9) / d.mean()))
+    assert running.group_quantile(df.limit(0), ["k"], "t", 0.5, "x").count() == 0
+
+
 def test_asof_of_hot_keys(spark, hot, dealt_over):
     rows, df = hot
     left, right = df.where("no % 2 = 0"), df.where("no % 2 = 1").withColumnRenamed("v", "w")
