@@ -30,6 +30,7 @@ def class_labels(folder: Column) -> Column:
 
 def filename_parts(name: Column) -> Column:
     """{content_id, linked, method}: what stands before the first underscore, all ids joined by ;, the method named."""
+    # fixed values: the words left out, the event and the year where none is found
     stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(.)\.[^.]*$", "$1")
     low = F.lower(stem)
     method = first_case([(F.contains(low, F.lit(p)), m) for p, m in METHODS.items()], "unknown")
@@ -125,6 +126,7 @@ def folder_split(name: Column, platform: Column) -> Column:
 
 def dimension_hints(width: Column, height: Column) -> Column:
     """Array of {label, score}: platforms whose usual sizes fit; null or non-positive sizes give none."""
+    # fixed values: the sizes and scores of each platform
     long_, short = F.greatest(width, height), F.least(width, height)
     hint = lambda c, name, score: F.when((width > 0) & (height > 0) & c, F.struct(F.lit(name).alias("label"), F.lit(score).alias("score")))
     return F.array_compact(F.array(
@@ -160,6 +162,7 @@ def device_label(make: Column, model: Column) -> Column:
 
 def floor_date(text: Column, days: int = 30) -> Column:
     """The earliest date that a text's event allows: its day, else the first of its year, less `days`; null without either."""
+    # fixed value: the pattern of a date
     d = r"(20[0-2][0-9])[/-](0[1-9]|1[0-2])[/-](0[1-9]|[12][0-9]|3[01])"
     whole = F.concat_ws("-", *[F.nullif(F.regexp_extract(text, d, k), F.lit("")) for k in (1, 2, 3)])
     year = F.nullif(F.regexp_extract(text, r"\b(20[0-2][0-9])\b", 1), F.lit(""))

@@ -158,6 +158,7 @@ def artifact_registry(files: DataFrame, root: str) -> DataFrame:
 
 def retrain_recommended(auc: Column, detection: Column, false_positives: Column) -> Column:
     """By the first figure there is: an AUC below 0.85, a detection rate below 0.5, or a false-positive rate above 0.3."""
+    # fixed values
     return F.when(auc.isNotNull(), auc < 0.85).when(detection.isNotNull(), detection < 0.5).when(false_positives.isNotNull(), false_positives > 0.3).otherwise(F.lit(False))
 
 
@@ -191,6 +192,7 @@ def reverse_hits(pages: DataFrame, key: str, html: str, own: Sequence[str] = ("y
 
     Items are elements with a class of result sites; tags are the page's first five labels.
     """
+    # fixed values: the class names of results and tags, and the hosts of platforms; an item ends at the first closing tag of its kind
     item = r"""(?is)<(?:li|div)[^>]*class=["'][^"']*(?:CbirSites|CbirItem|SerpItem)[^"']*["'][^>]*>(.*?)</(?:li|div)>"""
     tag = r"""(?is)<[a-z]+[^>]*class=["'][^"']*Tags-Item[^"']*["'][^>]*>([^<]*)<"""
     labels = F.slice(F.filter(F.transform(F.regexp_extract_all(html, F.lit(tag), 1), lambda t: F.trim(t)), lambda t: t != ""), 1, 5)

@@ -143,6 +143,7 @@ def match_decision() -> Column:
     scale_ok, coverage_t, coverage_c, box_t, box_c ({w, h}), area_t, area_c,
     distance, inliers, ratio.
     """
+    # fixed values: the thresholds of spans, coverages, boxes and inliers
     wide = lambda x, y, area, longest, shortest: (x * y >= area) & (F.greatest(x, y) >= longest) & (F.least(x, y) >= shortest)
     src, dst = (F.col("src_x"), F.col("src_y")), (F.col("dst_x"), F.col("dst_y"))
     big = lambda box, area: (F.col(box)["w"] >= 80) & (F.col(box)["h"] >= 80) & (F.col(box)["w"] * F.col(box)["h"] >= 0.04 * F.col(area))
@@ -162,6 +163,7 @@ def fingerprint_ranking(matches: DataFrame, query: str, preferred: str | Column
     above the least score; a query is trusted if its best correlation is 0.03
     and its lead 0.01 at least.
     """
+    # fixed values: weights, bonus and the least correlation and lead
     t = F.col("template")
     bonus = F.when(t == F.lit(preferred), 0.015).otherwise(0.0)
     score = F.when(t == "reference", F.col("correlation")).otherwise(F.col("correlation") * F.when(t == "original", 0.96).otherwise(0.9) + bonus)
