@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tessera.functions.ids import finite, fraction, media_type, path_identity, sample_id
+from tessera.functions.labels import folder_platform, folder_split
 from tessera.functions.urls import meaningful_filename
 from tessera.operators.protocol import require
 
@@ -69,6 +71,34 @@ def media_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int
     )
 
 
+#: Endings of images, and what marks a row of a list as a reference.
+IMAGE_ENDINGS, TRUE_WORDS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "heic", "dng"), ("1", "true", "yes", "y")
+
+
+def labelled_images(spark: SparkSession, root: str) -> DataFrame:
+    """(path, device, platform, split) of the images below root, path relative to it: by the list labels.csv if it is there, else by folders.
+
+    Of a list's columns the first of several names counts that is filled; rows whose image is not there are left out. A folder
+    of root is a device; images right in it are originals to train with, those deeper get platform and split from
+    the name of the folder below the device. Only names are read, never images.
+    """
+    root = root.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.regexp_replace("path", "^.*?" + re.escape(root.removeprefix("file://")) + "/", "")
+    images = listed.select(path.alias("path")).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_ENDINGS))
+    parts = F.split("path", "/")
+    if listed.where(path == "labels.csv").limit(1).count():
+        names = {"path": ("file_path", "path", "relative_path"), "device": ("device_id", "device"), "platform": ("platform", "platform_path"), "split": ("split",), "reference": ("is_reference",)}
+        rows = aliased(read_text_csv(spark, f"{root}/labels.csv"), names).where("path is not null").join(images, "path", "left_semi")
+        parent = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(root.rpartition("/")[2]))
+        platform = folder_platform(F.coalesce("platform", parent))
+        split = F.coalesce("split", F.when(F.lower("reference").isin(*TRUE_WORDS), "reference"), folder_split(parent, platform))
+        return rows.select("path", F.coalesce("device", F.try_element_at(parts, F.lit(-3))).alias("device"), platform.alias("platform"), split.alias("split"))
+    deep, bucket = F.size(parts) > 2, F.get(parts, F.lit(1))
+    platform = F.when(deep, folder_platform(bucket)).otherwise("original")
+    return images.where(F.size(parts) > 1).select("path", parts[0].alias("device"), platform.alias("platform"), F.when(deep, folder_split(bucket, platform)).otherwise("train").alias("split"))
+
+
 def fixture_rows(spark: SparkSession, n: int, platform: str) -> DataFrame:
     """n labelled synthetic candidates of a platform, for tests and demonstrations."""
     i = F.col("id")

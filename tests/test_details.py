@@ -122,3 +122,20 @@ def test_projections(spark):
     assert (v.url, v.post_url, v.text, v.has_media, v.timestamp_type, v.evidence_status) == ("u", "u", "s", False, "unknown", "unverified")
     assert tuple(m) == ("u", "p", None, None)
     assert records.compact_records(df.select(F.lit(1).alias("x"), F.lit(0.5).alias("score"), F.lit("c").alias("cohort"))).columns == ["cohort", "score"]
+
+
+def test_labelled_images(spark, tmp_path):
+    from tessera.sources import tables
+
+    def put(name, text=b"x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+
+    for name in ("cam/a.jpg", "cam/Original-reference/b.PNG", "cam/ig query/deep/c.webp", "cam/whatsapp/d.txt", "top.jpg", "phone/unknown place/e.dng"):
+        put(name)
+    read = lambda: sorted(tuple(r) for r in tables.labelled_images(spark, str(tmp_path)).collect())
+    assert read() == [
+        ("cam/Original-reference/b.PNG", "cam", "original", "reference"), ("cam/a.jpg", "cam", "original", "train"), ("cam/ig query/deep/c.webp", "cam", "instagram", "test"), ("phone/unknown place/e.dng", "phone", "unknown_place", "platform_sample"),
+    ]
+    put("labels.csv", b"path,relative_path,device,platform,is_reference,split\n,cam/a.jpg,,,yes,\ncam/ig query/deep/c.webp,,d9,Reddit,,mine\nmissing.jpg,,d,,,\ncam/whatsapp/d.txt,,d,,,\n,,d,,,\ncam/Original-reference/b.PNG,,,,,\n")
+    assert read() == [("cam/Original-reference/b.PNG", "cam", "original", "reference"), ("cam/a.jpg", None, "cam", "reference"), ("cam/ig query/deep/c.webp", "d9", "reddit", "mine")]
