@@ -141,13 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
     got = texts.select("quality", "text").mapInArrow(_rows_terms, "quality int, terms binary").collect()
     if not got:
         return Model(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
-    x = _unit(_weighted(np.stack([np.frombuffer(zlib.decompress(r["terms"]), np.uint32) for r in got]).astype(np.float32), idf))
-    # right singular vectors by way of the (rows x rows) Gram matrix
-    value, left = np.linalg.eigh((x @ x.T).astype(np.float64))
-    top = np.argsort(-value)[: min(latent, len(got))]
-    top = top[value[top] > 1e-9]
+    # one array of at most 2 * sample_per_label rows, weighted in place
+    x, quality = np.empty((len(got), DIMS), np.float32), np.array([r["quality"] for r in got], np.float64)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(zlib.decompress(r["terms"]), np.uint32)
+    del got
+    norm = np.linalg.norm(_weighted(x, idf), axis=1, keepdims=True)
+    x /= np.where(norm > 0, norm, 1)
+    # right singular vectors by way of the (rows x rows) Gram matrix; what lies below single precision is no axis
+    value, left = np.linalg.eigh(x @ x.T)
+    top = np.argsort(-value)[: min(latent, len(x))]
+    top = top[value[top] > max(1e-9, 1e-5 * float(value.max()))]
     axes = (x.T @ (left[:, top] / np.sqrt(value[top]))).astype(np.float32)
-    return Model(idf, axes, _unit(x @ axes), np.array([r["quality"] for r in got], np.float64), neighbours, power)
+    return Model(idf, axes, _unit(x @ axes), quality, neighbours, power)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
