@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import records as rc, scores as sc
-from tessera.operators import protocol as p, series as s, vectors as v
+from tessera.functions import pages as pg, records as rc, scores as sc
+from tessera.operators import lineage, protocol as p, series as s, vectors as v
+from tessera.plans.evidence_plans import ledger
 from tessera.plans.metric_plans import r6
 from tessera.plans.registry import register, table
 from tessera.session import shared_dir
@@ -124,3 +125,43 @@ def ledger_csv(spark, sf_dir):
     d = table(spark, sf_dir, "events").select(C("event_id").cast("string"), C("user_id").cast("string"), "event_type", F.concat("props", F.lit(', "quoted"')), F.sha2("props", 256)).toDF(*names)
     versioned.write(d, root, "csv", names, header="true", quoteAll="true", escape='"')
     return versioned.read(spark, root)
+
+
+@register("ledger_verify_tampered", "SELECT user_id, count(*) AS entries, (count(*) - 1) // 5 AS broken FROM events GROUP BY user_id")
+def verify_tampered(spark, sf_dir):
+    """Every fifth entry's hash is forged, so the entry after it does not follow."""
+    forged = F.when(C("sequence") % 5 == 0, F.sha2("entry_hash", 256)).otherwise(C("entry_hash"))
+    return lineage.verify_chain(ledger(spark, sf_dir).withColumn("entry_hash", forged), "user_id")
+
+
+@register("protocol_validate_faults", """
+WITH a AS (SELECT event_id, user_id, CASE WHEN user_id % 4 = 0 THEN ['train', 'dev'][event_id % 2 + 1] ELSE 'train' END AS role FROM events),
+d AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE event_id % 10 = 0)
+SELECT 3 - (SELECT count(DISTINCT role) FROM d) AS missing_roles, (SELECT count(*) FROM a WHERE event_id % 10 = 0) AS duplicate_samples, (SELECT count(*) FROM (SELECT user_id FROM d GROUP BY 1 HAVING count(DISTINCT role) > 1)) AS crossing_groups""")
+def validate_faults(spark, sf_dir):
+    """No holdout, every tenth sample twice, groups in two roles."""
+    role = F.when((C("user_id") % 4 == 0) & (C("event_id") % 2 == 1), "dev").otherwise("train")
+    a = table(spark, sf_dir, "events").select("event_id", "user_id", role.alias("role"))
+    return p.validate_assignment(a.unionByName(a.where("event_id % 10 = 0")), "event_id", ["user_id"], "role", ["train", "dev", "holdout"])
+
+
+SITE = r"regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+def _illustrated(spark, sf_dir):
+    """The pages with pictures, a lead picture and a quoted post put into them."""
+    no = C("page_id").cast("string")
+    lead = F.concat(F.lit('<head><meta property="og:image" content="/og'), no, F.lit('.jpg">'))
+    body = F.concat(F.lit('<article><img src="/pic'), no, F.lit('.jpg?w=300"><img src="data:x"><a href="https://twitter.com/user'), no, F.lit('/status/77">t</a>'))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace(F.replace("html", F.lit("<head>"), lead), F.lit("<article>"), body).alias("html"))
+
+
+@register("page_images_in_pages", f"SELECT page_id, unnest([{SITE} || '/pic' || page_id || '.jpg?w=300', {SITE} || '/pic' || page_id || '.jpg', {SITE} || '/og' || page_id || '.jpg']) AS image FROM pages")
+def page_images(spark, sf_dir):
+    return _illustrated(spark, sf_dir).select("page_id", F.explode(pg.page_images(C("html"), C("url"))).alias("image"))
+
+
+@register("page_posts_in_pages", f"SELECT page_id, {SITE} || '/og' || page_id || '.jpg' AS image, 'https://x.com/user' || page_id || '/status/77' AS post, '@user' || page_id AS account FROM pages")
+def page_posts(spark, sf_dir):
+    d = _illustrated(spark, sf_dir).select("page_id", pg.lead_image(C("html"), C("url")).alias("image"), pg.embedded_post(C("html")).alias("x"))
+    return d.select("page_id", "image", C("x.url").alias("post"), "x.account")
