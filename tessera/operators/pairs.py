@@ -32,8 +32,9 @@ def hamming_pairs(classes: DataFrame, radius: int, bands: int = 16) -> DataFrame
     Multi-index hashing: the bits are cut into bands, and the radius + 1 is dealt over them: of hashes within the radius, some
     band with share s differs in fewer than s bits (pigeonhole). Both sides put every band down with up to
     half of those bits changed and meet where they agree, so the search loses nothing; `bit_count` of the whole
-    hashes decides. Bands of about log2 of the number of hashes keep chance meetings few: 16 for tens of thousands
-    to millions, 8 beyond (with larger radii at the price of more changed bands).
+    hashes decides, and a pair counts in the first band that finds it. Bands of about log2 of the number of hashes keep
+    chance meetings few: 16 for tens of thousands to millions, 8 beyond (with larger radii at the price of more changed
+    bands). The two sides are many times their tables, which the optimiser does not see: they are sorted and merged, never broadcast.
     """
     if bands not in (8, 16, 32):
         raise ValueError("bands is 8, 16 or 32")
@@ -46,16 +47,24 @@ def hamming_pairs(classes: DataFrame, radius: int, bands: int = 16) -> DataFrame
     def probes(most: Callable[[int], int], names: tuple[str, str], mark: str) -> DataFrame:
         def band(b: int, bits: int) -> Column:
             value = F.conv(F.substring("digest", 1 + b * width // 4, width // 4), 16, 10).cast("long")
-            return F.transform(_masks(width, bits), lambda m: F.struct(F.lit(b).alias("band"), value.bitwiseXOR(m).alias("value")))
+            return F.transform(_masks(width, bits), lambda m: value.bitwiseXOR(m) * bands + b)
 
         every = F.flatten(F.array(*[band(b, most(t)) for b, t in enumerate(allowed) if t >= 0]))
-        d = rows.select(F.col("class").alias(names[0]), F.col("n").alias(names[1]), *[F.col(f"w{k}").alias(f"{mark}{k}") for k in range(WORDS)], F.explode(every).alias("p"))
-        return d.select("*", "p.band", "p.value").drop("p")
+        return rows.select(F.col("class").alias(names[0]), F.col("n").alias(names[1]), *[F.col(f"w{k}").alias(f"{mark}{k}") for k in range(WORDS)], F.explode(every).alias("probe"))
 
     left, right = probes(lambda t: t // 2, ("left", "n_left"), "a"), probes(lambda t: t - t // 2, ("right", "n_right"), "b")
-    distance = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    met = left.join(right, ["band", "value"]).where((F.col("left") < F.col("right")) & (distance <= radius))
-    return met.select("left", "right", distance.cast("int").alias("distance"), "n_left", "n_right").dropDuplicates(["left", "right"])
+    apart = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(WORDS)]
+    distance = sum((F.bit_count(x) for x in apart), F.lit(0))
+
+    def own(b: int) -> Column:
+        k, place = divmod(b * width, BITS // WORDS)
+        return F.bit_count(F.shiftrightunsigned(apart[k], BITS // WORDS - width - place).bitwiseAND(F.lit((1 << width) - 1)))
+
+    first = F.coalesce(*[F.when(own(b) <= t, F.lit(b)) for b, t in enumerate(allowed) if t >= 0])
+    met = left.join(right.hint("merge"), "probe").where((F.col("left") < F.col("right")) & (distance <= radius)).where(F.col("probe") % bands == first)
+    found = met.select("left", "right", distance.cast("int").alias("distance"), "n_left", "n_right")
+    # with two bits changed or more, a band finds a pair by several changes
+    return found.dropDuplicates(["left", "right"]) if max(allowed) > 1 else found
 
 
 #: Vectors of a block; a task holds one block of queries, one of rows and their products.
