@@ -37,8 +37,15 @@ def search_queries(text: Column, keywords: Column, platforms: Sequence[str]) ->
 
 
 def votes(df: DataFrame, query: str, label: str, weight: str, damping: float = 0.15) -> DataFrame:
-    """(query, label, score, confidence, rank): summed votes; confidence is the share of all votes plus a damping term."""
-    s = df.groupBy(query, label).agg(F.sum(weight).alias("score"))
+    """(query, label, score, confidence, rank): summed votes; confidence is the share of all votes plus a damping term.
+
+    Votes that are decimals of up to 12 places are summed as such, so equal scores tie (and go by label) whatever the
+    order in which tasks add them; sums of other doubles are those of doubles.
+    """
+    w = F.col(weight).cast("double")
+    exact = w.try_cast("decimal(28,12)")
+    whole = F.bool_and(w.isNull() | F.coalesce(exact.cast("double") == w, F.lit(False)))
+    s = df.groupBy(query, label).agg(F.when(whole, F.sum(exact).cast("double")).otherwise(F.sum(w)).alias("score"))
     total = F.sum("score").over(Window.partitionBy(query)) + damping
     s = s.withColumn("confidence", F.col("score") / total)
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), label)))

@@ -139,3 +139,13 @@ def test_labelled_images(spark, tmp_path):
     ]
     put("labels.csv", b"path,relative_path,device,platform,is_reference,split\n,cam/a.jpg,,,yes,\ncam/ig query/deep/c.webp,,d9,Reddit,,mine\nmissing.jpg,,d,,,\ncam/whatsapp/d.txt,,d,,,\n,,d,,,\ncam/Original-reference/b.PNG,,,,,\n")
     assert read() == [("cam/Original-reference/b.PNG", "cam", "original", "reference"), ("cam/a.jpg", None, "cam", "reference"), ("cam/ig query/deep/c.webp", "d9", "reddit", "mine")]
+
+
+def test_equal_votes_tie(spark):
+    """0.3 + 0.2 + 0.1 and 0.1 + 0.2 + 0.3 differ as doubles, so that b came first; 1e-20 is no decimal of twelve places."""
+    from tessera.operators import profiles
+
+    rows = [(1, "a", 0.3), (1, "a", 0.2), (1, "a", 0.1), (1, "b", 0.1), (1, "b", 0.2), (1, "b", 0.3), (2, "a", 1e-20), (2, "b", 3e-20), (2, "c", None), (3, "a", 1e300)]
+    got = profiles.votes(spark.createDataFrame(rows, "q int, l string, w double").coalesce(1), "q", "l", "w", 0.0).collect()
+    assert sorted((r.q, r.l, r.rank) for r in got) == [(1, "a", 1), (1, "b", 2), (2, "a", 2), (2, "b", 1), (2, "c", 3), (3, "a", 1)]
+    assert {r.l: r.score for r in got if r.q == 1} == {"a": 0.6, "b": 0.6} and {r.l: r.score for r in got if r.q == 2} == {"a": 1e-20, "b": 3e-20, "c": None}
