@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import pages as pg, records as rc, scores as sc
 from tessera.operators import lineage, protocol as p, series as s, vectors as v
 from tessera.plans.evidence_plans import ledger
-from tessera.plans.metric_plans import r6
+from tessera.plans.metric_plans import r6, signed_round
 from tessera.plans.registry import register, table
 from tessera.session import shared_dir
 from tessera.sources import versioned
@@ -47,7 +47,7 @@ WITH e AS (SELECT vec_id, embedding[1:1 + vec_id % 64] AS e FROM embeddings), w
 SELECT vec_id, CAST(s // 10 AS INT) AS "window", CAST(s AS INT) AS start, CAST(least(len(e) - s, 16) AS INT) AS valid, [round(e[s + 1 + i % least(len(e) - s, 16)]::DOUBLE, 6) FOR i IN range(16)] AS "values" FROM w""")
 def window_values(spark, sf_dir):
     d = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, (C("vec_id") % 64).cast("int") + 1).alias("e"))
-    return s.window_values(d, "vec_id", "e", 16, 10).withColumn("values", F.transform("values", lambda x: F.round(x.cast("double"), 6)))
+    return s.window_values(d, "vec_id", "e", 16, 10).withColumn("values", F.transform("values", lambda x: signed_round(x.cast("double"))))
 
 
 @register("metric_attached_scores", """

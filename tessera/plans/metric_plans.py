@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators import metrics as m
 from tessera.plans.registry import register, table
@@ -15,6 +15,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "user_id", "event_type", F.col("event_type").isin("purchase", "signup").cast("int").alias("y"), (F.floor(F.col("value") * 10) / 1000).alias("s"))
 
 
+def signed_round(c: Column, places: int = 6) -> Column:
+    """c rounded; what is below zero and rounds to it stays -0.0, as in SQL over doubles (Spark's round, by decimals, gives 0.0)."""
+    r = F.round(c, places)
+    return F.when(r == 0, c * F.lit(0.0)).otherwise(r)
+
+
 def r6(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 

@@ -141,6 +141,15 @@ def test_labelled_images(spark, tmp_path):
     assert read() == [("cam/Original-reference/b.PNG", "cam", "original", "reference"), ("cam/a.jpg", None, "cam", "reference"), ("cam/ig query/deep/c.webp", "d9", "reddit", "mine")]
 
 
+def test_small_negatives_keep_their_sign(spark, tmp_path):
+    """-2e-7 rounds to -0.0 in SQL; nulls, zeros and others as before."""
+    from tessera.plans import registry
+
+    spark.createDataFrame([(3, [-2e-7, 2e-7, 0.0, -0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["series_window_values"](spark, str(tmp_path)).first()["values"]
+    assert [str(x) for x in got[:4]] == ["-0.0", "0.0", "0.0", "-0.5"]
+
+
 def test_equal_votes_tie(spark):
     """0.3 + 0.2 + 0.1 and 0.1 + 0.2 + 0.3 differ as doubles, so that b came first; 1e-20 is no decimal of twelve places."""
     from tessera.operators import profiles
