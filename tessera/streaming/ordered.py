@@ -54,7 +54,7 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2]) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
         due = [r for r in rows if r[0] <= passed]
         later = rows[len(due) :]
         if due:
@@ -62,8 +62,8 @@ class _InOrder(StatefulProcessor):
             if later:
                 self.handle.registerTimer(-(-int(later[0][0]) // 1000))
             out = list(self.judge(due))
-            self.last.update((int(due[-1][0]),))
             if self.idle_ms is not None:
+                self.last.update((int(due[-1][0]),))
                 self.handle.registerTimer(int(due[-1][0]) // 1000 + self.idle_ms)
             if out:
                 yield pd.DataFrame(out, columns=self.names)
@@ -85,11 +85,14 @@ class _ClosedSet(_InOrder):
         self.seen = [handle.getMapState(n, "k string", "us long") for n in ("urls", "pairs")]
 
     def judge(self, rows: list[tuple]) -> Iterator[tuple]:
+        # read once: a question to the state store a row costs more than the row
+        known = [{k[0] for k in s.keys()} for s in self.seen]
         for us, o, *keys in rows:
-            used = [(s, (k,)) for s, k in zip(self.seen, keys) if isinstance(k, str) and k]
-            if not any(s.containsKey(k) for s, k in used):
-                for s, k in used:
-                    s.updateValue(k, (us,))
+            used = [(s, old, k) for s, old, k in zip(self.seen, known, keys) if isinstance(k, str) and k]
+            if not any(k in old for _, old, k in used):
+                for s, old, k in used:
+                    old.add(k)
+                    s.updateValue((k,), (us,))
                 yield us, o
 
     def forget(self) -> None:
@@ -111,7 +114,7 @@ class _Sampler(_InOrder):
         self.taken = handle.getValueState("taken", "n long")
 
     def judge(self, rows: list[tuple]) -> Iterator[tuple]:
-        n = self.taken.get()[0] if self.taken.exists() else 0
+        n = (self.taken.get() or (0,))[0]
         for us, o in rows:
             if us - self.start_us >= n * self.period_us:
                 n += 1

@@ -75,3 +75,23 @@ def test_tick_sampler(spark, tmp_path, rows):
                 wanted.append(no)
                 n += 1
     assert got == sorted(wanted)
+
+
+def test_triggers_do_not_grow_with_files(spark, tmp_path):
+    """Twenty files a stretch are read in about a trigger a stretch, not four files a trigger."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import stream_plans
+    from tessera.streaming import events
+
+    e = spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.col("id") * 977 % 400 * 60).alias("ts"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"))
+    e.repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    try:
+        stream = stream_plans._stream(spark, str(tmp_path))[0]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    events.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 401
+    assert len([p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit()]) <= 6
