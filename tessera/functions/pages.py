@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -53,12 +55,26 @@ def exploded_links(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return pages.select(key, F.posexplode(links(F.col(html))).alias("position", "href"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: inside functions over arrays Spark works a repeated expression out each time."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _seen_from(base: Column) -> Column:
+    """Scheme, host and folder of a page."""
+    scheme, root, folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/)", 1)
+    down = F.when(folder.rlike("^[A-Za-z][A-Za-z0-9+.-]*://."), folder).otherwise(F.concat(root, F.lit("/")))
+    return F.struct(scheme.alias("scheme"), root.alias("root"), down.alias("down"))
+
+
+def _placed(url: Column, at: Column) -> Column:
+    u = F.trim(url)
+    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(at["scheme"], u)).when(u.startswith("/"), F.concat(at["root"], u)).otherwise(F.concat(at["down"], u))
+
+
 def resolved(url: Column, base: Column) -> Column:
     """url as seen from a page at base: absolute ones stay, others get the scheme, the host or the folder."""
-    u = F.trim(url)
-    scheme, root, folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/)", 1)
-    down = F.concat(F.when(folder.rlike("^[A-Za-z][A-Za-z0-9+.-]*://."), folder).otherwise(F.concat(root, F.lit("/"))), u)
-    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("/"), F.concat(root, u)).otherwise(down)
+    return _placed(url, _seen_from(base))
 
 
 #: Attributes of an image tag that hold its URL, parts of class and id that tell an icon, and endings of images.
@@ -90,9 +106,9 @@ def page_images(html: Column, base: Column) -> Column:
     metas = F.transform(named, lambda t: attribute(t, "content"))
     hrefs = F.filter(F.transform(tags("a"), lambda t: attribute(t, "href")), lambda u: u.rlike(IMAGE_ENDING))
     found = F.filter(F.concat(own, sets, metas, hrefs), lambda u: (F.trim(u) != "") & ~u.startswith("data:"))
-    urls = F.array_distinct(F.filter(F.transform(found, lambda u: resolved(u, base)), lambda u: ~F.contains(F.lower(u), F.lit("favicon"))))
-    bare = F.filter(F.transform(urls, lambda u: F.regexp_replace(F.regexp_replace(u, r"(?i)\?(crop|resize|width|w|quality|q)=[^#]*", ""), r"\?+$", "")), lambda u: u.rlike(IMAGE_ENDING))
-    return F.array_distinct(F.concat(urls, bare))
+    urls = bound(_seen_from(base), lambda at: F.array_distinct(F.filter(F.transform(found, lambda u: _placed(u, at)), lambda u: ~F.contains(F.lower(u), F.lit("favicon")))))
+    bare = lambda us: F.filter(F.transform(us, lambda u: F.regexp_replace(F.regexp_replace(u, r"(?i)\?(crop|resize|width|w|quality|q)=[^#]*", ""), r"\?+$", "")), lambda u: u.rlike(IMAGE_ENDING))
+    return bound(urls, lambda us: F.array_distinct(F.concat(us, bare(us))))
 
 
 def embedded_post(html: Column) -> Column:

@@ -10,6 +10,7 @@ from tessera.plans.evidence_plans import nodes, NODES
 from tessera.plans.metric_plans import r6
 from tessera.plans.record_plans import made, sql
 from tessera.plans.registry import register, table
+from tessera.session import spread
 from tessera.sources import connectors as cn
 
 C = F.col
@@ -153,12 +154,12 @@ HTML = {
 
 @register("page_images", """WITH u AS (SELECT p_partkey, unnest(['https://a.org/news/pic' || (p_partkey % 3) || '.jpg?w=300', 'https://cdn.org/a.webp', 'https://b.org/b.webp', 'https://a.org/og' || p_partkey || '.jpg', 'https://a.org/news/big.PNG', 'https://a.org/news/pic' || (p_partkey % 3) || '.jpg']) AS image FROM part) SELECT * FROM u""")
 def images(spark, sf_dir):
-    return made(spark, sf_dir, "part", HTML).select("p_partkey", F.explode(pg.page_images(C("html"), C("url"))).alias("image"))
+    return made(spark, sf_dir, "part", HTML, spread).select("p_partkey", F.explode_outer(pg.page_images(C("html"), C("url"))).alias("image")).where("image is not null")
 
 
 @register("page_embedded_post", "SELECT p_partkey, 'https://a.org/og' || p_partkey || '.jpg' AS image, 'https://x.com/user' || p_partkey || '/status/1234' AS post, '@user' || p_partkey AS account FROM part")
 def embedded(spark, sf_dir):
-    d = made(spark, sf_dir, "part", HTML)
+    d = made(spark, sf_dir, "part", HTML, spread)
     return d.select("p_partkey", pg.lead_image(C("html"), C("url")).alias("image"), pg.embedded_post(C("html")).alias("x")).select("p_partkey", "image", C("x.url").alias("post"), "x.account")
 
 

@@ -158,7 +158,7 @@ def _illustrated(spark, sf_dir):
 
 @register("page_images_in_pages", f"SELECT page_id, unnest([{SITE} || '/pic' || page_id || '.jpg?w=300', {SITE} || '/pic' || page_id || '.jpg', {SITE} || '/og' || page_id || '.jpg']) AS image FROM pages")
 def page_images(spark, sf_dir):
-    return _illustrated(spark, sf_dir).select("page_id", F.explode(pg.page_images(C("html"), C("url"))).alias("image"))
+    return _illustrated(spark, sf_dir).select("page_id", F.explode_outer(pg.page_images(C("html"), C("url"))).alias("image")).where("image is not null")
 
 
 @register("page_posts_in_pages", f"SELECT page_id, {SITE} || '/og' || page_id || '.jpg' AS image, 'https://x.com/user' || page_id || '/status/77' AS post, '@user' || page_id AS account FROM pages")

@@ -12,8 +12,9 @@ from tessera.plans.registry import register, table
 C = F.col
 
 
-def made(spark, sf_dir, name: str, cols: dict[str, str]):
-    return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
+def made(spark, sf_dir, name: str, cols: dict[str, str], dealt=lambda d: d):
+    """The columns in SQL over a table, whose rows go through dealt first."""
+    return dealt(table(spark, sf_dir, name)).selectExpr(*[f"{e} AS {n}" for n, e in cols.items()])
 
 
 def sql(name: str, cols: dict[str, str]) -> str:

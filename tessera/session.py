@@ -66,6 +66,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over four tasks a core, for costly expressions over a table whose few large row groups would leave most cores idle.
+
+    A stated number, which adaptive execution does not merge again.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that `materialise` returned. Only for those that no DataFrame still to be run reads."""
     for t in tables:
