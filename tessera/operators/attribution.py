@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.pages import bound
 from tessera.operators.audits import first_of
 from tessera.operators.scans import dealt, scan
 
@@ -175,16 +176,17 @@ def file_vector(size: Column, width: Column, height: Column, exif: Column, tags:
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     w, h = zero(width), zero(height)
     flat = F.coalesce(F.flatten(F.transform(tables, lambda t: F.slice(t, 1, 64))), F.array().cast("array<int>")).cast("array<double>")
-    some = F.filter(flat, lambda v: v > 0)
-    high = F.when(F.size(some) > 32, F.slice(some, 33, 1 << 20)).otherwise(some)
     mean = lambda a: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a)), F.lit(0.0))
-    std = F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(some, lambda v: v * v)) - mean(some) * mean(some)))
+    upper = lambda some: F.when(F.size(some) > 32, F.slice(some, 33, 1 << 20)).otherwise(some)
+    spread = lambda some, m: F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(some, lambda v: v * v)) - m * m))
     megapixels = F.greatest(F.lit(1.0), w * h) / 1e6
-    numbers = F.array(
+    own = F.array(
         F.log1p(zero(size)) / 16, w / 8000, h / 8000, F.coalesce(F.try_divide(w, h), F.lit(0.0)), F.log1p(zero(size) / megapixels) / 16, F.coalesce(exif, F.lit(False)).cast("double"), zero(tags) / 80,
-        F.size(F.coalesce(tables, F.array().cast("array<array<int>>"))) / 4.0, mean(some) / 255, std / 255, mean(high) / 255,
+        F.size(F.coalesce(tables, F.array().cast("array<array<int>>"))) / 4.0,
     )
-    return F.concat(numbers, F.transform(F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), places)), 1, places), lambda v: v / 255))
+    # means of tables, each array worked out once
+    means = lambda flat: bound(F.filter(flat, lambda v: v > 0), lambda some: bound(mean(some), lambda m: F.array(m / 255, spread(some, m) / 255, bound(upper(some), mean) / 255)))
+    return bound(flat, lambda flat: F.concat(own, means(flat), F.transform(F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), places)), 1, places), lambda v: v / 255)))
 
 
 def reverse_hits(pages: DataFrame, key: str, html: str, own: Sequence[str] = ("yandex.com", "yandex.ru")) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.operators import attribution as at, devices, lineage, metrics as m,
 from tessera.plans.metric_plans import r6
 from tessera.plans.record_plans import made, sql
 from tessera.plans.registry import register, table
-from tessera.session import shared_dir
+from tessera.session import shared_dir, spread
 from tessera.streaming import events as st
 
 C = F.col
@@ -201,7 +201,7 @@ def file_vector(spark, sf_dir):
     tables = F.array(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((k + i) % 50).cast("int")))
     v = at.file_vector(C("p_retailprice") * 1000, C("p_size") * 40, C("p_size") * 30, F.lit(True), F.lit(8), tables)
     x = lambda i: F.round(F.get("v", F.lit(i)), 6)
-    return table(spark, sf_dir, "part").select(k, v.alias("v")).select("p_partkey", F.size("v").alias("size"), x(0).alias("x0"), x(3).alias("x3"), x(7).alias("x7"), x(8).alias("x8"), x(9).alias("x9"), x(10).alias("x10"), x(11).alias("q0"), x(75).alias("q64"))
+    return spread(table(spark, sf_dir, "part").select(k, "p_retailprice", "p_size")).select(k, v.alias("v")).select("p_partkey", F.size("v").alias("size"), x(0).alias("x0"), x(3).alias("x3"), x(7).alias("x7"), x(8).alias("x8"), x(9).alias("x9"), x(10).alias("x10"), x(11).alias("q0"), x(75).alias("q64"))
 
 
 RESULT = {"p_partkey": "p_partkey", "html": """'<a class="Tags-Item x">flag</a><span class="Tags-Item"> </span><ul><li class="CbirSites-Item"><a href="https://yandex.com/x">own</a></li><li class="CbirSites-Item"><a href="https://vk.com/p' || CAST(p_partkey AS STRING) || '"><b>T</b> ' || p_name || '</a></li><li class="SerpItem"><a href="/rel">r</a></li><li class="SerpItem"><a href="https://b.org/1"></a></li></ul>'"""}
@@ -209,7 +209,7 @@ RESULT = {"p_partkey": "p_partkey", "html": """'<a class="Tags-Item x">flag</a><
 
 @register("source_reverse_hits", "SELECT p_partkey, CAST(unnest([1, 3]) AS INT) AS place, unnest(['https://vk.com/p' || p_partkey, 'https://b.org/1']) AS post_url, unnest(['T  ' || p_name, 'Visual Match on Web']) AS title, unnest(['vk', 'web']) AS platform, 'flag' AS tags FROM part")
 def reverse_hits(spark, sf_dir):
-    d = at.reverse_hits(made(spark, sf_dir, "part", RESULT), "p_partkey", "html")
+    d = at.reverse_hits(made(spark, sf_dir, "part", RESULT, spread), "p_partkey", "html")
     return d.select("p_partkey", "place", "post_url", F.regexp_replace("title", "^T +", "T  ").alias("title"), "platform", F.array_join("tags", ",").alias("tags"))
 
 

@@ -132,3 +132,15 @@ def test_hub_component_and_released_tables(spark):
     release(t)
     with pytest.raises(Exception, match="(?i)not exist|path"):
         spark.read.parquet(t.materialised_at).count()
+
+
+def test_few_row_groups_are_spread(spark, tmp_path):
+    """One file of one row group was one task for all of a costly expression."""
+    from tessera.plans import registry
+
+    spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "CAST(id AS INT) % 5 + 1 AS p_size", "1.5D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("page_images", "score_file_vector"):
+        d = registry.queries()[name](spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() > 8 and d.select("p_partkey").distinct().count() == 40
+    plan = registry.queries()["page_images"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan.split("Generate")[1].split("Project")[0]
