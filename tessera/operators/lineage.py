@@ -52,32 +52,34 @@ def best_first_many(nodes: DataFrame, edges: DataFrame, roots: DataFrame, iterat
 
     One frontier keyed by case: a round pops the least row of every case by a grouped minimum, joins all popped
     rows with the edges, and puts down what their cases had not reached. The number of rounds is that of
-    one search, whatever the number of cases, and the driver sees one count a round. A case ends when its
+    one search, whatever the number of cases, and the driver sees one count a round: sides grow with the cases, so none
+    is broadcast, which would take it through the driver in every round. A case ends when its
     frontier is empty or it pops a goal.
     """
     n = nodes.select(F.col("node").cast("string").alias("node"), F.col("f").cast("double").alias("f"), (F.coalesce(F.expr(goal), F.lit(False)) if goal else F.lit(False)).alias("_goal"))
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     start = roots.select("case", F.col("node").cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("f"), F.lit(0).alias("found")).distinct()
+    n, e = materialise(n, "nodes"), materialise(e, "edges")  # every round reads them
     reached, popped, tables = materialise(start, "frontier"), None, []
     tables.append(reached)
     goals = n.where("_goal").select("node")
     for step in range(iterations):
         left = reached
         if popped is not None:
-            left = left.join(popped.select("case", "node"), ["case", "node"], "left_anti").join(popped.where("_goal").select("case"), "case", "left_anti")
+            left = left.join(popped.select("case", "node").hint("merge"), ["case", "node"], "left_anti").join(popped.where("_goal").select("case").hint("merge"), "case", "left_anti")
         least = left.groupBy("case").agg(F.min(F.struct("f", "found", "node", "parent", "depth")).alias("m"))
-        cur = least.select("case", "m.node", "m.parent", "m.depth", "m.f", F.lit(step).alias("step")).join(goals.withColumn("_goal", F.lit(True)), "node", "left").withColumn("_goal", F.coalesce("_goal", F.lit(False)))
+        cur = least.select("case", "m.node", "m.parent", "m.depth", "m.f", F.lit(step).alias("step")).join(goals.withColumn("_goal", F.lit(True)).hint("merge"), "node", "left").withColumn("_goal", F.coalesce("_goal", F.lit(False)))
         cur = materialise(cur.select("case", "node", "parent", "depth", "f", "step", "_goal"), "popped")
         tables.append(cur)
         if not cur.limit(1).count():
             break
         popped = cur if popped is None else popped.unionByName(cur)
-        grown = cur.where(~F.col("_goal") & (F.col("depth") < max_depth)).select("case", F.col("node").alias("src"), F.col("depth").alias("_d")).join(e, "src")
-        new = grown.select("case", F.col("dst").alias("node"), F.col("src").alias("parent"), (F.col("_d") + 1).alias("depth")).join(reached.select("case", "node"), ["case", "node"], "left_anti")
-        tables.append(materialise(new.join(n, "node").select("case", "node", "parent", "depth", "f", F.lit(step + 1).alias("found")), "frontier"))
+        grown = cur.where(~F.col("_goal") & (F.col("depth") < max_depth)).select("case", F.col("node").alias("src"), F.col("depth").alias("_d")).join(e.hint("merge"), "src")
+        new = grown.select("case", F.col("dst").alias("node"), F.col("src").alias("parent"), (F.col("_d") + 1).alias("depth")).join(reached.select("case", "node").hint("merge"), ["case", "node"], "left_anti")
+        tables.append(materialise(new.join(n.hint("merge"), "node").select("case", "node", "parent", "depth", "f", F.lit(step + 1).alias("found")), "frontier"))
         reached = reached.unionByName(tables[-1])
     out = materialise(tables[1].limit(0).drop("_goal") if popped is None else popped.drop("_goal"), "searches")
-    release(*tables)
+    release(*tables, n, e)
     return out
 
 

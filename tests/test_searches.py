@@ -66,3 +66,16 @@ def test_weighted_bootstrap(spark):
     assert got.mid == pytest.approx(plain.mid, abs=0.05) and got.high - got.low == pytest.approx(plain.high - plain.low, rel=0.25)
     none = metrics.weighted_bootstrap(df.limit(0), "c", "v", reps=10).first()
     assert none.n_clusters == 0 and none.mid is None and math.isclose(metrics.POISSON[-1], 1.0)
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Nodes, edges and what was reached grow with the cases; broadcast, they went through the driver in each round."""
+    from tessera.operators import lineage
+
+    plans, write = [], lineage.materialise
+    monkeypatch.setattr(lineage, "materialise", lambda d, *a: (plans.append(d._jdf.queryExecution().executedPlan().toString()), write(d, *a))[1])
+    nodes = spark.createDataFrame([(str(i), float(i)) for i in range(12)], "node string, f double")
+    edges = spark.createDataFrame([(str(i // 3), str(i)) for i in range(1, 12)], "src string, dst string")
+    found = lineage.best_first_many(nodes, edges, spark.createDataFrame([(1, "0"), (2, "1")], "case long, node string"), iterations=3)
+    assert sorted((r.case, r.step, r.node) for r in found.collect()) == [(1, 0, "0"), (1, 1, "1"), (1, 2, "2"), (2, 0, "1"), (2, 1, "3"), (2, 2, "4")]
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
