@@ -8,6 +8,7 @@ from tessera.functions import labels as lb, records as rc
 from tessera.operators import audits as au
 from tessera.plans.metric_plans import r6
 from tessera.plans.registry import register, table
+from tessera.session import bounded_batches
 
 C = F.col
 
@@ -333,6 +334,7 @@ PAYLOAD = {"p_partkey": "p_partkey", "payload": """'{"a":{"media_path":"/tmp/x'
 def public_payload(spark, sf_dir):
     from tessera.functions.payloads import public_payload as public
 
+    bounded_batches(spark)
     sha = F.concat(F.lit("s"), C("p_partkey").cast("string"))
     return made(spark, sf_dir, "part", PAYLOAD).select("p_partkey", public(C("payload"), sha, {"/out/p.png": "/api/p"}).alias("payload"))
 
@@ -343,6 +345,7 @@ def public_texts(spark, sf_dir):
     """Payloads around whole texts, with quotes and backslashes in paths, nested lists and file URLs inside a text."""
     from tessera.functions.payloads import public_payload as public
 
+    bounded_batches(spark)
     key = C("doc_id").cast("string")
     inner = F.struct(F.concat(F.lit('/srv/a"b\\'), key, F.lit(".mp4")).alias("Image_Path"), F.array(F.array(F.concat(F.lit('outputs/"x"/'), key)), F.array(F.lit('kept "as" it is'))).alias("log_folders"))
     whole = F.struct(F.concat(F.lit('see "file:///tmp/'), key, F.lit('" \\ '), C("text")).alias("note"), F.array(inner).alias("items"), F.lit("file:///out/p.png").alias("plot"), F.concat(F.lit('/x\\"y/'), key).alias("label"))
@@ -356,6 +359,7 @@ def public_texts(spark, sf_dir):
 def redacted_payload(spark, sf_dir):
     from tessera.functions.payloads import redacted_payload as redacted
 
+    bounded_batches(spark)
     whole = F.struct(F.array(F.array("text")).alias("a"), F.create_map(F.lit("other"), F.concat("text", F.lit('"'))).alias("m"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.from_json(redacted(F.to_json(whole), ["the", "", "tion"]), "a array<array<string>>, m map<string, string>").alias("p"))
     return d.select("doc_id", F.md5(F.flatten("p.a")[0].cast("binary")).alias("nested_md5"), F.map_keys("p.m")[0].alias("key"), F.md5(F.map_values("p.m")[0].cast("binary")).alias("value_md5"))

@@ -66,6 +66,18 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Sees to it that Arrow batches to Python hold `rows` rows and about `size` bytes at most: a function over whole texts holds a batch several times over.
+
+    Spark reads both limits when a plan runs, so they are lowered in the session and stay so; lower ones are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over four tasks a core, for costly expressions over a table whose few large row groups would leave most cores idle.
 

@@ -166,3 +166,18 @@ def test_walk_equals_recursion(tree):
 
     for ascii_ in (True, False):
         assert json.loads(payloads.rewritten(json.dumps(tree, ensure_ascii=ascii_), lambda k, s: f"<{k}>" + s)) == walk(tree)
+
+
+def test_payload_queries_bound_their_batches(spark, tmp_path):
+    """10,000 whole texts a batch stood several times over in a Python worker."""
+    from tessera.plans import registry
+
+    spark.createDataFrame([(1, "the nation")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        assert registry.queries()["function_redacted_payload"](spark, str(tmp_path)).first()["key"] == "o[REDACTED]r"
+        assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
