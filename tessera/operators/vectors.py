@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import pairs
+from tessera.session import materialise
 
 
 def doubles(v: Column) -> Column:
@@ -119,28 +123,76 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.lit(1))
 
 
+#: Documents and characters of a case that one task counts together, on average.
+TOGETHER, CHARACTERS = 2048, 16 << 20
+
+
+def _word_counts(docs: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block (k, ref, words): its distinct documents (k, ref; rows of one key are one) and words, and place of document, place of word and count of every pair."""
+    own = pa.chunked_array([pa.StructArray.from_arrays([docs.column(c).combine_chunks() for c in ("k", "ref")], ["k", "ref"])]).combine_chunks()
+    places = {}
+    at = np.array([places.setdefault((r["ref"], r["k"]), len(places)) for r in own.to_pylist()], np.int64)
+    lists = docs.column("words").combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(at, np.diff(lists.offsets.to_numpy()))
+    n = max(1, len(words.dictionary))
+    pair, count = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+    first = np.unique(at, return_index=True)[1]
+    return own.take(pa.array(first)), words.dictionary, pair // n, pair % n, count
+
+
 def text_fallback(candidates: DataFrame, case: str, key: str, text: str, references: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """(case, key, score): clip(0.85 s + 0.10, 0.15, 0.95) to 3 places, s the tf-idf cosine of a candidate with its case's reference text.
 
     Document frequencies are those of a case's reference and candidates: idf = ln((1 + n) / (1 + df)) + 1. stop: words
     left out, as a frozen list that the caller keeps. A text without a word in common scores 0.15. references: case, text,
     one row a case; candidates of a case without one have no row.
+
+    Texts are dealt into blocks of a case, whose size is bounded by the number of blocks. A block asks for each of its
+    words once, the answers (in how many documents, how often in the reference) come back to it, and it weighs its own
+    texts: what is shuffled are the texts and each block's distinct words, not each text's.
     """
     own = candidates.select(F.col(case).alias("c"), F.col(key).alias("k"), F.lit(False).alias("ref"), F.col(text).alias("t"))
     ref = references.select(F.col(case).alias("c"), F.lit(None).cast(candidates.schema[key].dataType).alias("k"), F.lit(True).alias("ref"), F.col(text).alias("t"))
-    docs = own.join(ref.select("c").distinct(), "c", "left_semi").unionByName(ref)
-    words = F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    tf = docs.select("c", "k", "ref", F.explode(words).alias("w"))
-    tf = (tf.where(~F.col("w").isin(*stop)) if stop else tf).groupBy("c", "k", "ref", "w").agg(F.count("*").alias("n"))
-    size = docs.groupBy("c").agg(F.count("*").alias("docs"))
-    idf = tf.groupBy("c", "w").agg(F.count("*").alias("df")).join(size, "c").select("c", "w", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    x = tf.join(idf, ["c", "w"]).select("c", "k", "ref", "w", (F.col("n") * F.col("idf")).alias("x"))
-    mine, theirs = x.where(~F.col("ref")), x.where("ref").select("c", "w", F.col("x").alias("y"))
-    norm = theirs.groupBy("c").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    s = mine.join(theirs, ["c", "w"], "left").groupBy("c", "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("xy"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
-    s = s.join(norm, "c", "left").select("c", "k", F.coalesce(F.try_divide("xy", F.col("nx") * F.col("ny")), F.lit(0.0)).alias("s"))
-    every = own.join(ref.select("c").distinct(), "c", "left_semi").select("c", "k").join(s, ["c", "k"], "left")
-    return every.select(F.col("c").alias(case), F.col("k").alias(key), F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.15), F.coalesce("s", F.lit(0.0)) * 0.85 + 0.10)), 3).alias("score"))
+    # written, so that the optimiser knows the size of what is usually a short list and does not shuffle the texts for it
+    own = own.join(materialise(ref.select("c").distinct(), "cases"), "c", "left_semi")
+    sizes = own.groupBy("c").agg(F.greatest(F.count("*") / TOGETHER, F.sum(F.length("t")) / CHARACTERS).alias("n"))
+    blocks = max(1, int(sizes.agg(F.ceil(F.max("n"))).first()[0] or 1))
+    # the reference has a block of its own
+    block = F.when(F.col("ref"), -1).otherwise(F.pmod(F.xxhash64("k"), F.lit(blocks))).cast("int").alias("b")
+    every = F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    words = F.filter(every, lambda w: ~w.isin(*stop)) if stop else every
+    docs = own.unionByName(ref).select("c", block, "k", "ref", "t").repartition("c", "b").select("c", "b", "k", "ref", words.alias("words"))
+    ckind, kkind = docs.schema["c"].dataType.simpleString(), docs.schema["k"].dataType.simpleString()
+
+    def ask(of: tuple, d: pa.Table) -> pa.Table:
+        """(c, b, w, n, times): the documents of the block with a word, and how often the reference has it; the empty word counts documents."""
+        _, names, _, word, count = _word_counts(d)
+        n, times = np.bincount(word, minlength=len(names)), np.bincount(word, np.where(of[1].as_py() < 0, count, 0), len(names)).astype(np.int64)
+        names = pa.concat_arrays([names, pa.array([""], names.type)])
+        c, b = (pa.repeat(x, len(names)) for x in of)
+        return pa.table({"c": c, "b": b, "w": names, "n": pa.array([*n, d.num_rows], pa.int64()), "times": pa.array([*times, 0], pa.int64())})
+
+    def weigh(of: tuple, d: pa.Table, told: pa.Table) -> pa.Table:
+        """(c, k, ref, xy, nx) of the block's documents; a word without an answer is in one of them and nowhere else."""
+        texts, names, row, word, count = _word_counts(d)
+        at = pc.index_in(names, value_set=told.column("w")).fill_null(-1).to_numpy(zero_copy_only=False)
+        df, times = (np.append(told.column(c).to_numpy(), none) for c, none in (("df", 1), ("times", 0)))
+        size = pc.index(told.column("w"), "").as_py()
+        idf = np.log((1 + df[size]) / (1 + df[at])) + 1
+        x, y = count * idf[word], (times[at] * idf)[word]
+        total = lambda v: pa.array(np.bincount(row, v, len(texts)), pa.float64())
+        return pa.table({"c": pa.repeat(of[0], len(texts)), "k": texts.field("k"), "ref": texts.field("ref"), "xy": total(x * y), "nx": pa.array(np.sqrt(np.bincount(row, x * x, len(texts))))})
+
+    asked = docs.groupBy("c", "b").applyInArrow(ask, f"c {ckind}, b int, w string, n long, times long")
+    whole = Window.partitionBy("c", "w")
+    told = asked.select("c", "b", "w", F.sum("n").over(whole).alias("df"), F.max("times").over(whole).alias("times")).where("df > 1")
+    found = docs.groupBy("c", "b").cogroup(told.groupBy("c", "b")).applyInArrow(weigh, f"c {ckind}, k {kkind}, ref boolean, xy double, nx double")
+    found = materialise(found, "weighed")
+    norm = found.where("ref").select("c", F.col("nx").alias("ny"))
+    s = found.where(~F.col("ref")).join(norm, "c").select("c", "k", F.try_divide("xy", F.col("nx") * F.col("ny")).alias("s"))
+    rows = own.select("c", "k").join(s, ["c", "k"], "left")
+    return rows.select(F.col("c").alias(case), F.col("k").alias(key), F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.15), F.coalesce("s", F.lit(0.0)) * 0.85 + 0.10)), 3).alias("score"))
 
 
 def tfidf_cosine(docs: DataFrame, key: str, text: str, queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:

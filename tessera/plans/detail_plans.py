@@ -11,7 +11,7 @@ from tessera.operators import lineage, protocol as p, series as s, vectors as v
 from tessera.plans.evidence_plans import ledger
 from tessera.plans.metric_plans import r6, signed_round
 from tessera.plans.registry import register, table
-from tessera.session import shared_dir
+from tessera.session import materialise, shared_dir
 from tessera.sources import versioned
 
 C = F.col
@@ -82,7 +82,7 @@ SELECT d.source, d.doc_id, CAST(round(1000 * least(0.95, greatest(0.15, coalesce
 def text_fallback(spark, sf_dir):
     """Of each source the first document is the reference, the others are its candidates."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    ref = d.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    ref = materialise(d.groupBy("source").agg(F.min("doc_id").alias("doc_id")), "references")
     found = v.text_fallback(d.join(ref, ["source", "doc_id"], "left_anti"), "source", "doc_id", "text", d.join(ref, ["source", "doc_id"]).select("source", "text"), STOP)
     return found.select("source", "doc_id", F.round(C("score") * 1000).cast("long").alias("permille"))
 
