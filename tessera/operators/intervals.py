@@ -9,27 +9,22 @@ MOST = 62
 
 
 def _blocks(first: Column, last: Column, cell: float) -> Column:
-    """Array of (level, block): the fewest blocks of 2**level cells that cover the cells of [first, last), at most two a level."""
+    """Array of (level, block): the one or two blocks of 2**level cells that hold the cells of [first, last), for the lowest level at which these fit into one block."""
     low, high = F.floor(first / cell), F.ceil(last / cell)
-
-    def at(level: Column) -> Column:
-        # the cells that no lower level has covered, in blocks of this level
-        a, b = F.call_function("shiftright", low + (F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1), level), F.call_function("shiftright", high, level)
-        left, right = (a < b) & (a % 2 != 0), (a < b) & (b % 2 != 0)
-        block = lambda keep, index: F.when(keep, F.struct(level.alias("level"), index.alias("block")))
-        return F.array(block(left, a), block(right, b - 1))
-
-    levels = F.sequence(F.lit(0), F.least(F.lit(MOST), F.ceil(F.log2((high - low).cast("double"))).cast("int") + 1))
-    return F.when(low < high, F.array_compact(F.flatten(F.transform(levels, at))))
+    # a logarithm that is off by one costs a block more, no cell
+    level = F.least(F.lit(MOST), F.ceil(F.log2((high - low).cast("double"))).cast("int"))
+    at = F.sequence(F.call_function("shiftright", low, level), F.call_function("shiftright", high - 1, level))
+    return F.when(low < high, F.transform(at, lambda block: F.struct(level.alias("level"), block.alias("block"))))
 
 
 def interval_join(windows: DataFrame, points: DataFrame, by: str, start: str = "start_sec", end: str = "end_sec", ts: str = "ts", cell: float = 1.0) -> DataFrame:
     """windows joined with the points (all columns but by) of the same key with start <= ts < end.
 
-    A window is cut into O(log of its length) blocks of cells of `cell`; a point is looked up once for
-    each level that any window uses, so windows may overlap and differ in length at will. `cell` should be
-    about the shortest window: a larger one only lets more pairs meet before the exact test, a
-    smaller one adds levels. Windows that end before they start, and nulls, join nothing.
+    A window goes to the one or two blocks of about its length that it touches, in cells of `cell`; a point is looked up once
+    for each such length in use, so windows may overlap and differ in length at will, and what is shuffled does
+    not grow with their length. Blocks are less than twice as long as the window (or one cell), so about four times as many pairs
+    meet before the exact test as pass it, where points lie evenly. `cell` should be about the shortest
+    window: a larger one lets more pairs meet. Windows that end before they start, and nulls, join nothing.
     """
     cut = windows.withColumn("_blocks", F.explode(_blocks(F.col(start).cast("double"), F.col(end).cast("double"), cell)))
     cut = cut.select(*windows.columns, F.col("_blocks.level").alias("_level"), F.col("_blocks.block").alias("_block"))

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import vectors
+from tessera.operators import intervals, vectors
 
 
 @pytest.fixture
@@ -32,6 +32,17 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_long_windows_are_not_shuffled_in_pieces(spark, shuffled):
+    """Windows of 1 to 10,000 cells over 1,000 points: two rows a window and a row for each of the five lengths and point at most."""
+    rng = random.Random(8)
+    points = [("k", rng.uniform(0, 20000)) for _ in range(1000)]
+    windows = [("k", float(s := rng.randrange(20000)), float(s + 10 ** rng.randrange(5))) for _ in range(500)]
+    w, p = spark.createDataFrame(windows, "k string, start_sec double, end_sec double"), spark.createDataFrame(points, "k string, ts double")
+    n, rows = shuffled(lambda: intervals.interval_join(w, p, "k").groupBy("start_sec", "end_sec").count().coalesce(1))
+    assert {(r.start_sec, r.end_sec): r["count"] for r in rows} == {(s, e): c * k for (s, e), c in Counter((s, e) for _, s, e in windows).items() if (k := sum(s <= t < e for _, t in points))}
+    assert n < 5 * 1000 + 2 * 500 + 8 * 500
+
+
 def test_words_are_not_shuffled_text_by_text(spark, shuffled):
     """200 texts of 60 words out of 100, in two cases; a text twice under one key is one document but two rows."""
     rng = random.Random(5)
