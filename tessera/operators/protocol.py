@@ -76,10 +76,16 @@ def overlap_examples(left: DataFrame, right: DataFrame, key: str, sample: str, o
 
 
 def leakage_kinds(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(kind, shared): distinct values that both sides have, column by column."""
+    """(kind, shared): distinct values that both sides have, column by column.
+
+    Both sides are aggregated as one table, so that a task passes on one row a value: an intersection would
+    shuffle every row of a frequent value into one task.
+    """
     out = None
     for c in columns:
-        one = left.select(F.col(c).cast("string").alias("v")).where("v is not null").intersect(right.select(F.col(c).cast("string").alias("v"))).agg(F.lit(c).alias("kind"), F.count("*").alias("shared"))
+        side = lambda d, bit: d.select(F.col(c).cast("string").alias("v"), F.lit(bit).alias("side")).where("v is not null")  # noqa: E731, B023
+        seen = side(left, 1).unionByName(side(right, 2)).groupBy("v").agg(F.bit_or("side").alias("sides"))
+        one = seen.where("sides = 3").agg(F.lit(c).alias("kind"), F.count("*").alias("shared"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import intervals, vectors
+from tessera.operators import intervals, protocol, vectors
 
 
 @pytest.fixture
@@ -32,6 +32,15 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_frequent_values_are_not_shuffled_row_by_row(spark, shuffled):
+    """2,000 rows of five values, and null."""
+    left = spark.range(2000).selectExpr("CASE WHEN id % 5 > 0 THEN id % 5 END AS k")
+    right = spark.range(2000).selectExpr("id % 3 AS k")
+    n, rows = shuffled(lambda: protocol.leakage_kinds(left, right, ["k"]))
+    assert [(r.kind, r.shared) for r in rows] == [("k", 2)]
+    assert n < 500
+
+
 def test_long_windows_are_not_shuffled_in_pieces(spark, shuffled):
     """Windows of 1 to 10,000 cells over 1,000 points: two rows a window and a row for each of the five lengths and point at most."""
     rng = random.Random(8)
