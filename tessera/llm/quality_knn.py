@@ -116,6 +116,28 @@ def _rows_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("quality").slice(first, n), pa.array([zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts], pa.binary())], names=["quality", "terms"])
 
 
+def leading(gram: np.ndarray, k: int, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of a positive semidefinite matrix in single precision, descending, and their vectors.
+
+    Iterates a subspace of 4 * k dimensions until the vectors are exact to single precision (`most` times at most): the library's
+    decomposition takes nine times the matrix beside it, which the driver has no room for. Small matrices go to the library.
+    """
+    if len(gram) <= 4 * k:
+        value, vector = np.linalg.eigh(gram)
+        return value[::-1][:k], vector[:, ::-1][:, :k]
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(gram), 4 * k), np.float32))[0]
+    for _ in range(most):
+        image = gram @ q
+        value, turn = np.linalg.eigh((q.T @ image).astype(np.float64))
+        value, turn = value[::-1][:k], turn[:, ::-1][:, :k].astype(np.float32)
+        vector = q @ turn
+        off = np.linalg.norm(image @ turn - vector * value.astype(np.float32), axis=0).max()
+        if off <= 1e-6 * value[0]:
+            break
+        q = np.linalg.qr(image)[0]
+    return value.astype(np.float32), vector
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent: int = 64, neighbours: int = 25, power: int = 4) -> Model:
     """Learns from at most sample_per_label labelled rows of each label, those that come first by a hash of doc_id.
 
@@ -141,17 +163,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
     got = texts.select("quality", "text").mapInArrow(_rows_terms, "quality int, terms binary").collect()
     if not got:
         return Model(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
-    # one array of at most 2 * sample_per_label rows, weighted in place
-    x, quality = np.empty((len(got), DIMS), np.float32), np.array([r["quality"] for r in got], np.float64)
-    for i, r in enumerate(got):
-        x[i] = np.frombuffer(zlib.decompress(r["terms"]), np.uint32)
-    del got
-    norm = np.linalg.norm(_weighted(x, idf), axis=1, keepdims=True)
-    x /= np.where(norm > 0, norm, 1)
+    quality = np.array([r["quality"] for r in got], np.float64)
+
+    def sample() -> np.ndarray:
+        """The unit term vectors, at most 2 * sample_per_label, in blocks weighted in place."""
+        x = np.empty((len(got), DIMS), np.float32)
+        for i, r in enumerate(got):
+            x[i] = np.frombuffer(zlib.decompress(r["terms"]), np.uint32)
+        for k in range(0, len(x), BLOCK):
+            norm = np.linalg.norm(_weighted(x[k : k + BLOCK], idf), axis=1, keepdims=True)
+            x[k : k + BLOCK] /= np.where(norm > 0, norm, 1)
+        return x
+
     # right singular vectors by way of the (rows x rows) Gram matrix; what lies below single precision is no axis
-    value, left = np.linalg.eigh(x @ x.T)
-    top = np.argsort(-value)[: min(latent, len(x))]
-    top = top[value[top] > max(1e-9, 1e-5 * float(value.max()))]
+    x = sample()
+    value, left = leading(x @ x.T, latent)
+    top = value > max(1e-9, 1e-5 * float(value.max()))
     axes = (x.T @ (left[:, top] / np.sqrt(value[top]))).astype(np.float32)
     return Model(idf, axes, _unit(x @ axes), quality, neighbours, power)
 

@@ -181,3 +181,22 @@ def test_pipeline_against_plain_stages(spark, docs, pipeline_out):
     clean = {i for i, t in rows if i in first and not any(100 * len(s & grams(t)) >= 80 * len(s) for s in sets)}
     assert {r.doc_id for r in pipeline_out} == clean
     assert all(r.lossless for r in pipeline_out)
+
+
+def test_quality_decomposes_no_matrix_of_the_sample(spark, monkeypatch):
+    """The driver has no room for the library's decomposition of 2,048 rows; the leading vectors alone are the same."""
+    import numpy as np
+
+    from tessera.llm import quality_knn
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((600, 40), np.float32) @ rng.random((40, 900), np.float32) + rng.random((600, 900), np.float32)).astype(np.float32)
+    gram = x @ x.T
+    whole, vectors = np.linalg.eigh(gram.astype(np.float64))
+    value, left = quality_knn.leading(gram, 16)
+    assert np.allclose(value, whole[::-1][:16], rtol=1e-4) and np.abs(np.abs(left.T @ vectors[:, ::-1][:, :16]).diagonal() - 1)[:4].max() < 1e-3
+    sizes, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: sizes.append(len(a)) or eigh(a))
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    model = quality_knn.fit(read("documents"), read("labels"), latent=8)
+    assert len(model.vectors) > 32 and model.axes.shape[1] == 8 and max(sizes) <= 32
