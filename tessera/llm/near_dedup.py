@@ -47,6 +47,10 @@ BANDS, ROWS = 40, 5
 SMALL, BLOCK, CELLS = 8, 128, 1 << 18
 #: Of the lowest bits of 128 registers, those that differ are expected to be (1 - J) / 2. At J = 0.8 more than 32 differ with probability 2e-7.
 BITS, MOST_BITS = 128, 32
+#: Rows and bytes of a batch, bytes of a slice: what a worker's heap and the batch's copies outside the JVM's heap grow to, and keep.
+BATCH_ROWS, BATCH_BYTES, SLICE = 500, 8 << 20, 1 << 18
+#: Shingles whose registers are made together.
+TOGETHER = 1 << 17
 #: Base of the register scale, and rate that keeps registers of one-element sets above zero.
 SCALE, RATE = 1.001, 20.0
 
@@ -114,17 +118,30 @@ def keeps_candidate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray
     return loglik(above).max(1) >= loglik(below).max(1) - slack
 
 
+def _set_groups(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and sets of consecutive rows. Slices are small, but several share one `setsketch`, which takes as many rounds as its smallest set needs."""
+    first, sets, held = 0, [], 0
+    for piece in slices(texts, SLICE):
+        own = shingle_sets(piece, k)
+        sets += own
+        held += sum(map(len, own))
+        if held >= TOGETHER:
+            yield first, sets
+            first, sets, held = first + len(sets), [], 0
+    if sets:
+        yield first, sets
+
+
 def _sketches(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
-            for piece in slices(b.column("text")):
-                sets = shingle_sets(piece, k)
+            for first, sets in _set_groups(b.column("text"), k):
                 regs = setsketch(sets, m)
                 total = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in map(mix, sets)], np.uint64)
                 other = np.array([np.bitwise_xor.reduce(mix(s ^ GOLD)) if len(s) else 0 for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(piece.first, piece.n), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(total)), pa.array(signed(other)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    [ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(total)), pa.array(signed(other)), pa.array([r.tobytes() for r in regs], pa.binary())],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
                 )
 
@@ -150,7 +167,8 @@ def _block_links(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in zip(b.column("xs").to_pylist(), b.column("ys").to_pylist()):
+            for r in range(b.num_rows):  # one pair of blocks as Python objects at a time
+                x, y = (b.column(c)[r].as_py() for c in ("xs", "ys"))
                 sides = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (x, y)]
                 size = [np.array([len(v) for v in side]) for side in sides]
                 token = [np.concatenate(side) for side in sides]
@@ -183,9 +201,8 @@ def _sets(k: int, m: int, bitmap: np.ndarray):
             node = b.column("node").to_numpy().view(np.uint64)
             on = np.flatnonzero(has_bit(bitmap, mix(node)))
             some = b.take(pa.array(on))
-            for piece in slices(some.column("text")):
-                sets = shingle_sets(piece, k)
-                yield pa.RecordBatch.from_arrays([some.column("node").slice(piece.first, piece.n), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in setsketch(sets, m)], pa.binary())], names=["node", "shingles", "sketch"])
+            for first, sets in _set_groups(some.column("text"), k):
+                yield pa.RecordBatch.from_arrays([some.column("node").slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in setsketch(sets, m)], pa.binary())], names=["node", "shingles", "sketch"])
 
     return run
 
@@ -223,7 +240,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS):
         self.k, self.percent, self.bands, self.rows = shingle_words, percent, bands, rows
-        self.source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.source = bounded_batches(docs, BATCH_ROWS, BATCH_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         sketched = self.source.mapInArrow(_sketches(shingle_words, bands * rows), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
         self.sketched = materialise(sketched, "sketches")
         usable = self.sketched.where("n_shingles > 0 and doc_id is not null")

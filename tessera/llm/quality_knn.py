@@ -32,8 +32,10 @@ from tessera.llm._text import Slice, bounded_batches, slices
 #: Buckets of trigrams; the dimension after them counts repeated words, with the weight of so many dimensions.
 TRIGRAMS = 4096
 DIMS, REPEATS = TRIGRAMS + 1, 48
-#: Rows of texts whose dense term vectors are held at once.
-BLOCK = 256
+#: Rows of texts whose dense term vectors are held at once, and bytes of those texts.
+BLOCK, SLICE = 256, 1 << 18
+#: Rows and bytes of a batch: its copies outside the JVM's heap stay.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,7 +64,7 @@ def term_counts(piece: Slice) -> np.ndarray:
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     for k in range(0, len(texts), BLOCK):
-        for piece in slices(texts.slice(k, BLOCK)):
+        for piece in slices(texts.slice(k, BLOCK), SLICE):
             yield k + piece.first, piece.n, term_counts(piece)
 
 
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
     Only rows that are not held out are learned from; doc_id only chooses rows
     and joins labels to texts.
     """
-    bounded_batches(docs)
+    bounded_batches(docs, BATCH_ROWS, BATCH_BYTES)
     n, df = 0, np.zeros(DIMS)
     for r in docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 1024, latent
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a double column, from the text alone; a clashing column is replaced."""
-    kept = bounded_batches(docs).drop(column)
+    kept = bounded_batches(docs, BATCH_ROWS, BATCH_BYTES).drop(column)
     names = kept.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -45,8 +45,9 @@ CACHE_CHUNKS = 200_000
 LONG = 256
 #: Of the table that finds pairs.
 SLOT_BITS = 21
-#: Occurrences whose candidates are drawn at once.
-DRAWN = 200_000
+#: Occurrences whose candidates are drawn at once; chunks merged side by side, and their symbols.
+DRAWN = 50_000
+SIDE_BY_SIDE, SYMBOLS = 10_000, 500_000
 
 
 class _Slices:
@@ -171,7 +172,7 @@ class DropoutModel:
         count = np.zeros(len(chunks), np.int64)
         k = 0
         while k < len(order):
-            end = k + max(1, min(20_000, int(1_000_000 // max(1, size[order[min(k + 20_000, len(order) - 1)]]))))
+            end = k + max(1, min(SIDE_BY_SIDE, int(SYMBOLS // max(1, size[order[min(k + SIDE_BY_SIDE, len(order) - 1)]]))))
             rows = order[k:end]
             seen = None if met is None else []
             ids = self._merge_block(flat, start[rows], size[rows], None if draw is None else draw[rows], seen)
@@ -394,7 +395,7 @@ def _round_trip(path: str, rate: float, seed: int, rows: int, tokens: bool):
     return run
 
 
-def round_trip(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, batch_rows: int = 500, tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, batch_rows: int = 125, tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (the decoded ids are the text) of every row of docs, and the tokens if wanted.
 
     Encoding and decoding share one pass and one Python worker.
