@@ -145,6 +145,16 @@ def top_cosine(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: in
     return against_all(there(queries).select(key, vector), there(rows).select(*columns), key, kernel, schema, block)
 
 
+#: Rows that a query meets in a row; a multiple of eight, as Parquet packs the places in its dictionary by eights.
+TILE = 64
+
+
+def _tiled(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) where ok holds, by tiles of columns: both keys repeat at short, even distances, so files hold little but the figure."""
+    found = [np.nonzero(ok[:, t : t + TILE]) for t in range(0, ok.shape[1], TILE)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j + TILE * t for t, (_, j) in enumerate(found)])
+
+
 def correlations(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
     """(query, key, r): the Pearson correlation of every query with every row of its length; 0 where one has no spread."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -158,7 +168,7 @@ def correlations(queries: DataFrame, rows: DataFrame, key: str, vector: str, blo
         if not a.num_rows or not b.num_rows:
             return pa.table({"query": a.column(key).slice(0, 0), key: b.column(key).slice(0, 0), "r": pa.array([], pa.float64())})
         (q, nq), (r, nr) = matrix(a.column(vector)), matrix(b.column(vector))
-        i, j = np.nonzero(nq[:, None] == nr)
+        i, j = _tiled(nq[:, None] == nr)
         return pa.table({"query": a.column(key).take(pa.array(i)), key: b.column(key).take(pa.array(j)), "r": pa.array(_both(spread(q, nq), spread(r, nr))[i, j])})
 
     there = lambda d: d.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)

@@ -93,6 +93,23 @@ def test_blocks_are_bounded(spark):
     assert len(sizes) == 100 and max(max(s.q, s.r) for s in sizes) < 150 and sum(s.q * s.r for s in sizes) == 10**6
 
 
+def test_files_of_correlations_hold_little_but_the_figure(spark, tmp_path):
+    """A row for every query and vector: their keys took more than a byte a row beside the figure's eight."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8 if i % 97 else 5).tolist()) for i in range(1907)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    pairs.correlations(df.where("id % 19 = 0"), df, "id", "v").coalesce(1).write.parquet(f"{tmp_path}/r")
+    groups = [m.row_group(g) for f in tmp_path.glob("r/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    keys = sum(g.column(c).total_compressed_size for g in groups for c in (0, 1))
+    got = {(r.query, r.id): r.r for r in spark.read.parquet(f"{tmp_path}/r").collect()}
+    assert sorted(got) == [(q, i) for q, a in rows if q % 19 == 0 for i, b in rows if len(a) == len(b)]
+    assert keys < 0.25 * len(got), keys / len(got)
+    vector = dict(rows)
+    assert all(abs(got[k] - np.corrcoef(vector[k[0]], vector[k[1]])[0, 1]) < 1e-9 for k in list(got)[::500])
+
+
 def test_hamming_sides_are_never_broadcast(spark, hashes):
     """A side is many times its table, which the optimiser's estimate does not see: 1.5 GB were broadcast for 120,000 hashes."""
     classes, _ = pairs.hash_classes(spark.createDataFrame(hashes, "id long, h string"), "id", "h")
