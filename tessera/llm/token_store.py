@@ -17,11 +17,10 @@ whole by one task; extra columns are ignored, also ones named like the output's.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,17 @@ from tessera.llm._text import bounded_batches
 from tessera.session import shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
-#: Pieces a worker keeps, and half the parts of pieces; when full it starts anew.
-CACHE_WORDS = 1_200_000
+#: Parts of pieces that a worker keeps; when full it starts anew.
+CACHE_PARTS = 1_500_000
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs of flat with these starts and sizes: those at which, in a row, and how many each has."""
+    size = size[which]
+    end = np.cumsum(size, dtype=np.int32)
+    at = np.repeat(start[which] - (end - size), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], size
 
 
 class _Runs:
@@ -55,34 +63,37 @@ class _Runs:
         self.used, self.n = self.used + len(ids), self.n + len(size)
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the runs in a row, and how many each has."""
-        size = self.size[which]
-        end = np.cumsum(size, dtype=np.int32)
-        at = np.repeat(self.start[which] - (end - size), size)
-        at += np.arange(len(at), dtype=np.int32)
-        return self.flat[at], size
+        return _gather(self.flat, self.start, self.size, which)
 
 
 class WordEncoder:
-    """tokenizers' ids of whole texts, each distinct piece encoded once a worker.
+    """tokenizers' ids of whole texts, each distinct part of a piece encoded once a worker.
 
     The normaliser (NFC, white space, lower case) and the pre-tokeniser of the
     word-end BPE file never look across white space, so a text's ids are those
     of its pieces between blanks and line ends, in order. A piece of plain
     Latin letters and then plain punctuation is two pre-tokens, so its letters
-    are looked up in lower case. `tests/llm` compares all this with encoding
+    are looked up in lower case. Such letters are what the normaliser gives and
+    one pre-token, so new ones need only the pieces of the library that follow:
+    its byte alphabet and its BPE. `tests/llm` compares all this with encoding
     whole texts.
     """
 
     PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:*$%&#|]*)$"
 
-    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+    LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as pre
 
         self.tok = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre.Sequence([pre.CharDelimiterSplit(" "), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # every letter, and every pair of them, for a file of other rules than the word-end BPE's
+        trial = [" ".join([a, *(a + b for b in self.LETTERS)]) for a in self.LETTERS]
+        if any(not np.array_equal(x, y) for x, y in zip(self._ids(self.tok, trial), self._ids(self.bare, trial))):
+            self.bare = self.tok
         self.closes = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
@@ -90,31 +101,31 @@ class WordEncoder:
     def reset(self) -> None:
         self.parts: dict[str, int] = {}
         self.part_ids = _Runs()
-        self.reset_words()
-        self._encode_parts([""])
-
-    def reset_words(self) -> None:
-        self.words: dict[str, int] = {}
-        self.word_ids = _Runs()
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        plain, rest = [], []
-        for p in parts:
-            (plain if self.LETTERS.fullmatch(p) else rest).append(p)
-        # words of letters are single pre-tokens, whose last token ends with the word-end mark: many go in one text
-        for k in range(0, len(plain), 50_000):
-            some = plain[k : k + 50_000]
-            ids = self._ids([" ".join(some[i : i + 500]) for i in range(0, len(some), 500)])[0]
+
+    def _places(self, parts: list[str], plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct parts, unknown ones encoded; plain: of letters alone, in lower case."""
+        place = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int32, len(parts))
+        new = np.flatnonzero(place < 0)
+        # plain ones first, so that either kind is numbered in a row
+        new = np.concatenate([new[plain[new]], new[~plain[new]]])
+        place[new] = np.arange(len(self.parts), len(self.parts) + len(new))
+        names, n = [parts[i] for i in new.tolist()], int(plain[new].sum())
+        # these are single pre-tokens, whose last token ends with the word-end mark: many go in one text
+        for k in range(0, n, 50_000):
+            some = names[k : min(k + 50_000, n)]
+            ids = self._ids(self.bare, [" ".join(some[i : i + 50]) for i in range(0, len(some), 50)])[0]
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a word of letters is not one pre-token of this tokenizer")
             self._add(some, ids, np.diff(ends, prepend=0))
-        for k in range(0, len(rest), 20_000):
-            self._add(rest[k : k + 20_000], *self._ids(rest[k : k + 20_000]))
+        for k in range(n, len(names), 20_000):
+            self._add(names[k : k + 20_000], *self._ids(self.tok, names[k : k + 20_000]))
+        return place
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _ids(tok, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a row, and how many each has."""
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
@@ -123,20 +134,19 @@ class WordEncoder:
         self.part_ids.append(ids, size)
         self.parts.update(zip(parts, range(n, n + len(parts))))
 
-    def _learn(self, words: list[str]) -> None:
-        whole = pa.array(words, pa.large_string())
-        found = pc.extract_regex(whole, pattern=self.PLAIN)
-        heads = pc.if_else(found.is_valid(), pc.utf8_lower(found.field("head")), whole).dictionary_encode()
-        tails = pc.if_else(found.is_valid(), found.field("tail"), "").dictionary_encode()
-        names = [x.dictionary.to_pylist() for x in (heads, tails)]
-        self._encode_parts(sorted(set().union(*names).difference(self.parts)))
-        n, k = len(self.words), len(words)
-        both = np.empty(2 * k, np.int32)
-        for i, (x, own) in enumerate(zip((heads, tails), names)):
-            both[i::2] = np.fromiter(map(self.parts.__getitem__, own), np.int32, len(own))[x.indices.to_numpy()]
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in a row, and how many each has."""
+        found = pc.extract_regex(pieces, pattern=self.PLAIN)
+        plain = found.is_valid()
+        both = np.empty(2 * len(pieces), np.int32)
+        for i, part in enumerate((pc.if_else(plain, pc.utf8_lower(found.field("head")), pieces), pc.if_else(plain, found.field("tail"), ""))):
+            coded = part.dictionary_encode()
+            at, letters = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), bool)
+            if i == 0:
+                letters[at] = plain.to_numpy(zero_copy_only=False)
+            both[i::2] = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), letters)[at]
         ids, size = self.part_ids.take(both)
-        self.word_ids.append(ids, size[::2] + size[1::2])
-        self.words.update(zip(words, range(n, n + k)))
+        return ids, size[::2] + size[1::2]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by end_id, and how many each has."""
@@ -144,20 +154,10 @@ class WordEncoder:
         pieces = pc.split_pattern(texts, " ")
         bounds = pieces.offsets.to_numpy()
         coded = pieces.values.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > CACHE_WORDS:
-            self.reset_words()
-        if len(self.parts) > 2 * CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.reset()
-        place = list(map(self.words.get, names))
-        new = [w for w, at in zip(names, place) if at is None]
-        n = len(self.words)
-        self._learn(new)
-        # unseen pieces were numbered in the order in which they are met here
-        order = iter(range(n, n + len(new)))
-        place = np.array([next(order) if at is None else at for at in place], np.int32)
-        words = place[coded.indices.to_numpy()[bounds[0] : bounds[-1]]]
-        flat, size = self.word_ids.take(words)
+        ids, size = self._pieces(coded.dictionary)
+        flat, size = _gather(ids, np.cumsum(size, dtype=np.int32) - size, size, coded.indices.to_numpy()[bounds[0] : bounds[-1]])
         before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         per = np.diff(before[bounds - bounds[0]])
         #: each document's ids move up by the end ids before it

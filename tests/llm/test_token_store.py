@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tessera.llm import token_store as ts
 
@@ -47,3 +48,35 @@ def test_empty_table_and_bad_encoding(spark):
     assert ts.token_digests(spark, ts.write_tokens(empty, PATH)).count() == 0
     with pytest.raises(ValueError):
         ts.write_tokens(empty, PATH, encoding="plain")
+
+
+class Spy:
+    """A tokenizer that notes the texts it gets."""
+
+    def __init__(self, tok):
+        self.tok, self.seen = tok, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.seen += texts
+        return self.tok.encode_batch_fast(texts, **more)
+
+
+def test_new_words_of_letters_pass_by_the_normaliser():
+    """Normalising and splitting words that are lower-case letters already was most of their cost; pieces of one word in several forms were all kept."""
+    whole, enc = Tokenizer.from_file(PATH), ts.WordEncoder(PATH)
+    enc.tok = Spy(whole)
+    forms = [f(a + b) + tail for a in ("thing", "ßchver", "éaux", "ÿþð", "ñ") for b in ("ou", "ÀÖ", "Ø", "y") for f in (str, str.title, str.swapcase) for tail in ("", "!!", ".,*")]
+    texts = [" ".join(forms), " ".join(forms[::-1]) + " don't it's 4th <|endoftext|> Œuvre e\u0301t\u00e9", None, "\n"]
+    ids, size = enc.encode(pa.array(texts), 2)
+    expected = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == sum(expected, []) and size.tolist() == [len(x) for x in expected]
+    assert not {"thingou", "ñy"} & set(" ".join(enc.tok.seen).lower().split())
+    assert max(len(x) for x in vars(enc).values() if isinstance(x, dict)) < len(set(forms)) / 2
+
+
+def test_file_of_another_normaliser(tmp_path):
+    tok = Tokenizer.from_file(PATH)
+    tok.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    tok.save(path := str(tmp_path / "other.json"))
+    text = "Été ñandú über, naïve!! plain"
+    assert ts.WordEncoder(path).encode(pa.array([text]), 2)[0].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
