@@ -175,18 +175,17 @@ def file_vector(size: Column, width: Column, height: Column, exif: Column, tags:
     """Eleven numbers of a file and its quantisation tables, then the first `places` table values over 255, zeros behind them."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     w, h = zero(width), zero(height)
-    flat = F.coalesce(F.flatten(F.transform(tables, lambda t: F.slice(t, 1, 64))), F.array().cast("array<int>")).cast("array<double>")
-    mean = lambda a: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a)), F.lit(0.0))
+    mean = lambda a, of=lambda v: v: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + of(x)), F.size(a)), F.lit(0.0))
     upper = lambda some: F.when(F.size(some) > 32, F.slice(some, 33, 1 << 20)).otherwise(some)
-    spread = lambda some, m: F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(some, lambda v: v * v)) - m * m))
+    spread = lambda some, m: F.sqrt(F.greatest(F.lit(0.0), mean(some, lambda v: v * v) - m * m))
     megapixels = F.greatest(F.lit(1.0), w * h) / 1e6
-    own = F.array(
-        F.log1p(zero(size)) / 16, w / 8000, h / 8000, F.coalesce(F.try_divide(w, h), F.lit(0.0)), F.log1p(zero(size) / megapixels) / 16, F.coalesce(exif, F.lit(False)).cast("double"), zero(tags) / 80,
-        F.size(F.coalesce(tables, F.array().cast("array<array<int>>"))) / 4.0,
-    )
+    own = F.array(F.log1p(zero(size)) / 16, w / 8000, h / 8000, F.coalesce(F.try_divide(w, h), F.lit(0.0)), F.log1p(zero(size) / megapixels) / 16, F.coalesce(exif, F.lit(False)).cast("double"), zero(tags) / 80)
+    count = lambda tables: F.array(F.size(F.coalesce(tables, F.array().cast("array<array<int>>"))) / 4.0)
+    flat = lambda tables: F.coalesce(F.flatten(F.transform(tables, lambda t: F.slice(t, 1, 64))), F.array().cast("array<int>")).cast("array<double>")
     # means of tables, each array worked out once
-    means = lambda flat: bound(F.filter(flat, lambda v: v > 0), lambda some: bound(mean(some), lambda m: F.array(m / 255, spread(some, m) / 255, bound(upper(some), mean) / 255)))
-    return bound(flat, lambda flat: F.concat(own, means(flat), F.transform(F.slice(F.concat(flat, F.array_repeat(F.lit(0.0), places)), 1, places), lambda v: v / 255)))
+    means = lambda flat: bound(F.filter(flat, lambda v: v > 0), lambda some: bound(mean(some), lambda m: F.array(m / 255, spread(some, m) / 255, bound(upper(some), lambda high: mean(high)) / 255)))
+    shares = lambda flat: F.slice(F.concat(F.transform(F.slice(flat, 1, places), lambda v: v / 255), F.array_repeat(F.lit(0.0), places)), 1, places)
+    return bound(tables, lambda tables: bound(flat(tables), lambda flat: F.concat(own, count(tables), means(flat), shares(flat))))
 
 
 def reverse_hits(pages: DataFrame, key: str, html: str, own: Sequence[str] = ("yandex.com", "yandex.ru")) -> DataFrame:

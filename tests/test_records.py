@@ -144,3 +144,19 @@ def test_few_row_groups_are_spread(spark, tmp_path):
         assert d.rdd.getNumPartitions() > 8 and d.select("p_partkey").distinct().count() == 40
     plan = registry.queries()["page_images"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "size(" not in plan.split("Generate")[1].split("Project")[0]
+
+
+def test_tables_of_a_file_vector_are_worked_out_once(spark, tmp_path):
+    """Their number asked for the whole expression again, and squares were made twice; zeros behind the values were divided too."""
+    from tessera.operators.attribution import file_vector
+    from tessera.plans import registry
+
+    spark.range(4).selectExpr("id AS p_partkey", "CAST(id AS INT) + 1 AS p_size", "1.5D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    plan = registry.queries()["score_file_vector"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("% 50") == 1
+    rows = spark.createDataFrame([(None,), ([],), ([[3, 0, None, 4], None],), ([[3, 0, None, 4]],), ([[1] * 70, [2] * 70],)], "t array<array<int>>")
+    got = [r.v for r in rows.select(file_vector(*[F.lit(None)] * 5, F.col("t"), places=6).alias("v")).collect()]
+    assert [len(v) for v in got] == [17] * 5
+    assert [v[7:] for v in got[:3]] == [[0.0] * 10, [0.0] * 10, [0.5, *[0.0] * 9]]
+    assert got[3][7:] == [0.25, 3.5 / 255, 0.5 / 255, 3.5 / 255, 3 / 255, 0.0, None, 4 / 255, 0.0, 0.0]
+    assert got[4][7:] == [0.5, 1.5 / 255, 0.5 / 255, sum([1] * 32 + [2] * 64) / 96 / 255, *[1 / 255] * 6]
