@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,16 +40,23 @@ def search_queries(text: Column, keywords: Column, platforms: Sequence[str]) ->
 def votes(df: DataFrame, query: str, label: str, weight: str, damping: float = 0.15) -> DataFrame:
     """(query, label, score, confidence, rank): summed votes; confidence is the share of all votes plus a damping term.
 
-    Votes that are decimals of up to 12 places are summed as such, so equal scores tie (and go by label) whatever the
-    order in which tasks add them; sums of other doubles are those of doubles.
+    Votes that are decimals of up to 12 places are summed as such, so equal scores tie (and go by label) and shares that
+    lie halfway between two roundings stay there, whatever the order in which tasks add them; sums of other doubles are
+    those of doubles.
     """
     w = F.col(weight).cast("double")
     exact = w.try_cast("decimal(28,12)")
     whole = F.bool_and(w.isNull() | F.coalesce(exact.cast("double") == w, F.lit(False)))
-    s = df.groupBy(query, label).agg(F.when(whole, F.sum(exact).cast("double")).otherwise(F.sum(w)).alias("score"))
-    total = F.sum("score").over(Window.partitionBy(query)) + damping
-    s = s.withColumn("confidence", F.col("score") / total)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), label)))
+    s = df.groupBy(query, label).agg(whole.alias("_whole"), F.when(whole, F.try_sum(exact)).alias("_exact"), F.sum(w).alias("_plain"))
+    s = s.withColumn("score", F.coalesce(F.col("_exact").cast("double"), "_plain"))
+    own = Window.partitionBy(query)
+    total = F.when(F.bool_and("_whole").over(own), F.try_sum("_exact").over(own))
+    # whole numbers of the last place, so that the one rounding is the quotient's
+    units = lambda d: F.try_multiply(d, F.lit(Decimal(10**12))).cast("double")
+    part = lambda n, d: F.when(d == 0, n * F.lit(float("inf"))).otherwise(n / d)
+    share = part(units(F.col("_exact")), units(total) + float(Decimal(str(damping)) * 10**12))
+    s = s.withColumn("confidence", F.coalesce(share, part(F.col("score"), F.sum("score").over(own) + damping)))
+    return s.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), label))).drop("_whole", "_exact", "_plain")
 
 
 def benchmark_rows(cases: DataFrame, truth: str, found: str, hours: str, robust: str, k: int = 10) -> DataFrame:

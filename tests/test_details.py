@@ -158,3 +158,15 @@ def test_equal_votes_tie(spark):
     got = profiles.votes(spark.createDataFrame(rows, "q int, l string, w double").coalesce(1), "q", "l", "w", 0.0).collect()
     assert sorted((r.q, r.l, r.rank) for r in got) == [(1, "a", 1), (1, "b", 2), (2, "a", 2), (2, "b", 1), (2, "c", 3), (3, "a", 1)]
     assert {r.l: r.score for r in got if r.q == 1} == {"a": 0.6, "b": 0.6} and {r.l: r.score for r in got if r.q == 2} == {"a": 1e-20, "b": 3e-20, "c": None}
+
+
+def test_shares_halfway_round_up(spark):
+    """Odd cents of 128, damping included, lie halfway between two millionths; sums of doubles fell on either side of it."""
+    from tessera.operators import profiles
+
+    rows = [(p, label, cents / 100) for p in range(1, 113, 2) for label, cents in [("a", p), ("b", (113 - p) // 3), ("c", (113 - p) // 3), ("c", 113 - p - 2 * ((113 - p) // 3))]]
+    got = profiles.votes(spark.createDataFrame(rows, "q int, l string, w double"), "q", "l", "w").where("l = 'a'").select("q", F.round("confidence", 6).alias("c")).collect()
+    assert {r.q: r.c for r in got} == {p: (p * 78125 + 5) // 10 / 1e6 for p in range(1, 113, 2)}
+    rows = [(1, "a", -0.15), (2, "a", -1.15), (2, "b", 1.0), (3, "a", 0.0), (3, "b", -0.15)]
+    got = profiles.votes(spark.createDataFrame(rows, "q int, l string, w double"), "q", "l", "w").collect()
+    assert sorted((r.q, r.l, str(r.confidence)) for r in got) == [(1, "a", "-inf"), (2, "a", "-inf"), (2, "b", "inf"), (3, "a", "nan"), (3, "b", "-inf")]
