@@ -36,6 +36,11 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
     return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", max(4, -(-files // ARRIVALS))).parquet(folder), f"{width} seconds"
 
 
+def _buckets(spark, sf_dir) -> int:
+    """Buckets of users, about 32,768 events each, so that what a task holds does not grow with the input."""
+    return max(od.BUCKETS, table(spark, sf_dir, "events").count() >> 15)
+
+
 def _run(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -90,7 +95,7 @@ SELECT event_id FROM r WHERE taken""")
 def tick_sampler(spark, sf_dir):
     """The rows of series_tick_sampler, from a stream."""
     stream, delay = _stream(spark, sf_dir)
-    d = _run(od.tick_sampler(stream, "user_id", "ts", "event_id", 1704067200_000_000, 43200_000_000, delay))
+    d = _run(od.tick_sampler(stream, "user_id", "ts", "event_id", 1704067200_000_000, 43200_000_000, delay, buckets=_buckets(spark, sf_dir)))
     return d.where("order >= 0").select(F.col("order").alias("event_id"))
 
 
@@ -105,4 +110,4 @@ def closed_set(spark, sf_dir):
     stream, delay = _stream(spark, sf_dir)
     kind, no = F.col("event_type"), F.col("event_id")
     url, pair = F.concat(kind, (no % 8).cast("string")), F.when(no % 4 > 0, F.concat(kind, F.lit(":"), (no % 11).cast("string")))
-    return _run(od.closed_set(stream, "user_id", "ts", "event_id", url, pair, delay)).where("order >= 0").select(F.col("order").alias("event_id"))
+    return _run(od.closed_set(stream, "user_id", "ts", "event_id", url, pair, delay, buckets=_buckets(spark, sf_dir))).where("order >= 0").select(F.col("order").alias("event_id"))

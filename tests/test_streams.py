@@ -95,3 +95,87 @@ def test_triggers_do_not_grow_with_files(spark, tmp_path):
     events.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 401
     assert len([p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit()]) <= 6
+
+
+def test_keys_share_states(spark, tmp_path):
+    """3,000 keys, null among them: a bucket has one list of waiting rows, one memory and one timer, whatever its keys and rows."""
+    rng = random.Random(4)
+    rows = [(f"k{k}" if k else None, 1000 + rng.randrange(500), 3 * k + i, rng.choice([None, "", "u", "v"]), rng.choice([None, "p", "q"])) for k in range(3000) for i in range(3)]
+    at = f"{tmp_path}/in"
+    fed(spark, at, rows[:6000])
+    fed(spark, at, rows[6000:])
+    fed(spark, at, [("end", 10**6, -1, None, None)])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(at)
+    found = ordered.closed_set(stream, "k", "ts", "no", F.col("url"), F.col("pair"), "600 seconds")
+    q = found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.order for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.order >= 0) == plain_closed_set(rows)
+    # a bucket has a row for each of two inputs, its memory and the next time to wake
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 4 * 1024
+
+
+def test_keys_of_a_bucket_stay_apart(spark, tmp_path, rows):
+    """All keys in one bucket; a key is forgotten alone."""
+    got = run(spark, tmp_path / "set", lambda s: ordered.closed_set(s, "k", "ts", "no", F.col("url"), F.col("pair"), "200 seconds", buckets=1), rows)
+    assert got == plain_closed_set(rows)
+    few = [("a", 10, 0, "u", "p"), ("a", 40, 1, "u", "q"), ("b", 90, 2, "u", "p"), ("c", 160, 3, None, None), ("b", 170, 4, "u", None), ("a", 180, 5, "u", None)]
+    make = lambda s: ordered.closed_set(s, "k", "ts", "no", F.col("url"), F.col("pair"), "1 seconds", 100, buckets=1)
+    assert run(spark, tmp_path / "idle", make, few, cuts=(3, 4, 5)) == [0, 2, 3, 5]
+
+
+class Handle:
+    """States and timers in memory, of one bucket."""
+
+    class State(list):
+        def get(self):
+            return iter(self)
+
+        def appendValue(self, row):
+            self.append(row)
+
+    class Value:
+        row = None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+        self.deleteTimer, self.registerTimer = self.timers.remove, self.timers.append
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, self.State())
+
+    def getValueState(self, name, schema):
+        return self.Value()
+
+
+def test_entries_are_written_anew(rows, monkeypatch):
+    """Entries of at most forty rows; memory's entries, one a visit or more, become few again, and there is one timer."""
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "ENTRY", 40)
+    monkeypatch.setattr(ordered, "ENTRIES", 4)
+    at, handle = ordered._ClosedSet(None), Handle()
+    at.init(handle)
+    got, sizes = [], []
+    for n in range(0, 310, 10):
+        own = [(k, s * 10**6, no, url, pair) for k, s, no, url, pair in rows[n : n + 10]]
+        if own:
+            list(at.handleInputRows(None, iter([pd.DataFrame(own[:5], columns=[*"kutvw"]), pd.DataFrame(own[5:], columns=[*"kutvw"])]), None))
+        now = (1000 + n * 10 - 60) * 1000 if own else 10**9
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: now})()
+        for t in [t for t in handle.timers if t <= now]:
+            for out in at.handleExpiredTimer(None, clock, None):
+                got += out["o"].tolist()
+            handle.timers.remove(t)
+        assert len(handle.timers) <= 1 and len(handle.lists["waiting"]) <= 6
+        sizes.append(len(handle.lists["memory"]))
+    assert sorted(got) == plain_closed_set(rows) and not handle.timers and not handle.lists["waiting"]
+    assert 4 <= max(sizes) < 12 and any(b < a for a, b in zip(sizes, sizes[1:])), sizes
